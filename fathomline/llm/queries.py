@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
-from fathomline.llm import simhash
+from fathomline.llm import simhash, suffix_dedup
 from fathomline.llm.common import table
 
 
+def op4_suffix_dedup(spark, sf_dir):
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op6_simhash(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
+    "op4_suffix_dedup": op4_suffix_dedup,
     "op6_simhash": op6_simhash,
 }
 ORACLE_SQL: dict[str, str] = {}
