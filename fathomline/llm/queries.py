@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from fathomline.llm import simhash, suffix_dedup
+from fathomline.llm import language, packing, simhash, suffix_dedup
 from fathomline.llm.common import table
 
 
+def op2_packing(spark, sf_dir):
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 def op4_suffix_dedup(spark, sf_dir):
     return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
 
@@ -14,8 +18,15 @@ def op6_simhash(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op9_language(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return language.identify(docs, language.fit(docs))
+
+
 QUERIES = {
+    "op2_packing": op2_packing,
     "op4_suffix_dedup": op4_suffix_dedup,
     "op6_simhash": op6_simhash,
+    "op9_language": op9_language,
 }
 ORACLE_SQL: dict[str, str] = {}

@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fathomline.llm.common import settle
+from fathomline.llm.common import bytes_of, settle
 
 SPAN = 200
 GRAM = 40
@@ -132,19 +132,11 @@ class _Cutter:
         return doc, start, run, left, anchor, content
 
 
-def _bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The UTF-8 bytes of a string column and where each text begins; null is empty."""
-    column = column.fill_null("").cast(pa.large_string())
-    _, offsets, data = column.buffers()
-    offsets = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1]
-    return np.frombuffer(data or b"", np.uint8), offsets
-
-
 def _cut(span: int, gram: int, only_anchors: bool):
     def run(batches):
         cutter = _Cutter(span, gram)
         for batch in batches:
-            data, offsets = _bytes_of(batch.column(1))
+            data, offsets = bytes_of(batch.column(1))
             seen = {}
             for held in cutter.pieces(data, offsets):
                 doc, start, run_, left, anchor, content = cutter.segments(held)
@@ -338,7 +330,7 @@ def _extract(span: int):
 
     def run(batches):
         for batch in batches:
-            data, offsets = _bytes_of(batch.column(0))
+            data, offsets = bytes_of(batch.column(0))
             for row in range(batch.num_rows):
                 wanted = batch.column(1)[row].values
                 start = wanted.field("start").to_numpy(zero_copy_only=False) + offsets[row]
@@ -382,7 +374,7 @@ def _strip(ranges):
 
     def run(batches):
         for batch in batches:
-            data, offsets = _bytes_of(batch.column(1))
+            data, offsets = bytes_of(batch.column(1))
             removed, spans, kept, digest = [], [], [], []
             for row in range(batch.num_rows):
                 text = data[offsets[row] : offsets[row + 1]]
