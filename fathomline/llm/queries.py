@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from fathomline.llm import language, packing, simhash, suffix_dedup
+from fathomline.llm import fingerprint, language, packing, simhash, suffix_dedup
 from fathomline.llm.common import table
 
 
@@ -10,6 +10,10 @@ def op2_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op3_fingerprint(spark, sf_dir):
+    return fingerprint.fingerprint_edits(table(spark, sf_dir, "documents"))
+
+
 def op4_suffix_dedup(spark, sf_dir):
     return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
 
@@ -25,6 +29,7 @@ def op9_language(spark, sf_dir):
 
 QUERIES = {
     "op2_packing": op2_packing,
+    "op3_fingerprint": op3_fingerprint,
     "op4_suffix_dedup": op4_suffix_dedup,
     "op6_simhash": op6_simhash,
     "op9_language": op9_language,
