@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from fathomline.llm import fingerprint, language, packing, simhash, suffix_dedup
+from fathomline.llm import fingerprint, language, packing, simhash, suffix_dedup, warc
 from fathomline.llm.common import table
 
 
@@ -27,11 +27,16 @@ def op9_language(spark, sf_dir):
     return language.identify(docs, language.fit(docs))
 
 
+def op10_warc(spark, sf_dir):
+    return warc.archive_pages(table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
     "op2_packing": op2_packing,
     "op3_fingerprint": op3_fingerprint,
     "op4_suffix_dedup": op4_suffix_dedup,
     "op6_simhash": op6_simhash,
     "op9_language": op9_language,
+    "op10_warc": op10_warc,
 }
 ORACLE_SQL: dict[str, str] = {}
