@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from fathomline.llm import fingerprint, language, packing, simhash, suffix_dedup, warc
+from fathomline.llm import fingerprint, language, neighbours, packing, simhash, suffix_dedup, warc
 from fathomline.llm.common import table
 
 
@@ -22,6 +22,10 @@ def op6_simhash(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op7_neighbours(spark, sf_dir):
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op9_language(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     return language.identify(docs, language.fit(docs))
@@ -36,6 +40,7 @@ QUERIES = {
     "op3_fingerprint": op3_fingerprint,
     "op4_suffix_dedup": op4_suffix_dedup,
     "op6_simhash": op6_simhash,
+    "op7_neighbours": op7_neighbours,
     "op9_language": op9_language,
     "op10_warc": op10_warc,
 }
