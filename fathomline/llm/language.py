@@ -21,7 +21,8 @@ WINDOW = 256
 DIM = 8
 WIDTHS = (2, 3, 4, 5)
 FILTERS = 16  # of each width
-EPOCHS = 10
+EPOCHS = 10  # or as many as make STEPS steps
+STEPS = 800
 BATCH = 64
 AT_ONCE = 32  # windows scored at a time, to stay in cache
 PAD = 256
@@ -30,6 +31,7 @@ LETTER = regex.compile(r"\p{L}")
 #: Bound of the training sample, drawn by hash: texts of a language, and characters of each.
 SAMPLE_TEXTS = 800
 SAMPLE_CHARS = 512
+FOLD = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.int16)
 LETTER_BYTES = np.array([chr(b).isalpha() if b < 128 else True for b in range(256)] + [False])
 
 
@@ -63,10 +65,10 @@ def _softmax(x: np.ndarray) -> np.ndarray:
 
 
 def windows_of(text: np.ndarray) -> np.ndarray:
-    """A text's bytes in rows of ``WINDOW``, the last one padded."""
+    """A text's bytes in rows of ``WINDOW``, A-Z as a-z, the last row padded."""
     rows = max(1, -(-len(text) // WINDOW))
     out = np.full(rows * WINDOW, PAD, np.int16)
-    out[: len(text)] = text
+    out[: len(text)] = FOLD[text]
     return out.reshape(rows, WINDOW)
 
 
@@ -98,7 +100,7 @@ def train(texts: list[str], langs: list[str], seed: int = 0) -> Model:
     step = 0
     weight = 1 / np.bincount(y, minlength=len(names)).clip(1)
     weight = (weight * len(y) / len(names)).astype(np.float32)
-    for _ in range(EPOCHS):
+    for _ in range(max(EPOCHS, STEPS // max(1, len(x) // BATCH))):
         for at in np.array_split(rng.permutation(len(x)), max(1, len(x) // BATCH)):
             idx, label = x[at], y[at]
             columns = _columns(p["embed"][idx])
