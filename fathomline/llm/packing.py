@@ -44,7 +44,11 @@ class Encoder:
         with open(ranks, "rb") as lines:
             table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self.encode_ordinary = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=table, special_tokens={}).encode_ordinary
-        self.tokenizer, self.library = tokenizer, None
+        self.tokenizer, self.ranks, self.library = tokenizer, ranks, None
+
+    def encode_plain(self, text: str) -> bytes:
+        """Ids that spell out the text's bytes: the special token's name is ordinary text here."""
+        return np.array(self.encode_ordinary(text), "<u4").tobytes()
 
     def encode(self, text: str) -> bytes:
         if SPECIAL not in text:

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from fathomline.llm import fingerprint, language, neighbours, packing, simhash, suffix_dedup, warc
+from fathomline.llm import attribution, fingerprint, language, neighbours, packing, pieces, quotes, simhash, suffix_dedup, warc
 from fathomline.llm.common import table
 
 
+def op1_pieces(spark, sf_dir):
+    return pieces.encode(table(spark, sf_dir, "documents"))
+
+
 def op2_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -18,6 +22,10 @@ def op4_suffix_dedup(spark, sf_dir):
     return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
 
 
+def op5_token_counts(spark, sf_dir):
+    return attribution.section_tokens(table(spark, sf_dir, "documents"))
+
+
 def op6_simhash(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -26,6 +34,10 @@ def op7_neighbours(spark, sf_dir):
     return neighbours.nearest(table(spark, sf_dir, "embeddings"))
 
 
+def op8_quotes(spark, sf_dir):
+    return quotes.link_quotes(table(spark, sf_dir, "conversations"))
+
+
 def op9_language(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     return language.identify(docs, language.fit(docs))
@@ -36,11 +48,14 @@ def op10_warc(spark, sf_dir):
 
 
 QUERIES = {
+    "op1_pieces": op1_pieces,
     "op2_packing": op2_packing,
     "op3_fingerprint": op3_fingerprint,
     "op4_suffix_dedup": op4_suffix_dedup,
+    "op5_token_counts": op5_token_counts,
     "op6_simhash": op6_simhash,
     "op7_neighbours": op7_neighbours,
+    "op8_quotes": op8_quotes,
     "op9_language": op9_language,
     "op10_warc": op10_warc,
 }
