@@ -250,17 +250,21 @@ def write_archives(
         (F.col("best").isNull() | (F.struct("page_id", "mark").eqNullSafe(F.col("best")))).alias("original"), F.col("best").isNotNull().alias("grouped"),
     )
     full = rows.join(named, F.col("page_id").eqNullSafe(F.col("own")) & (F.col("mark") == F.col("own_mark")))
+    fields = ["page_id", "url", "html", "digest", "head", "original"]
     repeats = light.groupBy("page_id", "mark").count().where("count > 1").select(F.col("page_id").alias("r_id"), F.col("mark").alias("r_mark"), F.lit(True).alias("again"))
-    full = full.join(repeats, F.col("page_id").eqNullSafe(F.col("r_id")) & (F.col("mark") == F.col("r_mark")), "left")
-    once = full.where(F.col("again").isNull() | ~F.col("original") | ~F.col("grouped")).select("page_id", "url", "html", "digest", "head", "original")
-    many = full.where(F.col("again").isNotNull() & F.col("original") & F.col("grouped")).select("page_id", "url", "html", "digest", "head", "mark")
-    counted = many.groupBy("page_id", "url", "html", "digest", "head", "mark").count()
-    counted = counted.withColumn("turn", F.explode(F.sequence(F.lit(1), F.col("count").cast("int"))))
-    many = counted.select("page_id", "url", "html", "digest", "head", (F.col("turn") == 1).alias("original"))
-    sample = rows.select("page_id", "url", F.substring("html", 1, SAMPLE_BYTES).alias("html"), "mark").orderBy("mark").limit(SAMPLE_RECORDS).collect()
+    once = full.select(*fields)
+    if not repeats.isEmpty():
+        full = full.join(repeats, F.col("page_id").eqNullSafe(F.col("r_id")) & (F.col("mark") == F.col("r_mark")), "left")
+        twin = F.col("again").isNotNull() & F.col("original") & F.col("grouped")
+        many = full.where(twin).groupBy("page_id", "url", "html", "digest", "head").count()
+        many = many.withColumn("turn", F.explode(F.sequence(F.lit(1), F.col("count").cast("int")))).withColumn("original", F.col("turn") == 1)
+        once = full.where(~twin).select(*fields).unionByName(many.select(*fields))
+    step = max(1, light.count() // SAMPLE_RECORDS)
+    sample = rows.where(F.pmod("mark", F.lit(step)) == 0).select("page_id", "url", F.substring("html", 1, SAMPLE_BYTES).alias("html"), "mark")
+    sample = sorted(sample.limit(2 * SAMPLE_RECORDS).collect(), key=lambda r: r.mark)
     samples = [record(r.page_id, r.url, p := (r.html or "").encode(), payload_digest(p)) for r in sample]
     dictionary = build_dictionary(samples)
-    archives = once.unionByName(many).mapInArrow(_write(place, dictionary, archive_bytes), "archive string, records long, bytes long")
+    archives = once.mapInArrow(_write(place, dictionary, archive_bytes), "archive string, records long, bytes long")
     return settle(archives, "archives")
 
 
