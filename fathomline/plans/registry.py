@@ -23,9 +23,28 @@ def register(name: str, sql: str | None = None):
     return keep
 
 
+def q(name: str, build: Callable, sql: str | None = None) -> None:
+    """Register ``build(tables)``; views that ``sql`` names are defined before it."""
+    from fathomline.sources.tables import Tables, with_views
+
+    register(name, with_views(sql) if sql else None)(lambda spark, sf_dir: build(Tables(spark, sf_dir)))
+
+
+def _load() -> None:
+    from importlib import import_module
+
+    for plan in PLANS:
+        import_module(f"fathomline.plans.{plan}")
+
+
+PLANS = ("relational",)
+
+
 def queries() -> dict[str, Callable]:
+    _load()
     return _QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
+    _load()
     return _ORACLE
