@@ -37,7 +37,7 @@ def _load() -> None:
         import_module(f"fathomline.plans.{plan}")
 
 
-PLANS = ("relational",)
+PLANS = ("relational", "aggregates", "scores")
 
 
 def queries() -> dict[str, Callable]:
