@@ -37,7 +37,7 @@ def _load() -> None:
         import_module(f"fathomline.plans.{plan}")
 
 
-PLANS = ("relational", "aggregates", "scores", "entities", "texts")
+PLANS = ("relational", "aggregates", "scores", "entities", "texts", "feeds")
 
 
 def queries() -> dict[str, Callable]:
