@@ -21,8 +21,9 @@ SNIPPET = 600
 def nonempty(df: DataFrame, source: str) -> DataFrame:
     """``df``, or an error at run time if it has no row."""
     n = df.limit(1).agg(F.count("*").alias("_n"))
-    checked = n.select(F.assert_true(F.col("_n") > 0, f"{source} has no row").alias("_ok"))
-    return df.crossJoin(F.broadcast(checked)).drop("_ok")
+    # no row if there is one, and an error if there is none
+    guard = n.where(F.when(F.col("_n") > 0, F.lit(False)).otherwise(F.raise_error(F.lit(f"{source} has no row")).cast("boolean")))
+    return df.unionByName(guard.select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in df.schema.fields]))
 
 
 def read_rss(spark: SparkSession, path: str, as_of: str, days: int, snippet: int | None = SNIPPET) -> DataFrame:
