@@ -10,7 +10,11 @@ from fathomline.plans.registry import q
 from fathomline.plans.relational import LEGS, NEWS, news, portfolio
 from fathomline.sources.tables import AS_OF
 
-DAY = F.lit(AS_OF).cast("date")
+
+def day():
+    return F.lit(AS_OF).cast("date")
+
+
 D = f"date '{AS_OF}'"
 Q = f"date_trunc('quarter', {D})"
 
@@ -52,12 +56,17 @@ q("A11_top_and_rest", lambda t: (lambda c: c.orderBy(F.desc("n"), "hq_country").
   "with c as (select hq_country, count(*) as n from shown group by 1) select hq_country, n, (select count(*) from c) - 6 as rest from c order by n desc, hq_country limit 6")
 q("A12_ranked_counts", lambda t: t.shown.groupBy("industry_group").agg(F.count("*").alias("n")).where("n >= 3 and industry_group is not null").orderBy(F.desc("n"), "industry_group"), "select industry_group, count(*) as n from shown where industry_group is not null group by 1 having count(*) >= 3")
 q("A13_having_eight", lambda t: t.companies.where("employee_count_min is not null").groupBy("hq_country", "industry_group").agg(F.count("*").alias("n")).where("n >= 8"), "select hq_country, industry_group, count(*) as n from companies where employee_count_min is not null group by 1, 2 having count(*) >= 8")
-TAGS = F.array(F.concat(F.lit("t"), F.col("id") % 9), F.concat(F.lit("t"), F.col("id") % 5), F.lower("industry_group"))
-q("A14_unnest_distinct", lambda t: t.companies.select(F.explode(F.array_distinct(TAGS)).alias("tag")).where("tag is not null").groupBy("tag").agg(F.count("*").alias("n")).where("n >= 3"),
+
+
+def tags():
+    return F.array(F.concat(F.lit("t"), F.col("id") % 9), F.concat(F.lit("t"), F.col("id") % 5), F.lower("industry_group"))
+
+
+q("A14_unnest_distinct", lambda t: t.companies.select(F.explode(F.array_distinct(tags())).alias("tag")).where("tag is not null").groupBy("tag").agg(F.count("*").alias("n")).where("n >= 3"),
   "select tag, count(*) as n from (select unnest(list_distinct(list_value(concat('t', id % 9), concat('t', id % 5), lower(industry_group)))) as tag from companies) where tag is not null group by 1 having count(*) >= 3")
 q("A15_distinct_values", lambda t: t.companies.select("hq_country").distinct().orderBy("hq_country"), "select distinct hq_country from companies order by 1")
 q("A16_exact_counts", lambda t: t.shown.agg(F.count("*").alias("companies")).crossJoin(t.investors.agg(F.count("*").alias("investors"))), "select (select count(*) from shown) as companies, (select count(*) from investors) as investors")
-q("A17_dual_counts", lambda t: t.shown.agg(F.count_if(F.col("created_at") >= F.date_sub(DAY, 7)).alias("week"), F.count_if(F.col("created_at") >= F.date_sub(DAY, 30)).alias("month")), f"select count(*) filter (created_at >= {D} - 7) as week, count(*) filter (created_at >= {D} - 30) as month from shown")
+q("A17_dual_counts", lambda t: t.shown.agg(F.count_if(F.col("created_at") >= F.date_sub(day(), 7)).alias("week"), F.count_if(F.col("created_at") >= F.date_sub(day(), 30)).alias("month")), f"select count(*) filter (created_at >= {D} - 7) as week, count(*) filter (created_at >= {D} - 30) as month from shown")
 q("A18_coverage", lambda t: t.shown.agg(F.count("*").alias("n"), F.count_if(F.col("funding_round_count") > 0).alias("funded"), F.max("checked_at").alias("checked")), "select count(*) as n, count(*) filter (funding_round_count > 0) as funded, max(checked_at) as checked from shown")
 q("A19_portfolio_mean", lambda t: (lambda d, r: d.union(r).distinct().join(t.companies.where("total_raised_usd is not null"), F.expr("company_id = id")).groupBy("investor_id").agg(F.round(F.avg(F.col("total_raised_usd").cast("double")), 4).alias("mean"), F.count_if(F.col("total_raised_usd") > 500000).alias("large")))(*portfolio(t)),
   f"with {LEGS} select investor_id, round(avg(cast(total_raised_usd as double)), 4) as mean, count(*) filter (total_raised_usd > 500000) as large from legs join companies on company_id = id where total_raised_usd is not null group by 1")

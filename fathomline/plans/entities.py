@@ -10,7 +10,7 @@ from fathomline.operators import resolve as M
 from fathomline.operators import rounds as R
 from fathomline.operators import timeline as L
 from fathomline.operators import windows as W
-from fathomline.plans.aggregates import DAY, D
+from fathomline.plans.aggregates import day, D
 from fathomline.plans.registry import q
 from fathomline.plans.relational import NEWS, news
 

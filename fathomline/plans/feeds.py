@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from fathomline.operators import windows as W
-from fathomline.plans.aggregates import DAY, D
+from fathomline.plans.aggregates import day, D
 from fathomline.plans.registry import q
 from fathomline.plans.relational import NEWS, news
 from fathomline.sources import sinks as K
@@ -17,7 +17,7 @@ q("S35_markdown", lambda t: K.markdown(t.companies.where("id <= 200"), t.rounds.
 q("S36_sitemap_shards", lambda t: W.shard(t.companies.select("slug"), "slug", 500).groupBy("shard").agg(F.count("*").alias("n"), F.min("slug").alias("first")), "select shard, count(*) as n, min(slug) as first from (select slug, (row_number() over (order by slug) - 1) // 500 as shard from companies) group by 1")
 q("S37_run_ledger", lambda t: t.runs.select("id", "stage", F.when(F.col("status") == "error", "error").when(F.col("rows_written") > 0, "success").otherwise("empty").alias("outcome")), "select id, stage, case when status = 'error' then 'error' when rows_written > 0 then 'success' else 'empty' end as outcome from runs")
 q("S30_first_source", lambda t: t.companies.select("id", F.coalesce("employee_count_max", F.when(F.col("id") % 2 == 0, F.col("id") % 90), F.lit(1)).alias("staff")), "select id, coalesce(employee_count_max, case when id % 2 = 0 then id % 90 end, 1) as staff from companies")
-q("X1_first_in_lookback", lambda t: W.first_per(news(t).where(F.col("published_date") >= F.date_sub(DAY, 60)), ["url"], [F.asc("published_date"), F.asc("id")]).select("url", "id"), f"with {NEWS} select url, id from (select *, row_number() over (partition by url order by published_date, id) as n from news where published_date >= {D} - 60) where n = 1")
+q("X1_first_in_lookback", lambda t: W.first_per(news(t).where(F.col("published_date") >= F.date_sub(day(), 60)), ["url"], [F.asc("published_date"), F.asc("id")]).select("url", "id"), f"with {NEWS} select url, id from (select *, row_number() over (partition by url order by published_date, id) as n from news where published_date >= {D} - 60) where n = 1")
 q("X2_title_duplicates", lambda t: W.first_per(news(t).withColumn("key", F.lower(F.trim("title"))), ["company_id", "key"], [F.asc("id")]).select("id"), f"with {NEWS} select min(id) as id from news group by company_id, lower(trim(title))")
 q("X3_weekly_windows", lambda t: t.runs.groupBy("stage", F.window("started_at", "7 days", startTime="4 days").alias("w")).agg(F.count("*").alias("n")).select("stage", F.col("w.start").cast("date").alias("week"), "n"), "select stage, cast(date_trunc('week', started_at) as date) as week, count(*) as n from runs group by 1, 2")
 q("X4_session_windows", lambda t: t.raw("events").withColumn("ts", F.col("ts").cast("timestamp")).groupBy("user_id", F.session_window("ts", "2 hours").alias("w")).agg(F.count("*").alias("n")).groupBy("user_id").agg(F.count("*").alias("sessions"), F.max("n").alias("longest")),

@@ -10,7 +10,11 @@ from fathomline.operators import windows as W
 from fathomline.plans.registry import q
 from fathomline.sources.tables import AS_OF
 
-DAY = F.lit(AS_OF).cast("date")
+
+def day():
+    return F.lit(AS_OF).cast("date")
+
+
 D = f"date '{AS_OF}'"
 
 # scans
@@ -26,9 +30,14 @@ q("F1_shown", lambda t: t.shown.select("id", "slug", "funding_round_count"), "se
 q("F2_filter_builder",
   lambda t: P.filter_companies(t.shown, q="maker no. 1", industry="BUILDING", emp_min=50, emp_max=400, has_website=True, status="active", tag=None).select("id", "name"),
   "select id, name from shown where (name ilike '%maker no. 1%' or description_short ilike '%maker no. 1%') and industry_group = 'BUILDING' and coalesce(status, 'active') = 'active' and employee_count_max >= 50 and employee_count_min <= 400 and website is not null")
-TAGS = F.array(F.concat(F.lit("t"), F.col("id") % 9), F.concat(F.lit("t"), F.col("id") % 5), F.lower("industry_group"))
+
+
+def tags():
+    return F.array(F.concat(F.lit("t"), F.col("id") % 9), F.concat(F.lit("t"), F.col("id") % 5), F.lower("industry_group"))
+
+
 TAGS_SQL = "list_value(concat('t', id % 9), concat('t', id % 5), lower(industry_group))"
-q("F3_array_contains", lambda t: t.companies.withColumn("tags", TAGS).where(F.array_contains("tags", "t3")).select("id"),
+q("F3_array_contains", lambda t: t.companies.withColumn("tags", tags()).where(F.array_contains("tags", "t3")).select("id"),
   f"select id from companies where list_contains({TAGS_SQL}, 't3')")
 q("F4_range_overlap", lambda t: t.companies.where(P.employee_overlap(100, 200)).select("id", "employee_count_min", "employee_count_max"),
   "select id, employee_count_min, employee_count_max from companies where employee_count_max >= 100 and employee_count_min <= 200")
@@ -50,8 +59,13 @@ q("F12_affixes", lambda t: t.raw("pages").where(F.col("url").startswith("https:/
   "select page_id from pages where url like 'https://%' and (url like '%top' or url like '%/en/%')")
 q("F13_needs_canonical", lambda t: t.companies.where(~F.col("hq_country").isin("CHINA", "FRANCE") & F.initcap(F.lower("hq_country")).isin("China", "France", "Kenya")).select("id"),
   "select id from companies where hq_country not in ('CHINA', 'FRANCE') and hq_country = 'KENYA'")
-HASHED = F.sha2(F.concat_ws("\n", F.col("name"), F.coalesce("description_short", F.lit("")), F.coalesce("industry_group", F.lit(""))), 256)
-q("F14_content_hash", lambda t: t.companies.select("id", HASHED.alias("text_hash")),
+
+
+def hashed():
+    return F.sha2(F.concat_ws("\n", F.col("name"), F.coalesce("description_short", F.lit("")), F.coalesce("industry_group", F.lit(""))), 256)
+
+
+q("F14_content_hash", lambda t: t.companies.select("id", hashed().alias("text_hash")),
   "select id, sha256(concat_ws(chr(10), name, coalesce(description_short, ''), coalesce(industry_group, ''))) as text_hash from companies")
 q("F15_version_gate", lambda t: t.companies.where(P.outdated("prompt_version", "v2")).select("id"), "select id from companies where prompt_version is null or prompt_version < 'v2'")
 q("F16_ttl", lambda t: t.companies.where(P.stale("checked_at", 30, AS_OF)).select("id"), f"select id from companies where checked_at is null or checked_at < {D} - 30")
@@ -188,14 +202,14 @@ def null_or_stale(t):
 
 STALE = f"select id, last from companies left join (select company_id, max(announced_date) as last from rounds group by 1) on id = company_id where last is null or last < {D} - 400"
 q("J27_null_or_stale", null_or_stale, STALE)
-q("J28_three_way_worklist", lambda t: null_or_stale(t).join(t.companies.select("id", "website", "checked_at"), "id").where(F.col("website").isNotNull() & (F.col("last").isNull() | F.col("checked_at").isNull() | (F.col("checked_at") < F.date_sub(DAY, 60)))).select("id"),
+q("J28_three_way_worklist", lambda t: null_or_stale(t).join(t.companies.select("id", "website", "checked_at"), "id").where(F.col("website").isNotNull() & (F.col("last").isNull() | F.col("checked_at").isNull() | (F.col("checked_at") < F.date_sub(day(), 60)))).select("id"),
   f"select s.id from ({STALE}) s join companies c on c.id = s.id where website is not null and (last is null or checked_at is null or checked_at < {D} - 60)")
 q("J29_row_at_maximum", lambda t: W.at_maximum(t.runs, ["stage"], "started_at").select("id", "stage", "started_at"), "select id, stage, started_at from runs r where started_at = (select max(started_at) from runs x where x.stage = r.stage)")
-q("J30_bounds_cross_join", lambda t: t.rounds.select("id", (F.col("announced_date") >= F.add_months(F.trunc(DAY, "quarter"), -6)).alias("recent")), f"with bounds as (select date_trunc('quarter', {D}) - interval 6 months as lo) select id, announced_date >= lo as recent from rounds cross join bounds")
+q("J30_bounds_cross_join", lambda t: t.rounds.select("id", (F.col("announced_date") >= F.add_months(F.trunc(day(), "quarter"), -6)).alias("recent")), f"with bounds as (select date_trunc('quarter', {D}) - interval 6 months as lo) select id, announced_date >= lo as recent from rounds cross join bounds")
 
 
 def trailing_count(t):
-    n = t.raw("orders").selectExpr("o_custkey as cid", "cast(o_orderdate as date) as d").where((F.col("d") > F.date_sub(DAY, 365)) & (F.col("d") <= DAY)).groupBy("cid").agg(F.count("*").alias("n"))
+    n = t.raw("orders").selectExpr("o_custkey as cid", "cast(o_orderdate as date) as d").where((F.col("d") > F.date_sub(day(), 365)) & (F.col("d") <= day())).groupBy("cid").agg(F.count("*").alias("n"))
     return t.companies.join(n, F.col("id") == F.col("cid"), "left").select("id", F.coalesce("n", F.lit(0)).alias("n"))
 
 
@@ -217,9 +231,9 @@ q("J16_member_chain", lambda t: t.companies.where("industry_group = 'BUILDING'")
   "select kind, count(*) as n from companies c join rounds r on company_id = c.id join links l on l.round_id = r.id join investors i on investor_id = i.id where industry_group = 'BUILDING' group by 1")
 
 # sort, limit, top-k
-L1 = {"name": (["name"], "name"), "raised": ([F.desc_nulls_last("total_raised_usd"), F.asc("name")], "total_raised_usd desc nulls last, name"), "oldest": ([F.asc_nulls_last("checked_at"), F.asc("name")], "checked_at asc nulls last, name")}
+L1 = {"name": (lambda: ["name"], "name"), "raised": (lambda: [F.desc_nulls_last("total_raised_usd"), F.asc("name")], "total_raised_usd desc nulls last, name"), "oldest": (lambda: [F.asc_nulls_last("checked_at"), F.asc("name")], "checked_at asc nulls last, name")}
 for key, (order, text) in L1.items():
-    q(f"L1_sort_{key}", lambda t, order=order: t.shown.orderBy(*order).limit(60).select("id", "name"), f"select id, name from shown order by {text} limit 60")
+    q(f"L1_sort_{key}", lambda t, order=order: t.shown.orderBy(*order()).limit(60).select("id", "name"), f"select id, name from shown order by {text} limit 60")
 q("L2_page_and_total", lambda t: t.shown.crossJoin(F.broadcast(t.shown.agg(F.count("*").alias("total")))).orderBy("name").offset(40).limit(20).select("id", "total"),
   "select id, (select count(*) from shown) as total from shown order by name limit 20 offset 40")
 
@@ -250,14 +264,19 @@ q("L23_husk_search", lambda t: t.counted.where(P.not_excluded() & F.col("descrip
 q("U1_union_distinct", lambda t: (lambda d, r: d.union(r).distinct())(*portfolio(t)), f"with {LEGS} select * from legs")
 q("U2_union_count", lambda t: (lambda d, r: d.union(r).distinct().groupBy("investor_id").agg(F.count("*").alias("n")))(*portfolio(t)), f"with {LEGS} select investor_id, count(*) as n from legs group by 1")
 q("U4_difference", lambda t: (lambda d, r: r.distinct().join(d, ["investor_id", "company_id"], "left_anti"))(*portfolio(t)), "select investor_id, company_id from links join rounds r on round_id = r.id except select investor_id, company_id from company_links")
-q("U5_intersection_size", lambda t: t.companies.where("id <= 200").select("id", F.size(F.array_intersect(TAGS, F.array(F.lit("t1"), F.lit("t2"), F.lit("building")))).alias("shared")),
+q("U5_intersection_size", lambda t: t.companies.where("id <= 200").select("id", F.size(F.array_intersect(tags(), F.array(F.lit("t1"), F.lit("t2"), F.lit("building")))).alias("shared")),
   f"select id, cast(len(list_intersect({TAGS_SQL}, ['t1', 't2', 'building'])) as int) as shared from companies where id <= 200")
 q("U6_names_capped", lambda t: t.links.join(t.rounds.select(F.col("id").alias("round_id"), "company_id"), "round_id").join(t.investors.select(F.col("id").alias("investor_id"), "name"), "investor_id").groupBy("company_id").agg(F.array_join(F.slice(F.array_sort(F.collect_set("name")), 1, 8), ", ").alias("names")),
   "select company_id, array_to_string(list_sort(list(distinct i.name))[1:8], ', ') as names from links join rounds r on round_id = r.id join investors i on investor_id = i.id group by 1")
 
 # windows
-LATEST = [F.desc_nulls_last("announced_date"), F.desc("id")]
-q("W1_latest_round", lambda t: W.first_per(t.rounds, ["company_id"], LATEST).select("company_id", "id", "announced_date"), "select company_id, id, announced_date from (select *, row_number() over (partition by company_id order by announced_date desc nulls last, id desc) as n from rounds) where n = 1")
+
+
+def latest_first():
+    return [F.desc_nulls_last("announced_date"), F.desc("id")]
+
+
+q("W1_latest_round", lambda t: W.first_per(t.rounds, ["company_id"], latest_first()).select("company_id", "id", "announced_date"), "select company_id, id, announced_date from (select *, row_number() over (partition by company_id order by announced_date desc nulls last, id desc) as n from rounds) where n = 1")
 q("W2_lowest_rank", lambda t: W.first_per(t.competitors.where("competitor_company_id is not null"), ["company_id", "competitor_company_id"], [F.asc("rank")]).select("company_id", "competitor_company_id", "rank"),
   "select company_id, competitor_company_id, min(rank) as rank from competitors where competitor_company_id is not null group by 1, 2")
 q("W4_trailing_window", lambda t: t.raw("orders").selectExpr("o_orderkey", "o_custkey", "datediff(cast(o_orderdate as date), date '1970-01-01') as day").withColumn("n", F.count("*").over(Window.partitionBy("o_custkey").orderBy("day").rangeBetween(-30, 0))).select("o_orderkey", "n"),

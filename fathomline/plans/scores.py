@@ -8,7 +8,7 @@ from fathomline.operators import graph as G
 from fathomline.operators import scoring as S
 from fathomline.operators import similarity as V
 from fathomline.operators import windows as W
-from fathomline.plans.aggregates import DAY, TAGS, D
+from fathomline.plans.aggregates import day, tags, D
 from fathomline.plans.registry import q
 from fathomline.plans.relational import NEWS, news
 from fathomline.sources.tables import AS_OF
@@ -21,7 +21,7 @@ RATIO = "case when recent is not null and baseline is not null then least(greate
 
 
 def snapshots(t):
-    e = t.raw("orders").selectExpr("o_custkey as id", "cast(o_orderdate as date) as d").where((F.col("d") <= DAY) & (F.col("d") > F.date_sub(DAY, 700)))
+    e = t.raw("orders").selectExpr("o_custkey as id", "cast(o_orderdate as date) as d").where((F.col("d") <= day()) & (F.col("d") > F.date_sub(day(), 700)))
     return e.groupBy("id", F.date_trunc("week", "d").cast("date").alias("captured_week")).agg(F.count("*").alias("news_count"))
 
 
@@ -29,7 +29,7 @@ def windows(t):
     return S.news_windows(snapshots(t), "id", AS_OF, 10)
 
 
-q("W3_similar_top_k", lambda t: G.similar_edges(t.companies.where("id <= 400").select("id", "industry_group", TAGS.alias("tags"))),
+q("W3_similar_top_k", lambda t: G.similar_edges(t.companies.where("id <= 400").select("id", "industry_group", tags().alias("tags"))),
   "with c as (select id, industry_group, list_distinct(list_value(concat('t', id % 9), concat('t', id % 5), lower(industry_group))) as tags from companies where id <= 400 and industry_group is not null), p as (select a.id, b.id as related_id, len(list_intersect(a.tags, b.tags)) as shared, len(a.tags) as x, len(b.tags) as y from c a join c b on a.industry_group = b.industry_group and a.id <> b.id), s as (select id, related_id, shared, round(shared / (x + y - shared), 3) as score from p where shared > 0) select id, related_id, score, shared from (select *, row_number() over (partition by id order by score desc, shared desc, related_id) as n from s) where n <= 8".replace("where id <= 400 and", "where id <= 400 and"))
 q("W5_two_window_means", lambda t: windows(t).select("id", F.round("recent", 6).alias("recent"), F.round("baseline", 6).alias("baseline")), f"with {SNAP}, {WIN} select id, round(recent, 6) as recent, round(baseline, 6) as baseline from win")
 HC = "hc as (select c_custkey as id, cast(date_trunc('week', cast(o_orderdate as date)) as date) as captured_week, min(o_orderkey % 50 * 10) as lo, max(o_orderkey % 50 * 10 + 40) as hi from orders join customer on c_custkey = o_custkey group by 1, 2)"
@@ -80,8 +80,8 @@ q("H16_completeness_clear", lambda t: t.counted.select("id", F.when(F.expr("excl
 
 
 def spotlight(t):
-    r = t.rounds.where((F.col("announced_date") >= F.date_sub(DAY, 90)) & (F.col("announced_date") <= DAY))
-    return S.spotlight(r, news(t).where(F.col("published_date") >= F.date_sub(DAY, 30)), t.companies.where(F.col("created_at") >= F.date_sub(DAY, 30)).select(F.col("id").alias("company_id")), AS_OF)
+    r = t.rounds.where((F.col("announced_date") >= F.date_sub(day(), 90)) & (F.col("announced_date") <= day()))
+    return S.spotlight(r, news(t).where(F.col("published_date") >= F.date_sub(day(), 30)), t.companies.where(F.col("created_at") >= F.date_sub(day(), 30)).select(F.col("id").alias("company_id")), AS_OF)
 
 
 SPOT = f"""{NEWS}, f as (select company_id, max(3.0 * greatest(1 - greatest({D} - announced_date, 0) / 90.0, 0) + case when amount_raised > 0 then log10(cast(amount_raised as double)) / 3.0 else 0 end) as funding, max(announced_date) as latest from rounds where announced_date >= {D} - 90 and announced_date <= {D} group by 1),

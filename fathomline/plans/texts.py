@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from fathomline.functions import names as N
 from fathomline.functions import text as X
 from fathomline.functions import urls as U
-from fathomline.plans.aggregates import DAY, D
+from fathomline.plans.aggregates import day, D
 from fathomline.plans.registry import q
 from fathomline.sources.tables import AS_OF
 
@@ -46,7 +46,7 @@ q("T11_storable", lambda t: urls(t).select("page_id", U.storable(F.col("url")).a
 q("T12_listed_hosts", lambda t: urls(t).select("page_id", U.on_host(U.hostname(F.col("url")), ["example.org", "example.net"]).alias("listed")), f"select page_id, regexp_matches({HOST.format(URLS)}, '(^|\\.)example\\.(org|net)$') as listed from pages")
 q("T13_dated_article", lambda t: t.rounds.select("id", F.concat(F.lit("https://n.example.com/"), F.date_format("announced_date", "yyyy/M"), F.when(F.col("id") % 2 == 0, "/title").otherwise("")).alias("url")).select("id", U.dated_article(F.regexp_replace("url", "/19", "/20")).alias("dated")), "select id, case when announced_date is not null then true end as dated from rounds")
 q("T54_display_name", lambda t: urls(t).select("page_id", U.display_name(F.col("url")).alias("name")), f"select page_id, array_to_string(list_transform(string_split(replace(split_part({HOST.format(URLS)}, '.', 1), '-', ' '), ' '), lambda w: upper(substring(w, 1, 1)) || substring(w, 2)), ' ') as name from pages")
-q("T51_url_key_and_gap", lambda t: t.rounds.select("id", F.abs(F.datediff(F.col("announced_date"), DAY)).alias("gap")), f"select id, abs(announced_date - {D}) as gap from rounds")
+q("T51_url_key_and_gap", lambda t: t.rounds.select("id", F.abs(F.datediff(F.col("announced_date"), day())).alias("gap")), f"select id, abs(announced_date - {D}) as gap from rounds")
 q("T19_funding_words", lambda t: t.raw("documents").select("doc_id", X.funding_words(F.concat(F.col("text"), F.when(F.col("doc_id") % 3 == 0, " Series-A round").otherwise(" evaluations praised"))).alias("hit")),
   r"select doc_id, regexp_matches(lower(text || case when doc_id % 3 = 0 then ' Series-A round' else ' evaluations praised' end), '\b(?:raised|raises|funding|series[\s\-]+a|series[\s\-]+b|series[\s\-]+c|seed[\s\-]+round|led[\s\-]+by|valuation|closes)\b') as hit from documents")
 q("T20_phrase_in_tokens", lambda t: t.raw("documents").select("doc_id", X.phrase_in(F.col("text"), F.lit("of the")).alias("hit")), "select doc_id, contains(' ' || array_to_string(regexp_extract_all(lower(text), '[a-z0-9]+'), ' ') || ' ', ' of the ') as hit from documents")
@@ -83,7 +83,7 @@ q("T47_format_usd", lambda t: t.raw("orders").select(F.col("o_orderkey").alias("
   f"with u as (select o_orderkey as id, {USD} as x from orders), f as (select id, x, case when x >= 1e9 then x / 1e9 when x >= 1e6 then x / 1e6 when x >= 1e3 then x / 1e3 else x end as y, case when x >= 1e9 then 'B' when x >= 1e6 then 'M' when x >= 1e3 then 'K' else '' end as s from u) select id, case when x is null then '—' when s = '' then '$' || format('{{:,}}', cast(round(x) as bigint)) else '$' || regexp_replace(format('{{:,.1f}}', round(y, 1)), '\\.0$', '') || s end as short, case when x is null then '—' else '$' || format('{{:,}}', cast(round(x) as bigint)) end as exact from f")
 q("T48_round_claim", lambda t: t.rounds.join(t.companies.select(F.col("id").alias("company_id"), "name"), "company_id").select("id", N.round_claim(F.col("name"), F.col("amount_raised"), F.col("round_type"), F.col("valuation"), F.col("announced_date")).alias("claim")),
   "with c as (select r.*, name, cast(amount_raised as double) as a, cast(valuation as double) as v from rounds r join companies c on company_id = c.id) select id, name || ' raised ' || " + "{a}" .replace("{a}", "case when a is null or a < 0 then 'an undisclosed amount' when a >= 1e6 then printf('$%.1fM', a / 1e6) when a >= 1e3 then printf('$%.0fK', a / 1e3) else printf('$%.0f', a) end") + " || case when coalesce(round_type, '') <> '' then ' in its ' || round_type || ' round' else '' end || case when v is not null then ' at a ' || case when v >= 1e6 then printf('$%.1fM', v / 1e6) when v >= 1e3 then printf('$%.0fK', v / 1e3) else printf('$%.0f', v) end || ' post-money valuation' else '' end || case when announced_date is not null then ', announced ' || cast(announced_date as varchar) else '' end || '.' as claim from c")
-q("T49_labels", lambda t: t.companies.select("id", X.long_date(F.col("checked_at")).alias("day"), X.range_label(F.col("employee_count_min"), F.col("employee_count_max")).alias("staff"), X.relative_time(F.datediff(DAY, F.col("created_at")) * 86400).alias("age")),
+q("T49_labels", lambda t: t.companies.select("id", X.long_date(F.col("checked_at")).alias("day"), X.range_label(F.col("employee_count_min"), F.col("employee_count_max")).alias("staff"), X.relative_time(F.datediff(day(), F.col("created_at")) * 86400).alias("age")),
   f"select id, coalesce(strftime(checked_at, '%B %-d, %Y'), '—') as day, case when employee_count_min is null then '—' else employee_count_min || '–' || employee_count_max end as staff, case when d = 0 then 'just now' when d * 24 < 36 then d * 24 || ' hours ago' when d = 1 then '1 day ago' else d || ' days ago' end as age from (select *, {D} - created_at as d from companies)")
 q("T49_growth_labels", lambda t: t.companies.select("id", X.growth_label(F.col("id"), F.when(F.col("id") % 3 != 0, (F.col("id") % 17 - 8) / F.lit(16.0))).alias("growth")),
   "select id, case when g is null then case when id > 0 then 'new' else '—' end when floor(g * 100 + 0.5) < 0 then '−' || cast(abs(floor(g * 100 + 0.5)) as bigint) || '%' else '+' || cast(floor(g * 100 + 0.5) as bigint) || '%' end as growth from (select id, case when id % 3 <> 0 then (id % 17 - 8) / 16.0 end as g from companies)")
