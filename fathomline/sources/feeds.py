@@ -27,11 +27,14 @@ def nonempty(df: DataFrame, source: str) -> DataFrame:
 
 
 def read_rss(spark: SparkSession, path: str, as_of: str, days: int, snippet: int | None = SNIPPET) -> DataFrame:
-    """``(link, title, published, summary)`` of the items of RSS files in the look-back that speak of funding."""
-    xml = spark.read.text(path, wholetext=True)
+    """``parse_rss`` of the files at ``path``."""
+    return parse_rss(spark.read.text(path, wholetext=True), as_of, days, snippet)
+
+
+def parse_rss(xml: DataFrame, as_of: str, days: int, snippet: int | None = SNIPPET) -> DataFrame:
+    """``(link, title, published, summary)`` of the items of feeds in ``xml(value)``, in the look-back and about funding."""
     part = lambda tag: F.xpath("value", F.lit(f"//item/{tag}/text()"))
-    items = F.xpath("value", F.lit("//item/link/text()"))
-    rows = xml.select(F.explode(F.arrays_zip(items.alias("link"), part("title").alias("title"), part("pubDate").alias("pubDate"), part("description").alias("summary"))).alias("i")).select("i.*")
+    rows = xml.select(F.explode(F.arrays_zip(part("link").alias("link"), part("title").alias("title"), part("pubDate").alias("pubDate"), part("description").alias("summary"))).alias("i")).select("i.*")
     published = F.to_date(F.try_to_timestamp(F.regexp_extract("pubDate", r"(\d{1,2} \w{3} \d{4})", 1), F.lit("d MMM yyyy")))
     text = F.concat_ws(" ", "title", "summary")
     kept = rows.select("link", "title", published.alias("published"), (F.substring("summary", 1, snippet) if snippet else F.col("summary")).alias("summary"), text.alias("_text"))
