@@ -6,13 +6,11 @@ a company has few rounds. Everything else is joins and windows.
 
 from __future__ import annotations
 
-from datetime import date
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fathomline.functions.names import normalized_round_type
+from fathomline.operators.grouped import per_key
 
 # fixed values: what counts as one event
 NEAR_AMOUNT, WIDE_AMOUNT, WIDE_SHARED = 0.15, 0.25, 2
@@ -58,10 +56,10 @@ def collapse_near_amounts(rounds: DataFrame, investors: DataFrame) -> DataFrame:
     r = rounds.where("amount_raised is not null").join(held, "id", "left")
     r = r.select("company_id", "id", F.col("amount_raised").cast("double").alias("amount"), normalized_round_type(F.col("round_type")).alias("kind"), "announced_date", confidence_rank().alias("sure"), "backers")
 
-    def greedy(pdf: pd.DataFrame) -> pd.DataFrame:
+    def greedy(found: list[dict]) -> list[tuple]:
         rows = [
-            {"id": r.id, "amount": r.amount, "kind": r.kind, "day": r.announced_date if isinstance(r.announced_date, date) else None, "sure": -1 if pd.isna(r.sure) else r.sure, "backers": set(r.backers if r.backers is not None else [])}
-            for r in pdf.itertuples()
+            {"id": r["id"], "amount": r["amount"], "kind": r["kind"], "day": r["announced_date"], "sure": -1 if r["sure"] is None else r["sure"], "backers": set(r["backers"] or [])}
+            for r in found
         ]
         rows.sort(key=lambda x: (x["kind"] is None, x["day"] is None, -x["sure"], x["id"]))
         gone, out = set(), []
@@ -89,9 +87,9 @@ def collapse_near_amounts(rounds: DataFrame, investors: DataFrame) -> DataFrame:
                         more = True
                 if not more:
                     break
-        return pd.DataFrame(out, columns=["loser", "survivor"]).astype("int64")
+        return out
 
-    return r.groupBy("company_id").applyInPandas(greedy, "loser long, survivor long")
+    return per_key(r, "company_id", greedy, "loser long, survivor long")
 
 
 def fold_losers(rounds: DataFrame, remap: DataFrame, columns: list[str]) -> DataFrame:
@@ -110,24 +108,22 @@ def reconcile(arrivals: DataFrame) -> DataFrame:
     """
     r = arrivals.select("company_id", "id", F.col("amount_raised").cast("double").alias("amount"), F.lower(F.trim(F.when(normalized_round_type(F.col("round_type")).isNotNull(), F.col("round_type")))).alias("kind"), "announced_date")
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(found: list[dict]) -> list[tuple]:
         made, out = [], []
-        for x in pdf.sort_values("id").itertuples():
-            kind = x.kind if isinstance(x.kind, str) else None
-            day = x.announced_date if isinstance(x.announced_date, date) else None
-            amount = None if pd.isna(x.amount) else x.amount
+        for x in sorted(found, key=lambda r: r["id"]):
+            kind, day, amount = x["kind"], x["announced_date"], x["amount"]
             hit = None
             if kind is not None or day is not None:
                 hit = next((m for m in made if m["kind"] == kind and ((m["day"] is None) == (day is None)) and (day is None or abs((m["day"] - day).days) <= RECONCILE_DAYS)), None)
             if hit is None and amount is not None:
                 hit = next((m for m in made if m["amount"] == amount and (m["kind"] is None or kind is None or m["kind"] == kind)), None)
             if hit is None:
-                made.append(hit := {"id": x.id, "kind": kind, "day": day, "amount": amount})
-                out.append((x.id, x.id, True))
+                made.append(hit := {"id": x["id"], "kind": kind, "day": day, "amount": amount})
+                out.append((x["id"], x["id"], True))
             else:
                 hit["kind"], hit["day"] = hit["kind"] or kind, hit["day"] or day
                 hit["amount"] = hit["amount"] if hit["amount"] is not None else amount
-                out.append((x.id, hit["id"], False))
-        return pd.DataFrame(out, columns=["id", "round_id", "created"])
+                out.append((x["id"], hit["id"], False))
+        return out
 
-    return r.groupBy("company_id").applyInPandas(run, "id long, round_id long, created boolean")
+    return per_key(r, "company_id", run, "id long, round_id long, created boolean")
