@@ -8,6 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from fathomline.functions import names as N
+from fathomline.functions import subjects as S
 from fathomline.functions import text as X
 from fathomline.functions import urls as U
 from fathomline.operators import resolve as M
@@ -132,3 +133,6 @@ q("H63_date_seed", lambda t: t.rounds.where("announced_date is not null").select
 q("H64_latest_activity", lambda t: t.runs.where("status <> 'error'").agg(F.max("started_at").alias("at")), "select max(started_at) as at from runs where status <> 'error'")
 q("H65_verification_keys", lambda t: t.rounds.select(F.concat_ws(":", F.lit("round"), "company_id", F.coalesce("round_type", F.lit("none"))).alias("key")).distinct(), "select distinct concat_ws(':', 'round', company_id, coalesce(round_type, 'none')) as key from rounds")
 q("H67_compare_set", lambda t: t.companies.where("id <= 60").select("id", F.array_join(F.slice(F.array_distinct(F.array("slug", F.lit("co-1"), F.lit("co-2"), F.lit("co-1"), F.lit("co-3"))), 1, 4), ",").alias("picked")), "select id, array_to_string(list_filter([slug, 'co-1', 'co-2', 'co-3'], lambda x, i: i = 1 or x <> slug)[1:4], ',') as picked from companies where id <= 60")
+q("T14_dominant_subject", lambda t: t.companies.select("id", S.dominant_subject(F.expr("case id % 5 when 0 then concat(name, ' — tagline') when 1 then concat('Other | ', name) when 2 then concat('Polymarket, ', name) when 3 then concat('Welcome to ', name) else name end"), F.col("name")).alias("subject")), "select id, id % 5 in (0, 3, 4) as subject from companies")
+q("T15_subject_mismatch", lambda t: t.companies.select("id", S.subject_mismatch(F.expr("case id % 3 when 0 then 'Series V provides capital.' when 1 then concat(name, ' is a maker.') else 'We help teams.' end"), F.col("name")).alias("mismatch")), "select id, id % 3 = 0 as mismatch from companies")
+q("T16_article_mentions", lambda t: t.companies.select("id", S.mentions(F.expr("case id % 4 when 0 then 'Away' when 1 then 'Acme Robot Works' when 2 then 'Acme' else 'Clear' end"), F.expr("case id % 4 when 0 then 'Away from China they need funding' when 1 then 'Robots everywhere' when 2 then 'Acme raises cash' else 'Travel startup Clear hires' end"), F.lit("Acme Robot Works said")).alias("about")), "select id, id % 4 <> 0 as about from companies")
