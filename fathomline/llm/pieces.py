@@ -27,6 +27,7 @@ MARK = "▁"  # fixed value: stands for a space
 UNKNOWN_PENALTY = 10.0  # fixed value: an uncovered character scores so much under the least piece
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6  # fixed values: kinds of pieces
 MEMO = 200_000
+NEVER = float("-inf")
 PARTS = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 
 
@@ -59,6 +60,20 @@ def _fields(data: bytes):
         yield tag >> 3, value
 
 
+class _Memo(dict):
+    """Ids of parts of texts, made when first asked for; long parts are not kept."""
+
+    def __init__(self, viterbi):
+        super().__init__()
+        self.viterbi = viterbi
+
+    def __missing__(self, part: str) -> bytes:
+        ids = np.array(self.viterbi(part)[0], np.uint32).tobytes()
+        if len(part) < 64:
+            self[part] = ids
+        return ids
+
+
 class Vocabulary:
     def __init__(self, path: str):
         with open(path, "rb") as f:
@@ -89,11 +104,30 @@ class Vocabulary:
                 self.trie.add_word(piece, (len(piece), score if kind == NORMAL else len(piece) * top - 0.1, i))
                 self.splits &= MARK not in piece.lstrip(MARK)
         self.trie.make_automaton()
-        self.memo: dict[str, tuple[np.ndarray, float]] = {}
+        self.single = {p for p, k in zip(self.pieces, self.kinds) if k == NORMAL and len(p) == 1}
+        other = {BYTE: lambda i: bytes([self.values[i]]), UNKNOWN: lambda i: " ⁇ ".encode(), CONTROL: lambda i: b""}
+        self.spelled = [other[k](i) if k in other else p.encode() for i, (p, k) in enumerate(zip(self.pieces, self.kinds))]
+        # a bare character's cost stands at the first of its bytes
+        lead = lambda i: self.least if (self.values[i] & 0xC0) != 0x80 else 0.0
+        self.weights = np.array([lead(i) if k == BYTE else self.least if k == UNKNOWN else s for i, (s, k) in enumerate(zip(self.scores, self.kinds))])
+        self.memo = _Memo(self.viterbi)
 
     def viterbi(self, text: str) -> tuple[list[int], float]:
         """The best ids of a normalised text and their score."""
         n = len(text)
+        if self.single.issuperset(text):  # every position is reached by a piece
+            best = [NEVER] * n
+            best.append(0.0)  # at index -1: before the first character
+            last = [0] * n
+            for end, (size, score, piece) in self.trie.iter(text):
+                total = best[end - size] + score
+                if total > best[end]:
+                    best[end], last[end] = total, piece
+            ids, at, pieces = [], n - 1, self.pieces
+            while at >= 0:
+                ids.append(last[at])
+                at -= len(pieces[last[at]])
+            return ids[::-1], best[n - 1] if n else 0.0
         best = [0.0] * (n + 1)
         back: list[tuple[int, int]] = [(0, -1)] * (n + 1)
         reached, least = 0, self.least
@@ -131,34 +165,17 @@ class Vocabulary:
 
     def encode(self, text: str) -> tuple[np.ndarray, float]:
         line = self.normalise(text)
-        if not self.splits:
-            ids, score = self.viterbi(line)
-            return np.array(ids, np.uint32), score
-        memo, found, total = self.memo, [], 0.0
-        if len(memo) > MEMO:
-            memo.clear()
-        for part in PARTS.findall(line):
-            known = memo.get(part)
-            if known is None:
-                ids, score = self.viterbi(part)
-                known = (np.array(ids, np.uint32).tobytes(), score)
-                if len(part) < 64:
-                    memo[part] = known
-            found.append(known[0])
-            total += known[1]
-        return np.frombuffer(b"".join(found), np.uint32), total
+        if self.splits:
+            if len(self.memo) > MEMO:
+                self.memo.clear()
+            ids = np.frombuffer(b"".join(map(self.memo.__getitem__, PARTS.findall(line))), np.uint32)
+        else:
+            ids = np.array(self.viterbi(line)[0], np.uint32)
+        return ids, float(self.weights[ids].sum())
 
     def decode(self, ids) -> str:
-        out = bytearray()
-        for i in ids:
-            kind = self.kinds[i]
-            if kind == BYTE:
-                out.append(self.values[i])
-            elif kind == UNKNOWN:
-                out += " ⁇ ".encode()
-            elif kind != CONTROL:
-                out += self.pieces[i].encode()
-        text = out.decode("utf-8", "replace").replace(MARK, " ")
+        spelled = self.spelled
+        text = b"".join([spelled[i] for i in ids]).decode("utf-8", "replace").replace(MARK, " ")
         return text[1:] if self.prefix and text[:1] == " " else text
 
 
