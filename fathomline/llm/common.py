@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -19,7 +21,9 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder all executors see: ``spark.checkpoint.dir``; a temporary one only where that is unset."""
     place = spark.conf.get("spark.checkpoint.dir", None)
     if not place:
-        place = f"file://{tempfile.mkdtemp(prefix='fathomline-')}"
+        folder = tempfile.mkdtemp(prefix="fathomline-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        place = f"file://{folder}"
         spark.conf.set("spark.checkpoint.dir", place)
     return place.rstrip("/")
 

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from fathomline.llm.common import settle
 
 ICU = "com.ibm.icu."
+TEXT, GUEST, RIDER = 0, 1, 2  # order of rows within a range
 
 
 def canonical(text: Column) -> Column:
@@ -35,22 +36,30 @@ def wide_hash(canon: Column) -> Column:
     return F.lower(F.concat(*parts))
 
 
-def exact_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hasher=wide_hash, marked: DataFrame | None = None) -> DataFrame:
+def exact_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hasher=wide_hash) -> DataFrame:
     """``(id, fingerprint, class_id)``: the smallest id among the rows of the same canonical bytes.
 
-    Rows alone in their bucket are left out: they are their own class. ``marked(id, fingerprint)`` saves hashing
-    anew. A null text is empty; a null id is smaller than none: it names a class only if no id does.
+    Rows alone in their bucket are left out: they are their own class. A null text is empty; a null id
+    names a class only if no other id does.
     Texts of crowded buckets are compared with one reference text each, in an equi-join that
     adaptive execution may split; they are never gathered.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("body"))
-    if marked is None:
-        marked = settle(rows.select("id", hasher(canonical(F.col("body"))).alias("fingerprint")), "fingerprints")
-    buckets = marked.groupBy("fingerprint").agg(F.count("*").alias("n"), F.min("id").alias("head")).where("n > 1").drop("n")
-    shared = marked.join(buckets, "fingerprint").distinct()
-    shared = shared.select(F.col("id").alias("own"), "fingerprint", "head")
+    marked = settle(rows.select("id", hasher(canonical(F.col("body"))).alias("fingerprint")), "fingerprints")
+    shared = _shared(marked).withColumnRenamed("id", "own")
     members = rows.join(shared, F.col("id").eqNullSafe(F.col("own"))).select("id", "fingerprint", "head", canonical(F.col("body")).alias("canon"))
     members = settle(members.where(hasher(F.col("canon")) == F.col("fingerprint")), "members")
+    return _classes(members)
+
+
+def _shared(marked: DataFrame) -> DataFrame:
+    """``(id, fingerprint, head)`` of the rows that share their bucket; ``head`` is the bucket's smallest id."""
+    buckets = marked.groupBy("fingerprint").agg(F.count("*").alias("n"), F.min("id").alias("head")).where("n > 1").drop("n")
+    return marked.join(buckets, "fingerprint").select("id", "fingerprint", "head").distinct()
+
+
+def _classes(members: DataFrame) -> DataFrame:
+    """``(id, fingerprint, class_id)`` by comparing each of ``members(id, fingerprint, head, canon)`` with its head's bytes."""
     heads = members.where(F.col("id").eqNullSafe(F.col("head"))).groupBy("fingerprint").agg(F.min("canon").alias("reference"))
     judged = members.join(heads, "fingerprint").withColumn("same", F.col("canon") == F.col("reference"))
     equal = judged.where("same").select("id", "fingerprint", F.col("head").alias("class_id"))
@@ -75,10 +84,11 @@ def _bucket(bounds: list[int]) -> Column:
     return F.when(coarse == 0, 0).otherwise((coarse - 1) * step + under(F.element_at(fine, F.greatest(coarse, F.lit(1)))))
 
 
-def with_next(rows: DataFrame, columns: list[str], parts: int) -> DataFrame:
+def with_next(rows: DataFrame, columns: list[str], parts: int, riders: DataFrame) -> DataFrame:
     """``rows(id, body, ...)`` with ``next_<c>`` for each of ``columns``: the value in the next row by id, the first row's after the last.
 
-    Ids are dealt to ``parts`` ranges; each range also gets the first row of the range after it, so no
+    Also ``head``: that of ``riders(id, fingerprint, head)`` of the same id and fingerprint. These small rows go through the
+    same exchange, so that texts are not dealt once more to meet them. Ids are dealt to ``parts`` ranges; each range also gets the first row of the range after it, so no
     task sees more than its range. The driver holds a few numbers for each range.
     """
     spread = [n / parts for n in range(1, parts)]
@@ -88,7 +98,7 @@ def with_next(rows: DataFrame, columns: list[str], parts: int) -> DataFrame:
     firsts = ranged.groupBy("range").agg(F.min("id").alias("low"), F.count_if(F.col("id").isNull()).alias("nulls")).collect()
     firsts = sorted((r.range, None if r.nulls else r.low) for r in firsts)
     if not firsts:
-        return ranged.select(*rows.columns, *[F.col(c).alias(f"next_{c}") for c in columns])
+        return ranged.select(*rows.columns, *[F.col(c).alias(f"next_{c}") for c in columns], F.col("id").alias("head"), F.lit(False).alias("grouped"))
     before = {r: firsts[n - 1][0] for n, (r, _) in enumerate(firsts)}
     low = dict(firsts)
     span = range(len(bounds) + 1)
@@ -97,14 +107,15 @@ def with_next(rows: DataFrame, columns: list[str], parts: int) -> DataFrame:
     previous = F.array(*[F.lit(before.get(r, -1)) for r in span])
     at = F.col("range") + 1
     is_first = F.element_at(lows, at).eqNullSafe(F.col("id"))
-    own = F.struct(F.col("range").alias("part"), F.lit(False).alias("guest"))
-    guest = F.struct(F.element_at(previous, at).alias("part"), F.lit(True).alias("guest"))
+    own = F.struct(F.col("range").alias("part"), F.lit(TEXT).alias("kind"))
+    guest = F.struct(F.element_at(previous, at).alias("part"), F.lit(GUEST).alias("kind"))
     dealt = ranged.withColumn("place", F.explode(F.when(is_first, F.array(own, guest)).otherwise(F.array(own))))
-    order = Window.partitionBy("part").orderBy("guest", "id", "body")
-    dealt = dealt.select(*rows.columns, "place.part", "place.guest")
-    for c in columns:
-        dealt = dealt.withColumn(f"next_{c}", F.lead(c).over(order))
-    return dealt.where("not guest").drop("part", "guest")
+    dealt = dealt.select(*rows.columns, "place.part", "place.kind")
+    dealt = dealt.unionByName(riders.withColumn("part", _bucket(bounds)).withColumn("kind", F.lit(RIDER)), allowMissingColumns=True)
+    order = Window.partitionBy("part").orderBy("kind", "id", "body")
+    mine = Window.partitionBy("part", "id", "fingerprint")
+    dealt = dealt.withColumns({f"next_{c}": F.lead(c).over(order) for c in columns})
+    return dealt.withColumn("head", F.max("head").over(mine)).withColumn("grouped", F.max(F.col("kind") == RIDER).over(mine)).where(F.col("kind") == TEXT).drop("part", "kind")
 
 
 def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hasher=wide_hash) -> DataFrame:
@@ -121,12 +132,13 @@ def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("body"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    # the canonical text is made once before the exchange and once, for the edited text, after it
-    paired = with_next(rows.withColumn("fingerprint", hasher(canonical(F.col("body")))), ["body", "fingerprint"], parts)
+    printed = rows.withColumn("fingerprint", hasher(canonical(F.col("body"))))
+    shared = settle(_shared(settle(printed.select("id", "fingerprint"), "prints")), "shared")
+    paired = with_next(printed, ["body", "fingerprint"], parts, shared)
     n = F.length("body")
     quarter = F.floor(n / 4).cast("int")
     edited = F.concat(F.substr("body", F.lit(1), n - quarter), F.substr("next_body", F.lit(1), quarter))
-    paired = paired.select("id", "body", "fingerprint", "next_body", "next_fingerprint", edited.alias("edited"))
+    paired = paired.select("id", "body", "fingerprint", "head", "grouped", "next_body", "next_fingerprint", edited.alias("edited"))
     paired = paired.withColumn("edited_canon", canonical(F.col("edited")))
     paired = paired.withColumn("edited_fingerprint", hasher(F.col("edited_canon")))
 
@@ -142,12 +154,14 @@ def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
             "edited_fingerprint",
             same(F.col("edited_fingerprint"), F.col("edited_canon")).alias("near_edited"),
             same(F.col("next_fingerprint"), canonical(F.col("next_body"))).alias("near_next"),
+            "head",
+            F.when(F.col("grouped"), canonical(F.col("body"))).alias("canon"),
         ),
         "fingerprints",
     )
-    classes = exact_classes(docs, id_col, text_col, hasher, marked.select("id", "fingerprint"))
+    classes = _classes(marked.where("canon is not null").select("id", "fingerprint", "head", "canon"))
     classes = classes.select(F.col("id").alias("own"), F.col("fingerprint").alias("bucket"), "class_id")
     out = marked.join(classes, F.col("id").eqNullSafe(F.col("own")) & (F.col("fingerprint") == F.col("bucket")), "left")
     return out.select(
-        F.col("id").alias(id_col), *[c for c in marked.columns if c != "id"], F.coalesce("class_id", "id").alias("class_id")
+        F.col("id").alias(id_col), *[c for c in marked.columns if c not in ("id", "head", "canon")], F.coalesce("class_id", "id").alias("class_id")
     )
