@@ -1,15 +1,15 @@
-"""Near copies by word-shingle similarity, with SimHashes of shingle groups as candidates.
-
-One 64-bit fingerprint a text separates texts of similarity 0.8 poorly: they differ in about ten
-bits. So a text's shingles are sampled by hash to a bounded number, the sample is dealt by
-hash to ``GROUPS`` groups, and each group gets a SimHash of its own. Texts of similarity 0.8 or
-more have some groups without any difference, hence equal group fingerprints, almost
-surely; the distance bound of the whole-text search is zero here. Each bucket of equal
-fingerprints links its texts to its smallest and its largest id only, so its pairs grow with its
-size, not with its square. Pairs are sifted by their samples, then verified on the shingle sets of the whole texts.
-
-Texts of equal words are collapsed first. Sampling levels are powers of two; a text whose size
-is near a level's end is also entered at the next level.
+"""Near copies by word-shingle similarity, with an exact candidate search by prefix filtering.
+
+All texts put their shingles in one global order: those that a sample of the texts finds common last, the
+others by hash. Texts of similarity s share more than the last s-th part of their shingles, so they share one
+of the first ``n - ceil(s n) + 1``. Any order that all texts agree on is right; the sample only sets its speed.
+
+A bucket is the texts of one such shingle. Small buckets compare all their pairs. In a larger one all members
+first meet the member with the fewest shingles before it (a copied original, mostly); then all pairs of it that
+are not linked yet by way of others are compared, dealt over blocks. So no pair that could link two components is left out.
+Pairs are verified on the shingle sets of the whole texts.
+
+Texts of equal words are collapsed first.
 """
 
 from __future__ import annotations
@@ -21,13 +21,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fathomline.llm.common import components, settle
-from fathomline.llm.simhash import SEED, _bit_counts
+from fathomline.llm.simhash import SEED
 
 WORDS = 5
 SIMILARITY = 0.8
-GROUPS = 16
-SAMPLE = 48  # a level's sample has SAMPLE to 2 * SAMPLE shingles
-SIFT = 0.6  # of a pair's samples
+SAMPLE = 16_000  # texts whose shingles are counted
+COMMON = 4  # texts of the sample that a common shingle is in
+MOST = 200_000  # common shingles that the order knows
+SMALL = 8  # texts of a bucket that compares all pairs at once
+BLOCK = 256  # texts of a block of a larger bucket
 
 
 def shingles(text: bytes, words: int = WORDS) -> np.ndarray:
@@ -45,49 +47,51 @@ def shingles(text: bytes, words: int = WORDS) -> np.ndarray:
     return np.unique(np.fromiter([digest(line[i:j], SEED) for i, j in pairs], np.uint64, len(parts) - words + 1))
 
 
-def level(n: float) -> int:
-    return max(0, int(np.floor(np.log2(max(n, 1) / SAMPLE))))
-
+def prefix(hashes: np.ndarray, common: np.ndarray, counts: np.ndarray, similarity: float = SIMILARITY) -> np.ndarray:
+    """The first shingles in the global order of ``common`` (sorted) and its ``counts``; a near copy shares one of them."""
+    n = len(hashes)
+    if not n:
+        return hashes
+    rank = np.zeros(n, np.int64)
+    if len(common):
+        at = np.minimum(np.searchsorted(common, hashes), len(common) - 1)
+        rank = np.where(common[at] == hashes, counts[at], 0)
+    least = max(1, int(np.ceil(similarity * n - 1e-6)))
+    return hashes[np.argsort(rank, kind="stable")][: n - least + 1]
 
-def at_level(hashes: np.ndarray, k: int) -> np.ndarray:
-    return hashes[hashes & np.uint64((1 << k) - 1) == 0]
 
+def _shingled(words: int):
+    def run(batches):
+        for batch in batches:
+            found = [shingles((text.as_py() or "").encode(), words) for text in batch.column(0)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found or [np.zeros(0, np.uint64)]).view(np.int64))], ["key"])
 
-def group_fingerprints(hashes: np.ndarray, similarity: float = SIMILARITY) -> list[int]:
-    """A bucket for each group of each level that a text of so many shingles is entered at."""
-    found = []
-    for k in {level(len(hashes)), level(len(hashes) / similarity)}:
-        sample = at_level(hashes, k)
-        group = ((sample >> np.uint64(40)) % np.uint64(GROUPS)).astype(int)
-        for g in np.unique(group):
-            own = sample[group == g]
-            fp = np.packbits(2 * _bit_counts(own) > len(own), bitorder="little").view("<u8")[0]
-            found.append(xxhash.xxh64_intdigest(b"%d %d %d" % (k, g, fp)))
-    return found
+    return run
 
 
-def _sketches(words: int, similarity: float):
+def _sketches(words: int, similarity: float, common: np.ndarray, counts: np.ndarray):
     def run(batches):
         for batch in batches:
-            rows = []
+            d1, d2, sizes, keys = [], [], [], []
             for text in batch.column(1):
                 body = (text.as_py() or "").encode()
                 line = b" ".join(body.lower().split())
                 hashes = shingles(body, words)
-                keys = np.array(group_fingerprints(hashes, similarity), np.uint64).view(np.int64)
-                low = level(len(hashes))
-                rows.append((xxhash.xxh64_intdigest(line, 1), xxhash.xxh64_intdigest(line, 2), low, keys, at_level(hashes, low).view(np.int64)))
-            d1, d2, k, keys, sample = zip(*rows) if rows else ([], [], [], [], [])
+                d1.append(xxhash.xxh64_intdigest(line, 1))
+                d2.append(xxhash.xxh64_intdigest(line, 2))
+                sizes.append(len(hashes))
+                keys.append(prefix(hashes, common, counts, similarity))
+            ends = np.cumsum([0, *map(len, keys)]).astype(np.int32)
+            flat = np.concatenate(keys or [np.zeros(0, np.uint64)]).view(np.int64)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
                     pa.array(np.array(d1, np.uint64).view(np.int64)),
                     pa.array(np.array(d2, np.uint64).view(np.int64)),
-                    pa.array(k, pa.int32()),
-                    pa.array(list(keys), pa.list_(pa.int64())),
-                    pa.array(list(sample), pa.list_(pa.int64())),
+                    pa.array(sizes, pa.int32()),
+                    pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)),
                 ],
-                ["id", "d1", "d2", "level", "keys", "sample"],
+                ["id", "d1", "d2", "n", "keys"],
             )
 
     return run
@@ -95,13 +99,15 @@ def _sketches(words: int, similarity: float):
 
 def _verify(words: int, similarity: float):
     def run(batches):
+        last, sets = [None, None], [None, None]
         for batch in batches:
-            keep, last, first = [], None, None
+            keep = []
             for n in range(batch.num_rows):
-                one = batch.column(2)[n].as_py().encode()
-                if one != last:
-                    last, first = one, shingles(one, words)
-                other = shingles(batch.column(3)[n].as_py().encode(), words)
+                for side in (0, 1):
+                    text = batch.column(2 + side)[n].as_py()
+                    if text != last[side]:
+                        last[side], sets[side] = text, shingles(text.encode(), words)
+                first, other = sets
                 both = len(np.intersect1d(first, other, assume_unique=True))
                 keep.append(both >= similarity * (len(first) + len(other) - both) - 1e-9)
             yield pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(keep, pa.bool_())) for i in (0, 1)], ["a", "b"])
@@ -109,6 +115,38 @@ def _verify(words: int, similarity: float):
     return run
 
 
+def _common(texts: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """The shingles that are common in a sample of ``texts(id, body)``, sorted, and how many of its texts have them."""
+    share = min(1.0, SAMPLE / max(1, texts.count()))
+    drawn = texts.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(1_000_000 * share)).select("body")
+    found = drawn.mapInArrow(_shingled(words), "key long").groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") >= COMMON)
+    rows = found.orderBy(F.desc("n"), "key").limit(MOST).collect()
+    keys, counts = np.array([r.key for r in rows], np.int64).view(np.uint64), np.array([r.n for r in rows], np.int64)
+    order = np.argsort(keys)
+    return keys[order], counts[order]
+
+
+def _met(left: DataFrame, right: DataFrame, on: list[str], where, similarity: float) -> DataFrame:
+    """Pairs ``(a, b)`` of ``id, n, pos`` that meet ``on`` and whose sizes, and what follows the shingle, allow ``similarity``."""
+    names = ["id", "n", "pos"]
+    x = left.select(*on, *[F.col(c).alias(f"x{c}") for c in [*names, *(c for c in left.columns if c not in {*on, *names})]])
+    y = right.select(*on, *[F.col(c).alias(f"y{c}") for c in [*names, *(c for c in right.columns if c not in {*on, *names})]])
+    both = 1 + F.least(F.expr("xn - xpos - 1"), F.expr("yn - ypos - 1"))
+    need = (similarity * (F.col("xn") + F.col("yn")) - 1e-6) / (1 + similarity)
+    met = x.join(y, on).where(where).where(both >= need).where(F.least("xn", "yn") >= similarity * F.greatest("xn", "yn") - 1e-6)
+    return met.select(F.least("xid", "yid").alias("a"), F.greatest("xid", "yid").alias("b"))
+
+
+def _rest(shared: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
+    """All pairs of larger buckets whose texts are in different components, bucket blocks against blocks."""
+    now = shared.where(F.col("size") > SMALL).join(roots.toDF("id", "root"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    split = now.groupBy("key").agg(F.count("*").alias("m"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key", "m")
+    dealt = now.select("key", "id", "n", "pos", "root").join(split, "key").withColumn("k", F.ceil(F.col("m") / BLOCK).cast("int"))
+    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("id"), F.col("k")).cast("int")).withColumn("to", F.explode(F.expr("sequence(0, k - 1)")))
+    dealt = dealt.select("key", F.least("own", "to").alias("i"), F.greatest("own", "to").alias("j"), "id", "n", "pos", "root", "own")
+    return _met(dealt.where("own = i"), dealt.where("own = j"), ["key", "i", "j"], F.expr("xroot <> yroot and (i < j or xid < yid)"), similarity).distinct()
+
+
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
     """``id_col`` and ``component_id``: the smallest id linked to it by texts of ``similarity`` or more.
 
@@ -118,32 +156,36 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("body"))
     sketches = settle(
-        rows.where("id is not null").mapInArrow(_sketches(words, similarity), "id long, d1 long, d2 long, level int, keys array<long>, sample array<long>"), "sketches"
+        rows.where("id is not null").mapInArrow(_sketches(words, similarity, *_common(rows.where("id is not null"), words)), "id long, d1 long, d2 long, n int, keys array<long>"), "sketches"
     )
     heads = sketches.groupBy("d1", "d2").agg(F.min("id").alias("head"))
     named = settle(sketches.select("id", "d1", "d2").join(heads, ["d1", "d2"]).select("id", "head"), "heads")
     one = sketches.join(named.where("id = head").select("id").distinct(), "id", "left_semi").dropDuplicates(["id"])
-    one = settle(one.select("id", "level", "keys", "sample"), "texts")
-    entries = one.select("id", F.explode("keys").alias("key"))
-    ends = entries.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count("*").alias("n")).where("n > 1")
-    met = entries.join(ends, "key").select("id", F.explode(F.array("low", "high")).alias("end")).where("id <> end")
-    pairs = met.select(F.least("id", "end").alias("a"), F.greatest("id", "end").alias("b")).distinct()
-    side = one.select("id", "level", "sample")
-    pairs = pairs.join(side.toDF("a", "la", "sa"), "a").join(side.toDF("b", "lb", "sb"), "b")
-    top = F.greatest("la", "lb")
-
-    def cut(sample: str, own: str):
-        mask = F.expr("shiftleft(1L, greatest(la, lb)) - 1")
-        return F.when(F.col(own) == top, F.col(sample)).otherwise(F.filter(sample, lambda h: h.bitwiseAND(mask) == 0))
-
-    both = F.size(F.array_intersect(cut("sa", "la"), cut("sb", "lb")))
-    sizes = F.size(cut("sa", "la")) + F.size(cut("sb", "lb"))
-    near = settle(pairs.where(both >= SIFT * (sizes - both)).select("a", "b"), "pairs")
+    one = settle(one.select("id", "n", "keys"), "texts")
+    entries = one.select("id", "n", F.posexplode("keys").alias("pos", "key"))
+    first = F.min(F.struct((F.col("pos") / F.col("n")).alias("before"), "id", "n", "pos")).alias("first")
+    buckets = entries.groupBy("key").agg(F.count("*").alias("size"), first).where("size > 1")
+    shared = settle(entries.join(buckets, "key"), "shared")
+    few = shared.where(F.col("size") <= SMALL).select("key", "id", "n", "pos")
+    many = shared.where(F.col("size") > SMALL)
+    fewest = many.select("key", "first.id", "first.n", "first.pos").distinct()
+    pairs = _met(few, few, ["key"], F.expr("xid < yid"), similarity)
+    pairs = pairs.unionByName(_met(many.select("key", "id", "n", "pos"), fewest, ["key"], F.expr("xid <> yid"), similarity))
+    near = settle(pairs.distinct(), "pairs")
     bodies = rows.where("id is not null").dropDuplicates(["id"]) if _repeats(sketches) else rows.where("id is not null")
     texts = bodies.select("id", F.coalesce("body", F.lit("")).alias("body"))
-    full = near.join(texts.toDF("a", "ta"), "a").join(texts.toDF("b", "tb"), "b").select("a", "b", "ta", "tb")
-    edges = settle(full.mapInArrow(_verify(words, similarity), "a long, b long"), "links")
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        full = pairs.join(texts.toDF("a", "ta"), "a").join(texts.toDF("b", "tb"), "b").select("a", "b", "ta", "tb")
+        return settle(full.mapInArrow(_verify(words, similarity), "a long, b long"), "links")
+
+    edges = linked(near)
     roots = components(edges)
+    rest = settle(_rest(shared, roots, similarity).join(near, ["a", "b"], "left_anti"), "pairs")
+    if not rest.isEmpty():
+        more = linked(rest)
+        if not more.isEmpty():
+            roots = components(edges.unionByName(more))
     out = named.join(roots.withColumnRenamed("node", "head"), "head", "left").select("id", F.coalesce("root", "head").alias("component_id"))
     lone = rows.where("id is null").select("id", F.lit(None).cast("long").alias("component_id"))
     return out.unionByName(lone).withColumnRenamed("id", id_col)

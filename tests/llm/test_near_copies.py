@@ -44,3 +44,19 @@ def test_edges(spark):
     assert got == {9: 3, 3: 3, 4: 3, 5: 5, 6: 5, 7: 7, 8: 7, None: None, 2: 2}
     assert nc.near_copies(df).count() == len(rows)
     assert nc.near_copies(df.limit(0)).count() == 0
+
+
+def edited(base, places, name):
+    return " ".join(f"e{name}x{k}" if k in places else w for k, w in enumerate(base))
+
+
+def test_copies_of_a_middle_id_that_are_unlike_each_other(spark):
+    import random
+
+    r = random.Random(7)
+    base = [f"w{k}" for k in range(304)]
+    rows = [(i, edited(base, sorted(r.sample(range(4, 300), 6)), i)) for i in range(400) if i != 200] + [(200, " ".join(base))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute(rows)
+    assert len([x for x in want.values() if x == 0]) > 300
+    assert {x.doc_id: x.component_id for x in nc.near_copies(df).collect()} == want
