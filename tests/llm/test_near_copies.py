@@ -60,3 +60,15 @@ def test_copies_of_a_middle_id_that_are_unlike_each_other(spark):
     want = brute(rows)
     assert len([x for x in want.values() if x == 0]) > 300
     assert {x.doc_id: x.component_id for x in nc.near_copies(df).collect()} == want
+
+
+def test_pairs_just_above_the_bound(spark):
+    import random
+
+    r = random.Random(3)
+    rows = []
+    for i in range(1500):
+        base = [f"p{i}w{k}" for k in range(229)]
+        rows += [(2 * i, " ".join(base)), (2 * i + 1, edited(base, {5 * p + 4 for p in r.sample(range(44), 5)}, i))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert {x.doc_id: x.component_id for x in nc.near_copies(df).collect()} == {i: i - i % 2 for i, _ in rows}
