@@ -57,12 +57,12 @@ q("M16_no_signal", lambda t: t.rounds.where("amount_raised is not null or announ
 CLUSTER = f"with {TYPED}, k as (select *, {KIND.format('round_type')} as kind from typed where amount_raised is not null), c as (select *, coalesce(kind, case when min(kind) over g = max(kind) over g then min(kind) over g end, '') as cluster from k window g as (partition by company_id, amount_raised))"
 q("M17_amount_clusters", lambda t: R.amount_clusters(typed(t)).select("id", "cluster"), CLUSTER + " select id, cluster from c")
 q("M17_collapsed", lambda t: R.collapse_amounts(typed(t)), CLUSTER + ", s as (select id as loser, first_value(id) over (partition by company_id, amount_raised, cluster order by round_type is not null desc, announced_date is not null desc, case confidence when 'high' then 2 when 'medium' then 1 else 0 end desc, id) as survivor from c) select * from s where loser <> survivor")
-q("M18_near_amounts", lambda t: R.collapse_near_amounts(t.rounds.where("company_id % 3 = 0"), t.links))
+q("M18_near_amounts", lambda t: R.collapse_near_amounts(t.rounds, t.links))
 q("M19_equal_valuations", lambda t: W.first_per(t.rounds.where("valuation is not null"), ["company_id", "valuation"], [F.desc(F.col("amount_raised").isNotNull()), F.asc("id")]).select("id"), "select id from (select *, row_number() over (partition by company_id, valuation order by amount_raised is not null desc, id) as n from rounds where valuation is not null) where n = 1")
 q("M21_phantom_valuations", lambda t: t.rounds.where("amount_raised is null and round_type is null and valuation is not null").alias("p").join(t.rounds.where("amount_raised is not null").alias("f"), F.expr("p.company_id = f.company_id and p.valuation = f.valuation"), "left_anti").select("id"), "select id from rounds p where amount_raised is null and round_type is null and valuation is not null and not exists (select 1 from rounds f where f.company_id = p.company_id and f.valuation = p.valuation and amount_raised is not null)")
 q("M22_folded", lambda t: R.fold_losers(typed(t), R.collapse_amounts(typed(t)), ["announced_date", "news_url"]).select("id", "announced_date", "news_url"),
   CLUSTER + ", s as (select id as loser, first_value(id) over (partition by company_id, amount_raised, cluster order by round_type is not null desc, announced_date is not null desc, case confidence when 'high' then 2 when 'medium' then 1 else 0 end desc, id) as survivor from c), m as (select * from s where loser <> survivor), g as (select survivor, arg_min(announced_date, o) filter (announced_date is not null) as d, arg_min(news_url, o) filter (news_url is not null) as u from (select t.*, survivor, (2 - case confidence when 'high' then 2 when 'medium' then 1 else 0 end) * 10000000000 + id as o from typed t join m on id = loser) group by 1) select id, coalesce(announced_date, d) as announced_date, coalesce(news_url, u) as news_url from typed left join g on id = survivor where id not in (select loser from m)")
-q("M5_reconciled", lambda t: R.reconcile(t.rounds.where("company_id % 5 = 0")))
+q("M5_reconciled", lambda t: R.reconcile(t.rounds))
 q("M7_amount_match", lambda t: typed(t).alias("a").join(typed(t).alias("b"), F.expr("a.company_id = b.company_id and a.amount_raised = b.amount_raised and a.id > b.id")).where(N.compatible_types(F.col("a.round_type"), F.col("b.round_type"))).groupBy(F.expr("a.id as id")).agg(F.expr("min(b.id)").alias("found")),
   f"with {TYPED}, k as (select *, {KIND.format('round_type')} as kind from typed where amount_raised is not null) select a.id, min(b.id) as found from k a join k b on a.company_id = b.company_id and a.amount_raised = b.amount_raised and a.id > b.id where a.kind is null or b.kind is null or a.kind = b.kind group by 1")
 q("M23_repointed_links", lambda t: M.sticky_links(M.remapped(t.links, R.collapse_amounts(typed(t)), "round_id"), ["round_id", "investor_id"]).groupBy("investor_id").agg(F.count("*").alias("n")),
