@@ -18,6 +18,7 @@ from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,13 +30,17 @@ END = 1
 SLACK = 64  # a piece may leave a SLACK-th of its share unfilled
 FAN = 64  # tasks whose unfilled bins meet in one
 SPECIAL = "<|endoftext|>"
+LONG = 50_000  # a run of so much white space is taken out of the pattern's way
+RUN = regex.compile(r"\p{White_Space}{%d,}" % LONG)
 
 
 class Encoder:
     """Texts to little-endian unsigned 32-bit ids, as the tokenizer file's library gives them.
 
     The ranks are the same vocabulary for a faster library; a text that names the special
-    token goes to the file's own library.
+    token goes to the file's own library. The pattern's look-ahead recurs over a run of white
+    space, so a long run is split as the pattern would split it: all but its last
+    character (all, at the end of the text) is one part, and the last one begins the rest.
     """
 
     def __init__(self, tokenizer: str, ranks: str, pattern: str):
@@ -43,9 +48,20 @@ class Encoder:
 
         with open(ranks, "rb") as lines:
             table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-        self.encode_ordinary = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=table, special_tokens={}).encode_ordinary
+        self.by_pattern = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=table, special_tokens={}).encode_ordinary
+        self.as_one = tiktoken.Encoding("one", pat_str="(?s).+", mergeable_ranks=table, special_tokens={}).encode_ordinary
         self.tokenizer, self.ranks, self.library = tokenizer, ranks, None
 
+    def encode_ordinary(self, text: str) -> list[int]:
+        if len(text) < LONG:
+            return self.by_pattern(text)
+        ids, at = [], 0
+        for run in RUN.finditer(text):
+            end = run.end() if run.end() == len(text) else run.end() - 1
+            ids += self.by_pattern(text[at : run.start()]) + self.as_one(text[run.start() : end])
+            at = end
+        return ids + self.by_pattern(text[at:])
+
     def encode_plain(self, text: str) -> bytes:
         """Ids that spell out the text's bytes: the special token's name is ordinary text here."""
         return np.array(self.encode_ordinary(text), "<u4").tobytes()

@@ -15,6 +15,7 @@ from __future__ import annotations
 import re
 import struct
 import zlib
+from collections.abc import Iterator
 
 import ahocorasick
 import numpy as np
@@ -221,10 +222,12 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
 
 
 def decode(rows: DataFrame, ids_col: str = "ids", text_col: str = "text", path=public_path) -> DataFrame:
-    """``rows`` with the text of little-endian unsigned 32-bit ids in ``text_col``; null ids give null."""
+    """``rows`` with the text of little-endian unsigned 32-bit ids in ``text_col``; null ids give null, no ids the empty text."""
+
     @F.pandas_udf("string")
-    def text(ids: pd.Series) -> pd.Series:
+    def text(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         vocabulary = Vocabulary(path())
-        return ids.map(lambda x: None if x is None else vocabulary.decode(np.frombuffer(x, "<u4").tolist()))
+        for ids in batches:
+            yield ids.map(lambda x: None if x is None else vocabulary.decode(np.frombuffer(x, "<u4").tolist()))
 
     return rows.withColumn(text_col, text(F.col(ids_col)))

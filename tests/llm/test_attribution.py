@@ -28,7 +28,7 @@ TEXTS = ["", "a", "one\ntwo", "\n\n\nx\n\n", "é\n\n\n 你好 😀😀\n", "tail
 
 @pytest.mark.parametrize("rule", at.RULES)
 def test_against_library_offsets(spark, sf_dir, rule):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(60).select("doc_id", "text")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     rows = [(1000 + n, t) for n, t in enumerate(TEXTS)]
     both = docs.union(spark.createDataFrame(rows, "doc_id long, text string"))
     got = {}
@@ -47,6 +47,13 @@ def test_edges(spark):
         at.section_tokens(df, rule="last")
 
 
+def test_long_runs(spark):
+    rows = [(n, "a" + c * 1_500_000 + "b") for n, c in enumerate(" \n\tz")]
+    got = at.section_tokens(spark.createDataFrame(rows, "doc_id long, text string")).groupBy("doc_id").sum("n_tokens", "n_crossing").collect()
+    lib = Tokenizer.from_file(__import__("public_tokenizers").path("byte_bpe_50k.json"))
+    assert {r[0]: r[1] for r in got} == {n: len(lib.encode(t, add_special_tokens=False).ids) for n, t in rows}
+
+
 def test_token_over_many_sections():
     where, crosses = at.attribute(np.array([0, 5]), np.array([5, 6]), np.array([0, 1, 4, 5, 6]))
     assert where.tolist() == [1, 3] and crosses.tolist() == [True, False]

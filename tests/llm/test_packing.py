@@ -70,3 +70,15 @@ def test_cuts():
         cuts = packing.cut_lengths(n)
         assert sum(size for _, size in cuts) == n
         assert all(k * size <= packing.CAPACITY for k, size in cuts)
+
+
+def test_long_runs(spark):
+    """Runs that overflow a recursive pattern: the ids are the library's own."""
+    n = 2_000_000
+    docs = [(i, a + c * n + b) for i, (c, a, b) in enumerate([(" ", "", ""), (" ", "a", "b"), ("\n", "", "b"), ("\t", "a", ""), ("\r", "a", "!b"), ("\u2003", "", " x"), ("a", "", "")])]
+    docs.append((99, " " * 60_000 + "it's" + "\n" * 70_000 + " so" + " " * 50_000 + "<|endoftext|>" + " " * 55_000 + "."))
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(2)
+    check(packing.pack(df).collect(), docs)
+    coder = packing.public_encoder()
+    for text in ("\x1c" * 60_000 + "a", " " * 49_999 + "a", " " * 50_000 + "a", "\x85" * 50_001 + "é"):
+        assert coder.encode(text) == np.array(encode(text)[:-1], "<u4").tobytes()
