@@ -1,4 +1,9 @@
-"""Near copies by word-shingle similarity, with an exact candidate search by prefix filtering.
+"""Near copies by word-shingle similarity: SimHash links first, then an exact search for what 64 bits can't tell.
+
+Texts of equal words are one text. The SimHash search (segment bit counts, grid, Manhattan bound, exact Hamming
+distance) links texts whose fingerprints are equal or differ in ``RADIUS`` bits or fewer; each link counts only if the whole texts' shingle sets
+are alike. Texts of similarity 0.8 differ in about ten bits, where no grid of 64 bits is selective, so the pairs
+that are not linked by then are found by prefix filtering:
 
 All texts put their shingles in one global order: those that a sample of the texts finds common last, the
 others by hash. Texts of similarity s share more than the last s-th part of their shingles, so they share one
@@ -7,9 +12,6 @@ of the first ``n - ceil(s n) + 1``. Any order that all texts agree on is right;
 A bucket is the texts of one such shingle. Small buckets compare all their pairs. In a larger one all members
 first meet the member with the fewest shingles before it (a copied original, mostly); then all pairs of it that
 are not linked yet by way of others are compared, dealt over blocks. So no pair that could link two components is left out.
-Pairs are verified on the shingle sets of the whole texts.
-
-Texts of equal words are collapsed first.
 """
 
 from __future__ import annotations
@@ -20,11 +22,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fathomline.llm.common import components, settle
+from fathomline.llm import simhash
+from fathomline.llm.common import components, discard, settle
 from fathomline.llm.simhash import SEED
 
 WORDS = 5
 SIMILARITY = 0.8
+RADIUS = 3  # bits of the SimHash search
 SAMPLE = 16_000  # texts whose shingles are counted
 COMMON = 4  # texts of the sample that a common shingle is in
 MOST = 200_000  # common shingles that the order knows
@@ -32,8 +36,8 @@ SMALL = 8  # texts of a bucket that compares all pairs at once
 BLOCK = 256  # texts of a block of a larger bucket
 
 
-def shingles(text: bytes, words: int = WORDS) -> np.ndarray:
-    """The sorted distinct hashes of a text's word shingles, A-Z lower-cased; fewer words are one shingle."""
+def _hashes(text: bytes, words: int) -> np.ndarray:
+    """The hashes of a text's word shingles in order, A-Z lower-cased; fewer words are one shingle."""
     parts = text.lower().split()
     if not parts:
         return np.zeros(0, np.uint64)
@@ -44,7 +48,12 @@ def shingles(text: bytes, words: int = WORDS) -> np.ndarray:
     starts = np.concatenate(([0], ends[:-1] + 1))
     digest = xxhash.xxh64_intdigest
     pairs = zip(starts[: len(parts) - words + 1].tolist(), ends[words - 1 :].tolist())
-    return np.unique(np.fromiter([digest(line[i:j], SEED) for i, j in pairs], np.uint64, len(parts) - words + 1))
+    return np.fromiter([digest(line[i:j], SEED) for i, j in pairs], np.uint64, len(parts) - words + 1)
+
+
+def shingles(text: bytes, words: int = WORDS) -> np.ndarray:
+    """The sorted distinct hashes of a text's word shingles."""
+    return np.unique(_hashes(text, words))
 
 
 def prefix(hashes: np.ndarray, common: np.ndarray, counts: np.ndarray, similarity: float = SIMILARITY) -> np.ndarray:
@@ -72,26 +81,27 @@ def _shingled(words: int):
 def _sketches(words: int, similarity: float, common: np.ndarray, counts: np.ndarray):
     def run(batches):
         for batch in batches:
-            d1, d2, sizes, keys = [], [], [], []
-            for text in batch.column(1):
+            d1, d2, fps, sizes, keys = [], [], [], [], []
+            for text in batch.column(3):
                 body = (text.as_py() or "").encode()
                 line = b" ".join(body.lower().split())
-                hashes = shingles(body, words)
+                every = _hashes(body, words)
+                hashes = np.unique(every)
                 d1.append(xxhash.xxh64_intdigest(line, 1))
                 d2.append(xxhash.xxh64_intdigest(line, 2))
+                fps.append(simhash.majority(every))
                 sizes.append(len(hashes))
                 keys.append(prefix(hashes, common, counts, similarity))
             ends = np.cumsum([0, *map(len, keys)]).astype(np.int32)
             flat = np.concatenate(keys or [np.zeros(0, np.uint64)]).view(np.int64)
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column(0),
-                    pa.array(np.array(d1, np.uint64).view(np.int64)),
-                    pa.array(np.array(d2, np.uint64).view(np.int64)),
+                    *(batch.column(n) for n in range(3)),
+                    *(pa.array(np.array(x, np.uint64).view(np.int64)) for x in (d1, d2, fps)),
                     pa.array(sizes, pa.int32()),
                     pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)),
                 ],
-                ["id", "d1", "d2", "n", "keys"],
+                ["id", "t1", "t2", "d1", "d2", "fp", "n", "keys"],
             )
 
     return run
@@ -116,9 +126,9 @@ def _verify(words: int, similarity: float):
 
 
 def _common(texts: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
-    """The shingles that are common in a sample of ``texts(id, body)``, sorted, and how many of its texts have them."""
+    """The shingles that are common in a sample of ``texts(id, t1, body)``, sorted, and how many of its texts have them."""
     share = min(1.0, SAMPLE / max(1, texts.count()))
-    drawn = texts.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(1_000_000 * share)).select("body")
+    drawn = texts.where(F.pmod(F.xxhash64("id", "t1"), F.lit(1_000_000)) < int(1_000_000 * share)).select("body")
     found = drawn.mapInArrow(_shingled(words), "key long").groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") >= COMMON)
     rows = found.orderBy(F.desc("n"), "key").limit(MOST).collect()
     keys, counts = np.array([r.key for r in rows], np.int64).view(np.uint64), np.array([r.n for r in rows], np.int64)
@@ -127,69 +137,133 @@ def _common(texts: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _met(left: DataFrame, right: DataFrame, on: list[str], where, similarity: float) -> DataFrame:
-    """Pairs ``(a, b)`` of ``id, n, pos`` that meet ``on`` and whose sizes, and what follows the shingle, allow ``similarity``."""
-    names = ["id", "n", "pos"]
-    x = left.select(*on, *[F.col(c).alias(f"x{c}") for c in [*names, *(c for c in left.columns if c not in {*on, *names})]])
-    y = right.select(*on, *[F.col(c).alias(f"y{c}") for c in [*names, *(c for c in right.columns if c not in {*on, *names})]])
+    """Pairs ``(a, b)`` of ``node, n, pos, root`` in different components that meet ``on`` and whose sizes, and what follows the shingle, allow ``similarity``."""
+    names = ["node", "n", "pos", "root", "own"]
+    x = left.select(*on, *[F.col(c).alias(f"x{c}") for c in names if c in left.columns])
+    y = right.select(*on, *[F.col(c).alias(f"y{c}") for c in names if c in right.columns])
     both = 1 + F.least(F.expr("xn - xpos - 1"), F.expr("yn - ypos - 1"))
     need = (similarity * (F.col("xn") + F.col("yn")) - 1e-6) / (1 + similarity)
-    met = x.join(y, on).where(where).where(both >= need).where(F.least("xn", "yn") >= similarity * F.greatest("xn", "yn") - 1e-6)
-    return met.select(F.least("xid", "yid").alias("a"), F.greatest("xid", "yid").alias("b"))
+    met = x.join(y, on).where(F.expr("xroot <> yroot")).where(where).where(both >= need)
+    met = met.where(F.least("xn", "yn") >= similarity * F.greatest("xn", "yn") - 1e-6)
+    return met.select(F.least("xnode", "ynode").alias("a"), F.greatest("xnode", "ynode").alias("b")).distinct()
+
+
+def _rooted(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    """``rows(node, ...)`` with the ``root`` of each node's component."""
+    return rows.join(roots.select("node", F.col("root").alias("r")), "node", "left").withColumn("root", F.coalesce("r", "node")).drop("r")
+
+
+def _first(shared: DataFrame, similarity: float) -> DataFrame:
+    """Pairs of small buckets, and of each member of a larger one with its first."""
+    few = shared.where(F.col("size") <= SMALL)
+    many = shared.where(F.col("size") > SMALL)
+    fewest = many.select("key", "first.node", "first.n", "first.pos", "first.root").distinct()
+    return _met(few, few, ["key"], F.expr("xnode < ynode"), similarity).unionByName(_met(many, fewest, ["key"], F.expr("xnode <> ynode"), similarity)).distinct()
 
 
 def _rest(shared: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
     """All pairs of larger buckets whose texts are in different components, bucket blocks against blocks."""
-    now = shared.where(F.col("size") > SMALL).join(roots.toDF("id", "root"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    now = _rooted(shared.where(F.col("size") > SMALL).select("key", "node", "n", "pos"), roots)
     split = now.groupBy("key").agg(F.count("*").alias("m"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key", "m")
-    dealt = now.select("key", "id", "n", "pos", "root").join(split, "key").withColumn("k", F.ceil(F.col("m") / BLOCK).cast("int"))
-    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("id"), F.col("k")).cast("int")).withColumn("to", F.explode(F.expr("sequence(0, k - 1)")))
-    dealt = dealt.select("key", F.least("own", "to").alias("i"), F.greatest("own", "to").alias("j"), "id", "n", "pos", "root", "own")
-    return _met(dealt.where("own = i"), dealt.where("own = j"), ["key", "i", "j"], F.expr("xroot <> yroot and (i < j or xid < yid)"), similarity).distinct()
-
-
-def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
+    dealt = now.join(split, "key").withColumn("k", F.ceil(F.col("m") / BLOCK).cast("int"))
+    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("node"), F.col("k")).cast("int")).withColumn("to", F.explode(F.expr("sequence(0, k - 1)")))
+    dealt = dealt.select("key", F.least("own", "to").alias("i"), F.greatest("own", "to").alias("j"), "node", "n", "pos", "root", "own")
+    return _met(dealt.where("own = i"), dealt.where("own = j"), ["key", "i", "j"], F.expr("i < j or xnode < ynode"), similarity)
+
+
+class _Search:
+    """The search over one table: ``sketches`` of its rows, its distinct ``texts`` as nodes, and the components' ``roots``."""
+
+    def __init__(self, docs: DataFrame, id_col: str, text_col: str, words: int, similarity: float, radius: int):
+        self.words, self.similarity = words, similarity
+        body = F.coalesce(F.col(text_col), F.lit(""))
+        self.rows = docs.select(F.col(id_col).alias("id"), *_digests(body), body.alias("body"))
+        kind = self.rows.schema["id"].dataType.simpleString()
+        schema = f"id {kind}, t1 long, t2 long, d1 long, d2 long, fp long, n int, keys array<long>"
+        self.sketches = settle(self.rows.mapInArrow(_sketches(words, similarity, *_common(self.rows, words)), schema), "sketches")
+        low = F.min(F.struct(F.col("id").isNull().alias("nameless"), "id", "t1", "t2")).alias("low")
+        texts = self.sketches.groupBy("d1", "d2").agg(low, *[F.any_value(c).alias(c) for c in ("fp", "n", "keys")])
+        self.texts = settle(texts.withColumn("node", F.monotonically_increasing_id()), "texts")
+        self.repeats = not self.sketches.groupBy("id", "t1", "t2").count().where("count > 1").isEmpty()
+        self.roots = self._roots(radius)
+
+    def _roots(self, radius: int) -> DataFrame:
+        edges = self._linked(self._by_fingerprint(radius))
+        roots = components(edges)
+        entries = _rooted(self.texts.select("node", "n", "keys"), roots).select("node", "n", "root", F.posexplode("keys").alias("pos", "key"))
+        first = F.min(F.struct((F.col("pos") / F.col("n")).alias("before"), "node", "n", "pos", "root")).alias("first")
+        buckets = entries.groupBy("key").agg(F.count("*").alias("size"), first, F.min("root").alias("low"), F.max("root").alias("high"))
+        shared = settle(entries.join(buckets.where("low <> high").drop("low", "high"), "key"), "shared")
+        met = settle(_first(shared, self.similarity), "pairs")
+        more = self._linked(met)
+        if not more.isEmpty():
+            edges = edges.unionByName(more)
+            roots = components(edges)
+        rest = settle(_rest(shared, roots, self.similarity).join(met, ["a", "b"], "left_anti"), "pairs")
+        if not rest.isEmpty():
+            more = self._linked(rest)
+            if not more.isEmpty():
+                roots = components(edges.unionByName(more))
+        for done in (shared, met, rest):
+            discard(done)
+        return roots
+
+    def _by_fingerprint(self, radius: int) -> DataFrame:
+        """Pairs of texts that SimHash links: those of one fingerprint, and one of each of two linked fingerprints."""
+        points = settle(self.texts.groupBy("fp").agg(F.min("node").alias("low")), "points")
+        same = self.texts.select("node", "fp").join(points, "fp").where("node <> low").select(F.col("low").alias("a"), F.col("node").alias("b"))
+        near = simhash.links(points.select("fp"), radius).toDF("fa", "fb")
+        near = near.join(points.toDF("fa", "a"), "fa").join(points.toDF("fb", "b"), "fb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        return settle(same.unionByName(near).distinct(), "pairs")
+
+    def _linked(self, pairs: DataFrame) -> DataFrame:
+        """Those of ``pairs`` whose whole texts are alike."""
+        wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        wanted = wanted.join(self.texts.select("node", "low"), "node").select("node", F.col("low.id").alias("own"), "low.t1", "low.t2")
+        rows = self.rows.dropDuplicates(["id", "t1", "t2"]) if self.repeats else self.rows
+        bodies = rows.join(wanted, ["t1", "t2"]).where(F.col("id").eqNullSafe(F.col("own"))).select("node", "body")
+        bodies = settle(bodies, "bodies")
+        full = pairs.join(bodies.toDF("a", "ta"), "a").join(bodies.toDF("b", "tb"), "b").select("a", "b", "ta", "tb")
+        out = settle(full.mapInArrow(_verify(self.words, self.similarity), "a long, b long"), "links")
+        discard(bodies)
+        return out
+
+    def lows(self) -> DataFrame:
+        """``(root, low)``: each component's first row."""
+        return _rooted(self.texts.select("node", "low"), self.roots).groupBy("root").agg(F.min("low").alias("low"))
+
+
+def _digests(body) -> list:
+    return [F.xxhash64(F.lit(seed), body).alias(name) for seed, name in ((1, "t1"), (2, "t2"))]
+
+
+def near_copies(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, similarity: float = SIMILARITY, radius: int = RADIUS
+) -> DataFrame:
     """``id_col`` and ``component_id``: the smallest id linked to it by texts of ``similarity`` or more.
 
     Similarity is that of the sets of ``words``-word shingles. Null texts are empty, and texts of no word are
-    equal to each other; a null id is its own component (null); ids that repeat come out once for each row; an
-    empty table gives an empty result.
+    equal to each other; a null id is linked like any other and names a component only if it has no other;
+    rows that repeat, or repeat an id with another text, come out once each, by their own text; very long
+    texts are compared whole; an empty table gives an empty result; other columns are not looked at.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("body"))
-    sketches = settle(
-        rows.where("id is not null").mapInArrow(_sketches(words, similarity, *_common(rows.where("id is not null"), words)), "id long, d1 long, d2 long, n int, keys array<long>"), "sketches"
-    )
-    heads = sketches.groupBy("d1", "d2").agg(F.min("id").alias("head"))
-    named = settle(sketches.select("id", "d1", "d2").join(heads, ["d1", "d2"]).select("id", "head"), "heads")
-    one = sketches.join(named.where("id = head").select("id").distinct(), "id", "left_semi").dropDuplicates(["id"])
-    one = settle(one.select("id", "n", "keys"), "texts")
-    entries = one.select("id", "n", F.posexplode("keys").alias("pos", "key"))
-    first = F.min(F.struct((F.col("pos") / F.col("n")).alias("before"), "id", "n", "pos")).alias("first")
-    buckets = entries.groupBy("key").agg(F.count("*").alias("size"), first).where("size > 1")
-    shared = settle(entries.join(buckets, "key"), "shared")
-    few = shared.where(F.col("size") <= SMALL).select("key", "id", "n", "pos")
-    many = shared.where(F.col("size") > SMALL)
-    fewest = many.select("key", "first.id", "first.n", "first.pos").distinct()
-    pairs = _met(few, few, ["key"], F.expr("xid < yid"), similarity)
-    pairs = pairs.unionByName(_met(many.select("key", "id", "n", "pos"), fewest, ["key"], F.expr("xid <> yid"), similarity))
-    near = settle(pairs.distinct(), "pairs")
-    bodies = rows.where("id is not null").dropDuplicates(["id"]) if _repeats(sketches) else rows.where("id is not null")
-    texts = bodies.select("id", F.coalesce("body", F.lit("")).alias("body"))
-
-    def linked(pairs: DataFrame) -> DataFrame:
-        full = pairs.join(texts.toDF("a", "ta"), "a").join(texts.toDF("b", "tb"), "b").select("a", "b", "ta", "tb")
-        return settle(full.mapInArrow(_verify(words, similarity), "a long, b long"), "links")
-
-    edges = linked(near)
-    roots = components(edges)
-    rest = settle(_rest(shared, roots, similarity).join(near, ["a", "b"], "left_anti"), "pairs")
-    if not rest.isEmpty():
-        more = linked(rest)
-        if not more.isEmpty():
-            roots = components(edges.unionByName(more))
-    out = named.join(roots.withColumnRenamed("node", "head"), "head", "left").select("id", F.coalesce("root", "head").alias("component_id"))
-    lone = rows.where("id is null").select("id", F.lit(None).cast("long").alias("component_id"))
-    return out.unionByName(lone).withColumnRenamed("id", id_col)
+    found = _Search(docs, id_col, text_col, words, similarity, radius)
+    named = _rooted(found.texts.select("node", "d1", "d2"), found.roots).join(found.lows(), "root").select("d1", "d2", F.col("low.id").alias("component_id"))
+    return found.sketches.select("id", "d1", "d2").join(named, ["d1", "d2"]).select(F.col("id").alias(id_col), "component_id")
 
 
-def _repeats(sketches: DataFrame) -> bool:
-    return not sketches.groupBy("id").count().where("count > 1").isEmpty()
+def keep_one(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, similarity: float = SIMILARITY, radius: int = RADIUS
+) -> DataFrame:
+    """One whole row of each group of near copies: that of the smallest id (null ids last), then text digest.
+
+    Groups and edge cases are those of ``near_copies``; of rows equal in id and text any one stays. All columns are kept.
+    """
+    found = _Search(docs, id_col, text_col, words, similarity, radius)
+    low = found.lows().select(F.col("low.id").alias("_id"), F.col("low.t1").alias("_t1"), F.col("low.t2").alias("_t2"))
+    one, two = _digests(F.coalesce(F.col(text_col), F.lit("")))
+    same = F.col(id_col).eqNullSafe(F.col("_id")) & (one == F.col("_t1")) & (two == F.col("_t2"))
+    kept = docs.join(low, same)
+    if found.repeats:
+        kept = kept.dropDuplicates(["_id", "_t1", "_t2"])
+    return kept.select(docs.columns)

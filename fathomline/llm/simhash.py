@@ -60,6 +60,14 @@ def fingerprint(text: bytes, words: int = 3) -> int:
     return int(np.packbits(2 * ones > total, bitorder="little").view("<u8")[0])
 
 
+def majority(hashes: np.ndarray) -> int:
+    """The fingerprint of shingle ``hashes``: the bits set in more than half of them."""
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), BLOCK):
+        ones += _bit_counts(hashes[at : at + BLOCK])
+    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
+
+
 def _bit_counts(hashes: np.ndarray) -> np.ndarray:
     """How many of ``hashes`` have each bit set, lowest bit first."""
     bits = np.unpackbits(hashes.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")

@@ -38,12 +38,23 @@ def test_against_brute_force(spark, sf):
 
 def test_edges(spark):
     base = " ".join(f"w{k * k % 97}x{k}" for k in range(200))
-    rows = [(9, base), (3, base.replace("w1x1 ", "ZZ ")), (4, base.upper()), (5, None), (6, " "), (7, "a b"), (8, "A  B"), (None, base), (2, "other"), (2, "other")]
+    rows = [(9, base), (3, base.replace("w1x1 ", "ZZ ")), (4, base.upper()), (5, None), (6, " "), (7, "a b"), (8, "A  B"), (None, base), (2, "other"), (2, "other"), (2, base), (1, "solo"), (1, "else")]
     df = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, key int")
-    got = {r.doc_id: r.component_id for r in nc.near_copies(df).collect()}
-    assert got == {9: 3, 3: 3, 4: 3, 5: 5, 6: 5, 7: 7, 8: 7, None: None, 2: 2}
-    assert nc.near_copies(df).count() == len(rows)
+    got = sorted(((r.doc_id or 0, r.component_id or 0) for r in nc.near_copies(df).collect()))
+    assert got == [(0, 2), (1, 1), (1, 1), (2, 2), (2, 2), (2, 2), (3, 2), (4, 2), (5, 5), (6, 5), (7, 7), (8, 7), (9, 2)]
     assert nc.near_copies(df.limit(0)).count() == 0
+    kept = nc.keep_one(df)
+    assert kept.columns == df.columns
+    assert sorted((r.doc_id, r.text) for r in kept.collect()) == [(1, "else"), (1, "solo"), (2, "other"), (2, base), (5, None), (7, "a b")]
+    assert nc.keep_one(df.limit(0)).count() == 0
+    nameless = spark.createDataFrame([(None, base), (None, base), (None, base + " end"), (None, "lone")], "doc_id long, text string")
+    assert nc.keep_one(nameless).count() == 2
+
+
+def test_very_long_texts(spark):
+    long = " ".join(f"w{k}" for k in range(120_000))
+    df = spark.createDataFrame([(1, long), (2, long + " tail"), (3, long[: len(long) // 2]), (4, " " * 2_000_000)], "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in nc.near_copies(df).collect()} == {1: 1, 2: 1, 3: 3, 4: 4}
 
 
 def edited(base, places, name):
