@@ -25,11 +25,8 @@ def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: the one of the smallest id. Rows of a null id stay."""
-    groups = near_copies.near_copies(docs).where("doc_id is not null").select("doc_id", "component_id").distinct()
-    kept = groups.where("doc_id = component_id").select("doc_id")
-    named = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.where("doc_id is null")).select(*COLUMNS)
+    """One document of each group of near copies: the one of the smallest id (null ids last; of two texts of that id, one)."""
+    return near_copies.keep_one(docs).select(*COLUMNS)
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
