@@ -1,4 +1,4 @@
-"""Suffix-array removal of repeated byte strings, built column by column.
+"""Suffix-array removal of repeated byte strings, over column-wise built document collections.
 
 A string of ``span`` bytes is repeated if it starts at two places or more of the corpus.
 Finding these by one suffix array over the corpus would tie all data together, so strings
@@ -7,26 +7,22 @@ are first dealt to independent collections by content:
 * Each window of ``span`` bytes takes as anchor the leftmost smallest hash among its
   ``GRAM``-byte strings. Equal windows have equal anchors at equal places, so a repeat stays
   within one collection. Consecutive windows with one anchor form a segment.
-* Anchors seen once are dropped: their windows can't be repeated. Equal segments are counted
-  into one, whatever the number of copies.
-* The segments of a collection are lined up at their anchors. The construction goes through
-  the columns from the last to the first and inserts one symbol of each segment each round:
-  a stable distribution of the previous round's order by the new symbol gives the suffixes'
-  order (the round's Burrows-Wheeler column), and range minima over the previous common
-  prefixes give the new ones. Windows in different columns differ, so a round's suffixes
-  need merging with each other only. Order, prefixes and columns of a collection larger than
-  ``CHUNK`` are kept in files, read and written in sequence.
-* Where the common prefix reaches ``span``, neighbours are equal windows; if their counts
-  sum to two or more, the window is repeated.
-
-An anchor with more than ``CROWD`` different segments is too much for one task; its windows
-are dealt one by one and counted by two independent 64-bit hashes.
+* Anchors seen once are dropped: their windows can't be repeated. Equal segments (anchor and content, 64 bits each)
+  are counted into one, whatever the number of copies.
+* A segment is a document of a ``Collection``: its symbols are its words of eight bytes, counted from the anchor. Each
+  round inserts one symbol of each document into the collection's Burrows-Wheeler transform and common prefixes.
+* A window of ``span`` bytes is up to seven bytes, then whole symbols, then the rest of eight bytes. Suffixes in one run of common
+  prefixes long enough agree on the whole symbols; the transform's symbol before them and the one after tell the rest.
+  Equal windows whose counts sum to two or more are repeated.
+
+An anchor of more than ``CROWD`` different segments is dealt again: a segment's windows are halved by the anchor's place in them, and
+each half goes by the bytes that all its windows share, which grow with each halving, at last to the whole window. So every
+collection has a bounded number of documents and is built as above, whatever the data.
 """
 
 from __future__ import annotations
 
 import hashlib
-import tempfile
 
 import numpy as np
 import pyarrow as pa
@@ -34,13 +30,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fathomline.llm.common import bytes_of, settle
+from fathomline.llm.collection import CHUNK, Collection
+from fathomline.llm.common import bytes_of, settle, shared_dir
 
 SPAN = 200
 GRAM = 40
 BUFFER = 1 << 20  # bytes hashed at a time; positions take 20 bits
-CHUNK = 1 << 16  # suffixes ordered at a time
-CROWD = 100_000
+WORD = 8  # bytes of a symbol
+FINEST = 8  # halvings that leave one place of the anchor
+ROWS = 1 << 14  # segments of small anchors that share a collection
+CROWD = 1 << 17  # segments of an anchor that make one collection
 BASE = 0x9E3779B97F4A7C15 | 1
 MIX = np.uint64(0xD6E8FEB86659FD93)
 
@@ -162,112 +161,69 @@ def _cut(span: int, gram: int, only_anchors: bool):
     return run
 
 
-def _low_table(values: np.ndarray) -> list[np.ndarray]:
-    """Minima over runs of 1, 2, 4, ... values."""
-    table, width = [values], 1
-    while 2 * width <= len(values):
-        table.append(np.minimum(table[-1][:-width], table[-1][width:]))
-        width *= 2
-    return table
-
-
-def _range_min(table: list[np.ndarray], first: np.ndarray, last: np.ndarray) -> np.ndarray:
-    level = np.frexp((last - first + 1).astype(np.float64))[1] - 1
-    out = np.empty(len(first), table[0].dtype)
-    for k in range(len(table)):
-        mine = np.flatnonzero(level == k)
-        if len(mine):
-            out[mine] = np.minimum(table[k][first[mine]], table[k][last[mine] - (1 << k) + 1])
-    return out
-
-
-class Columns:
-    """Column-wise construction over segments lined up at their anchors."""
-
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, column: np.ndarray, columns: int, chunk: int = CHUNK):
-        """``column``: the column of each segment's first byte."""
-        self.n, self.columns, self.chunk = len(column), columns, chunk
-        self.files = tempfile.TemporaryDirectory(prefix="columns-") if self.n > chunk else None
-        self.names = 0
-        self.symbols = self._array((columns, self.n), np.uint8)  # one row a column: UTF-8 byte plus 1; 0 past either end
-        for a in range(0, self.n, chunk):
-            b = min(self.n, a + chunk)
-            size = offsets[a + 1 : b + 1] - offsets[a:b]
-            row = np.repeat(np.arange(b - a), size)
-            place = np.arange(len(row)) - np.repeat(offsets[a:b] - offsets[a], size) + np.repeat(column[a:b], size)
-            grid = np.zeros((b - a, columns), np.uint8)
-            grid[row, place] = data[offsets[a] : offsets[b]] + np.uint8(1)
-            self.symbols[:, a:b] = grid.T
-
-    def _array(self, shape, kind):
-        if self.files is None:
-            return np.zeros(shape, kind)
-        self.names += 1
-        return np.memmap(f"{self.files.name}/{self.names % 6 if len(np.atleast_1d(shape)) == 1 else 'columns'}", kind, "w+", shape=shape)
-
-    def rounds(self):
-        """From the last column to the first: the column, its suffixes' order and each one's common prefix with the one before."""
-        n = self.n
-        order = self._array(n, np.int32)
-        order[:] = np.arange(n)
-        common = self._array(n, np.uint16)
-        for c in range(self.columns - 1, -1, -1):
-            symbols = self.symbols[c]
-            count = np.bincount(symbols, minlength=256)
-            place = np.cumsum(count) - count  # where each symbol's pile goes on
-            first = place.copy()
-            carry = np.full(256, np.iinfo(np.uint16).max, np.uint16)
-            new_order, new_common = self._array(n, np.int32), self._array(n, np.uint16)
-            for a in range(0, n, self.chunk):
-                old, low = np.asarray(order[a : a + self.chunk]), np.asarray(common[a : a + self.chunk])
-                got = symbols[old]
-                by = np.argsort(got, kind="stable")
-                mine = got[by]
-                table = _low_table(low)
-                same = np.zeros(len(by), bool)
-                same[1:] = mine[1:] == mine[:-1]
-                begins = np.zeros(len(by), np.int64)
-                begins[1:] = by[:-1] + 1
-                begins[~same] = 0
-                low_here = _range_min(table, begins, by)
-                heads = np.flatnonzero(~same)
-                low_here[heads] = np.minimum(low_here[heads], carry[mine[heads]])
-                value = np.minimum(low_here, 65534) + np.uint16(1)
-                value[mine == 0] = 0
-                tails = np.append(heads[1:], len(by)) - 1
-                s = mine[heads]
-                carry = np.minimum(carry, low.min())
-                after = np.append(np.minimum.accumulate(low[::-1])[::-1], np.uint16(65535))
-                carry[s] = after[by[tails] + 1]
-                to = np.arange(len(by)) - np.repeat(heads, tails - heads + 1) + np.repeat(place[s], tails - heads + 1)
-                new_order[to], new_common[to] = old[by], value
-                place[s] += tails - heads + 1
-            new_common[first[count > 0]] = 0
-            order, common = new_order, new_common
-            yield c, order, common
-
-    def close(self):
-        if self.files is not None:
-            self.files.cleanup()
-
-
-def repeated_windows(data, offsets, left, run, count, span=SPAN, gram=GRAM, chunk=CHUNK) -> np.ndarray:
+def _bytes_grid(data: np.ndarray, offsets: np.ndarray, column: np.ndarray, columns: int) -> np.ndarray:
+    """Symbols of segments whose first bytes are in ``column``: a row each, bytes plus 1 (UTF-8 has no 255), 0 past either end."""
+    grid = np.zeros((len(column), columns), np.uint8)
+    for a in range(0, len(column), ROWS):
+        b = min(len(column), a + ROWS)
+        size = offsets[a + 1 : b + 1] - offsets[a:b]
+        row = np.repeat(np.arange(a, b), size)
+        place = np.arange(len(row)) - np.repeat(offsets[a:b] - offsets[a], size) + np.repeat(column[a:b], size)
+        grid[row, place] = data[offsets[a] : offsets[b]] + np.uint8(1)
+    return grid.view(">u8").astype(np.uint64)
+
+
+def _runs(build: Collection, least: int):
+    """The suffixes of ``build`` in whole runs of ``least`` common symbols: run, symbol before, document and depth."""
+    held, number = None, 0
+    for symbol, common, doc, depth in build.blocks():
+        run = np.cumsum(common < least, dtype=np.int64) + number
+        number = int(run[-1]) if len(run) else number
+        block = np.array([run, symbol, doc, depth], np.int64)
+        held = block if held is None else np.concatenate([held, block], axis=1)
+        cut = int(np.searchsorted(held[0], number))  # the last run may go on
+        if cut:
+            yield held[:, :cut]
+            held = held[:, cut:]
+    if held is not None and held.shape[1]:
+        yield held
+
+
+def repeated_windows(data, offsets, left, run, count, span=SPAN, gram=GRAM, chunk=CHUNK, place=None) -> np.ndarray:
     """``(segments, width)`` booleans: the windows of each segment that occur twice or more, counts included."""
+    if span % WORD:
+        raise ValueError(f"span is a multiple of {WORD}")
     width = span - gram + 1
     column = width - 1 - left
     flags = np.zeros((len(left), width), bool)
-    build = Columns(data, offsets, column, width - 1 + span, chunk)
+    if not len(left):
+        return flags
+    words = _bytes_grid(data, offsets, column, -(-(width - 1 + span) // WORD) * WORD)
+    first, last = column // WORD, (column + run + span - 2) // WORD
+    vocabulary, grid = np.unique(np.append(words, np.uint64(0)), return_inverse=True)  # 0 is the first
+    grid = grid[:-1].reshape(words.shape).astype(np.int32)
+    whole = span // WORD - 1  # symbols that a window holds wherever it begins
+    build = Collection(grid, first, last, chunk, place)
     try:
-        for c, order, common in build.rounds():
-            if c >= width:
-                continue
-            order = np.asarray(order)
-            group = np.cumsum(np.asarray(common) < span) - 1
-            twice = np.bincount(group, weights=count[order])[group] >= 2
-            hit = order[twice]
-            step = c - column[hit]
-            hit = hit[(step >= 0) & (step < run[hit])]
-            flags[hit, c - column[hit]] = True
+        for group, symbol, doc, depth in _runs(build, whole):
+            group = group - group[0]
+            keep = (np.bincount(group, weights=count[doc])[group] >= 2) & (depth >= whole)
+            group, doc, at = group[keep], doc[keep], (last[doc] - depth + 1)[keep]
+            before, after = vocabulary[symbol[keep]], words[doc, np.minimum(at + whole, words.shape[1] - 1)]
+            after[at + whole >= words.shape[1]] = 0
+            for r in range(WORD):
+                step = WORD * at - r - column[doc]
+                mine = np.flatnonzero((step >= 0) & (step < run[doc]))
+                if not len(mine):
+                    continue
+                rest = after[mine] if r == 0 else before[mine] << np.uint64(8 * (WORD - r)) | after[mine] >> np.uint64(8 * r)
+                order = np.lexsort((rest, group[mine]))
+                mine, rest = mine[order], rest[order]
+                fresh = np.ones(len(mine), bool)
+                fresh[1:] = (rest[1:] != rest[:-1]) | (group[mine[1:]] != group[mine[:-1]])
+                equal = np.cumsum(fresh) - 1
+                hit = mine[np.bincount(equal, weights=count[doc[mine]])[equal] >= 2]
+                flags[doc[hit], step[hit]] = True
     finally:
         build.close()
     return flags
@@ -282,7 +238,7 @@ def _ranges(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return row, first, np.nonzero(step == -1)[1] - 1
 
 
-def _build(span: int, gram: int, chunk: int):
+def _build(span: int, gram: int, chunk: int, place: str):
     """Segments sorted by anchor to the ranges of their repeated windows."""
 
     def flush(table: pa.Table):
@@ -292,7 +248,7 @@ def _build(span: int, gram: int, chunk: int):
         offsets = np.frombuffer(offsets, np.int64)[body.offset : body.offset + len(body) + 1]
         shape = table.column("shape").to_numpy()
         flags = repeated_windows(
-            np.frombuffer(data, np.uint8), offsets, shape >> 16, shape & 0xFFFF, table.column("count").to_numpy(), span, gram, chunk
+            np.frombuffer(data, np.uint8), offsets, shape >> 16, shape & 0xFFFF, table.column("count").to_numpy(), span, gram, chunk, place
         )
         row, first, last = _ranges(flags)
         at = pa.array(row)
@@ -311,7 +267,7 @@ def _build(span: int, gram: int, chunk: int):
         for batch in batches:
             held.append(batch)
             rows += batch.num_rows
-            if rows >= chunk // 2:
+            if rows >= ROWS:
                 table = pa.Table.from_batches(held)
                 h = table.column("h").to_numpy()
                 cut = int(np.searchsorted(h, h[-1]))  # the last anchor may go on
@@ -325,6 +281,49 @@ def _build(span: int, gram: int, chunk: int):
     return run
 
 
+def _halve(span: int, gram: int, level: int):
+    """Segments to parts whose windows' anchor places lie in one of ``2 ** level`` ranges, dealt by the bytes that such windows share."""
+    width = span - gram + 1
+    size = -(-width // (1 << level))
+
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for h, g, count, shape, body in zip(*(c.to_pylist() for c in batch.columns)):
+                left, windows = shape >> 16, shape & 0xFFFF
+                for part in range((left - windows + 1) // size, left // size + 1):
+                    low, high = part * size, min(part * size + size - 1, width - 1)  # anchor places
+                    begin, end = max(0, left - high), min(windows - 1, left - low)  # windows
+                    key = body[left - low : left - high + span] if level < FINEST else body[begin : begin + span]
+                    own = body[begin : end + span]
+                    mark = f"{h} {level} {part}".encode()
+                    new = (left - begin) << 16 | (end - begin + 1)
+                    rows.append((xxhash.xxh64_intdigest(mark + key, 3), xxhash.xxh3_64_intdigest(own, new), h, g, begin, count, new, own))
+            kinds = (pa.uint64(), pa.uint64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary())
+            columns = [pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * len(kinds), kinds)]
+            columns[:2] = [pa.array(c.to_numpy().view(np.int64)) for c in columns[:2]]
+            yield pa.RecordBatch.from_arrays(columns, ["h", "g", "up_h", "up_g", "shift", "count", "shape", "body"])
+
+    return run
+
+
+def _hits(bodies: DataFrame, span: int, gram: int, crowd: int, chunk: int, level: int = 0) -> DataFrame:
+    """``(h, g, first, last)``: the ranges of repeated windows of ``bodies(h, g, count, shape, body)``."""
+    place = f"{shared_dir(bodies.sparkSession)}/tapes"
+    build = _build(span, gram, chunk, place)
+    kinds = "h long, g long, first int, last int"
+    crowds = settle(bodies.groupBy("h").count().where(F.col("count") > crowd).select("h"), "crowds")
+    if level == FINEST or crowds.isEmpty():
+        return bodies.repartition("h").sortWithinPartitions("h").mapInArrow(build, kinds)
+    found = bodies.join(crowds, "h", "left_anti").repartition("h").sortWithinPartitions("h").mapInArrow(build, kinds)
+    schema = "h long, g long, up_h long, up_g long, shift int, count long, shape int, body binary"
+    parts = settle(bodies.join(crowds, "h", "left_semi").select("h", "g", "count", "shape", "body").mapInArrow(_halve(span, gram, level + 1), schema), "parts")
+    variants = parts.groupBy("h", "g").agg(F.sum("count").alias("count"), F.any_value("shape").alias("shape"), F.any_value("body").alias("body"))
+    finer = _hits(settle(variants, "variants"), span, gram, crowd, chunk, level + 1)
+    back = parts.join(finer, ["h", "g"]).select(F.col("up_h").alias("h"), F.col("up_g").alias("g"), (F.col("first") + F.col("shift")).alias("first"), (F.col("last") + F.col("shift")).alias("last"))
+    return found.unionByName(back)
+
+
 def _extract(span: int):
     """Texts with the segments wanted of them to those segments' bytes."""
 
@@ -344,31 +343,6 @@ def _extract(span: int):
     return run
 
 
-def _single_windows(span: int):
-    """Each window of a segment by itself: two hashes of its bytes."""
-
-    def run(batches):
-        for batch in batches:
-            for row in batch.to_pylist():
-                body = row["body"]
-                steps = range((row["shape"] & 0xFFFF))
-                parts = [body[i : i + span] for i in steps]
-                n = len(parts)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([row["h"]] * n, pa.int64()),
-                        pa.array([row["g"]] * n, pa.int64()),
-                        pa.array([row["count"]] * n, pa.int64()),
-                        pa.array(list(steps), pa.int32()),
-                        pa.array(np.array([xxhash.xxh3_64_intdigest(p) for p in parts], np.uint64).view(np.int64)),
-                        pa.array(np.array([xxhash.xxh64_intdigest(p, 7) for p in parts], np.uint64).view(np.int64)),
-                    ],
-                    ["h", "g", "count", "first", "w", "v"],
-                )
-
-    return run
-
-
 def _strip(ranges):
     """Texts with the starts and ends of removed strings to what is left."""
 
@@ -428,17 +402,7 @@ def repeated_ranges(docs: DataFrame, id_col: str, text_col: str, span: int = SPA
     texts = texts.join(wanted, texts["id"].eqNullSafe(wanted["id"]) & (texts["t"] == wanted["t"])).select("body", "wanted", texts["id"], texts["t"])
     texts = texts.select("body", "wanted")
     bodies = settle(texts.mapInArrow(_extract(span), "h long, g long, count long, shape int, body binary"), "bodies")
-    crowds = settle(bodies.groupBy("h").count().where(F.col("count") > crowd).select("h"), "crowds")
-    plain = bodies
-    if crowded := not crowds.isEmpty():
-        plain = bodies.join(crowds, "h", "left_anti")
-    hits = plain.repartition("h").sortWithinPartitions("h").mapInArrow(_build(span, gram, chunk), "h long, g long, first int, last int")
-    if crowded:
-        single = settle(
-            bodies.join(crowds, "h", "left_semi").mapInArrow(_single_windows(span), "h long, g long, count long, first int, w long, v long"), "windows"
-        )
-        twice = single.groupBy("w", "v").agg(F.sum("count").alias("n")).where("n > 1").select("w", "v")
-        hits = hits.unionByName(single.join(twice, ["w", "v"], "left_semi").select("h", "g", "first", F.col("first").alias("last")))
+    hits = _hits(bodies, span, gram, crowd, chunk)
     hits = settle(hits.distinct(), "hits")
     return found.join(hits, ["h", "g"]).select(
         "id", "t", (F.col("start") + F.col("first")).alias("a"), (F.col("start") + F.col("last") + span).alias("b")

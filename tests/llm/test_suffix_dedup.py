@@ -4,6 +4,7 @@ from collections import defaultdict
 import numpy as np
 
 from fathomline.llm import suffix_dedup as sd
+from fathomline.llm.collection import Collection
 
 
 def brute(docs, span):
@@ -51,19 +52,53 @@ def test_edges(spark):
     assert kept[8] == "short" and kept[1] == ""
 
 
-def test_columns_in_files_agree():
+def test_collection_against_sorted_suffixes(tmp_path):
     rng = np.random.default_rng(3)
-    texts = [bytes(rng.integers(97, 99, rng.integers(5, 30), dtype=np.uint8)) for _ in range(300)]
-    data = np.frombuffer(b"".join(texts), np.uint8)
-    offsets = np.concatenate(([0], np.cumsum([len(t) for t in texts])))
-    column = np.zeros(300, np.int64)
-    for chunk in (7, 64, 1000):
-        build = sd.Columns(data, offsets, column, 30, chunk)
-        for c, order, common in build.rounds():
-            suffixes = [texts[i][c:] for i in order]
-            assert suffixes == sorted(suffixes)
-            for n in range(1, 300):
-                a, b = suffixes[n - 1], suffixes[n]
-                lcp = next((k for k in range(min(len(a), len(b))) if a[k] != b[k]), min(len(a), len(b)))
-                assert common[n] == lcp
+    grid = rng.integers(1, 4, (120, 14)).astype(np.int32)
+    first, last = rng.integers(0, 6, 120), rng.integers(5, 14, 120)
+    for chunk in (7, 64, 1 << 20):
+        build = Collection(grid, first, last, chunk, f"file://{tmp_path}/tapes")
+        before, common, doc, depth = (np.concatenate(x) for x in zip(*build.blocks()))
+        suffixes = [tuple(grid[d, last[d] - k + 1 : last[d] + 1]) for d, k in zip(doc, depth)]
+        assert len(suffixes) == (last - first + 2).sum() and suffixes == sorted(suffixes)
+        assert before.tolist() == [grid[d, last[d] - k] if last[d] - k >= first[d] else 0 for d, k in zip(doc, depth)]
+        for n in range(1, len(suffixes)):
+            a, b = suffixes[n - 1], suffixes[n]
+            assert common[n] == next((k for k in range(min(len(a), len(b))) if a[k] != b[k]), min(len(a), len(b)))
         build.close()
+        assert not list(tmp_path.rglob("*")) or not [f for f in tmp_path.rglob("*") if f.is_file()]
+
+
+def test_a_crowded_anchor_is_dealt_again(spark):
+    """A passage of 60 to 198 bytes in unlike texts: its anchor gathers them all, and only true repeats go."""
+    rng = np.random.default_rng(5)
+    passage = bytes(rng.integers(97, 123, 198, dtype=np.uint8)).decode()
+
+    def noise(n):
+        return bytes(rng.integers(97, 123, n, dtype=np.uint8)).decode()
+
+    tails = [noise(150) for _ in range(5)]
+    docs = [(i, noise(120) + passage[: 60 + 20 * (i % 7)] + (tails[i % 5] if i % 3 == 0 else noise(150))) for i in range(400)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    want = brute(docs, sd.SPAN)
+    assert rows(sd.remove_repeats(df, crowd=100)) == want
+    assert sum(n for _, _, n, _, _ in want) > 0
+
+
+def test_an_anchor_of_more_segments_than_a_collection_takes(tmp_path):
+    """More different segments of one anchor than CROWD in one collection, most of it in files."""
+    rng = np.random.default_rng(6)
+    n, anchor = sd.CROWD + 19_000, np.frombuffer(bytes(range(97, 137)), np.uint8)
+    noise = rng.integers(97, 123, (n, 180), dtype=np.uint8)
+    table = np.concatenate([noise[:, :20], np.tile(anchor, (n, 1)), noise[:, 20:]], axis=1)
+    table[5] = table[70_000]
+    table[5, :20] = 65
+    table[5, 219] = 66
+    place = f"file://{tmp_path}/tapes"
+
+    def found():
+        return np.argwhere(sd.repeated_windows(table.ravel(), np.arange(n + 1) * 220, np.full(n, 20), np.full(n, 21), np.ones(n, np.int64), place=place)).tolist()
+
+    assert found() == []
+    table[5, 219] = table[70_000, 219]
+    assert found() == [[5, 20], [70_000, 20]]
