@@ -12,6 +12,8 @@ of the first ``n - ceil(s n) + 1``. Any order that all texts agree on is right;
 A bucket is the texts of one such shingle. Small buckets compare all their pairs. In a larger one all members
 first meet the member with the fewest shingles before it (a copied original, mostly); then all pairs of it that
 are not linked yet by way of others are compared, dealt over blocks. So no pair that could link two components is left out.
+Before whole texts are read, a pair's parity sketches are compared: each shingle flips one of ``BITS`` bits, so texts differ
+in at least as many shingles as their sketches in bits.
 """
 
 from __future__ import annotations
@@ -29,6 +31,7 @@ from fathomline.llm.simhash import SEED
 WORDS = 5
 SIMILARITY = 0.8
 RADIUS = 3  # bits of the SimHash search
+BITS = 1024  # of a parity sketch
 SAMPLE = 16_000  # texts whose shingles are counted
 COMMON = 4  # texts of the sample that a common shingle is in
 MOST = 200_000  # common shingles that the order knows
@@ -69,6 +72,18 @@ def prefix(hashes: np.ndarray, common: np.ndarray, counts: np.ndarray, similarit
     return hashes[np.argsort(rank, kind="stable")][: n - least + 1]
 
 
+def parity(hashes: np.ndarray) -> np.ndarray:
+    """Which bits an odd number of the distinct ``hashes`` flip, in signed longs."""
+    odd = np.bincount((hashes & np.uint64(BITS - 1)).astype(np.int64), minlength=BITS) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
+
+
+def _close(x: str, y: str, similarity: float):
+    """Columns ``odd`` and ``n`` of two sides don't rule out ``similarity``."""
+    differ = " + ".join(f"bit_count({x}odd[{i}] ^ {y}odd[{i}])" for i in range(BITS // 64))
+    return F.expr(differ) <= (1 - similarity) / (1 + similarity) * F.expr(f"{x}n + {y}n") + 1e-6
+
+
 def _shingled(words: int):
     def run(batches):
         for batch in batches:
@@ -81,7 +96,7 @@ def _shingled(words: int):
 def _sketches(words: int, similarity: float, common: np.ndarray, counts: np.ndarray):
     def run(batches):
         for batch in batches:
-            d1, d2, fps, sizes, keys = [], [], [], [], []
+            d1, d2, fps, sizes, odd, keys = [], [], [], [], [], []
             for text in batch.column(3):
                 body = (text.as_py() or "").encode()
                 line = b" ".join(body.lower().split())
@@ -91,6 +106,7 @@ def _sketches(words: int, similarity: float, common: np.ndarray, counts: np.ndar
                 d2.append(xxhash.xxh64_intdigest(line, 2))
                 fps.append(simhash.majority(every))
                 sizes.append(len(hashes))
+                odd.append(parity(hashes))
                 keys.append(prefix(hashes, common, counts, similarity))
             ends = np.cumsum([0, *map(len, keys)]).astype(np.int32)
             flat = np.concatenate(keys or [np.zeros(0, np.uint64)]).view(np.int64)
@@ -99,9 +115,10 @@ def _sketches(words: int, similarity: float, common: np.ndarray, counts: np.ndar
                     *(batch.column(n) for n in range(3)),
                     *(pa.array(np.array(x, np.uint64).view(np.int64)) for x in (d1, d2, fps)),
                     pa.array(sizes, pa.int32()),
+                    pa.array(odd, pa.list_(pa.int64())),
                     pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)),
                 ],
-                ["id", "t1", "t2", "d1", "d2", "fp", "n", "keys"],
+                ["id", "t1", "t2", "d1", "d2", "fp", "n", "odd", "keys"],
             )
 
     return run
@@ -138,12 +155,14 @@ def _common(texts: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
 
 def _met(left: DataFrame, right: DataFrame, on: list[str], where, similarity: float) -> DataFrame:
     """Pairs ``(a, b)`` of ``node, n, pos, root`` in different components that meet ``on`` and whose sizes, and what follows the shingle, allow ``similarity``."""
-    names = ["node", "n", "pos", "root", "own"]
+    names = ["node", "n", "pos", "root", "odd"]
     x = left.select(*on, *[F.col(c).alias(f"x{c}") for c in names if c in left.columns])
     y = right.select(*on, *[F.col(c).alias(f"y{c}") for c in names if c in right.columns])
     both = 1 + F.least(F.expr("xn - xpos - 1"), F.expr("yn - ypos - 1"))
     need = (similarity * (F.col("xn") + F.col("yn")) - 1e-6) / (1 + similarity)
     met = x.join(y, on).where(F.expr("xroot <> yroot")).where(where).where(both >= need)
+    if "odd" in left.columns:
+        met = met.where(_close("x", "y", similarity))
     met = met.where(F.least("xn", "yn") >= similarity * F.greatest("xn", "yn") - 1e-6)
     return met.select(F.least("xnode", "ynode").alias("a"), F.greatest("xnode", "ynode").alias("b")).distinct()
 
@@ -161,13 +180,13 @@ def _first(shared: DataFrame, similarity: float) -> DataFrame:
     return _met(few, few, ["key"], F.expr("xnode < ynode"), similarity).unionByName(_met(many, fewest, ["key"], F.expr("xnode <> ynode"), similarity)).distinct()
 
 
-def _rest(shared: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
+def _rest(shared: DataFrame, texts: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
     """All pairs of larger buckets whose texts are in different components, bucket blocks against blocks."""
     now = _rooted(shared.where(F.col("size") > SMALL).select("key", "node", "n", "pos"), roots)
     split = now.groupBy("key").agg(F.count("*").alias("m"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key", "m")
-    dealt = now.join(split, "key").withColumn("k", F.ceil(F.col("m") / BLOCK).cast("int"))
+    dealt = now.join(split, "key").join(texts.select("node", "odd"), "node").withColumn("k", F.ceil(F.col("m") / BLOCK).cast("int"))
     dealt = dealt.withColumn("own", F.pmod(F.xxhash64("node"), F.col("k")).cast("int")).withColumn("to", F.explode(F.expr("sequence(0, k - 1)")))
-    dealt = dealt.select("key", F.least("own", "to").alias("i"), F.greatest("own", "to").alias("j"), "node", "n", "pos", "root", "own")
+    dealt = dealt.select("key", F.least("own", "to").alias("i"), F.greatest("own", "to").alias("j"), "node", "n", "pos", "root", "odd", "own")
     return _met(dealt.where("own = i"), dealt.where("own = j"), ["key", "i", "j"], F.expr("i < j or xnode < ynode"), similarity)
 
 
@@ -179,10 +198,10 @@ class _Search:
         body = F.coalesce(F.col(text_col), F.lit(""))
         self.rows = docs.select(F.col(id_col).alias("id"), *_digests(body), body.alias("body"))
         kind = self.rows.schema["id"].dataType.simpleString()
-        schema = f"id {kind}, t1 long, t2 long, d1 long, d2 long, fp long, n int, keys array<long>"
+        schema = f"id {kind}, t1 long, t2 long, d1 long, d2 long, fp long, n int, odd array<long>, keys array<long>"
         self.sketches = settle(self.rows.mapInArrow(_sketches(words, similarity, *_common(self.rows, words)), schema), "sketches")
         low = F.min(F.struct(F.col("id").isNull().alias("nameless"), "id", "t1", "t2")).alias("low")
-        texts = self.sketches.groupBy("d1", "d2").agg(low, *[F.any_value(c).alias(c) for c in ("fp", "n", "keys")])
+        texts = self.sketches.groupBy("d1", "d2").agg(low, *[F.any_value(c).alias(c) for c in ("fp", "n", "odd", "keys")])
         self.texts = settle(texts.withColumn("node", F.monotonically_increasing_id()), "texts")
         self.repeats = not self.sketches.groupBy("id", "t1", "t2").count().where("count > 1").isEmpty()
         self.roots = self._roots(radius)
@@ -199,7 +218,7 @@ class _Search:
         if not more.isEmpty():
             edges = edges.unionByName(more)
             roots = components(edges)
-        rest = settle(_rest(shared, roots, self.similarity).join(met, ["a", "b"], "left_anti"), "pairs")
+        rest = settle(_rest(shared, self.texts, roots, self.similarity).join(met, ["a", "b"], "left_anti"), "pairs")
         if not rest.isEmpty():
             more = self._linked(rest)
             if not more.isEmpty():
@@ -218,6 +237,10 @@ class _Search:
 
     def _linked(self, pairs: DataFrame) -> DataFrame:
         """Those of ``pairs`` whose whole texts are alike."""
+        sketch = self.texts.select("node", "n", "odd")
+        for side in "ab":
+            pairs = pairs.join(sketch.toDF(side, f"{side}n", f"{side}odd"), side)
+        pairs = settle(pairs.where(_close("a", "b", self.similarity)).select("a", "b"), "pairs")
         wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
         wanted = wanted.join(self.texts.select("node", "low"), "node").select("node", F.col("low.id").alias("own"), "low.t1", "low.t2")
         rows = self.rows.dropDuplicates(["id", "t1", "t2"]) if self.repeats else self.rows

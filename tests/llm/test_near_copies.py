@@ -83,3 +83,13 @@ def test_pairs_just_above_the_bound(spark):
         rows += [(2 * i, " ".join(base)), (2 * i + 1, edited(base, {5 * p + 4 for p in r.sample(range(44), 5)}, i))]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     assert {x.doc_id: x.component_id for x in nc.near_copies(df).collect()} == {i: i - i % 2 for i, _ in rows}
+
+
+def test_parity_bounds_the_difference():
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    for _ in range(200):
+        a = np.unique(rng.integers(0, 400, rng.integers(1, 300)).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        b = np.unique(np.concatenate([a[: len(a) // 2], rng.integers(0, 1 << 62, rng.integers(1, 300)).astype(np.uint64)]))
+        assert np.bitwise_count((nc.parity(a) ^ nc.parity(b)).view(np.uint64)).sum() <= len(np.setxor1d(a, b))
