@@ -11,8 +11,9 @@ groups at most, so they share a cell at least: no link can be lost. Within a cel
 Manhattan bound drops most pairs and the exact Hamming distance decides the rest.
 
 Equal fingerprints are one point, so exact copies cost nothing. A cell yields a spanning
-forest, not its pairs. Cells above ``CROWD`` points are dealt again over the remaining
-dimensions, so no one task gets a crowded cell whole.
+forest, not its pairs. Cells above ``CROWD`` points are dealt again over finer groups of the
+dimensions; cells crowded even so go by groups of the bits themselves, of which all but
+``radius`` agree. What is left open there is few bits, so a cell's distinct points are bounded.
 """
 
 from __future__ import annotations
@@ -188,33 +189,37 @@ def _matcher(radius: int, crowd: int | None):
     return run
 
 
-def _deal(points: DataFrame, masks: list[int], take: int, extra: list[str]) -> DataFrame:
-    """``(cell, fp)``: each point in the cell of every choice of ``take`` groups of dimensions."""
+def _deal(points: DataFrame, masks: list[int], take: int, extra: list[str], bits: bool = False) -> DataFrame:
+    """``(cell, fp)``: each point in the cell of every choice of ``take`` groups of dimensions, or of bits."""
     low = F.lit(LOW)
     a = F.col("fp").bitwiseAND(low)
     b = F.shiftrightunsigned("fp", 1).bitwiseAND(low)
     unary = a.bitwiseOR(b).bitwiseOR(F.shiftleft(a.bitwiseAND(b), 1))
     choices = [sum(c) for c in combinations(masks, take)]
-    points = points.withColumn("u", unary)
+    points = points.withColumn("u", F.col("fp") if bits else unary)
     cells = F.array(*[F.xxhash64(F.lit(n), F.col("u").bitwiseAND(F.lit(_signed(m))), *extra) for n, m in enumerate(choices)])
     return points.select(F.explode(cells).alias("cell"), "fp")
 
 
+def _bit_masks(parts: int) -> list[int]:
+    return [sum(1 << int(b) for b in part) for part in np.array_split(np.arange(64), parts)]
+
+
 def links(points: DataFrame, radius: int = 3, crowd: int = CROWD) -> DataFrame:
     """Links ``(a, b)`` between the distinct longs ``points(fp)`` whose transitive closure is that of all pairs within ``radius`` bits."""
-    parts = radius + 3
-    masks = _group_masks(list(range(32)), parts)
-    dealt = _deal(points, masks, 3, []).repartition("cell").sortWithinPartitions("cell")
-    first = settle(dealt.mapInArrow(_matcher(radius, crowd), "a long, b long, cell long"), "grid")
-    found = first.where("b is not null").select("a", "b")
-    crowded = first.where("b is null").select(F.col("a").alias("fp"), "cell").distinct()
-    if not crowded.isEmpty():
-        # a crowded cell's points agree on three groups; deal them over finer groups of all dimensions
-        fine = _group_masks(list(range(32)), radius + 6)
-        again = _deal(crowded.withColumnRenamed("cell", "old"), fine, 6, ["old"])
-        again = again.repartition("cell").sortWithinPartitions("cell")
-        found = found.unionByName(again.mapInArrow(_matcher(radius, None), "a long, b long, cell long").select("a", "b"))
-    return found
+    dims = list(range(32))
+    # groups, how many of them a cell fixes, and whether they are of bits; the last leaves 64 * radius / (radius + 13) bits open
+    levels = [(_group_masks(dims, radius + 3), 3, False), (_group_masks(dims, radius + 6), 6, False), (_bit_masks(radius + 13), 13, True)]
+    found, now, extra = None, points, []
+    for n, (masks, take, bits) in enumerate(levels):
+        final = n == len(levels) - 1
+        dealt = _deal(now, masks, take, extra, bits).repartition("cell").sortWithinPartitions("cell")
+        met = settle(dealt.mapInArrow(_matcher(radius, None if final else crowd), "a long, b long, cell long"), "grid")
+        some = met.where("b is not null").select("a", "b")
+        found = some if found is None else found.unionByName(some)
+        now, extra = met.where("b is null").select(F.col("a").alias("fp"), F.col("cell").alias("old")).distinct(), ["old"]
+        if final or now.isEmpty():
+            return found
 
 
 def near_duplicates(

@@ -67,7 +67,7 @@ def test_crowded_cells_lose_no_link(spark):
     df = spark.createDataFrame([(p,) for p in points], "fp long")
     from fathomline.llm.common import components
 
-    for crowd in (8, 4096):
+    for crowd in (2, 8, 4096):
         found = {r.node: r.root for r in components(simhash.links(df, crowd=crowd)).collect()}
         want = brute_components({p: p for p in points})
         assert {p: found.get(p, p) for p in points} == want
