@@ -12,6 +12,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import regex
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,16 +22,16 @@ WINDOW = 256
 DIM = 8
 WIDTHS = (2, 3, 4, 5)
 FILTERS = 16  # of each width
-EPOCHS = 10  # or as many as make STEPS steps
+EPOCHS = 4  # or as many as make STEPS steps
 STEPS = 800
 BATCH = 64
 AT_ONCE = 32  # windows scored at a time, to stay in cache
 PAD = 256
 UNDETERMINED = "und"
 LETTER = regex.compile(r"\p{L}")
-#: Bound of the training sample, drawn by hash: texts of a language, and characters of each.
-SAMPLE_TEXTS = 800
-SAMPLE_CHARS = 512
+#: Bound of the training sample: windows of a language, drawn by hash from all windows of all its labelled texts.
+SAMPLE_WINDOWS = 2400
+SURPLUS = 1.2  # of windows drawn, so that chance leaves no fewer than the bound
 FOLD = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.int16)
 LETTER_BYTES = np.array([chr(b).isalpha() if b < 128 else True for b in range(256)] + [False])
 
@@ -72,53 +73,22 @@ def windows_of(text: np.ndarray) -> np.ndarray:
     return out.reshape(rows, WINDOW)
 
 
-def train(texts: list[str], langs: list[str], seed: int = 0) -> Model:
-    """Fit the network to labelled texts by Adam on cross-entropy."""
+def train(windows: np.ndarray, langs: list[str], seed: int = 0) -> Model:
+    """Fit the network to labelled windows by Adam on cross-entropy."""
     rng = np.random.default_rng(seed)
     names = sorted(set(langs))
-    parts = [windows_of(np.frombuffer(t.encode(), np.uint8)) for t in texts]
-    x = np.concatenate(parts)
-    y = np.repeat([names.index(lang) for lang in langs], [len(p) for p in parts])
+    x, y = windows, np.array([names.index(lang) for lang in langs])
     keep = LETTER_BYTES[x].sum(axis=1) >= WINDOW // 8  # a window of few letters tells nothing
     if keep.any():
         x, y = x[keep], y[keep]
-    most, count = max(WIDTHS), FILTERS * len(WIDTHS)
-    mask = np.zeros((most * DIM, count), np.float32)
-    for n, w in enumerate(WIDTHS):
-        mask[: w * DIM, n * FILTERS : (n + 1) * FILTERS] = 1
-    scale = np.sqrt(2 / (np.repeat(WIDTHS, FILTERS) * DIM))
-    p = {
-        "embed": rng.normal(0, 1, (PAD + 1, DIM)),
-        "filters": rng.normal(0, 1, (most * DIM, count)) * mask * scale,
-        "bias": np.zeros(count),
-        "dense": rng.normal(0, 0.1, (count, len(names))),
-        "offset": np.zeros(len(names)),
-    }
-    p = {k: v.astype(np.float32) for k, v in p.items()}
-    p["embed"][PAD] = 0
+    p = _begin(rng, len(names))
     first, second = ({k: np.zeros_like(v) for k, v in p.items()} for _ in range(2))
     step = 0
     weight = 1 / np.bincount(y, minlength=len(names)).clip(1)
     weight = (weight * len(y) / len(names)).astype(np.float32)
     for _ in range(max(EPOCHS, STEPS // max(1, len(x) // BATCH))):
         for at in np.array_split(rng.permutation(len(x)), max(1, len(x) // BATCH)):
-            idx, label = x[at], y[at]
-            columns = _columns(p["embed"][idx])
-            maps = columns @ p["filters"]
-            where = maps.argmax(axis=1)
-            raw = np.take_along_axis(maps, where[:, None], 1)[:, 0] + p["bias"]
-            pooled = np.maximum(raw, 0)
-            delta = _softmax(pooled @ p["dense"] + p["offset"])
-            delta[np.arange(len(at)), label] -= 1
-            delta *= (weight[label] / len(at))[:, None]
-            back = (delta @ p["dense"].T) * (raw > 0)
-            rows = np.arange(len(at))[:, None]
-            g = {"dense": pooled.T @ delta, "offset": delta.sum(axis=0), "bias": back.sum(axis=0)}
-            g["filters"] = np.einsum("bfc,bf->cf", columns[rows, where], back) * mask
-            spread = (back[:, :, None] * p["filters"].T).reshape(len(at), count, most, DIM)
-            g["embed"] = np.zeros_like(p["embed"])
-            np.add.at(g["embed"], idx[rows[:, :, None], where[:, :, None] + np.arange(most)], spread)
-            g["embed"][PAD] = 0
+            _, g = loss_and_gradient(p, x[at], y[at], weight[y[at]] / len(at))
             step += 1
             for k in p:
                 first[k] = 0.9 * first[k] + 0.1 * g[k]
@@ -127,33 +97,98 @@ def train(texts: list[str], langs: list[str], seed: int = 0) -> Model:
     return Model(names, *(p[k].astype(np.float32) for k in ("embed", "filters", "bias", "dense", "offset")))
 
 
+def _mask() -> np.ndarray:
+    """Which weights of the widest filter shape each filter has."""
+    mask = np.zeros((max(WIDTHS) * DIM, FILTERS * len(WIDTHS)), np.float32)
+    for n, w in enumerate(WIDTHS):
+        mask[: w * DIM, n * FILTERS : (n + 1) * FILTERS] = 1
+    return mask
+
+
+def _begin(rng, langs: int) -> dict[str, np.ndarray]:
+    count = FILTERS * len(WIDTHS)
+    scale = np.sqrt(2 / (np.repeat(WIDTHS, FILTERS) * DIM))
+    p = {
+        "embed": rng.normal(0, 1, (PAD + 1, DIM)),
+        "filters": rng.normal(0, 1, (max(WIDTHS) * DIM, count)) * _mask() * scale,
+        "bias": np.zeros(count),
+        "dense": rng.normal(0, 0.1, (count, langs)),
+        "offset": np.zeros(langs),
+    }
+    p = {k: v.astype(np.float32) for k, v in p.items()}
+    p["embed"][PAD] = 0
+    return p
+
+
+def loss_and_gradient(p: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
+    """Weighted cross-entropy of windows ``x`` with classes ``y``, and its gradient by each parameter."""
+    most, rows = max(WIDTHS), np.arange(len(x))[:, None]
+    columns = _columns(p["embed"][x])
+    maps = columns @ p["filters"]
+    where = maps.argmax(axis=1)
+    raw = np.take_along_axis(maps, where[:, None], 1)[:, 0] + p["bias"]
+    pooled = np.maximum(raw, 0)
+    delta = _softmax(pooled @ p["dense"] + p["offset"])
+    loss = float(-(weight * np.log(delta[rows[:, 0], y] + 1e-30)).sum())
+    delta[rows[:, 0], y] -= 1
+    delta *= weight[:, None]
+    back = (delta @ p["dense"].T) * (raw > 0)
+    g = {"dense": pooled.T @ delta, "offset": delta.sum(axis=0), "bias": back.sum(axis=0)}
+    g["filters"] = np.einsum("bfc,bf->cf", columns[rows, where], back) * _mask()
+    spread = (back[:, :, None] * p["filters"].T).reshape(len(x), -1, most, DIM)
+    g["embed"] = np.zeros_like(p["embed"])
+    np.add.at(g["embed"], x[rows[:, :, None], where[:, :, None] + np.arange(most)], spread)
+    g["embed"][PAD] = 0
+    return loss, g
+
+
 def held_out(id_col):
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % 3 == 1
 
 
+def _draw(shares: dict[str, int]):
+    """Windows of ``(id, label, body)`` whose hash is under their label's share of 2 ** 64."""
+
+    def run(batches):
+        for batch in batches:
+            data, offsets = bytes_of(batch.column(2))
+            seeds = [xxhash.xxh64_intdigest(str(i).encode(), 9) for i in batch.column(0).to_pylist()]
+            labels, ranks, parts = [], [], []
+            for n, label in enumerate(batch.column(1).to_pylist()):
+                text = data[offsets[n] : offsets[n + 1]]
+                count = max(1, -(-len(text) // WINDOW))
+                rank = (np.arange(1, count + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ np.uint64(seeds[n])
+                rank ^= rank >> np.uint64(31)
+                rank *= np.uint64(0xBF58476D1CE4E5B9)
+                rank ^= rank >> np.uint64(29)
+                for k in np.flatnonzero(rank <= np.uint64(shares.get(label, 0))).tolist():
+                    labels.append(label)
+                    ranks.append(int(rank[k]) >> 1)
+                    parts.append(text[k * WINDOW : (k + 1) * WINDOW].tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(labels, pa.string()), pa.array(ranks, pa.int64()), pa.array(parts, pa.binary())], ["label", "rank", "part"])
+
+    return run
+
+
 def fit(
-    docs: DataFrame,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    lang_col: str = "lang",
-    texts: int = SAMPLE_TEXTS,
-    chars: int = SAMPLE_CHARS,
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", windows: int = SAMPLE_WINDOWS
 ) -> Model | None:
     """Train on rows not held out that have a label, an id and a letter; None if there are none.
 
-    The sample is bounded: of each language at most ``texts`` rows, those of the smallest id hash, and of
-    each text ``chars`` characters from a place drawn by hash.
+    The sample is bounded: of each language at most ``windows`` windows, those of the smallest hash among all windows of
+    all its texts. A share of them is drawn by hash first, so few rows leave a task, whatever the table's size.
     """
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("body"), F.col(lang_col).cast("string").alias("label"))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("label"), F.col(text_col).alias("body"))
     rows = rows.where(F.col("label").isNotNull() & F.col("id").isNotNull() & ~held_out("id") & F.col("body").rlike(r"\p{L}"))
-    rank = F.xxhash64(F.col("id").cast("string"))
-    room = F.greatest(F.length("body") - chars, F.lit(0)) + 1
-    part = F.substr("body", (F.pmod(F.xxhash64(F.col("id").cast("string"), F.lit(1)), room) + 1).cast("int"), F.lit(chars))
-    rows = rows.select("label", rank.alias("rank"), part.alias("part"))
+    totals = rows.groupBy("label").agg(F.sum(F.greatest(F.lit(1), F.ceil(F.octet_length("body") / WINDOW))).alias("n")).collect()
+    shares = {r.label: min((1 << 64) - 1, int((SURPLUS * windows + 64) / int(r.n) * (1 << 64))) for r in totals}
+    drawn = rows.mapInArrow(_draw(shares), "label string, rank long, part binary")
     order = Window.partitionBy("label").orderBy("rank", "part")
-    sample = rows.withColumn("n", F.row_number().over(order)).where(F.col("n") <= texts).select("label", "part").collect()
-    sample = sorted((r.label, r.part) for r in sample)
-    return train([t for _, t in sample], [lang for lang, _ in sample]) if sample else None
+    sample = drawn.withColumn("n", F.row_number().over(order)).where(F.col("n") <= windows).select("label", "part").collect()
+    sample = sorted((r.label, bytes(r.part)) for r in sample)
+    if not sample:
+        return None
+    return train(np.concatenate([windows_of(np.frombuffer(part, np.uint8)) for _, part in sample]), [lang for lang, _ in sample])
 
 
 def _predict(model: Model | None):
