@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 from fathomline.llm.common import settle
 
 ICU = "com.ibm.icu."
+RANGE_BYTES = 32 << 20  # of text in a range
+MOST_RANGES = 1 << 14  # bounds that the driver holds; beyond, ranges grow
 TEXT, GUEST, RIDER = 0, 1, 2  # order of rows within a range
 
 
@@ -112,6 +114,7 @@ def with_next(rows: DataFrame, columns: list[str], parts: int, riders: DataFrame
     dealt = ranged.withColumn("place", F.explode(F.when(is_first, F.array(own, guest)).otherwise(F.array(own))))
     dealt = dealt.select(*rows.columns, "place.part", "place.kind")
     dealt = dealt.unionByName(riders.withColumn("part", _bucket(bounds)).withColumn("kind", F.lit(RIDER)), allowMissingColumns=True)
+    dealt = dealt.repartition(max(parts, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "part")
     order = Window.partitionBy("part").orderBy("kind", "id", "body")
     mine = Window.partitionBy("part", "id", "fingerprint")
     dealt = dealt.withColumns({f"next_{c}": F.lead(c).over(order) for c in columns})
@@ -131,7 +134,8 @@ def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("body"))
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    size = rows.agg(F.sum(F.octet_length("body"))).first()[0] or 0
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(MOST_RANGES, size // RANGE_BYTES))
     printed = rows.withColumn("fingerprint", hasher(canonical(F.col("body"))))
     shared = settle(_shared(settle(printed.select("id", "fingerprint"), "prints")), "shared")
     paired = with_next(printed, ["body", "fingerprint"], parts, shared)
