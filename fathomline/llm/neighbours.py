@@ -22,7 +22,7 @@ from fathomline.llm.common import settle
 PIVOTS = 256  # bound of the sample that the index is fitted on
 PREFIX = 96
 SHARE = 0.12
-LEAST = 512  # vectors of a block reranked at least
+LEAST = 48  # vectors of a block reranked at least
 QUERY_BLOCK = 4096
 BLOCK = 16384
 EVERY = 50

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fathomline.llm.collection import CHUNK, Collection
-from fathomline.llm.common import bytes_of, settle, shared_dir
+from fathomline.llm.common import bytes_of, discard, settle, shared_dir
 
 SPAN = 200
 GRAM = 40
@@ -404,6 +404,8 @@ def repeated_ranges(docs: DataFrame, id_col: str, text_col: str, span: int = SPA
     bodies = settle(texts.mapInArrow(_extract(span), "h long, g long, count long, shape int, body binary"), "bodies")
     hits = _hits(bodies, span, gram, crowd, chunk)
     hits = settle(hits.distinct(), "hits")
+    discard(anchors)
+    discard(bodies)
     return found.join(hits, ["h", "g"]).select(
         "id", "t", (F.col("start") + F.col("first")).alias("a"), (F.col("start") + F.col("last") + span).alias("b")
     )
