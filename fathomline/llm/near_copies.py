@@ -9,9 +9,10 @@ All texts put their shingles in one global order: those that a sample of the tex
 others by hash. Texts of similarity s share more than the last s-th part of their shingles, so they share one
 of the first ``n - ceil(s n) + 1``. Any order that all texts agree on is right; the sample only sets its speed.
 
-A bucket is the texts of one such shingle. Small buckets compare all their pairs. In a larger one all members
-first meet the member with the fewest shingles before it (a copied original, mostly); then all pairs of it that
-are not linked yet by way of others are compared, dealt over blocks. So no pair that could link two components is left out.
+A bucket is the texts of one such shingle. Small buckets compare all their pairs. In larger ones a text first meets
+the closest of its buckets' first members (those with the fewest shingles before the shared one: a copied original, mostly). After
+that most of a bucket is one component, and every text of another component meets all of the bucket's, dealt
+over blocks. So no pair that could link two components is left out.
 Before whole texts are read, a pair's parity sketches are compared: each shingle flips one of ``BITS`` bits, so texts differ
 in at least as many shingles as their sketches in bits.
 """
@@ -31,12 +32,12 @@ from fathomline.llm.simhash import SEED
 WORDS = 5
 SIMILARITY = 0.8
 RADIUS = 3  # bits of the SimHash search
-BITS = 1024  # of a parity sketch
-SAMPLE = 16_000  # texts whose shingles are counted
-COMMON = 4  # texts of the sample that a common shingle is in
+BITS = 512  # of a parity sketch
+SAMPLE, SAMPLE_LEAST = 0.125, 2000  # share of the texts whose shingles are counted, and texts at least
+COMMON = 3  # texts of the sample that a common shingle is in
 MOST = 200_000  # common shingles that the order knows
 SMALL = 8  # texts of a bucket that compares all pairs at once
-BLOCK = 256  # texts of a block of a larger bucket
+BLOCK = 1024  # texts of a block of a larger bucket
 
 
 def _hashes(text: bytes, words: int) -> np.ndarray:
@@ -78,10 +79,13 @@ def parity(hashes: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
 
 
+def _apart(x: str, y: str):
+    return F.expr(" + ".join(f"bit_count({x}odd[{i}] ^ {y}odd[{i}])" for i in range(BITS // 64)))
+
+
 def _close(x: str, y: str, similarity: float):
     """Columns ``odd`` and ``n`` of two sides don't rule out ``similarity``."""
-    differ = " + ".join(f"bit_count({x}odd[{i}] ^ {y}odd[{i}])" for i in range(BITS // 64))
-    return F.expr(differ) <= (1 - similarity) / (1 + similarity) * F.expr(f"{x}n + {y}n") + 1e-6
+    return _apart(x, y) <= (1 - similarity) / (1 + similarity) * F.expr(f"{x}n + {y}n") + 1e-6
 
 
 def _shingled(words: int):
@@ -144,7 +148,7 @@ def _verify(words: int, similarity: float):
 
 def _common(texts: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
     """The shingles that are common in a sample of ``texts(id, t1, body)``, sorted, and how many of its texts have them."""
-    share = min(1.0, SAMPLE / max(1, texts.count()))
+    share = min(1.0, max(SAMPLE, SAMPLE_LEAST / max(1, texts.count())))
     drawn = texts.where(F.pmod(F.xxhash64("id", "t1"), F.lit(1_000_000)) < int(1_000_000 * share)).select("body")
     found = drawn.mapInArrow(_shingled(words), "key long").groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") >= COMMON)
     rows = found.orderBy(F.desc("n"), "key").limit(MOST).collect()
@@ -155,7 +159,7 @@ def _common(texts: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
 
 def _met(left: DataFrame, right: DataFrame, on: list[str], where, similarity: float) -> DataFrame:
     """Pairs ``(a, b)`` of ``node, n, pos, root`` in different components that meet ``on`` and whose sizes, and what follows the shingle, allow ``similarity``."""
-    names = ["node", "n", "pos", "root", "odd"]
+    names = ["node", "n", "pos", "root", "odd", "main"]
     x = left.select(*on, *[F.col(c).alias(f"x{c}") for c in names if c in left.columns])
     y = right.select(*on, *[F.col(c).alias(f"y{c}") for c in names if c in right.columns])
     both = 1 + F.least(F.expr("xn - xpos - 1"), F.expr("yn - ypos - 1"))
@@ -172,22 +176,15 @@ def _rooted(rows: DataFrame, roots: DataFrame) -> DataFrame:
     return rows.join(roots.select("node", F.col("root").alias("r")), "node", "left").withColumn("root", F.coalesce("r", "node")).drop("r")
 
 
-def _first(shared: DataFrame, similarity: float) -> DataFrame:
-    """Pairs of small buckets, and of each member of a larger one with its first."""
-    few = shared.where(F.col("size") <= SMALL)
-    many = shared.where(F.col("size") > SMALL)
-    fewest = many.select("key", "first.node", "first.n", "first.pos", "first.root").distinct()
-    return _met(few, few, ["key"], F.expr("xnode < ynode"), similarity).unionByName(_met(many, fewest, ["key"], F.expr("xnode <> ynode"), similarity)).distinct()
-
-
 def _rest(shared: DataFrame, texts: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
-    """All pairs of larger buckets whose texts are in different components, bucket blocks against blocks."""
+    """Pairs of larger buckets' texts in different components: those outside a bucket's largest component against blocks of all."""
     now = _rooted(shared.where(F.col("size") > SMALL).select("key", "node", "n", "pos"), roots)
-    split = now.groupBy("key").agg(F.count("*").alias("m"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key", "m")
-    dealt = now.join(split, "key").join(texts.select("node", "odd"), "node").withColumn("k", F.ceil(F.col("m") / BLOCK).cast("int"))
-    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("node"), F.col("k")).cast("int")).withColumn("to", F.explode(F.expr("sequence(0, k - 1)")))
-    dealt = dealt.select("key", F.least("own", "to").alias("i"), F.greatest("own", "to").alias("j"), "node", "n", "pos", "root", "odd", "own")
-    return _met(dealt.where("own = i"), dealt.where("own = j"), ["key", "i", "j"], F.expr("i < j or xnode < ynode"), similarity)
+    parts = now.groupBy("key", "root").agg(F.count("*").alias("c"))
+    split = parts.groupBy("key").agg(F.sum("c").alias("m"), F.max_by("root", "c").alias("main"), F.count("*").alias("parts")).where("parts > 1")
+    dealt = now.join(split.select("key", "m", "main"), "key").join(texts.select("node", "odd"), "node")
+    dealt = dealt.withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    outside = dealt.where("root <> main").withColumn("block", F.explode(F.expr("sequence(0, blocks - 1)")))
+    return _met(outside, dealt, ["key", "block"], F.expr("yroot = ymain or xnode < ynode"), similarity)
 
 
 class _Search:
@@ -199,21 +196,29 @@ class _Search:
         self.rows = docs.select(F.col(id_col).alias("id"), *_digests(body), body.alias("body"))
         kind = self.rows.schema["id"].dataType.simpleString()
         schema = f"id {kind}, t1 long, t2 long, d1 long, d2 long, fp long, n int, odd array<long>, keys array<long>"
-        self.sketches = settle(self.rows.mapInArrow(_sketches(words, similarity, *_common(self.rows, words)), schema), "sketches")
+        sketches = settle(self.rows.mapInArrow(_sketches(words, similarity, *_common(self.rows, words)), schema), "sketches")
         low = F.min(F.struct(F.col("id").isNull().alias("nameless"), "id", "t1", "t2")).alias("low")
-        texts = self.sketches.groupBy("d1", "d2").agg(low, *[F.any_value(c).alias(c) for c in ("fp", "n", "odd", "keys")])
+        texts = sketches.groupBy("d1", "d2").agg(low, *[F.any_value(c).alias(c) for c in ("fp", "n", "odd", "keys")])
         self.texts = settle(texts.withColumn("node", F.monotonically_increasing_id()), "texts")
+        self.sketches = settle(sketches.select("id", "t1", "t2", "d1", "d2"), "rows")
+        discard(sketches)
         self.repeats = not self.sketches.groupBy("id", "t1", "t2").count().where("count > 1").isEmpty()
         self.roots = self._roots(radius)
 
     def _roots(self, radius: int) -> DataFrame:
-        edges = self._linked(self._by_fingerprint(radius))
+        proposed = self._by_fingerprint(radius)
+        edges = self._linked(proposed)
         roots = components(edges)
         entries = _rooted(self.texts.select("node", "n", "keys"), roots).select("node", "n", "root", F.posexplode("keys").alias("pos", "key"))
         first = F.min(F.struct((F.col("pos") / F.col("n")).alias("before"), "node", "n", "pos", "root")).alias("first")
         buckets = entries.groupBy("key").agg(F.count("*").alias("size"), first, F.min("root").alias("low"), F.max("root").alias("high"))
-        shared = settle(entries.join(buckets.where("low <> high").drop("low", "high"), "key"), "shared")
-        met = settle(_first(shared, self.similarity), "pairs")
+        buckets = settle(buckets.where("low <> high").select("key", "size", F.when(F.col("size") > SMALL, F.col("first")).alias("first")), "buckets")
+        shared = settle(entries.join(buckets.select("key", "size"), "key"), "shared")
+        few = shared.where(F.col("size") <= SMALL)
+        fewest = buckets.where(F.col("size") > SMALL).select("key", "first.node", "first.n", "first.pos", "first.root")
+        small = _met(few, few, ["key"], F.expr("xnode < ynode"), self.similarity)
+        large = _met(shared.where(F.col("size") > SMALL), fewest, ["key"], F.expr("xnode <> ynode"), self.similarity)
+        met = settle(self._near(small).select("a", "b").unionByName(self._closest(large)).distinct(), "pairs")
         more = self._linked(met)
         if not more.isEmpty():
             edges = edges.unionByName(more)
@@ -223,7 +228,7 @@ class _Search:
             more = self._linked(rest)
             if not more.isEmpty():
                 roots = components(edges.unionByName(more))
-        for done in (shared, met, rest):
+        for done in (buckets, shared, met, rest):
             discard(done)
         return roots
 
@@ -233,14 +238,23 @@ class _Search:
         same = self.texts.select("node", "fp").join(points, "fp").where("node <> low").select(F.col("low").alias("a"), F.col("node").alias("b"))
         near = simhash.links(points.select("fp"), radius).toDF("fa", "fb")
         near = near.join(points.toDF("fa", "a"), "fa").join(points.toDF("fb", "b"), "fb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        return settle(same.unionByName(near).distinct(), "pairs")
+        return settle(self._near(same.unionByName(near).distinct()).select("a", "b"), "pairs")
 
-    def _linked(self, pairs: DataFrame) -> DataFrame:
-        """Those of ``pairs`` whose whole texts are alike."""
+    def _near(self, pairs: DataFrame) -> DataFrame:
+        """Those of ``pairs`` whose parity sketches allow the similarity, with the bits ``apart``."""
         sketch = self.texts.select("node", "n", "odd")
         for side in "ab":
             pairs = pairs.join(sketch.toDF(side, f"{side}n", f"{side}odd"), side)
-        pairs = settle(pairs.where(_close("a", "b", self.similarity)).select("a", "b"), "pairs")
+        return pairs.where(_close("a", "b", self.similarity)).select("a", "b", _apart("a", "b").alias("apart"))
+
+    def _closest(self, pairs: DataFrame) -> DataFrame:
+        """For each text the nearest of its ``pairs`` by parity sketch."""
+        near = self._near(pairs)
+        both = near.select(F.explode(F.array("a", "b")).alias("node"), "a", "b", "apart")
+        return both.groupBy("node").agg(F.min(F.struct("apart", "a", "b")).alias("best")).select("best.a", "best.b")
+
+    def _linked(self, pairs: DataFrame) -> DataFrame:
+        """Those of ``pairs`` whose whole texts are alike."""
         wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
         wanted = wanted.join(self.texts.select("node", "low"), "node").select("node", F.col("low.id").alias("own"), "low.t1", "low.t2")
         rows = self.rows.dropDuplicates(["id", "t1", "t2"]) if self.repeats else self.rows
