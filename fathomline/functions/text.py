@@ -223,3 +223,29 @@ def balanced(text: str | None, start: int = 0) -> str | None:
 
 def json_island(text) -> Column:
     return _by_value(balanced, "string", text)
+
+
+def _mulberry(seed: int):
+    """The 32-bit generator of that name: numbers from 0 to 1."""
+    state, full = seed & 0xFFFFFFFF, 0xFFFFFFFF
+    while True:
+        state = (state + 0x6D2B79F5) & full  # fixed value
+        x = ((state ^ (state >> 15)) * (state | 1)) & full
+        x ^= (x + ((x ^ (x >> 7)) * (x | 61))) & full
+        yield (x ^ (x >> 14)) / 4294967296
+
+
+def seeded_shuffle(items: Column, seed: int) -> Column:
+    """A small array in the order that a seed gives; the same on every run."""
+
+    def run(values: pd.Series) -> pd.Series:
+        out = []
+        for value in values:
+            held, draw = list(value), _mulberry(seed)
+            for last in range(len(held) - 1, 0, -1):
+                at = int(next(draw) * (last + 1))
+                held[last], held[at] = held[at], held[last]
+            out.append(held)
+        return pd.Series(out)
+
+    return F.pandas_udf(run, "array<long>")(items.cast("array<long>"))

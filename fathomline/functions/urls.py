@@ -14,6 +14,17 @@ SHARED_HOSTS = [
     "vercel.app", "herokuapp.com", "pages.dev", "web.app", "firebaseapp.com", "glitch.me", "replit.app", "repl.co", "onrender.com", "fly.dev",
     "ondigitalocean.app", "azurewebsites.net", "appspot.com", "surge.sh", "render.com",
 ]
+# fixed values: hosts of news, directories, social media and images, which are no company's own and no source of a round
+AGGREGATORS = [
+    "startupintros.com", "f6s.com", "getlatka.com", "growjo.com", "machinebrief.com", "marketspy.com", "failory.com", "crunchbase.com",
+    "pitchbook.com", "tracxn.com", "cbinsights.com", "theorg.com", "wellfound.com", "glassdoor.com", "similarweb.com", "ycombinator.com",
+    "linkedin.com", "techcrunch.com", "bloomberg.com", "forbes.com", "businessinsider.com", "reuters.com", "axios.com", "fortune.com", "wired.com",
+    "theinformation.com", "nypost.com", "wsj.com", "nytimes.com", "cnbc.com", "cnn.com", "ft.com", "marketwatch.com", "barrons.com", "fool.com",
+    "msn.com", "aol.com", "yahoo.com", "news.google.com", "theverge.com", "venturebeat.com", "geekwire.com", "theglobeandmail.com",
+    "washingtonpost.com", "latimes.com", "theguardian.com", "apnews.com", "sec.gov", "owler.com", "zoominfo.com", "facebook.com", "twitter.com",
+    "x.com", "instagram.com", "youtube.com", "wikipedia.org", "reddit.com", "medium.com", "substack.com", "duckduckgo.com", "imgur.com", "redd.it",
+    "twimg.com", "discordapp.com", "giphy.com", "cloudflareaccess.com",
+]
 AUTHORITY = r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/@?#]*@)?"
 
 

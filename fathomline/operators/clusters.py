@@ -90,3 +90,21 @@ def match_centroids(pairs: list[tuple[str, str, float]], least: float = 0.9) ->
             right.add(b)
             out.append((a, b, s))
     return out
+
+
+def matched(pairs: DataFrame, left: str, right: str, score: str, least: float = 0.9) -> DataFrame:
+    """One-to-one matches of ``pairs``, the most alike first; equally alike ones by name.
+
+    Each round takes the pairs that are best for both their sides; as many rounds as a chain of better offers is long, a few here.
+    """
+    now, taken = pairs.where(F.col(score) >= least), None
+    best = lambda side: Window.partitionBy(side).orderBy(F.desc(score), left, right)
+    while True:
+        ranked = now.withColumn("_l", F.row_number().over(best(left))).withColumn("_r", F.row_number().over(best(right)))
+        found = ranked.where("_l = 1 and _r = 1").select(left, right, score)
+        rows = found.collect()  # a row a cluster at most
+        if not rows:
+            return taken if taken is not None else found
+        fixed = pairs.sparkSession.createDataFrame(rows, found.schema)
+        taken = fixed if taken is None else taken.unionByName(fixed)
+        now = now.join(F.broadcast(fixed.select(left)), left, "left_anti").join(F.broadcast(fixed.select(right)), right, "left_anti")

@@ -42,3 +42,27 @@ def per_key(df: DataFrame, key: str, rule: Callable[[list[dict]], Iterable[tuple
         yield out(made)
 
     return df.repartition(key).sortWithinPartitions(key).mapInArrow(run, schema)
+
+
+def scan(df: DataFrame, key: str, order: list, begin: Callable[[], Callable[[dict], Iterable[tuple]]], schema: str) -> DataFrame:
+    """Each key's rows in ``order``, one at a time, through the function that ``begin`` makes for the key.
+
+    Nothing of a key is held but what that function keeps, so keys may be of any size if it forgets.
+    """
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    kinds = to_arrow_schema(StructType.fromDDL(schema))
+
+    def run(batches):
+        at, step = object(), None
+        for batch in batches:
+            made = []
+            for row in batch.to_pylist():
+                if row[key] != at:
+                    at, step = row[key], begin()
+                made += step(row)
+            columns = list(zip(*made)) if made else [[] for _ in kinds]
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, kinds)], schema=kinds)
+
+    return df.repartition(key).sortWithinPartitions(key, *order).mapInArrow(run, schema)

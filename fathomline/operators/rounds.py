@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fathomline.functions.names import normalized_round_type
+from fathomline.functions.urls import AGGREGATORS, hostname, on_host
 from fathomline.operators.grouped import per_key
 
 # fixed values: what counts as one event
@@ -22,6 +23,12 @@ def confidence_rank(c: str = "confidence") -> Column:
     return F.when(F.col(c) == "high", 2).when(F.col(c) == "medium", 1).when(F.col(c) == "low", 0)
 
 
+def good_source(url: str = "news_url") -> Column:
+    """A url of a publisher, not of an aggregator or of a directory."""
+    host = hostname(F.col(url))
+    return F.coalesce(host.isNotNull() & ~on_host(host, AGGREGATORS), F.lit(False))
+
+
 def amount_clusters(rounds: DataFrame) -> DataFrame:
     """``cluster`` of each round with an amount: per company and amount, one a type.
 
@@ -34,9 +41,9 @@ def amount_clusters(rounds: DataFrame) -> DataFrame:
 
 
 def collapse_amounts(rounds: DataFrame) -> DataFrame:
-    """``(loser, survivor)`` within amount clusters: typed, dated, sure and early rounds survive."""
+    """``(loser, survivor)`` within amount clusters: typed (a placeholder is no type), dated, sure, sourced and early rounds survive."""
     order = Window.partitionBy("company_id", "amount_raised", "cluster").orderBy(
-        F.desc(F.col("round_type").isNotNull()), F.desc(F.col("announced_date").isNotNull()), F.desc_nulls_last(confidence_rank()), F.asc("id"))
+        F.desc(normalized_round_type(F.col("round_type")).isNotNull()), F.desc(F.col("announced_date").isNotNull()), F.desc_nulls_last(confidence_rank()), F.desc(good_source()), F.asc("id"))
     named = amount_clusters(rounds).withColumn("survivor", F.first("id").over(order)).where("id <> survivor")
     return named.select(F.col("id").alias("loser"), "survivor")
 

@@ -43,3 +43,9 @@ def shard(df: DataFrame, key: str, size: int) -> DataFrame:
     offsets = counts.withColumn("_before", F.coalesce(F.sum("_size").over(before), F.lit(0))).drop("_size")
     out = ranged.join(offsets, "_range").withColumn("shard", F.floor((F.col("_before") + F.col("_n") - 1) / size))
     return out.drop("_range", "_n", "_before")
+
+
+def complete(df: DataFrame, expected: int) -> DataFrame:
+    """``df`` if it has ``expected`` rows, else no row: a scan that broke off counts as failed."""
+    whole = df.agg((F.count("*") == expected).alias("_whole"))
+    return df.join(F.broadcast(whole.where("_whole")), how="cross").drop("_whole")

@@ -40,8 +40,8 @@ def sparse(t):
 SPARSE = f"select cast(date_trunc('quarter', announced_date) as date) as quarter, sum(amount_raised) as total, count(*) as rounds from rounds where company_id = 7 and announced_date >= {Q} - interval 57 months and announced_date <= {D} group by 1"
 q("A3_quarters_filled", lambda t: R.fill_quarters(sparse(t), AS_OF, 20).select("quarter", *dbl("total"), "rounds"),
   f"select cast(x as date) as quarter, cast(coalesce(total, 0) as double) as total, coalesce(rounds, 0) as rounds from range({Q} - interval 57 months, {Q} + interval 1 day, interval 3 months) r(x) left join ({SPARSE}) s on s.quarter = cast(x as date)")
-q("A4_totals_filled", lambda t: R.fill_quarters(R.funding_by_quarter(t.rounds.where("company_id < 40"), AS_OF, 8), AS_OF, 8).select("quarter", *dbl("total")),
-  f"select cast(x as date) as quarter, cast(coalesce((select sum(amount_raised) from rounds where company_id < 40 and cast(date_trunc('quarter', announced_date) as date) = cast(x as date) and announced_date <= {D}), 0) as double) as total from range({Q} - interval 21 months, {Q} + interval 1 day, interval 3 months) r(x)")
+q("A4_totals_filled", lambda t: R.fill_quarters(R.funding_by_quarter(t.rounds, AS_OF, 8), AS_OF, 8).select("quarter", *dbl("total")),
+  f"select cast(x as date) as quarter, cast(coalesce((select sum(amount_raised) from rounds where cast(date_trunc('quarter', announced_date) as date) = cast(x as date) and announced_date <= {D}), 0) as double) as total from range({Q} - interval 21 months, {Q} + interval 1 day, interval 3 months) r(x)")
 q("A5_growth", lambda t: R.two_windows(shown_rounds(t), "industry_group", AS_OF).select("industry_group", F.round(R.growth(F.col("recent_total").cast("double"), F.col("prior_total").cast("double")), 6).alias("growth")),
   f"select industry_group, case when prior_total > 0 then round((recent_total - prior_total) / prior_total, 6) end as growth from ({TWO})")
 q("A6_window_metrics", lambda t: R.two_windows(t.rounds, "company_id", AS_OF).select("company_id", *dbl("recent_total", "prior_total"), F.bround(R.growth(F.col("recent_total").cast("double"), F.col("prior_total").cast("double")), 4).alias("growth")),

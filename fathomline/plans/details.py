@@ -14,10 +14,12 @@ from fathomline.functions import urls as U
 from fathomline.operators import resolve as M
 from fathomline.operators import rounds as R
 from fathomline.operators import similarity as V
+from fathomline.operators import timeline as L
 from fathomline.operators import windows as W
 from fathomline.plans.aggregates import D, day
 from fathomline.plans.registry import q
 from fathomline.plans.relational import NEWS, news
+from fathomline.plans.texts import CAPS
 from fathomline.sources.feeds import parse_rss
 from fathomline.sources.tables import AS_OF
 
@@ -25,16 +27,17 @@ TABLES = ["nation", "customer", "supplier", "part", "orders", "lineitem"]
 
 
 def rss(t):
-    """Documents landed as one-item RSS files."""
+    """Documents landed as feeds of some twenty items, one in five without a summary, and a file that is no XML."""
     item = lambda tag, c: F.concat(F.lit(f"<{tag}>"), c, F.lit(f"</{tag}>"))
     n = news(t).withColumn("title", F.when(F.col("id") % 3 == 0, "Acme raised a seed round").otherwise("Other things"))
-    return n.select(F.concat(F.lit("<rss><channel><item>"), item("title", F.col("title")), item("link", F.concat("url", F.lit("/"), F.col("id"))), item("pubDate", X.rfc822(F.col("published_date").cast("timestamp"))), item("description", F.lit("text")), F.lit("</item></channel></rss>")).alias("value"))
+    summary = F.when(F.col("id") % 5 == 0, "").otherwise(item("description", F.when(F.col("id") % 7 == 1, "valuation of Acme").otherwise("text")))
+    one = F.concat(F.lit("<item>"), item("title", F.col("title")), item("link", F.concat("url", F.lit("/"), F.col("id"))), item("pubDate", X.rfc822(F.col("published_date").cast("timestamp"))), summary, F.lit("</item>"))
+    feeds = n.groupBy(F.floor(F.col("id") / 20).alias("feed")).agg(F.array_join(F.array_sort(F.collect_list(one)), "").alias("items"))
+    return feeds.select(F.concat(F.lit("<rss><channel>"), "items", F.lit("</channel></rss>")).alias("value")).unionByName(t.spark.range(1).select(F.lit("<rss><chan").alias("value")))
 
 
-q("S3_complete_scan", lambda t: t.companies.agg(F.count("*").alias("n"), F.countDistinct("slug").alias("slugs")), "select count(*) as n, count(distinct slug) as slugs from companies")
-RSS = f"with {NEWS} select concat(url, '/', id) as link, published_date as published from news where id % 3 = 0 and published_date >= {D} - "
-for n, days in enumerate((30, 45, 60, 75, 90, 120)):
-    q(f"S{6 + n}_rss_lookback_{days}", lambda t, days=days: parse_rss(rss(t), AS_OF, days).select("link", "published"), f"{RSS}{days}")
+q("S3_complete_scan", lambda t: W.complete(t.companies.select("slug"), t.raw("customer").count()), "select slug from companies")
+q("S3_partial_scan", lambda t: W.complete(t.companies.where("id > 3").select("slug"), t.raw("customer").count()), "select slug from companies where false")
 q("S17_json_listing", lambda t: t.raw("events").select("event_id", F.from_json("props", "k int").alias("p")).select("event_id", "p.k").where("k is not null"), "select event_id, cast(json_extract(props, '$.k') as int) as k from events where json_extract(props, '$.k') is not null")
 q("S18_embedded_json", lambda t: t.raw("events").select("event_id", F.concat(F.lit("<script>data = "), "props", F.lit(";</script>")).alias("h")).select("event_id", F.get_json_object(F.regexp_extract("h", r"data = (\{.*?\});", 1), "$.k").cast("int").alias("k")), "select event_id, cast(json_extract(props, '$.k') as int) as k from events")
 q("S22_deduped_cards", lambda t: t.raw("part").select("p_name").dropDuplicates(["p_name"]), "select distinct p_name from part")
@@ -44,9 +47,9 @@ q("S29_first_links", lambda t: t.raw("pages").select("page_id", F.slice(F.regexp
 q("S38_report_rows", lambda t: t.runs.groupBy("stage", "status").agg(F.count("*").alias("n")), "select stage, status, count(*) as n from runs group by 1, 2")
 q("A32_table_rows", lambda t: reduce(lambda a, b: a.unionByName(b), [t.raw(n).agg(F.lit(n).alias("table"), F.count("*").alias("n")) for n in TABLES]), " union all ".join(f"select '{n}' as \"table\", count(*) as n from {n}" for n in TABLES))
 q("F18_claim_current", lambda t: t.rounds.where("amount_raised is not null").select("id", F.concat(F.lit("raised "), N.claim_usd(F.col("amount_raised"))).alias("want"), F.when(F.col("id") % 4 == 0, "raised $1M in all").otherwise(F.concat(F.lit("Acme raised "), N.claim_usd(F.col("amount_raised")), F.lit("."))).alias("claim")).select("id", F.col("claim").contains(F.col("want")).alias("current")), "select id, id % 4 <> 0 as current from rounds where amount_raised is not null")
-q("L10_one_at_random", lambda t: t.companies.select("slug").orderBy(F.rand(7)).limit(1))
-q("U7_set_tallies", lambda t: t.companies.where("id <= 100").select("id", F.array(F.lit(1), F.col("id") % 3, F.lit(5)).alias("a"), F.array(F.col("id") % 4, F.lit(5)).alias("b")).select("id", F.size(F.array_intersect("a", "b")).alias("both"), F.size(F.array_except("b", "a")).alias("extra"), F.size(F.array_except("a", "b")).alias("missed")),
-  "with s as (select id, list_distinct([1, id % 3, 5]) as a, list_distinct([id % 4, 5]) as b from companies where id <= 100) select id, cast(len(list_intersect(a, b)) as int) as both, cast(len(list_filter(b, lambda x: not list_contains(a, x))) as int) as extra, cast(len(list_filter(a, lambda x: not list_contains(b, x))) as int) as missed from s")
+q("L10_one_at_random", lambda t: t.companies.select("slug").orderBy(F.md5(F.concat(F.lit("7:"), "slug").cast("binary")), "slug").limit(1), "select slug from companies order by md5('7:' || slug), slug limit 1")
+q("U7_set_tallies", lambda t: t.companies.select("id", F.array(F.lit(1), F.col("id") % 3, F.lit(5)).alias("a"), F.array(F.col("id") % 4, F.lit(5)).alias("b")).select("id", F.size(F.array_intersect("a", "b")).alias("both"), F.size(F.array_except("b", "a")).alias("extra"), F.size(F.array_except("a", "b")).alias("missed")),
+  "with s as (select id, list_distinct([1, id % 3, 5]) as a, list_distinct([id % 4, 5]) as b from companies) select id, cast(len(list_intersect(a, b)) as int) as both, cast(len(list_filter(b, lambda x: not list_contains(a, x))) as int) as extra, cast(len(list_filter(a, lambda x: not list_contains(b, x))) as int) as missed from s")
 
 # entities
 INCOMING = "incoming as (select case when p_partkey % 3 = 0 then concat('Customer#', lpad(cast(p_partkey as varchar), 9, '0')) else p_name end as name from part)"
@@ -60,11 +63,12 @@ q("M3_find_or_create", lambda t: (lambda i: i.join(t.companies.select(F.lower("n
 q("M6_field_merge", lambda t: t.rounds.alias("a").join(t.rounds.alias("b"), F.expr("b.id = a.id + 1")).select(F.expr("a.id as id"), F.expr("coalesce(a.round_type, b.round_type) as round_type"), F.expr("coalesce(a.news_url, b.news_url) as news_url"), F.greatest(R.confidence_rank("a.confidence"), R.confidence_rank("b.confidence")).alias("sure")),
   "select a.id, coalesce(a.round_type, b.round_type) as round_type, coalesce(a.news_url, b.news_url) as news_url, greatest(case a.confidence when 'high' then 2 when 'medium' then 1 else 0 end, case b.confidence when 'high' then 2 when 'medium' then 1 else 0 end) as sure from rounds a join rounds b on b.id = a.id + 1")
 q("M8_investor_upsert", lambda t: incoming(t).where(~F.lower("name").rlike(r"^(?:customer#0000000\d\d|tbd|various)$")).select(N.normalize_name(F.col("name")).alias("key"), "name").groupBy("key").agg(F.min("name").alias("name")), f"with {INCOMING} select regexp_replace(lower(name), '[^a-z0-9]+', '', 'g') as key, min(name) as name from incoming where not regexp_matches(lower(name), '^(?:customer#0000000[0-9][0-9]|tbd|various)$') group by 1")
-q("M13_gated_pairs", lambda t: (lambda n: V.fuzzy_pairs(n, n, 0.6, distinct_order=True).where((F.col("left_id") + F.col("right_id")) % 2 == 0).groupBy("right_id").agg(F.min("left_id").alias("survivor")))(t.raw("part").where("p_partkey <= 200").select(F.col("p_partkey").alias("id"), F.concat_ws(" ", "p_name", "p_brand").alias("name"))))
+q("M13_gated_pairs", lambda t: (lambda n: V.fuzzy_pairs(n, n, 0.6, distinct_order=True).where((F.col("left_id") + F.col("right_id")) % 2 == 0).groupBy("right_id").agg(F.min("left_id").alias("survivor")))(t.raw("part").select(F.col("p_partkey").alias("id"), F.concat_ws(" ", "p_name", "p_brand").alias("name"))))
 q("M20_conflicting_types", lambda t: t.rounds.where("round_type is not null and amount_raised is not null").groupBy("company_id", F.floor(F.col("amount_raised") / 10000).alias("band")).agg(F.countDistinct("round_type").alias("types"), F.min("announced_date").alias("first")).where("types > 1"), "select company_id, floor(amount_raised / 10000) as band, count(distinct round_type) as types, min(announced_date) as first from rounds where round_type is not null and amount_raised is not null group by 1, 2 having count(distinct round_type) > 1")
 q("M25_verdict_purge", lambda t: (lambda wrong: news(t).join(wrong, "id", "left_anti").groupBy("company_id").agg(F.count("*").alias("n")))(t.raw("labels").where("quality = 0").select(F.col("doc_id").alias("id"))), f"with {NEWS} select company_id, count(*) as n from news where id not in (select doc_id from labels where quality = 0) group by 1")
 q("M29_catalog_repair", lambda t: t.companies.select("id", F.when(F.col("website").contains("c66"), None).otherwise(F.col("website")).alias("website"), N.strip_suffix(F.concat("name", F.when(F.col("id") % 2 == 0, " Inc.").otherwise(""))).alias("name")), "select id, case when contains(website, 'c66') then null else website end as website, name from companies")
-q("M30_casing_upgrade", lambda t: t.companies.select("id", F.when((F.lower("name") == F.lower(F.upper("name"))) & (F.col("name") == F.lower("name")), F.upper("name")).otherwise(F.col("name")).alias("name")), "select id, name from companies")
+q("M30_casing_upgrade", lambda t: t.raw("part").select("p_partkey", F.lower("p_name").alias("name"), S.leading_segment(F.concat(F.initcap("p_name"), F.when(F.col("p_partkey") % 3 == 0, " goods").otherwise(""), F.lit(" | Official site"))).alias("brand")).select("p_partkey", F.when((F.lower("brand") == F.col("name")) & (F.col("brand") != F.col("name")), F.col("brand")).otherwise(F.col("name")).alias("name")),
+  "select p_partkey, case when p_partkey % 3 = 0 then lower(p_name) else array_to_string(list_transform(string_split(lower(p_name), ' '), lambda w: upper(w[1]) || w[2:]), ' ') end as name from part")
 q("M33_verdict_upsert", lambda t: M.upsert(t.raw("labels").select("doc_id", "quality"), t.raw("labels").where("doc_id % 3 = 0").select("doc_id", F.lit(1).alias("quality")), ["doc_id"], F.col("quality")), "select doc_id, case when doc_id % 3 = 0 then 1 else quality end as quality from labels")
 q("G21_finalized_axis", lambda t: (lambda w: t.raw("embeddings").select("vec_id", "label", F.element_at("embedding", 2).cast("double").alias("v")).select("vec_id", F.round(F.when(F.max("v").over(w) == F.min("v").over(w), 0.5).otherwise((F.col("v") - F.min("v").over(w)) / F.nullif(F.max("v").over(w) - F.min("v").over(w), F.lit(0.0))), 6).alias("x")))(Window.partitionBy("label")),
   "select vec_id, round((v - min(v) over w) / nullif(max(v) over w - min(v) over w, 0), 6) as x from (select vec_id, label, cast(embedding[2] as double) as v from embeddings) window w as (partition by label)")
@@ -80,12 +84,13 @@ q("T28_country_suffix", lambda t: (lambda m: t.raw("pages").select("page_id", U.
   "select page_id, case when regexp_matches(regexp_extract(url, '//([^/:?#]*)', 1), '(^|\\.)example\\.org$') then 'Nowhere' when regexp_matches(regexp_extract(url, '//([^/:?#]*)', 1), '\\.net$') then 'Netland' end as country from pages")
 q("T36_ranked_links", lambda t: W.first_per(t.raw("pages").select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit('href="(/[^"]*)"'), F.lit(1))).alias("pos", "url")).withColumn("score", F.length("url")), ["page_id"], [F.desc("score"), F.asc("pos")], 2).select("page_id", "pos", "url"),
   "select page_id, cast(pos as int) as pos, url from (select *, row_number() over (partition by page_id order by length(url) desc, pos) as n from (select page_id, unnest(u) as url, generate_subscripts(u, 1) - 1 as pos from (select page_id, regexp_extract_all(html, 'href=\"(/[^\"]*)\"', 1) as u from pages))) where n <= 2")
-q("T45_same_story", lambda t: (lambda a: a.alias("a").join(a.alias("b"), F.expr("a.source = b.source and a.doc_id + 20 = b.doc_id")).select(F.expr("a.doc_id as doc_id"), (F.size(F.array_intersect("a.w", "b.w")) / F.least(F.size("a.w"), F.size("b.w")) >= 0.3).alias("same")))(t.raw("documents").select("doc_id", "source", F.array_distinct(F.split(F.lower(F.substring("text", 1, 120)), "[^a-z]+")).alias("w"))),
-  "with a as (select doc_id, source, list_distinct(regexp_split_to_array(lower(substring(text, 1, 120)), '[^a-z]+')) as w from documents) select a.doc_id, len(list_intersect(a.w, b.w)) / least(len(a.w), len(b.w)) >= 0.3 as same from a join a b on a.source = b.source and a.doc_id + 20 = b.doc_id")
+STORY = "list_distinct(list_transform(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9.]+'), lambda w: w <> '' and w not in ({})), lambda w: case when w in ({}) then 'raise' else w end))".format(*(", ".join(f"'{w}'" for w in x) for x in (L.STOP, L.RAISE)))
+q("T45_same_story", lambda t: (lambda b: b.alias("a").join(b.alias("b"), F.expr("a.first = b.first and a.item_id < b.item_id")).select(F.expr("a.item_id as item_id"), F.expr("b.item_id as other_id"), L.same_story(F.col("a.words"), F.col("b.words"), F.col("a.sums"), F.col("b.sums")).alias("same")))(t.raw("benchmark").select("item_id", F.lower(F.substring_index("text", " ", 1)).alias("first"), L.title_words(F.col("text")).alias("words"), L.title_sums(F.col("text")).alias("sums"))),
+  f"with a as (select item_id, lower(split_part(text, ' ', 1)) as first, {STORY} as w from benchmark) select a.item_id, b.item_id as other_id, len(list_intersect(a.w, b.w)) >= 3 and len(list_intersect(a.w, b.w)) >= 0.6 * least(len(a.w), len(b.w)) as same from a join a b on a.first = b.first and a.item_id < b.item_id")
 q("T52_numbered_slugs", lambda t: t.raw("part").select("p_partkey", N.slugify(F.col("p_name")).alias("base")).withColumn("n", F.row_number().over(Window.partitionBy("base").orderBy("p_partkey"))).select("p_partkey", F.when(F.col("n") == 1, F.col("base")).otherwise(F.concat("base", F.lit("-"), "n")).alias("slug")),
   "select p_partkey, case when n = 1 then base else base || '-' || n end as slug from (select p_partkey, trim(regexp_replace(lower(p_name), '[^a-z0-9]+', '-', 'g'), '-') as base, row_number() over (partition by trim(regexp_replace(lower(p_name), '[^a-z0-9]+', '-', 'g'), '-') order by p_partkey) as n from part)")
-q("T56_feed_items", lambda t: t.rounds.where("id <= 500").join(t.companies.select(F.col("id").alias("company_id"), "name"), "company_id").select("id", F.concat("name", F.lit(" raised "), N.claim_usd(F.col("amount_raised")), F.coalesce(F.concat(F.lit(" ("), "round_type", F.lit(")")), F.lit(""))).alias("title")),
-  "select r.id, name || ' raised ' || case when amount_raised is null then 'an undisclosed amount' when amount_raised >= 1000 then printf('$%.0fK', cast(amount_raised as double) / 1000) else printf('$%.0f', cast(amount_raised as double)) end || coalesce(' (' || round_type || ')', '') as title from rounds r join companies c on company_id = c.id where r.id <= 500")
+q("T56_feed_items", lambda t: t.rounds.join(t.companies.select(F.col("id").alias("company_id"), "name"), "company_id").select("id", F.concat("name", F.lit(" raised "), N.claim_usd(F.col("amount_raised")), F.coalesce(F.concat(F.lit(" ("), "round_type", F.lit(")")), F.lit(""))).alias("title")),
+  "select r.id, name || ' raised ' || case when amount_raised is null then 'an undisclosed amount' when amount_raised >= 1000 then printf('$%.0fK', cast(amount_raised as double) / 1000) else printf('$%.0f', cast(amount_raised as double)) end || coalesce(' (' || round_type || ')', '') as title from rounds r join companies c on company_id = c.id")
 q("D4_math", lambda t: t.rounds.where("amount_raised > 0").select("id", F.round(F.log10(F.col("amount_raised").cast("double")), 6).alias("lg"), F.round(F.sqrt(F.col("amount_raised").cast("double")), 6).alias("root"), F.least(F.greatest(F.col("id") % 7 - 3, F.lit(-1)), F.lit(2)).alias("clip")), "select id, round(log10(cast(amount_raised as double)), 6) as lg, round(sqrt(cast(amount_raised as double)), 6) as root, least(greatest(id % 7 - 3, -1), 2) as clip from rounds where amount_raised > 0")
 q("D7_arrays", lambda t: t.companies.select("id", F.array_join(F.slice(F.array_distinct(F.array_append(F.array(F.col("id") % 2, F.col("id") % 3), F.col("id") % 5)), 1, 2).cast("array<string>"), "-").alias("a")), "select id, case when id % 2 <> id % 3 then id % 2 || '-' || id % 3 when id % 5 <> id % 2 then id % 2 || '-' || id % 5 else '' || id % 2 end as a from companies")
 q("D8_map_lookup", lambda t: (lambda m: t.runs.select("id", F.coalesce(F.try_element_at(m, F.col("stage")), F.lit("Other")).alias("label")))(F.create_map(*[F.lit(x) for x in ("view", "Views", "click", "Clicks")])), "select id, case stage when 'view' then 'Views' when 'click' then 'Clicks' else 'Other' end as label from runs")
@@ -106,14 +111,16 @@ q("Z19_staff_worklist", lambda t: t.companies.where("employee_count_min is null
 q("H1_exact_name", lambda t: incoming(t).distinct().join(t.companies.select("id", "name"), "name").select("name", "id"), f"with {INCOMING} select distinct i.name, id from incoming i join companies c on i.name = c.name")
 q("H3_casing_variant", lambda t: t.raw("part").select("p_partkey", ((F.initcap("p_name") != F.col("p_name")) & (F.col("p_name") == F.lower("p_name"))).alias("upgrade")), "select p_partkey, p_name = lower(p_name) as upgrade from part")
 q("H4_confidence_rank", lambda t: t.rounds.select("id", (R.confidence_rank() > 0).alias("sure")), "select id, confidence in ('medium', 'high') as sure from rounds")
-q("H6_exploded_links", lambda t: t.rounds.where("id <= 400").select("id", F.array(F.col("id") % 5).alias("lead"), F.array(F.col("id") % 5, F.col("id") % 7).alias("other")).select("id", F.explode(F.concat(F.transform("lead", lambda x: F.struct(x.alias("i"), F.lit(True).alias("l"))), F.transform("other", lambda x: F.struct(x.alias("i"), F.lit(False).alias("l"))))).alias("s")).groupBy("id", F.col("s.i").alias("investor")).agg(F.bool_or("s.l").alias("is_lead")),
-  "select id, id % 5 as investor, true as is_lead from rounds where id <= 400 union all select id, id % 7, false from rounds where id <= 400 and id % 7 <> id % 5")
+q("H6_exploded_links", lambda t: t.rounds.select("id", F.array(F.col("id") % 5).alias("lead"), F.array(F.col("id") % 5, F.col("id") % 7).alias("other")).select("id", F.explode(F.concat(F.transform("lead", lambda x: F.struct(x.alias("i"), F.lit(True).alias("l"))), F.transform("other", lambda x: F.struct(x.alias("i"), F.lit(False).alias("l"))))).alias("s")).groupBy("id", F.col("s.i").alias("investor")).agg(F.bool_or("s.l").alias("is_lead")),
+  "select id, id % 5 as investor, true as is_lead from rounds union all select id, id % 7, false from rounds where id % 7 <> id % 5")
 q("H10_newest_of_source", lambda t: news(t).where("source ilike 'SRC3'").orderBy(F.desc_nulls_last("published_date"), "id").limit(10).select("id"), f"with {NEWS} select id from news where source ilike 'SRC3' order by published_date desc nulls last, id limit 10")
 q("H15_has_children", lambda t: t.companies.join(t.competitors.select(F.col("company_id").alias("id")).distinct().withColumn("has", F.lit(True)), "id", "left").select("id", F.coalesce("has", F.lit(False)).alias("has")), "select id, id in (select company_id from competitors) as has from companies")
 q("H17_grouped_lookback", lambda t: t.rounds.where((F.col("announced_date") <= day()) & (F.col("announced_date") >= F.date_sub(day(), 70))).groupBy("company_id").agg(F.array_join(F.transform(F.reverse(F.array_sort(F.collect_list("announced_date"))), lambda d: d.cast("string")), ",").alias("days")), f"select company_id, string_agg(cast(announced_date as varchar), ',' order by announced_date desc) as days from rounds where announced_date <= {D} and announced_date >= {D} - 70 group by 1")
 q("H18_mean_or_null", lambda t: t.rounds.groupBy("company_id").agg(F.round(F.avg(F.when(F.col("id") % 4 == 0, F.col("amount_raised").cast("double"))), 4).alias("mean")), "select company_id, round(avg(cast(amount_raised as double)) filter (id % 4 = 0), 4) as mean from rounds group by 1")
 q("H20_member_rounds", lambda t: t.rounds.where("announced_date >= date '2001-01-01'").join(t.companies.where("industry_group = 'AUTOMOBILE'").select(F.col("id").alias("company_id")), "company_id", "left_semi").select("id"), "select id from rounds where announced_date >= date '2001-01-01' and company_id in (select id from companies where industry_group = 'AUTOMOBILE')")
-q("H23_evidence", lambda t: t.raw("documents").select("doc_id", X.truncate_words(F.concat_ws(" ", "source", "lang", X.squeeze(F.substring("text", 1, 300))), 120).alias("evidence")).select("doc_id", (F.length("evidence") <= 120).alias("fits")), "select doc_id, true as fits from documents")
+SQUEEZED = r"concat_ws(' ', source, lang, trim(regexp_replace(text, '\s+', ' ', 'g')))"
+q("H23_evidence", lambda t: t.raw("documents").select("doc_id", X.truncate_words(F.concat_ws(" ", "source", "lang", X.squeeze(F.col("text"))), 120).alias("evidence")),
+  rf"select doc_id, case when length(e) <= 120 then e when regexp_replace(substring(e, 1, 120), '\s+\S*$', '') <> '' then regexp_replace(substring(e, 1, 120), '\s+\S*$', '') else substring(e, 1, 120) end as evidence from (select doc_id, {SQUEEZED} as e from documents)")
 q("H25_ladder", lambda t: t.companies.select("id", F.when(F.col("description_short").isNull(), "null").when(F.col("website").isNull(), "ungrounded").when(F.col("status") == "acquired", "held").otherwise("accepted").alias("verdict")), "select id, case when description_short is null then 'null' when website is null then 'ungrounded' when status = 'acquired' then 'held' else 'accepted' end as verdict from companies")
 q("H26_conditional_write", lambda t: t.companies.select("id", F.coalesce("description_short", F.concat(F.lit("New text of "), "name")).alias("description")), "select id, coalesce(description_short, 'New text of ' || name) as description from companies")
 q("H30_normalizers", lambda t: t.companies.select("id", X.squeeze(F.concat(F.lit("  "), "hq_country", F.lit("  x "))).alias("squeezed"), F.when(F.upper(F.substring("hq_country", 1, 2)).rlike("^[A-Z]{2}$"), F.upper(F.substring("hq_country", 1, 2))).alias("code")), "select id, hq_country || ' x' as squeezed, substring(hq_country, 1, 2) as code from companies")
@@ -127,12 +134,12 @@ q("H50_star_counts", lambda t: t.raw("orders").select("o_orderkey", F.format_num
 q("H52_leading_segment", lambda t: t.raw("pages").select("page_id", F.trim(F.element_at(F.split(F.regexp_extract("html", "<title>([^<]*)</title>", 1), r" [|–—-] "), 1)).alias("lead")), r"select page_id, trim(regexp_split_to_array(regexp_extract(html, '<title>([^<]*)</title>', 1), ' [|–—-] ')[1]) as lead from pages")
 q("H55_keys", lambda t: t.raw("part").select("p_partkey", F.trim(F.regexp_replace(F.lower("p_type"), r"[\s\-_/]+", " ")).alias("key")), r"select p_partkey, trim(regexp_replace(lower(p_type), '[\s\-_/]+', ' ', 'g')) as key from part")
 q("H56_prominent", lambda t: t.rounds.groupBy("company_id").agg((F.max("amount_raised") >= 400000).alias("prominent")), "select company_id, max(amount_raised) >= 400000 as prominent from rounds group by 1")
-q("H60_proper_nouns", lambda t: t.raw("benchmark").select("item_id", F.size(X.capitalised(F.col("text"))).alias("n")))
+q("H60_proper_nouns", lambda t: t.raw("benchmark").select("item_id", F.size(X.capitalised(F.col("text"))).alias("n")), f"select item_id, cast(len({CAPS.format('text')}) as int) as n from benchmark")
 q("H62_radius", lambda t: t.companies.select("id", F.round(F.least(4 + F.sqrt(F.greatest(F.coalesce(F.col("total_raised_usd").cast("double"), F.lit(0.0)), F.lit(0.0)) / 1000), F.lit(24.0)), 6).alias("radius")), "select id, round(least(4 + sqrt(greatest(coalesce(cast(total_raised_usd as double), 0), 0) / 1000), 24), 6) as radius from companies")
 q("H63_date_seed", lambda t: t.rounds.where("announced_date is not null").select("id", (F.year("announced_date") * 10000 + F.month("announced_date") * 100 + F.dayofmonth("announced_date")).alias("seed")), "select id, cast(strftime(announced_date, '%Y%m%d') as int) as seed from rounds where announced_date is not null")
 q("H64_latest_activity", lambda t: t.runs.where("status <> 'error'").agg(F.max("started_at").alias("at")), "select max(started_at) as at from runs where status <> 'error'")
 q("H65_verification_keys", lambda t: t.rounds.select(F.concat_ws(":", F.lit("round"), "company_id", F.coalesce("round_type", F.lit("none"))).alias("key")).distinct(), "select distinct concat_ws(':', 'round', company_id, coalesce(round_type, 'none')) as key from rounds")
-q("H67_compare_set", lambda t: t.companies.where("id <= 60").select("id", F.array_join(F.slice(F.array_distinct(F.array("slug", F.lit("co-1"), F.lit("co-2"), F.lit("co-1"), F.lit("co-3"))), 1, 4), ",").alias("picked")), "select id, array_to_string(list_filter([slug, 'co-1', 'co-2', 'co-3'], lambda x, i: i = 1 or x <> slug)[1:4], ',') as picked from companies where id <= 60")
+q("H67_compare_set", lambda t: t.companies.select("id", F.array_join(F.slice(F.array_distinct(F.array("slug", F.lit("co-1"), F.lit("co-2"), F.lit("co-1"), F.lit("co-3"))), 1, 4), ",").alias("picked")), "select id, array_to_string(list_filter([slug, 'co-1', 'co-2', 'co-3'], lambda x, i: i = 1 or x <> slug)[1:4], ',') as picked from companies")
 q("T14_dominant_subject", lambda t: t.companies.select("id", S.dominant_subject(F.expr("case id % 5 when 0 then concat(name, ' — tagline') when 1 then concat('Other | ', name) when 2 then concat('Polymarket, ', name) when 3 then concat('Welcome to ', name) else name end"), F.col("name")).alias("subject")), "select id, id % 5 in (0, 3, 4) as subject from companies")
 q("T15_subject_mismatch", lambda t: t.companies.select("id", S.subject_mismatch(F.expr("case id % 3 when 0 then 'Series V provides capital.' when 1 then concat(name, ' is a maker.') else 'We help teams.' end"), F.col("name")).alias("mismatch")), "select id, id % 3 = 0 as mismatch from companies")
 q("T16_article_mentions", lambda t: t.companies.select("id", S.mentions(F.expr("case id % 4 when 0 then 'Away' when 1 then 'Acme Robot Works' when 2 then 'Acme' else 'Clear' end"), F.expr("case id % 4 when 0 then 'Away from China they need funding' when 1 then 'Robots everywhere' when 2 then 'Acme raises cash' else 'Travel startup Clear hires' end"), F.lit("Acme Robot Works said")).alias("about")), "select id, id % 4 <> 0 as about from companies")

@@ -26,8 +26,8 @@ TYPED = f"typed as (select id, company_id, announced_date, confidence, news_url,
 KIND = "case when {0} is null or {0} = 'Series ?' then null when {0} = 'Series A extension' then 'series a' else lower({0}) end"
 
 # upserts
-q("M1_upsert", lambda t: M.upsert(t.companies.where("id <= 300").select("id", "website", "logo_url"), t.companies.where("id between 200 and 400").select("id", F.expr("case when id % 2 = 0 then concat('https://new/', id) end").alias("website"), F.lit(None).cast("string").alias("logo_url")), ["id"], F.col("id")).select("id", "website", "logo_url"),
-  "select coalesce(o.id, n.id) as id, coalesce(n.website, o.website) as website, coalesce(n.logo_url, o.logo_url) as logo_url from (select * from companies where id <= 300) o full join (select id, case when id % 2 = 0 then concat('https://new/', id) end as website, cast(null as varchar) as logo_url from companies where id between 200 and 400) n on o.id = n.id")
+q("M1_upsert", lambda t: M.upsert(t.companies.select("id", "website", "logo_url"), t.companies.select((F.col("id") + 100).alias("id")).select("id", F.expr("case when id % 2 = 0 then concat('https://new/', id) end").alias("website"), F.lit(None).cast("string").alias("logo_url")), ["id"], F.col("id")).select("id", "website", "logo_url"),
+  "select coalesce(o.id, n.id) as id, coalesce(n.website, o.website) as website, coalesce(n.logo_url, o.logo_url) as logo_url from companies o full join (select id, case when id % 2 = 0 then concat('https://new/', id) end as website, cast(null as varchar) as logo_url from (select id + 100 as id from companies)) n on o.id = n.id")
 q("M2_replace_children", lambda t: M.replace_children(t.competitors.select("company_id", "rank", "competitor_name"), t.competitors.where("company_id % 4 = 0 and rank = 1").select("company_id", "rank", F.lit("New").alias("competitor_name")), "company_id"),
   "select company_id, rank, competitor_name from competitors where company_id not in (select company_id from competitors where company_id % 4 = 0 and rank = 1) union all select company_id, rank, 'New' from competitors where company_id % 4 = 0 and rank = 1")
 q("M4_unique_slugs", lambda t: M.unique_slugs(t.raw("part").select(F.col("p_partkey").alias("id"), N.slugify(F.col("p_name")).alias("base")), "base", "id").select("id", "slug"),
@@ -36,11 +36,11 @@ q("M9_sticky_links", lambda t: M.sticky_links(t.links, ["round_id", "investor_id
 
 
 def remap(t):
-    """Chains of losers: 3 to 2 to 1, 6 to 5 to 4, and so on."""
-    return t.companies.where("id % 3 <> 1 and id between 1 and 600").select(F.col("id").alias("loser"), (F.col("id") - 1).alias("survivor"))
+    """Chains of losers: 2 to 1 to 0, 5 to 4 to 3, and so on."""
+    return t.companies.where("id % 3 <> 0").select(F.col("id").alias("loser"), (F.col("id") - 1).alias("survivor"))
 
 
-ROOTS = "roots as (select id as loser, id - (id - 1) % 3 as survivor from companies where id % 3 <> 1 and id between 1 and 600)"
+ROOTS = "roots as (select id as loser, id - id % 3 as survivor from companies where id % 3 <> 0)"
 q("M10_resolved_remap", lambda t: M.resolve_remap(remap(t)), f"with {ROOTS} select * from roots")
 q("M10_merge_companies", lambda t: M.merge_entities(t.companies.select("id", "website", "description_short", "total_raised_usd"), M.resolve_remap(remap(t)), ["website", "description_short", "total_raised_usd"]).select("id", "website", "description_short", F.col("total_raised_usd").cast("double").alias("total")),
   f"with {ROOTS}, g as (select survivor, arg_min(website, id) filter (website is not null) as w, arg_min(description_short, id) filter (description_short is not null) as d, arg_min(total_raised_usd, id) filter (total_raised_usd is not null) as r from companies join roots on id = loser group by 1) select id, coalesce(website, w) as website, coalesce(description_short, d) as description_short, cast(coalesce(total_raised_usd, r) as double) as total from companies left join g on id = survivor where id not in (select loser from roots)")
@@ -56,17 +56,17 @@ q("M15_classified", lambda t: t.investors.select("id", F.when(F.col("id").isin(3
 q("M16_no_signal", lambda t: t.rounds.where("amount_raised is not null or announced_date is not null or round_type is not null").select("id"), "select id from rounds where amount_raised is not null or announced_date is not null or round_type is not null")
 CLUSTER = f"with {TYPED}, k as (select *, {KIND.format('round_type')} as kind from typed where amount_raised is not null), c as (select *, coalesce(kind, case when min(kind) over g = max(kind) over g then min(kind) over g end, '') as cluster from k window g as (partition by company_id, amount_raised))"
 q("M17_amount_clusters", lambda t: R.amount_clusters(typed(t)).select("id", "cluster"), CLUSTER + " select id, cluster from c")
-q("M17_collapsed", lambda t: R.collapse_amounts(typed(t)), CLUSTER + ", s as (select id as loser, first_value(id) over (partition by company_id, amount_raised, cluster order by round_type is not null desc, announced_date is not null desc, case confidence when 'high' then 2 when 'medium' then 1 else 0 end desc, id) as survivor from c) select * from s where loser <> survivor")
+q("M17_collapsed", lambda t: R.collapse_amounts(typed(t)), CLUSTER + ", s as (select id as loser, first_value(id) over (partition by company_id, amount_raised, cluster order by kind is not null desc, announced_date is not null desc, case confidence when 'high' then 2 when 'medium' then 1 else 0 end desc, news_url is not null desc, id) as survivor from c) select * from s where loser <> survivor")
 q("M18_near_amounts", lambda t: R.collapse_near_amounts(t.rounds, t.links))
 q("M19_equal_valuations", lambda t: W.first_per(t.rounds.where("valuation is not null"), ["company_id", "valuation"], [F.desc(F.col("amount_raised").isNotNull()), F.asc("id")]).select("id"), "select id from (select *, row_number() over (partition by company_id, valuation order by amount_raised is not null desc, id) as n from rounds where valuation is not null) where n = 1")
 q("M21_phantom_valuations", lambda t: t.rounds.where("amount_raised is null and round_type is null and valuation is not null").alias("p").join(t.rounds.where("amount_raised is not null").alias("f"), F.expr("p.company_id = f.company_id and p.valuation = f.valuation"), "left_anti").select("id"), "select id from rounds p where amount_raised is null and round_type is null and valuation is not null and not exists (select 1 from rounds f where f.company_id = p.company_id and f.valuation = p.valuation and amount_raised is not null)")
 q("M22_folded", lambda t: R.fold_losers(typed(t), R.collapse_amounts(typed(t)), ["announced_date", "news_url"]).select("id", "announced_date", "news_url"),
-  CLUSTER + ", s as (select id as loser, first_value(id) over (partition by company_id, amount_raised, cluster order by round_type is not null desc, announced_date is not null desc, case confidence when 'high' then 2 when 'medium' then 1 else 0 end desc, id) as survivor from c), m as (select * from s where loser <> survivor), g as (select survivor, arg_min(announced_date, o) filter (announced_date is not null) as d, arg_min(news_url, o) filter (news_url is not null) as u from (select t.*, survivor, (2 - case confidence when 'high' then 2 when 'medium' then 1 else 0 end) * 10000000000 + id as o from typed t join m on id = loser) group by 1) select id, coalesce(announced_date, d) as announced_date, coalesce(news_url, u) as news_url from typed left join g on id = survivor where id not in (select loser from m)")
+  CLUSTER + ", s as (select id as loser, first_value(id) over (partition by company_id, amount_raised, cluster order by kind is not null desc, announced_date is not null desc, case confidence when 'high' then 2 when 'medium' then 1 else 0 end desc, news_url is not null desc, id) as survivor from c), m as (select * from s where loser <> survivor), g as (select survivor, arg_min(announced_date, o) filter (announced_date is not null) as d, arg_min(news_url, o) filter (news_url is not null) as u from (select t.*, survivor, (2 - case confidence when 'high' then 2 when 'medium' then 1 else 0 end) * 10000000000 + id as o from typed t join m on id = loser) group by 1) select id, coalesce(announced_date, d) as announced_date, coalesce(news_url, u) as news_url from typed left join g on id = survivor where id not in (select loser from m)")
 q("M5_reconciled", lambda t: R.reconcile(t.rounds))
 q("M7_amount_match", lambda t: typed(t).alias("a").join(typed(t).alias("b"), F.expr("a.company_id = b.company_id and a.amount_raised = b.amount_raised and a.id > b.id")).where(N.compatible_types(F.col("a.round_type"), F.col("b.round_type"))).groupBy(F.expr("a.id as id")).agg(F.expr("min(b.id)").alias("found")),
   f"with {TYPED}, k as (select *, {KIND.format('round_type')} as kind from typed where amount_raised is not null) select a.id, min(b.id) as found from k a join k b on a.company_id = b.company_id and a.amount_raised = b.amount_raised and a.id > b.id where a.kind is null or b.kind is null or a.kind = b.kind group by 1")
 q("M23_repointed_links", lambda t: M.sticky_links(M.remapped(t.links, R.collapse_amounts(typed(t)), "round_id"), ["round_id", "investor_id"]).groupBy("investor_id").agg(F.count("*").alias("n")),
-  CLUSTER + ", s as (select id as loser, first_value(id) over (partition by company_id, amount_raised, cluster order by round_type is not null desc, announced_date is not null desc, case confidence when 'high' then 2 when 'medium' then 1 else 0 end desc, id) as survivor from c) select investor_id, count(distinct coalesce(survivor, round_id)) as n from links left join s on round_id = loser group by 1")
+  CLUSTER + ", s as (select id as loser, first_value(id) over (partition by company_id, amount_raised, cluster order by kind is not null desc, announced_date is not null desc, case confidence when 'high' then 2 when 'medium' then 1 else 0 end desc, news_url is not null desc, id) as survivor from c) select investor_id, count(distinct coalesce(survivor, round_id)) as n from links left join s on round_id = loser group by 1")
 q("M26_exactly_one", lambda t: M.exactly_one(t.rounds.where("id = 77").select("id", "company_id")), "select id, company_id from rounds where id = 77")
 q("M27_cleared_facts", lambda t: t.companies.select("id", F.when(F.col("id") % 10 == 0, None).otherwise(F.col("total_raised_usd").cast("double")).alias("total")), "select id, case when id % 10 = 0 then null else cast(total_raised_usd as double) end as total from companies")
 q("M28_website_reset", lambda t: t.companies.select("id", F.when(F.col("website").rlike(r"//www\.c6\d\."), None).otherwise(F.col("website")).alias("website")), r"select id, case when regexp_matches(website, '//www\.c6\d\.') then null else website end as website from companies")
@@ -80,8 +80,8 @@ q("J33_attached_news", lambda t: L.attach_news(news(t), t.rounds),
   f"with {NEWS}, k as (select *, regexp_replace(url, '^https?://(www[.])?', '') as key from news), p as (select company_id, regexp_replace(news_url, '^https?://(www[.])?', '') as key, min(id) as found from rounds where news_url is not null group by 1, 2), u as (select k.id, found as round_id from k join p using (company_id, key) where round_id is null), b as (select n.id, r.id as round_id, row_number() over (partition by n.id order by abs(published_date - announced_date), amount_raised desc nulls last, r.id) as n from news n join rounds r on n.company_id = r.company_id and abs(published_date - announced_date) <= 14 where n.round_id is null and n.id not in (select id from u)) select id, round_id, 'link' as how from news where round_id is not null union all select id, round_id, 'url' from u union all select id, round_id, 'time' from b where n = 1")
 q("J34_proximity", lambda t: typed(t).alias("a").join(typed(t).alias("b"), F.expr("a.company_id = b.company_id and a.id < b.id and a.round_type <=> b.round_type and abs(datediff(a.announced_date, b.announced_date)) <= 60")).select(F.expr("a.id as first_id"), F.expr("b.id as second_id")),
   f"with {TYPED} select a.id as first_id, b.id as second_id from typed a join typed b on a.company_id = b.company_id and a.id < b.id and a.round_type is not distinct from b.round_type and abs(a.announced_date - b.announced_date) <= 60")
-q("G25_coverage", lambda t: L.coverage(news(t), t.rounds.where("id < 4000")),
-  f"with {NEWS}, a as (select id as round_id, news_url as url, 0 as tier, 0 as id from rounds where news_url is not null and id < 4000 union all select round_id, url, 1, id from news where round_id is not null), k as (select *, regexp_replace(url, '^https?://(www[.])?', '') as key from a) select round_id, key, min(tier) as tier from k group by 1, 2")
+q("G25_coverage", lambda t: L.coverage(news(t), t.rounds),
+  f"with {NEWS}, a as (select id as round_id, news_url as url, 0 as tier, 0 as id from rounds where news_url is not null union all select round_id, url, 1, id from news where round_id is not null), k as (select *, regexp_replace(url, '^https?://(www[.])?', '') as key from a) select round_id, key, min(tier) as tier from k group by 1, 2")
 q("G26_timeline_tiers", lambda t: t.rounds.select("id", F.when(F.col("announced_date").isNull(), 0).otherwise(1).alias("tier"), F.col("announced_date").alias("day")).unionByName(news(t).select("id", F.when(F.col("published_date").isNull(), 2).otherwise(1).alias("tier"), F.col("published_date").alias("day"))).orderBy("tier", F.desc_nulls_last("day"), "id").limit(200),
   f"with {NEWS} select * from (select id, case when announced_date is null then 0 else 1 end as tier, announced_date as day from rounds union all select id, case when published_date is null then 2 else 1 end, published_date from news) order by tier, day desc nulls last, id limit 200")
 q("G24_stories", lambda t: L.stories(news(t)))

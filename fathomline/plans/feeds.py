@@ -13,7 +13,7 @@ from fathomline.sources import sinks as K
 Q = f"date_trunc('quarter', {D})"
 q("S33_export_rows", lambda t: K.export_rows(t.companies, t.company_links, t.investors), "select slug, c.name, industry_group, cast(round(total_raised_usd) as bigint) as total_raised, coalesce(n.names, '') as investors from companies c left join (select company_id, array_to_string(list_sort(list(distinct i.name)), ', ') as names from company_links join investors i on investor_id = i.id group by 1) n on company_id = c.id")
 q("S34_rss_feed", lambda t: K.rss_feed(news(t).select("title", F.col("url").alias("link"), F.col("published_date").alias("day"), F.col("title").alias("text")), "News", "https://x.example.com", 20).select(F.length("xml").alias("n"), F.size(F.regexp_extract_all("xml", F.lit("<item>"), F.lit(0))).alias("items")))
-q("S35_markdown", lambda t: K.markdown(t.companies.where("id <= 200"), t.rounds.where("company_id <= 200")).select("slug", F.length("md").alias("n"), F.regexp_count("md", F.lit("\n- ")).alias("rounds")))
+q("S35_markdown", lambda t: K.markdown(t.companies, t.rounds).select("slug", F.length("md").alias("n"), F.regexp_count("md", F.lit("\n- ")).alias("rounds")))
 q("S36_sitemap_shards", lambda t: W.shard(t.companies.select("slug"), "slug", 500).groupBy("shard").agg(F.count("*").alias("n"), F.min("slug").alias("first")), "select shard, count(*) as n, min(slug) as first from (select slug, (row_number() over (order by slug) - 1) // 500 as shard from companies) group by 1")
 q("S37_run_ledger", lambda t: t.runs.select("id", "stage", F.when(F.col("status") == "error", "error").when(F.col("rows_written") > 0, "success").otherwise("empty").alias("outcome")), "select id, stage, case when status = 'error' then 'error' when rows_written > 0 then 'success' else 'empty' end as outcome from runs")
 q("S30_first_source", lambda t: t.companies.select("id", F.coalesce("employee_count_max", F.when(F.col("id") % 2 == 0, F.col("id") % 90), F.lit(1)).alias("staff")), "select id, coalesce(employee_count_max, case when id % 2 = 0 then id % 90 end, 1) as staff from companies")

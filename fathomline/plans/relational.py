@@ -45,8 +45,8 @@ q("F5_relative_date", lambda t: t.rounds.where(P.within_days("announced_date", 9
   f"select id, announced_date from rounds where announced_date >= {D} - 90")
 q("F6_ilike_two_columns", lambda t: t.companies.where(P.matches_any(["name", "description_short"], "MACHINERY maker")).select("id"),
   "select id from companies where name ilike '%MACHINERY maker%' or description_short ilike '%MACHINERY maker%'")
-q("F7_sanitize_term", lambda t: t.raw("documents").select("doc_id", P.sanitized(F.substring("text", 1, 200)).alias("term")),
-  r"select doc_id, trim(regexp_replace(regexp_replace(substring(text, 1, 200), '[,()%*\\]', ' ', 'g'), '\s+', ' ', 'g')) as term from documents")
+q("F7_sanitize_term", lambda t: t.raw("documents").select("doc_id", P.sanitized(F.col("text")).alias("term")),
+  r"select doc_id, trim(regexp_replace(regexp_replace(text, '[,()%*\\]', ' ', 'g'), '\s+', ' ', 'g')) as term from documents")
 q("F8_null_predicates", lambda t: t.companies.where(F.col("website").isNull() & F.col("status").isNotNull() & F.col("hq_country").isin("CHINA", "FRANCE") & (F.col("id") >= 10)).select("id"),
   "select id from companies where website is null and status is not null and hq_country in ('CHINA', 'FRANCE') and id >= 10")
 q("F9_in_list", lambda t: t.companies.where(F.col("slug").isin([f"co-{n}" for n in range(1, 400, 2)][:150])).select("id"),
@@ -264,8 +264,8 @@ q("L23_husk_search", lambda t: t.counted.where(P.not_excluded() & F.col("descrip
 q("U1_union_distinct", lambda t: (lambda d, r: d.union(r).distinct())(*portfolio(t)), f"with {LEGS} select * from legs")
 q("U2_union_count", lambda t: (lambda d, r: d.union(r).distinct().groupBy("investor_id").agg(F.count("*").alias("n")))(*portfolio(t)), f"with {LEGS} select investor_id, count(*) as n from legs group by 1")
 q("U4_difference", lambda t: (lambda d, r: r.distinct().join(d, ["investor_id", "company_id"], "left_anti"))(*portfolio(t)), "select investor_id, company_id from links join rounds r on round_id = r.id except select investor_id, company_id from company_links")
-q("U5_intersection_size", lambda t: t.companies.where("id <= 200").select("id", F.size(F.array_intersect(tags(), F.array(F.lit("t1"), F.lit("t2"), F.lit("building")))).alias("shared")),
-  f"select id, cast(len(list_intersect({TAGS_SQL}, ['t1', 't2', 'building'])) as int) as shared from companies where id <= 200")
+q("U5_intersection_size", lambda t: t.companies.select("id", F.size(F.array_intersect(tags(), F.array(F.lit("t1"), F.lit("t2"), F.lit("building")))).alias("shared")),
+  f"select id, cast(len(list_intersect({TAGS_SQL}, ['t1', 't2', 'building'])) as int) as shared from companies")
 q("U6_names_capped", lambda t: t.links.join(t.rounds.select(F.col("id").alias("round_id"), "company_id"), "round_id").join(t.investors.select(F.col("id").alias("investor_id"), "name"), "investor_id").groupBy("company_id").agg(F.array_join(F.slice(F.array_sort(F.collect_set("name")), 1, 8), ", ").alias("names")),
   "select company_id, array_to_string(list_sort(list(distinct i.name))[1:8], ', ') as names from links join rounds r on round_id = r.id join investors i on investor_id = i.id group by 1")
 

@@ -29,8 +29,8 @@ def windows(t):
     return S.news_windows(snapshots(t), "id", AS_OF, 10)
 
 
-q("W3_similar_top_k", lambda t: G.similar_edges(t.companies.where("id <= 400").select("id", "industry_group", tags().alias("tags"))),
-  "with c as (select id, industry_group, list_distinct(list_value(concat('t', id % 9), concat('t', id % 5), lower(industry_group))) as tags from companies where id <= 400 and industry_group is not null), p as (select a.id, b.id as related_id, len(list_intersect(a.tags, b.tags)) as shared, len(a.tags) as x, len(b.tags) as y from c a join c b on a.industry_group = b.industry_group and a.id <> b.id), s as (select id, related_id, shared, round(shared / (x + y - shared), 3) as score from p where shared > 0) select id, related_id, score, shared from (select *, row_number() over (partition by id order by score desc, shared desc, related_id) as n from s) where n <= 8".replace("where id <= 400 and", "where id <= 400 and"))
+q("W3_similar_top_k", lambda t: G.similar_edges(t.companies.select("id", "industry_group", tags().alias("tags"))),
+  "with c as (select id, industry_group, list_distinct(list_value(concat('t', id % 9), concat('t', id % 5), lower(industry_group))) as tags from companies where industry_group is not null), p as (select a.id, b.id as related_id, len(list_intersect(a.tags, b.tags)) as shared, len(a.tags) as x, len(b.tags) as y from c a join c b on a.industry_group = b.industry_group and a.id <> b.id), s as (select id, related_id, shared, round(shared / (x + y - shared), 3) as score from p where shared > 0) select id, related_id, score, shared from (select *, row_number() over (partition by id order by score desc, shared desc, related_id) as n from s) where n <= 8".replace("where id <= 400 and", "where id <= 400 and"))
 q("W5_two_window_means", lambda t: windows(t).select("id", F.round("recent", 6).alias("recent"), F.round("baseline", 6).alias("baseline")), f"with {SNAP}, {WIN} select id, round(recent, 6) as recent, round(baseline, 6) as baseline from win")
 HC = "hc as (select c_custkey as id, cast(date_trunc('week', cast(o_orderdate as date)) as date) as captured_week, min(o_orderkey % 50 * 10) as lo, max(o_orderkey % 50 * 10 + 40) as hi from orders join customer on c_custkey = o_custkey group by 1, 2)"
 
@@ -139,14 +139,14 @@ q("G17_cluster_order", lambda t: (lambda s: W.first_per(s.withColumn("similarity
 q("G15_choose_k", lambda t: embeddings(t).groupBy("label").agg(F.count("*").alias("n")).select("label", F.least(F.greatest(F.bround(F.sqrt(F.col("n") / 2)), F.lit(2)), F.lit(10)).cast("int").alias("k")), "select label, cast(least(greatest(round_even(sqrt(count(*) / 2.0), 0), 2), 10) as int) as k from embeddings group by 1")
 # trigram joins
 TRI = "list_distinct(flatten(list_transform(list_filter(regexp_split_to_array(lower({0}), '[^a-z0-9]+'), lambda w: w <> ''), lambda w: list_transform(range(1, len(w) + 2), lambda i: substring('  ' || w || ' ', i, 3)))))"
-NAMES = "names as (select p_partkey as id, p_name || ' ' || p_brand as name, " + TRI.format("p_name || ' ' || p_brand") + " as g from part where p_partkey <= 300)"
+NAMES = "names as (select p_partkey as id, p_name || ' ' || p_brand as name, " + TRI.format("p_name || ' ' || p_brand") + " as g from part)"
 
 
 def names(t):
-    return t.raw("part").where("p_partkey <= 300").select(F.col("p_partkey").alias("id"), F.concat_ws(" ", "p_name", "p_brand").alias("name"))
+    return t.raw("part").select(F.col("p_partkey").alias("id"), F.concat_ws(" ", "p_name", "p_brand").alias("name"))
 
 
-PAIRS = f"{NAMES}, pairs as (select a.id as left_id, b.id as right_id, len(list_intersect(a.g, b.g)) / len(list_distinct(list_concat(a.g, b.g))) as similarity from names a join names b on a.id <> b.id)"
+PAIRS = f"{NAMES}, grams as (select id, len(g) as n, unnest(g) as gram from names), pairs as (select a.id as left_id, b.id as right_id, count(*) / (any_value(a.n) + any_value(b.n) - count(*)) as similarity from grams a join grams b on a.gram = b.gram and a.id <> b.id group by 1, 2)"
 q("T7_trigram_similarity", lambda t: names(t).crossJoin(F.broadcast(t.spark.createDataFrame([("lemon small Brand#12",)], "probe string"))).select("id", F.round(V.trigram_similarity(F.col("name"), F.col("probe")), 6).alias("similarity")),
   "with " + NAMES + ", p as (select " + TRI.format("'lemon small Brand#12'") + " as h) select id, round(len(list_intersect(g, h)) / len(list_distinct(list_concat(g, h))), 6) as similarity from names, p")
 q("J19_fuzzy_pairs", lambda t: (lambda n: V.fuzzy_pairs(n, n, 0.45, distinct_order=True).select("left_id", "right_id", F.round("similarity", 6).alias("similarity")))(names(t)), f"with {PAIRS} select left_id, right_id, round(similarity, 6) as similarity from pairs where similarity >= 0.45 and left_id < right_id")

@@ -8,6 +8,7 @@ from fathomline.functions import names as N
 from fathomline.functions import text as X
 from fathomline.functions import urls as U
 from fathomline.plans.aggregates import day, D
+from fathomline.operators.timeline import title_sums, title_words, url_key
 from fathomline.plans.registry import q
 from fathomline.sources.tables import AS_OF
 
@@ -24,7 +25,7 @@ def named(t):
 q("T2_strip_suffix", lambda t: named(t).select("id", N.strip_suffix(F.col("name")).alias("name")), f"select p_partkey as id, {BARE} as name from part")
 q("T3_slugify", lambda t: named(t).select("id", N.slugify(F.col("name")).alias("slug")), f"select p_partkey as id, trim(regexp_replace(lower({BARE}), '[^a-z0-9]+', '-', 'g'), '-') as slug from part")
 q("T4_match_key", lambda t: named(t).select("id", N.normalize_name(F.col("name")).alias("key")), f"select p_partkey as id, regexp_replace(lower({BARE}), '[^a-z0-9]+', '', 'g') as key from part")
-q("T1_fold_marks", lambda t: t.raw("documents").select("doc_id", N.fold(F.substring("text", 1, 120)).alias("folded")), "select doc_id, regexp_replace(replace(strip_accents(substring(text, 1, 120)), 'ß', 'ß'), '', '') as folded from documents")
+q("T1_fold_marks", lambda t: t.raw("documents").select("doc_id", N.fold(F.col("text")).alias("folded")), "select doc_id, strip_accents(text) as folded from documents")
 q("T5_token_subset", lambda t: named(t).select("id", N.token_subset(F.col("name"), F.lit("lemon small goods corp")).alias("subset")),
   f"with w as (select p_partkey as id, list_filter(regexp_split_to_array(lower({BARE}), '[^a-z0-9]+'), lambda x: x <> '') as a from part) select id, len(a) > 0 and (len(list_filter(a, lambda x: not list_contains(['lemon', 'small', 'goods'], x))) = 0 or len(list_filter(['lemon', 'small', 'goods'], lambda x: not list_contains(a, x))) = 0) as subset from w")
 q("T6_disambiguator", lambda t: t.companies.select("id", N.disambiguated(F.col("slug"), F.col("id")).alias("slug")), "select id, slug || '-' || substring(sha256(cast(id as varchar)), 1, 6) as slug from companies")
@@ -42,15 +43,16 @@ HOST = "regexp_replace(lower(regexp_extract({0}, '^[A-Za-z]+://([^/:?#]*)', 1)),
 q("T9_hostname", lambda t: urls(t).select("page_id", U.hostname(F.col("url")).alias("host")), f"select page_id, {HOST.format(URLS)} as host from pages")
 q("T10_canonical_domain", lambda t: t.companies.select("id", F.expr("case id % 4 when 0 then 'https://a.github.io/x' when 1 then 'https://shop.myshopify.com' when 2 then website else 'mailto:x' end").alias("u")).select("id", U.canonical_domain(F.col("u")).alias("domain")),
   f"select id, case when id % 4 = 2 and website is not null then {HOST.format('website')} end as domain from companies")
-q("T11_storable", lambda t: urls(t).select("page_id", U.storable(F.col("url")).alias("ok")), "select page_id, true as ok from pages")
+q("T11_storable", lambda t: urls(t).select("page_id", U.storable(F.expr("case page_id % 4 when 0 then concat('ftp://', substring(url, 9)) when 1 then 'javascript:alert(1)' when 2 then concat(' ', upper(url)) else url end")).alias("ok")), "select page_id, page_id % 4 >= 2 as ok from pages")
 q("T12_listed_hosts", lambda t: urls(t).select("page_id", U.on_host(U.hostname(F.col("url")), ["example.org", "example.net"]).alias("listed")), f"select page_id, regexp_matches({HOST.format(URLS)}, '(^|\\.)example\\.(org|net)$') as listed from pages")
 q("T13_dated_article", lambda t: t.rounds.select("id", F.concat(F.lit("https://n.example.com/"), F.date_format("announced_date", "yyyy/M"), F.when(F.col("id") % 2 == 0, "/title").otherwise("")).alias("url")).select("id", U.dated_article(F.regexp_replace("url", "/19", "/20")).alias("dated")), "select id, case when announced_date is not null then true end as dated from rounds")
 q("T54_display_name", lambda t: urls(t).select("page_id", U.display_name(F.col("url")).alias("name")), f"select page_id, array_to_string(list_transform(string_split(replace(split_part({HOST.format(URLS)}, '.', 1), '-', ' '), ' '), lambda w: upper(substring(w, 1, 1)) || substring(w, 2)), ' ') as name from pages")
-q("T51_url_key_and_gap", lambda t: t.rounds.select("id", F.abs(F.datediff(F.col("announced_date"), day())).alias("gap")), f"select id, abs(announced_date - {D}) as gap from rounds")
+q("T51_url_key_and_gap", lambda t: t.rounds.select("id", url_key(F.concat("news_url", F.when(F.col("id") % 2 == 0, "/?utm_source=x#top").otherwise(""))).alias("key"), F.abs(F.datediff(F.col("announced_date"), day())).alias("gap")), f"select id, replace(news_url, 'https://', '') as key, abs(announced_date - {D}) as gap from rounds")
 q("T19_funding_words", lambda t: t.raw("documents").select("doc_id", X.funding_words(F.concat(F.col("text"), F.when(F.col("doc_id") % 3 == 0, " Series-A round").otherwise(" evaluations praised"))).alias("hit")),
   r"select doc_id, regexp_matches(lower(text || case when doc_id % 3 = 0 then ' Series-A round' else ' evaluations praised' end), '\b(?:raised|raises|funding|series[\s\-]+a|series[\s\-]+b|series[\s\-]+c|seed[\s\-]+round|led[\s\-]+by|valuation|closes)\b') as hit from documents")
 q("T20_phrase_in_tokens", lambda t: t.raw("documents").select("doc_id", X.phrase_in(F.col("text"), F.lit("of the")).alias("hit")), "select doc_id, contains(' ' || array_to_string(regexp_extract_all(lower(text), '[a-z0-9]+'), ' ') || ' ', ' of the ') as hit from documents")
-q("T24_placeholder_name", lambda t: named(t).select("id", (F.col("name").rlike(r"^\[.*\]$") | F.lower("name").isin("tbd", "stealth")).alias("placeholder")), "select p_partkey as id, false as placeholder from part")
+PLACED = "case p_partkey % 5 when 0 then '[' || p_name || ']' when 1 then 'TBD' when 2 then ' Stealth' else p_name end"
+q("T24_placeholder_name", lambda t: t.raw("part").select(F.col("p_partkey").alias("id"), F.expr(PLACED).alias("name")).select("id", (F.trim("name").rlike(r"^\[.*\]$") | F.lower(F.trim("name")).isin("tbd", "stealth")).alias("placeholder")), f"select p_partkey as id, regexp_matches(trim({PLACED}), '^\\[.*\\]$') or lower(trim({PLACED})) in ('tbd', 'stealth') as placeholder from part")
 q("T27_state_codes", lambda t: (lambda m: t.companies.select("id", F.coalesce(F.element_at(m, F.lower(F.trim(F.expr("case id % 4 when 0 then ' Texas' when 1 then 'CALIFORNIA' when 2 then 'ny' else 'Elsewhere' end")))), F.lit("other")).alias("state")))(F.create_map(*[F.lit(x) for p in (("texas", "TX"), ("california", "CA"), ("ny", "NY")) for x in p])),
   "select id, case id % 4 when 0 then 'TX' when 1 then 'CA' when 2 then 'NY' else 'other' end as state from companies")
 EMP = "case c_custkey % 6 when 0 then '11-50' when 1 then '1,001 employees' when 2 then '5000+' when 3 then '250' when 4 then '90 to 20 people' else 'unknown' end"
@@ -67,16 +69,27 @@ q("T34_tag_strip", lambda t: t.raw("pages").select("page_id", X.squeeze(F.regexp
 q("T35_outbound_links", lambda t: t.raw("pages").select("page_id", F.explode(X.page_links("html")).alias("l")).groupBy("page_id").agg(F.count("*").alias("links"), F.min("l.url").alias("first_url")))
 q("T37_for_sale", lambda t: t.raw("documents").select("doc_id", X.for_sale(F.concat(F.col("text"), F.when(F.col("doc_id") % 5 == 0, " Acme.com is for sale").otherwise(""))).alias("parked")), "select doc_id, doc_id % 5 = 0 or contains(lower(text), 'parked domain') or contains(lower(text), 'buy this domain') as parked from documents")
 q("T38_career_signals", lambda t: t.raw("documents").select("doc_id", F.regexp_extract_all("text", F.lit(r"[Oo]f the ([A-Z][a-z]+|[a-z]+)"), F.lit(1)).alias("w")).select("doc_id", F.array_join("w", ",").alias("found")), "select doc_id, array_to_string(regexp_extract_all(text, '[Oo]f the ([A-Z][a-z]+|[a-z]+)', 1), ',') as found from documents")
-q("T39_quote_grounded", lambda t: t.raw("documents").select("doc_id", X.quote_grounded(F.expr("case doc_id % 4 when 0 then substring(text, 5, 30) when 1 then concat(substring(text, 1, 20), ' ... ', substring(text, 41, 20)) when 2 then 'never said so' end"), F.col("text")).alias("grounded")),
-  None)
-q("T40_grounded_share", lambda t: t.raw("benchmark").select("item_id", F.size(X.capitalised(F.col("text"))).alias("words"), F.round(X.grounded_share(X.capitalised(F.col("text")), F.substring("text", 1, 200)), 6).alias("share")))
-q("T41_claim_grounded", lambda t: t.raw("documents").select("doc_id", (X.grounded_share(F.split(F.substring("text", 1, 40), " "), F.substring("text", 1, 25)) >= 0.6).alias("grounded")),
-  "with w as (select doc_id, string_split(substring(text, 1, 40), ' ') as a, lower(substring(text, 1, 25)) as s from documents) select doc_id, len(list_filter(a, lambda x: contains(s, lower(x)))) / len(a) >= 0.6 as grounded from w")
+QUOTED = "case doc_id % 4 when 0 then substring(text, 5, 30) when 1 then concat(substring(text, 1, 20), ' ... ', substring(text, 41, 20)) when 2 then 'never said so' end"
+q("T39_quote_grounded", lambda t: t.raw("documents").select("doc_id", X.quote_grounded(F.expr(QUOTED), F.col("text")).alias("grounded")))
+
+
+CAPS = r"list_distinct(list_filter(list_transform(flatten(list_transform(regexp_split_to_array({0}, '[.!?\n]+\s*'), lambda s: list_filter(regexp_split_to_array(trim(s), '\s+'), lambda w: w <> '')[2:])), lambda w: regexp_replace(w, '[^\p{{L}}\p{{N}}]', '', 'g')), lambda w: regexp_matches(w, '^[A-Z].{{2,}}')))"
+CLAIMS = f"claims as (select a.item_id, {CAPS.format('a.text')} as c, string_split(a.text, ' ') as w, lower(b.text) as s from benchmark a join benchmark b on b.item_id = a.item_id + 1)"
+
+
+def claims(t):
+    """Each item's text as a claim, the next item's as its evidence."""
+    b = t.raw("benchmark")
+    return b.join(b.select((F.col("item_id") - 1).alias("item_id"), F.col("text").alias("evidence")), "item_id")
+
+
+q("T40_grounded_share", lambda t: claims(t).select("item_id", F.size(X.capitalised(F.col("text"))).alias("words"), F.round(X.grounded_share(X.capitalised(F.col("text")), F.col("evidence")), 6).alias("share")),
+  f"with {CLAIMS} select item_id, cast(len(c) as int) as words, round(case when len(c) = 0 then 1 else len(list_filter(c, lambda x: contains(s, lower(x)))) / len(c) end, 6) as share from claims")
+q("T41_claim_grounded", lambda t: claims(t).select("item_id", (X.grounded_share(F.split("text", " "), F.col("evidence")) >= 0.6).alias("grounded")), f"with {CLAIMS} select item_id, len(list_filter(w, lambda x: contains(s, lower(x)))) / len(w) >= 0.6 as grounded from claims")
 q("T42_regex_flag", lambda t: t.raw("documents").select("doc_id", F.col("text").rlike("(^|[ .,])(und|les|que)([ .,]|$)").alias("other")), r"select doc_id, regexp_matches(text, '(^|[ .,])(und|les|que)([ .,]|$)') as other from documents")
 q("T43_counts", lambda t: t.raw("documents").select("doc_id", X.word_count(F.col("text")).alias("words"), X.paragraph_count(F.col("text")).alias("paragraphs")),
   r"select doc_id, cast(len(regexp_extract_all(text, '\S+')) as int) as words, cast(len(list_filter(regexp_split_to_array(text, '\n\s*\n'), lambda p: trim(p) <> '')) as int) as paragraphs from documents")
-q("T44_title_signature", lambda t: t.raw("documents").select("doc_id", F.array_join(F.array_sort(F.array_distinct(F.filter(F.split(F.lower(F.substring("text", 1, 80)), "[^a-z0-9.]+"), lambda w: (w != "") & ~w.isin("a", "an", "and", "the", "of", "in", "to", "for", "by")))), " ").alias("words")),
-  "select doc_id, array_to_string(list_sort(list_distinct(list_filter(regexp_split_to_array(lower(substring(text, 1, 80)), '[^a-z0-9.]+'), lambda w: w <> '' and w not in ('a', 'an', 'and', 'the', 'of', 'in', 'to', 'for', 'by')))), ' ') as words from documents")
+q("T44_title_signature", lambda t: t.raw("documents").select("doc_id", F.array_join(F.array_sort(title_words(F.col("text"))), " ").alias("words"), F.array_join(title_sums(F.col("text")), "|").alias("sums")))
 q("T46_embedding_text", lambda t: t.companies.select("id", F.sha2(F.concat_ws("\n", "name", F.coalesce("description_short", F.lit(""))), 256).alias("hash")), "select id, sha256(name || chr(10) || coalesce(description_short, '')) as hash from companies")
 USD = "cast(case when o_orderkey % 17 = 0 then null else round(o_totalprice * power(10, o_orderkey % 5)) end as double)"
 q("T47_format_usd", lambda t: t.raw("orders").select(F.col("o_orderkey").alias("id"), F.expr(USD).alias("x")).select("id", N.format_usd(F.col("x")).alias("short"), N.format_usd_exact(F.col("x")).alias("exact")),
@@ -88,8 +101,8 @@ q("T49_labels", lambda t: t.companies.select("id", X.long_date(F.col("checked_at
 q("T49_growth_labels", lambda t: t.companies.select("id", X.growth_label(F.col("id"), F.when(F.col("id") % 3 != 0, (F.col("id") % 17 - 8) / F.lit(16.0))).alias("growth")),
   "select id, case when g is null then case when id > 0 then 'new' else '—' end when floor(g * 100 + 0.5) < 0 then '−' || cast(abs(floor(g * 100 + 0.5)) as bigint) || '%' else '+' || cast(floor(g * 100 + 0.5) as bigint) || '%' end as growth from (select id, case when id % 3 <> 0 then (id % 17 - 8) / 16.0 end as g from companies)")
 q("T50_industry_slug", lambda t: t.companies.where("industry_group is not null").select(F.regexp_replace(F.lower("industry_group"), "[^a-z0-9]+", "-").alias("slug"), "industry_group").groupBy("slug").agg(F.min("industry_group").alias("industry")), "select regexp_replace(lower(industry_group), '[^a-z0-9]+', '-', 'g') as slug, min(industry_group) as industry from companies where industry_group is not null group by 1")
-q("T53_xml_and_dates", lambda t: t.raw("pages").select("page_id", X.xml_escape(F.substring("html", 1, 90)).alias("xml"), X.rfc822(F.expr("date '2001-07-31' - cast(page_id as int)").cast("timestamp")).alias("day")),
-  "select page_id, replace(replace(replace(replace(replace(substring(html, 1, 90), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&apos;') as xml, strftime(date '2001-07-31' - cast(page_id as int), '%a, %d %b %Y %H:%M:%S GMT') as day from pages")
+q("T53_xml_and_dates", lambda t: t.raw("pages").select("page_id", X.xml_escape(F.col("html")).alias("xml"), X.rfc822(F.expr("date '2001-07-31' - cast(page_id as int)").cast("timestamp")).alias("day")),
+  "select page_id, replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&apos;') as xml, strftime(date '2001-07-31' - cast(page_id as int), '%a, %d %b %Y %H:%M:%S GMT') as day from pages")
 q("T55_pair_key", lambda t: t.competitors.where("competitor_company_id is not null").select(F.concat_ws("-", F.least("company_id", "competitor_company_id"), F.greatest("company_id", "competitor_company_id")).alias("key")).distinct(), "select distinct concat(least(company_id, competitor_company_id), '-', greatest(company_id, competitor_company_id)) as key from competitors where competitor_company_id is not null")
 q("S25_json_islands", lambda t: t.raw("events").select("event_id", X.json_island(F.concat(F.lit("window.x = "), F.col("props"), F.lit("; {broken"))).alias("props")).select("event_id", F.get_json_object("props", "$.k").cast("bigint").alias("k")), "select event_id, cast(json_extract(props, '$.k') as bigint) as k from events")
 q("D1_quarters", lambda t: t.rounds.select("id", F.trunc("announced_date", "quarter").alias("start"), F.add_months(F.trunc("announced_date", "quarter"), -6).alias("before")), "select id, cast(date_trunc('quarter', announced_date) as date) as start, cast(date_trunc('quarter', announced_date) - interval 6 months as date) as before from rounds")

@@ -31,14 +31,27 @@ def read_rss(spark: SparkSession, path: str, as_of: str, days: int, snippet: int
     return parse_rss(spark.read.text(path, wholetext=True), as_of, days, snippet)
 
 
+FEED = (
+    "channel struct<item: array<struct<title: string, link: string, pubDate: string, description: string>>>, "
+    "entry array<struct<title: string, link: array<struct<_href: string>>, published: string, updated: string, summary: string>>"
+)
+
+
+def feed_items(xml: DataFrame) -> DataFrame:
+    """``(link, title, day, summary)`` of the items of RSS and Atom feeds in ``xml(value)``, each item's parts together.
+
+    A part that an item lacks is null; a file that isn't XML has no items.
+    """
+    feed = xml.select(F.from_xml("value", FEED, {"mode": "PERMISSIVE"}).alias("f"))
+    rss = F.transform("f.channel.item", lambda i: F.struct(F.trim(i["link"]).alias("link"), i["title"].alias("title"), F.to_date(F.try_to_timestamp(F.regexp_extract(i["pubDate"], r"(\d{1,2} \w{3} \d{4})", 1), F.lit("d MMM yyyy"))).alias("day"), i["description"].alias("summary")))
+    atom = F.transform("f.entry", lambda i: F.struct(F.trim(F.get(i["link"], F.lit(0))["_href"]).alias("link"), i["title"].alias("title"), F.to_date(F.try_to_timestamp(F.substring(F.coalesce(i["published"], i["updated"]), 1, 10), F.lit("yyyy-MM-dd"))).alias("day"), i["summary"].alias("summary")))
+    return feed.select(F.inline(F.concat(F.coalesce(rss, F.array()), F.coalesce(atom, F.array()))))
+
+
 def parse_rss(xml: DataFrame, as_of: str, days: int, snippet: int | None = SNIPPET) -> DataFrame:
     """``(link, title, published, summary)`` of the items of feeds in ``xml(value)``, in the look-back and about funding."""
-    part = lambda tag: F.xpath("value", F.lit(f"//item/{tag}/text()"))
-    rows = xml.select(F.explode(F.arrays_zip(part("link").alias("link"), part("title").alias("title"), part("pubDate").alias("pubDate"), part("description").alias("summary"))).alias("i")).select("i.*")
-    published = F.to_date(F.try_to_timestamp(F.regexp_extract("pubDate", r"(\d{1,2} \w{3} \d{4})", 1), F.lit("d MMM yyyy")))
-    text = F.concat_ws(" ", "title", "summary")
-    kept = rows.select("link", "title", published.alias("published"), (F.substring("summary", 1, snippet) if snippet else F.col("summary")).alias("summary"), text.alias("_text"))
-    return kept.where((F.col("published") >= F.date_sub(F.lit(as_of).cast("date"), days)) & funding_words(F.col("_text"))).drop("_text")
+    items = feed_items(xml).where((F.col("day") >= F.date_sub(F.lit(as_of).cast("date"), days)) & funding_words(F.concat_ws(" ", "title", "summary")))
+    return items.select("link", "title", F.col("day").alias("published"), (F.substring("summary", 1, snippet) if snippet else F.col("summary")).alias("summary"))
 
 
 def read_listing(spark: SparkSession, path: str, schema: str, name: str, website: str) -> DataFrame:
@@ -113,3 +126,13 @@ def external(df: DataFrame, call: Callable[[list[dict]], list[dict]], schema: st
             yield pd.DataFrame(call(batch.to_dict("records")))
 
     return df.mapInPandas(run, schema)
+
+
+def or_empty(build: Callable[[], DataFrame], schema: str) -> DataFrame:
+    """What ``build`` gives, or no row of ``schema`` where it can't be planned (a table or column is absent)."""
+    from pyspark.errors import AnalysisException
+
+    try:
+        return build()
+    except AnalysisException:
+        return SparkSession.active().createDataFrame([], schema)

@@ -48,8 +48,8 @@ COMPANY_LINK = {"company_id": "c_custkey", "investor_id": "c_custkey % 40 + 1",
 RUN = {"id": "event_id", "stage": "event_type", "started_at": "cast(ts as timestamp)", "status": "case when event_id % 10 = 0 then 'error' when event_id % 7 = 0 then 'empty' else 'success' end", "rows_written": "cast(floor(value) as bigint)"}
 COMPETITOR = {
     "company_id": "c_custkey",
-    "competitor_company_id": "case when c_custkey % 5 = 0 then null else (c_custkey * 7 + k) % 1500 + 1 end",
-    "competitor_name": "concat('Rival ', cast((c_custkey * 7 + k) % 1500 + 1 as string))",
+    "competitor_company_id": "case when c_custkey % 5 = 0 then null else c_custkey + 7 * k * (1 - 2 * (c_custkey % 2)) end",
+    "competitor_name": "concat('Rival ', cast(c_custkey + 7 * k * (1 - 2 * (c_custkey % 2)) as string))",
     "rank": "k",
     "reasoning": "case when (c_custkey + k) % 37 = 0 then 'should be dropped: not a rival' else 'sells to the same buyers' end",
 }
@@ -62,7 +62,7 @@ VIEWS = {
     "investors": "select {} from supplier",
     "company_links": "select {} from customer where c_custkey % 3 <> 0",
     "runs": "select {} from events",
-    "competitors": "select {} from customer, (values (1), (2), (3)) ks(k) where (c_custkey * 7 + k) % 1500 + 1 <> c_custkey",
+    "competitors": "select {} from customer, (values (1), (2), (3)) ks(k) where c_custkey + 7 * k * (1 - 2 * (c_custkey % 2)) > 0",
 }
 COLUMNS = {"companies": COMPANY, "rounds": ROUND, "links": LINK, "investors": INVESTOR, "company_links": COMPANY_LINK, "runs": RUN, "competitors": COMPETITOR}
 
@@ -112,7 +112,7 @@ class Tables:
     @cached_property
     def competitors(self) -> DataFrame:
         ranked = self.raw("customer").withColumn("k", F.explode(F.array(*map(F.lit, (1, 2, 3)))))
-        return _bind(ranked.where("(c_custkey * 7 + k) % 1500 + 1 <> c_custkey"), "competitors")
+        return _bind(ranked.where("c_custkey + 7 * k * (1 - 2 * (c_custkey % 2)) > 0"), "competitors")
 
     @cached_property
     def counted(self) -> DataFrame:
