@@ -129,7 +129,7 @@ def best_corroboration(pairs: DataFrame, key: list[str], name: str = "name", des
 
     Of the variants that occur one not suspect wins, then the most proper occurrences, then the most.
     """
-    spread = pairs.select(*pairs.columns, F.posexplode(name_variants(F.col(name))).alias("variant_no", "variant"))
+    spread = pairs.select(*pairs.columns, F.posexplode(name_variants(F.coalesce(F.col(name), F.lit("")))).alias("variant_no", "variant"))
     seen = corroborate(spread, "variant", description, text, context, own=name)
     order = [F.desc(F.col("occurrences") > 0), F.asc(F.when(F.col("occurrences") > 0, F.col("suspect"))), F.desc("proper"), F.desc("occurrences"), F.asc("variant_no")]
     return seen.withColumn("_n", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).where("_n = 1").drop("_n", "variant_no", "variant")
