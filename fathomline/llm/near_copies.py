@@ -210,14 +210,13 @@ class _Search:
         edges = self._linked(proposed)
         roots = components(edges)
         entries = _rooted(self.texts.select("node", "n", "keys"), roots).select("node", "n", "root", F.posexplode("keys").alias("pos", "key"))
+        sizes = entries.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
+        shared = settle(entries.join(sizes, "key"), "shared")
+        few, many = shared.where(F.col("size") <= SMALL), shared.where(F.col("size") > SMALL)
         first = F.min(F.struct((F.col("pos") / F.col("n")).alias("before"), "node", "n", "pos", "root")).alias("first")
-        buckets = entries.groupBy("key").agg(F.count("*").alias("size"), first, F.min("root").alias("low"), F.max("root").alias("high"))
-        buckets = settle(buckets.where("low <> high").select("key", "size", F.when(F.col("size") > SMALL, F.col("first")).alias("first")), "buckets")
-        shared = settle(entries.join(buckets.select("key", "size"), "key"), "shared")
-        few = shared.where(F.col("size") <= SMALL)
-        fewest = buckets.where(F.col("size") > SMALL).select("key", "first.node", "first.n", "first.pos", "first.root")
+        fewest = many.groupBy("key").agg(first).select("key", "first.node", "first.n", "first.pos", "first.root")
         small = _met(few, few, ["key"], F.expr("xnode < ynode"), self.similarity)
-        large = _met(shared.where(F.col("size") > SMALL), fewest, ["key"], F.expr("xnode <> ynode"), self.similarity)
+        large = _met(many, fewest, ["key"], F.expr("xnode <> ynode"), self.similarity)
         met = settle(self._near(small).select("a", "b").unionByName(self._closest(large)).distinct(), "pairs")
         more = self._linked(met)
         if not more.isEmpty():
@@ -228,7 +227,7 @@ class _Search:
             more = self._linked(rest)
             if not more.isEmpty():
                 roots = components(edges.unionByName(more))
-        for done in (buckets, shared, met, rest):
+        for done in (shared, met, rest):
             discard(done)
         return roots
 
