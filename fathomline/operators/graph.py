@@ -28,15 +28,21 @@ def co_investors(links: DataFrame, investor: int, k: int = 8) -> DataFrame:
 def similar_edges(companies: DataFrame, k: int = 8) -> DataFrame:
     """Up to ``k`` edges a company to others of its industry that share tags.
 
-    ``companies(id, industry_group, tags)``. Score is shared tags over the union. Companies meet on (industry, tag), so only those
-    that share one are paired.
+    ``companies(id, industry_group, tags)``. Score is shared tags over the union; ties go to more shared tags, then to the smaller id.
+    Companies of one industry and tag set are one class: classes meet on (industry, tag), a class gives its ``k + 1`` smallest ids, and
+    all companies of a class share one list of candidates. So no pairs of companies are made.
     """
-    tags = companies.where("industry_group is not null").select("id", "industry_group", F.explode(F.array_distinct("tags")).alias("tag"), F.size(F.array_distinct("tags")).alias("size"))
-    a, b = tags.toDF("id", "industry_group", "tag", "size"), tags.toDF("related_id", "industry_group", "tag", "other")
-    met = a.join(b, ["industry_group", "tag"]).where("id <> related_id").groupBy("id", "related_id").agg(F.count("*").alias("shared"), F.first("size").alias("size"), F.first("other").alias("other"))
-    scored = met.withColumn("score", F.round(F.col("shared") / (F.col("size") + F.col("other") - F.col("shared")), 3))
-    order = Window.partitionBy("id").orderBy(F.desc("score"), F.desc("shared"), "related_id")
-    return scored.withColumn("n", F.row_number().over(order)).where(F.col("n") <= k).select("id", "related_id", "score", "shared")
+    sets = companies.where("industry_group is not null and size(tags) > 0").select("id", "industry_group", F.array_sort(F.array_distinct("tags")).alias("set"))
+    smallest = Window.partitionBy("industry_group", "set").orderBy("id")
+    heads = sets.withColumn("_n", F.row_number().over(smallest)).where(F.col("_n") <= k + 1).drop("_n")
+    tags = sets.select("industry_group", "set").distinct().withColumn("tag", F.explode("set"))
+    met = tags.join(tags.withColumnRenamed("set", "other"), ["industry_group", "tag"]).groupBy("industry_group", "set", "other").agg(F.count("*").alias("shared"))
+    scored = met.withColumn("score", F.round(F.col("shared") / (F.size("set") + F.size("other") - F.col("shared")), 3))
+    listed = scored.join(heads.select(F.col("id").alias("related_id"), "industry_group", F.col("set").alias("other")), ["industry_group", "other"])
+    best = [F.desc("score"), F.desc("shared"), F.asc("related_id")]
+    listed = listed.withColumn("_n", F.row_number().over(Window.partitionBy("industry_group", "set").orderBy(*best))).where(F.col("_n") <= k + 1)
+    mine = sets.join(listed.select("industry_group", "set", "related_id", "score", "shared"), ["industry_group", "set"]).where("id <> related_id")
+    return mine.withColumn("_n", F.row_number().over(Window.partitionBy("id").orderBy(*best))).where(F.col("_n") <= k).select("id", "related_id", "score", "shared")
 
 
 def competitor_edges(competitors: DataFrame) -> DataFrame:
