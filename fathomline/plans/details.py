@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from fathomline.functions import labels as B
 from fathomline.functions import names as N
 from fathomline.functions import subjects as S
 from fathomline.functions import text as X
@@ -75,15 +76,21 @@ q("G21_finalized_axis", lambda t: (lambda w: t.raw("embeddings").select("vec_id"
 q("G28_reason_histogram", lambda t: t.rounds.select(F.explode(F.array_compact(F.array(F.when(F.col("amount_raised").isNull(), "no amount"), F.when(F.col("announced_date").isNull(), "no date"), F.when(F.col("round_type").isNull(), "no type")))).alias("reason")).groupBy("reason").agg(F.count("*").alias("n")), "select 'no amount' as reason, count(*) as n from rounds where amount_raised is null union all select 'no date', count(*) from rounds where announced_date is null union all select 'no type', count(*) from rounds where round_type is null")
 
 # scalars
-q("T21_investor_key", lambda t: t.investors.select("id", F.regexp_replace(F.lower(F.trim(F.regexp_replace(F.concat("name", F.when(F.col("id") % 2 == 0, " Capital Partners").otherwise(" Ventures")), r"(?i)(\s+(capital|partners|ventures?|fund|group))+$", ""))), r"\s+", " ").alias("key")), "select id, lower(name) as key from investors")
-q("T22_junk_names", lambda t: incoming(t).select("name").distinct().select("name", (F.lower("name").isin("lemon", "various investors") | F.col("name").rlike(r"^Customer#\d+$")).alias("junk")), f"with {INCOMING} select distinct name, regexp_matches(name, '^Customer#[0-9]+$') or lower(name) in ('lemon', 'various investors') as junk from incoming")
+BACKED = "case id % 7 when 0 then name || ' Capital Partners' when 1 then ' ' || name || '  Ventures' when 2 then 'Andreessen Horowitz' when 3 then 'GV' when 4 then 'a16z Crypto Fund LP' when 5 then 'a number of strategic investors' else case id % 5 when 0 then 'Undisclosed' when 1 then 'n/a' when 2 then '--' when 3 then ' Investors ' else name end end"
+KEYED = r"lower(trim(regexp_replace(trim({0}), '(?i)(\s+(capital|ventures?|partners?|management|group|fund|lp|llc)\b\.?)+$', '')))".format(BACKED)
+q("T21_investor_key", lambda t: t.investors.select("id", B.investor_key(F.expr(BACKED)).alias("key")), f"select id, case k when 'andreessen horowitz' then 'a16z' when 'gv' then 'google' else k end as key from (select id, {KEYED} as k from investors)")
+q("T22_junk_names", lambda t: t.investors.select("id", B.no_investor(F.expr(BACKED)).alias("junk")), f"select id, k in ('a number of strategic investors', 'undisclosed', 'n/a', '--', 'investors') as junk from (select id, {KEYED} as k from investors)")
 q("T23_person_like", lambda t: t.raw("part").select("p_partkey", (lambda w: F.size(w).between(2, 3) & F.forall(w, lambda x: x.rlike(r"^[A-Za-z][A-Za-z.'\-]+$")))(F.split("p_name", " ")).alias("person")), r"select p_partkey, len(string_split(p_name, ' ')) between 2 and 3 and len(list_filter(string_split(p_name, ' '), lambda x: not regexp_matches(x, '^[A-Za-z][A-Za-z.''\-]+$'))) = 0 as person from part")
-q("T25_tag_list", lambda t: t.companies.select("id", F.array(F.concat(F.lit("AI_"), F.col("id") % 3), F.concat(F.lit("ai-"), F.col("id") % 3), F.lit("  Fin Tech ")).alias("tags")).select("id", F.array_join(F.array_distinct(F.transform("tags", lambda x: F.trim(F.regexp_replace(F.lower(x), r"[\s\-_/]+", " ")))), ",").alias("tags")), "select id, 'ai ' || id % 3 || ',fin tech' as tags from companies")
-q("T26_industry_map", lambda t: (lambda m: t.companies.select("id", F.coalesce(m[F.lower("industry_group")], F.col("industry_group")).alias("industry")))(F.create_map(*[F.lit(x) for x in ("building", "Construction", "machinery", "Industrial")])), "select id, case industry_group when 'BUILDING' then 'Construction' when 'MACHINERY' then 'Industrial' else industry_group end as industry from companies")
-q("T28_country_suffix", lambda t: (lambda m: t.raw("pages").select("page_id", U.host(F.col("url")).alias("h")).select("page_id", F.coalesce(F.try_element_at(m, F.substring_index("h", ".", -2)), F.try_element_at(m, F.substring_index("h", ".", -1))).alias("country")))(F.create_map(*[F.lit(x) for x in ("example.org", "Nowhere", "net", "Netland")])),
-  "select page_id, case when regexp_matches(regexp_extract(url, '//([^/:?#]*)', 1), '(^|\\.)example\\.org$') then 'Nowhere' when regexp_matches(regexp_extract(url, '//([^/:?#]*)', 1), '\\.net$') then 'Netland' end as country from pages")
-q("T36_ranked_links", lambda t: W.first_per(t.raw("pages").select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit('href="(/[^"]*)"'), F.lit(1))).alias("pos", "url")).withColumn("score", F.length("url")), ["page_id"], [F.desc("score"), F.asc("pos")], 2).select("page_id", "pos", "url"),
-  "select page_id, cast(pos as int) as pos, url from (select *, row_number() over (partition by page_id order by length(url) desc, pos) as n from (select page_id, unnest(u) as url, generate_subscripts(u, 1) - 1 as pos from (select page_id, regexp_extract_all(html, 'href=\"(/[^\"]*)\"', 1) as u from pages))) where n <= 2")
+TAGGED = "case id % 5 when 0 then 'Dev Tools' when 1 then 'developer_tools' when 2 then '  ' when 3 then 'Quantum  Sensing' else 'web3' end"
+ALIASES = {"dev tools": "devtools", "developer tools": "devtools", "web3": "crypto", "robots": "robotics"}
+q("T25_tag_list", lambda t: t.companies.select("id", F.array_join(B.canonical_tags(F.array(F.expr(TAGGED), F.lit("devtools"), F.lit("Robots")), ALIASES), ",").alias("tags")), "select id, case id % 5 when 3 then 'quantum-sensing,devtools,robotics' when 4 then 'crypto,devtools,robotics' else 'devtools,robotics' end as tags from companies")
+INDUSTRIES = {"building": "construction", "machinery": "industrial technology", "automobile": "mobility"}
+q("T26_industry_map", lambda t: t.companies.select("id", B.canonical_label(F.col("industry_group"), INDUSTRIES).alias("industry")), "select id, case industry_group when 'BUILDING' then 'construction' when 'MACHINERY' then 'industrial technology' when 'AUTOMOBILE' then 'mobility' else industry_group end as industry from companies")
+ENDED = "case c_custkey % 6 when 0 then 'co.uk' when 1 then 'shop.com.au' when 2 then 'de' when 3 then 'com' when 4 then 'x.co.jp' else 'io' end"
+q("T28_country_suffix", lambda t: t.raw("customer").select("c_custkey", B.country_of(F.concat(F.lit("C"), "c_custkey", F.lit("."), F.expr(ENDED))).alias("country")), "select c_custkey, case c_custkey % 6 when 0 then 'GB' when 1 then 'AU' when 2 then 'DE' when 4 then 'JP' end as country from customer")
+LINKED = "case page_id % 3 when 0 then '/about/team' when 1 then '/blog/about' else '/company' end"
+q("T36_ranked_links", lambda t: t.raw("pages").select("page_id", F.explode(F.array(F.expr(LINKED), F.lit("/about"), F.lit("/team.pdf"), F.lit("/faq"))).alias("path")).withColumn("score", B.telling(F.col("path"), F.lit("Our product"))).where("score > 0").transform(lambda d: W.first_per(d, ["page_id"], [F.desc("score"), F.asc("path")], 2)).select("page_id", "path", "score"),
+  "select page_id, path, score from (select *, row_number() over (partition by page_id order by score desc, path) as n from (select page_id, unnest(['/about', case page_id % 3 when 0 then '/about/team' when 2 then '/company' end, '/faq']) as path, cast(unnest([2, case page_id % 3 when 0 then 3 when 2 then 2 end, 1]) as int) as score from pages) where path is not null) where n <= 2")
 STORY = "list_distinct(list_transform(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9.]+'), lambda w: w <> '' and w not in ({})), lambda w: case when w in ({}) then 'raise' else w end))".format(*(", ".join(f"'{w}'" for w in x) for x in (L.STOP, L.RAISE)))
 q("T45_same_story", lambda t: (lambda b: b.alias("a").join(b.alias("b"), F.expr("a.first = b.first and a.item_id < b.item_id")).select(F.expr("a.item_id as item_id"), F.expr("b.item_id as other_id"), L.same_story(F.col("a.words"), F.col("b.words"), F.col("a.sums"), F.col("b.sums")).alias("same")))(t.raw("benchmark").select("item_id", F.lower(F.substring_index("text", " ", 1)).alias("first"), L.title_words(F.col("text")).alias("words"), L.title_sums(F.col("text")).alias("sums"))),
   f"with a as (select item_id, lower(split_part(text, ' ', 1)) as first, {STORY} as w from benchmark) select a.item_id, b.item_id as other_id, len(list_intersect(a.w, b.w)) >= 3 and len(list_intersect(a.w, b.w)) >= 0.6 * least(len(a.w), len(b.w)) as same from a join a b on a.first = b.first and a.item_id < b.item_id")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from fathomline.functions import labels as B
 from fathomline.functions import names as N
 from fathomline.functions import text as X
 from fathomline.functions import urls as U
@@ -68,8 +69,9 @@ q("T34_tag_strip", lambda t: t.raw("pages").select("page_id", X.squeeze(F.regexp
   r"select page_id, md5(trim(regexp_replace(regexp_replace(regexp_replace(html, '(?s)<(script|style)[^>]*>.*?</(script|style)>', ' ', 'g'), '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g'))) as digest from pages")
 q("T35_outbound_links", lambda t: t.raw("pages").select("page_id", F.explode(X.page_links("html")).alias("l")).groupBy("page_id").agg(F.count("*").alias("links"), F.min("l.url").alias("first_url")))
 q("T37_for_sale", lambda t: t.raw("documents").select("doc_id", X.for_sale(F.concat(F.col("text"), F.when(F.col("doc_id") % 5 == 0, " Acme.com is for sale").otherwise(""))).alias("parked")), "select doc_id, doc_id % 5 = 0 or contains(lower(text), 'parked domain') or contains(lower(text), 'buy this domain') as parked from documents")
-q("T38_career_signals", lambda t: t.raw("documents").select("doc_id", F.regexp_extract_all("text", F.lit(r"[Oo]f the ([A-Z][a-z]+|[a-z]+)"), F.lit(1)).alias("w")).select("doc_id", F.array_join("w", ",").alias("found")), "select doc_id, array_to_string(regexp_extract_all(text, '[Oo]f the ([A-Z][a-z]+|[a-z]+)', 1), ',') as found from documents")
-QUOTED = "case doc_id % 4 when 0 then substring(text, 5, 30) when 1 then concat(substring(text, 1, 20), ' ... ', substring(text, 41, 20)) when 2 then 'never said so' end"
+CAREERS = "text || case doc_id % 4 when 0 then ' Previously at Stripe Labs, formerly at stripe. Veteran of Stripe Labs and ex-Google' when 1 then ' He led the big thing at work; our team' else '' end"
+q("T38_career_signals", lambda t: t.raw("documents").withColumn("text", F.expr(CAREERS)).select("doc_id", F.col("text").rlike(B.CAREER).alias("signal"), F.col("text").rlike(B.TEAM).alias("team"), F.array_join(B.earlier_employers(F.col("text")), "|").alias("employers")),
+  f"select doc_id, regexp_matches(text, '{B.CAREER}') as signal, regexp_matches(text, '{B.TEAM}') as team, array_to_string(list_filter(e, lambda x, i: not list_contains(list_transform(e[1:i - 1], lambda y: lower(y)), lower(x))), '|') as employers from (select *, list_transform(regexp_extract_all(text, '{B.EMPLOYER}', 1), lambda x: trim(x)) as e from (select doc_id, {CAREERS} as text from documents))")
 q("T39_quote_grounded", lambda t: t.raw("documents").select("doc_id", X.quote_grounded(F.expr(QUOTED), F.col("text")).alias("grounded")))
 
 
@@ -86,7 +88,7 @@ def claims(t):
 q("T40_grounded_share", lambda t: claims(t).select("item_id", F.size(X.capitalised(F.col("text"))).alias("words"), F.round(X.grounded_share(X.capitalised(F.col("text")), F.col("evidence")), 6).alias("share")),
   f"with {CLAIMS} select item_id, cast(len(c) as int) as words, round(case when len(c) = 0 then 1 else len(list_filter(c, lambda x: contains(s, lower(x)))) / len(c) end, 6) as share from claims")
 q("T41_claim_grounded", lambda t: claims(t).select("item_id", (X.grounded_share(F.split("text", " "), F.col("evidence")) >= 0.6).alias("grounded")), f"with {CLAIMS} select item_id, len(list_filter(w, lambda x: contains(s, lower(x)))) / len(w) >= 0.6 as grounded from claims")
-q("T42_regex_flag", lambda t: t.raw("documents").select("doc_id", F.col("text").rlike("(^|[ .,])(und|les|que)([ .,]|$)").alias("other")), r"select doc_id, regexp_matches(text, '(^|[ .,])(und|les|que)([ .,]|$)') as other from documents")
+q("T42_regex_flag", lambda t: t.companies.select("id", F.concat(F.coalesce("description_short", F.lit("")), F.expr("case id % 4 when 0 then ' of Berlin' when 1 then ', an INDIAN firm' when 2 then ' parisian' else '' end")).alias("d")).select("id", F.col("d").rlike(B.ABROAD).alias("abroad")), "select id, id % 4 in (0, 1) as abroad from companies")
 q("T43_counts", lambda t: t.raw("documents").select("doc_id", X.word_count(F.col("text")).alias("words"), X.paragraph_count(F.col("text")).alias("paragraphs")),
   r"select doc_id, cast(len(regexp_extract_all(text, '\S+')) as int) as words, cast(len(list_filter(regexp_split_to_array(text, '\n\s*\n'), lambda p: trim(p) <> '')) as int) as paragraphs from documents")
 q("T44_title_signature", lambda t: t.raw("documents").select("doc_id", F.array_join(F.array_sort(title_words(F.col("text"))), " ").alias("words"), F.array_join(title_sums(F.col("text")), "|").alias("sums")))
