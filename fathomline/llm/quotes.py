@@ -2,7 +2,8 @@
 
 A line's quote level is the number of ``>`` it begins with. A quoted block is a run of quoted
 lines of one level; an attribution line before it ("... wrote:") belongs to it. Blocks and the
-messages' own words are cut to units (the whole, paragraphs, lines), normalised and hashed to 128 bits.
+messages' own words are cut to units (the whole, paragraphs, sentences, lines), normalised and hashed to 128 bits. Sentences
+go over line ends, so a passage that was wrapped anew still has units in common; part of a sentence that is no line has none.
 
 A block is linked by its largest unit that an original holds: to the latest earlier turn of its own
 conversation, else to the first other conversation's message that has it. Per unit, one
@@ -25,7 +26,7 @@ from fathomline.llm.common import settle
 QUOTED = re.compile(r"[ \t]*((?:>[ \t]?)+)")
 ATTRIBUTION = re.compile(r"\b(?:wrote|writes|said|schrieb|escribió|a écrit)[ \t]*:[ \t]*$", re.IGNORECASE)
 BLANK = re.compile(r"\n[ \t]*\n")
-LEAST = 2  # words that a line must have to be a unit by itself
+SENTENCE = re.compile(r"(?<=[.!?])\s+")
 
 
 def parse(text: str) -> tuple[str, list[tuple[int, str]]]:
@@ -57,11 +58,10 @@ def normal(text: str) -> str:
 
 
 def units(text: str) -> list[list[str]]:
-    """Normalised units of a text by rank: the whole, its paragraphs, its lines."""
-    whole = normal(text)
-    paragraphs = [p for p in map(normal, BLANK.split(text)) if p]
-    lines = [n for n in map(normal, text.split("\n")) if n.count(" ") + 1 >= LEAST]
-    return [[whole] if whole else [], paragraphs, lines]
+    """Normalised units of a text by rank: the whole, its paragraphs, its sentences, its lines."""
+    parts = BLANK.split(text)
+    found = [[text], parts, [s for p in parts for s in SENTENCE.split(p)], text.split("\n")]
+    return [[u for u in map(normal, rank) if u] for rank in found]
 
 
 def _hash(unit: str) -> tuple[int, int]:

@@ -48,3 +48,55 @@ def test_edges(spark):
     chain = [(7, n, "u", f"> line number {n - 1}\nline number {n}") for n in range(40)]
     got = q.link_quotes(spark.createDataFrame(chain, "conv_id long, turn long, role string, text string")).collect()
     assert all(r.thread_turn == 0 and r.depth == r.turn for r in got)
+
+
+def test_short_and_rewrapped_quotes(spark):
+    rows = [
+        (1, 0, "Can we move it? I need two more days for the plans\nand the drawings. Otherwise fine.\n\nMaybe.\nPlease answer."),
+        (1, 1, "> Maybe.\nSure."), (1, 2, "> I need two more\n> days for the plans and the\n> drawings.\nTake them."), (1, 3, "> Sure.\n> more days for\nGood."), (1, 4, "> more days for\nnothing whole is quoted"),
+    ]
+    df = spark.createDataFrame([(c, t, "u", x) for c, t, x in rows], "conv_id long, turn long, role string, text string")
+    assert {r.turn: r.parent_turn for r in q.link_quotes(df).collect()} == {0: None, 1: 0, 2: 0, 3: 1, 4: None}
+
+
+def brute(rows):
+    parsed = {(c, t): q.parse(x) for c, t, x in rows}
+    out = {}
+    for (c, t), (_, blocks) in parsed.items():
+        found = []
+        for level, block in blocks:
+            links = []
+            for rank, units in enumerate(q.units(block)):
+                for unit in units:
+                    holders = [k for k, (body, _) in parsed.items() if any(unit in x for x in q.units(body))]
+                    near = [b for a, b in holders if a == c and b < t]
+                    far = sorted(a for a, _ in holders if a != c)
+                    if near:
+                        links.append((0, rank, -max(near), 0))
+                    elif far:
+                        links.append((1, rank, 0, far[0]))
+            if links:
+                found.append((level, min(links)))
+        levels = [level for level, link in found if link[0] == 0]
+        parent = max((-link[2] for level, link in found if link[0] == 0 and level == min(levels)), default=None)
+        out[c, t] = (len(found), parent)
+    return out
+
+
+def test_against_brute_force(spark):
+    import random
+
+    r = random.Random(8)
+    said = [f"Line {k} about {w}." for k in range(12) for w in ("plans", "lunch")] + ["Yes.", "No."]
+    rows = []
+    for c in range(6):
+        for t in range(12):
+            lines = []
+            for _ in range(r.randint(1, 5)):
+                lines.append("> " * r.choice([0, 0, 1, 2]) + r.choice(said))
+                if r.random() < 0.3:
+                    lines.append("")
+            rows.append((c, t, "\n".join(lines)))
+    df = spark.createDataFrame([(c, t, "u", x) for c, t, x in rows], "conv_id long, turn long, role string, text string")
+    got = {(x.conv_id, x.turn): (x.n_linked, x.parent_turn) for x in q.link_quotes(df).collect()}
+    assert got == brute(rows)
