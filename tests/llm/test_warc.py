@@ -65,3 +65,15 @@ def test_dictionary_frame_and_damage():
         assert zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(d)).decompressobj().decompress(whole[at:]) == x
     with pytest.raises(ValueError):
         list(warc.read_records(io.BytesIO(whole[:-3])))
+
+
+def test_against_sql(spark, sf_dir):
+    import duckdb
+
+    from fathomline.llm import queries
+
+    con = duckdb.connect()
+    con.sql(f"create view pages as select * from '{sf_dir}/pages.parquet'")
+    want = con.sql(queries.ORACLE_SQL["op10_warc"])
+    got = queries.op10_warc(spark, sf_dir).select(*want.columns).collect()
+    assert sorted(map(tuple, got)) == sorted(want.fetchall(), key=lambda r: r)
