@@ -36,4 +36,5 @@ q("L18_merged_top_k", lambda t: t.rounds.where("amount_raised is not null").orde
   "select * from ((select id, cast(amount_raised as double) as w, 'round' as kind from rounds where amount_raised is not null order by amount_raised desc, id limit 40) union all (select id, cast(total_raised_usd as double), 'total' from companies where total_raised_usd is not null order by total_raised_usd desc, id limit 40)) order by w desc, kind, id limit 50")
 q("H61_quarter_spine", lambda t: t.spark.range(1).select(F.explode(F.sequence(F.lit("2000-01-01").cast("date"), F.lit("2001-07-01").cast("date"), F.expr("interval 3 months"))).alias("quarter")), "select cast(x as date) as quarter from range(timestamp '2000-01-01', timestamp '2001-07-02', interval 3 months) r(x)")
 q("H69_sources_deduped", lambda t: W.first_per(news(t).withColumn("host", F.regexp_extract("url", "//([^/]+)", 1)), ["source", "host"], [F.asc("id")]).select("source", "host", "id"), f"with {NEWS} select source, regexp_extract(url, '//([^/]+)', 1) as host, min(id) as id from news group by 1, 2")
-q("H68_moves_by_person", lambda t: t.raw("conversations").groupBy("role").agg(F.count("*").alias("n"), F.countDistinct("conv_id").alias("convs")), "select role, count(*) as n, count(distinct conv_id) as convs from conversations group by 1")
+q("H68_moves_by_person", lambda t: t.links.where("is_lead").join(t.rounds.select(F.col("id").alias("round_id"), "company_id", "announced_date"), "round_id").groupBy("investor_id", "company_id").agg(F.min("announced_date").alias("first")).groupBy("investor_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col("first").isNull().alias("undated"), "first", "company_id"))), lambda s: s["company_id"].cast("string")), ">").alias("moves")),
+  "select investor_id, string_agg(cast(company_id as varchar), '>' order by first is null, first, company_id) as moves from (select investor_id, company_id, min(announced_date) as first from links join rounds r on round_id = r.id where is_lead group by 1, 2) group by 1")

@@ -13,6 +13,7 @@ from fathomline.functions import urls as U
 from fathomline.operators import clusters as C
 from fathomline.operators import corroborate as K
 from fathomline.operators import resolve as M
+from fathomline.operators import scorecard as R
 from fathomline.operators import similarity as V
 from fathomline.operators import windows as W
 from fathomline.plans.aggregates import D
@@ -180,3 +181,18 @@ def theme_pairs(t):
 q("G18_matched_themes", lambda t: C.matched(theme_pairs(t), "cluster", "theme", "similarity", 0.3).select("cluster", "theme"))
 q("G19_replaced_themes", lambda t: (lambda m: t.raw("embeddings").select(F.col("label").alias("cluster")).distinct().join(m, "cluster", "left").select("cluster", F.coalesce(F.concat(F.lit("theme-"), "theme"), F.concat(F.lit("new-"), "cluster")).alias("theme_slug")))(C.matched(theme_pairs(t), "cluster", "theme", "similarity", 0.3).select("cluster", "theme")))
 q("L11_shuffled_pool", lambda t: t.shown.orderBy(F.desc_nulls_last("total_raised_usd"), "id").limit(10).agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.coalesce("total_raised_usd", F.lit(0))).alias("o"), "id"))), lambda s: s["id"]).alias("pool")).select(F.posexplode(X.seeded_shuffle(F.col("pool"), 20010801)).alias("place", "id")))
+
+
+# recorded answers against expected ones
+def cases(t):
+    return t.companies.select("id", F.col("industry_group").alias("want_industry"), F.col("hq_country").alias("want_country"), F.expr("case when id % 4 = 0 then null when id % 9 = 0 then 'OTHER' else industry_group end").alias("got_industry"), F.expr("case when id % 5 = 0 then upper(hq_country) || 'X' else hq_country end").alias("got_country"))
+
+
+CASES = "k as (select industry_group as a, hq_country as b, case when id % 4 = 0 then null when id % 9 = 0 then 'OTHER' else industry_group end as c, case when id % 5 = 0 then upper(hq_country) || 'X' else hq_country end as d from companies), y as (select count(*) filter (a = c) + count(*) filter (b = d) as hits, count(c) + count(d) as given, count(a) + count(b) as wanted from k)"
+q("H57_slot_scores", lambda t: R.slot_scores(cases(t), ["industry", "country"]).select("hits", F.round("precision", 6).alias("precision"), F.round("recall", 6).alias("recall"), F.round("f1", 6).alias("f1")),
+  f"with {CASES} select hits, round(hits / given, 6) as precision, round(hits / wanted, 6) as recall, round(2.0 * hits / (given + wanted), 6) as f1 from y")
+q("H58_structure_checks", lambda t: t.companies.select("id", R.structure_ok(F.col("description_short"), 20, 24).alias("ok")), "select id, coalesce(length(description_short) between 20 and 24 and regexp_matches(description_short, '[.!?0-9]$'), false) as ok from companies")
+q("H59_loaded_cases", lambda t: R.load_cases(t.companies.select(F.when(F.col("id") % 6 == 0, "{broken").otherwise(F.to_json(F.struct(F.col("id").alias("case_id"), F.when(F.col("id") % 2 == 0, "live").otherwise("hand").alias("provenance"), F.when(F.col("id") % 5 != 0, F.struct("name")).alias("recorded")))).alias("value")), "name string").groupBy("provenance").agg(F.count("*").alias("n"), F.count_if("parsed").alias("parsed")),
+  "select case when id % 2 = 0 then 'live' else 'hand' end as provenance, count(*) as n, count(*) filter (id % 5 <> 0) as parsed from companies where id % 6 <> 0 group by 1")
+q("E4_gated_scores", lambda t: R.gate(cases(t), R.Spec("description", ("industry", "country"), {"precision": 0.7, "recall": 0.99})).select("spec", "metric", F.round("value", 6).alias("value"), "floor", "ok"),
+  f"with {CASES} select 'description' as spec, 'precision' as metric, round(hits / given, 6) as value, 0.7::double as floor, hits / given >= 0.7 as ok from y union all select 'description', 'recall', round(hits / wanted, 6), 0.99::double, hits / wanted >= 0.99 from y")
