@@ -35,14 +35,14 @@ def kmeans(x: np.ndarray, k: int, starts: int = 10, rounds: int = 100, seed: int
     return np.argsort(np.argsort(first))[inverse]
 
 
-def themes(df: DataFrame, group: str, id_col: str, vector: str, smallest: int = 3) -> DataFrame:
-    """``(group, id, theme)``: k-means of unit vectors in each group; clusters under ``smallest`` are dropped."""
+def themes(df: DataFrame, group: str, id_col: str, vector: str, smallest: int = 3, cluster=kmeans) -> DataFrame:
+    """``(group, id, theme)``: clusters of unit vectors in each group, by ``cluster(vectors, k)``; those under ``smallest`` are dropped."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("id")
         x = np.stack(pdf.vector.to_numpy()).astype(float)
         x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-        pdf["theme"] = kmeans(x, min(choose_k(len(x)), len(x)))
+        pdf["theme"] = cluster(x, min(choose_k(len(x)), len(x)))
         size = pdf.groupby("theme").id.transform("count")
         return pdf[size >= smallest][["grp", "id", "theme"]]
 
@@ -52,26 +52,63 @@ def themes(df: DataFrame, group: str, id_col: str, vector: str, smallest: int =
     return out.withColumnsRenamed({"grp": group, "id": id_col})
 
 
-def project(df: DataFrame, group: str, id_col: str, vector: str) -> DataFrame:
-    """``(group, id, x, y)``: the two main axes of each group's centred vectors, the largest loading positive, scaled to 0..1 (0.5 if constant)."""
+def _moments(batches):
+    """Of the ``(grp, vector)`` rows of a task: each group's count, sums and sums of products, one number a row."""
+    import pyarrow as pa
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("id")
-        v = np.stack(pdf.vector.to_numpy()).astype(float)
-        v -= v.mean(0)
-        _, _, axes = np.linalg.svd(v, full_matrices=False)
-        out = np.zeros((len(v), 2))
-        for n in range(min(2, len(axes))):
-            c = v @ axes[n]
-            c = c if c[np.abs(c).argmax()] >= 0 else -c
-            span = c.max() - c.min()
-            out[:, n] = (c - c.min()) / span if span > 1e-9 else 0.5
-        pdf["x"], pdf["y"] = out[:, 0], out[:, 1]
-        return pdf[["grp", "id", "x", "y"]]
+    held = {}
+    schema = None
+    for batch in batches:
+        schema = schema or pa.schema([("grp", batch.schema.types[0]), ("place", pa.int32()), ("value", pa.float64())])
+        groups = np.array(batch.column(0).to_pylist(), object)
+        x = np.array(batch.column(1).to_pylist(), float).reshape(len(groups), -1)
+        for g in set(groups.tolist()):
+            mine = x[[v == g for v in groups]]
+            new = np.concatenate([[len(mine)], mine.sum(0), (mine.T @ mine).ravel()])
+            held[g] = held[g] + new if g in held else new
+    for g, values in held.items():
+        yield pa.RecordBatch.from_arrays([pa.array([g] * len(values), schema.types[0]), pa.array(np.arange(len(values), dtype=np.int32)), pa.array(values)], schema=schema)
 
-    rows = df.select(F.col(group).alias("grp"), F.col(id_col).cast("long").alias("id"), F.col(vector).alias("vector"))
+
+def main_axes(rows: DataFrame) -> DataFrame:
+    """``(grp, mean, first, second)`` of ``rows(grp, vector)``: each group's two main axes, from sums that tasks make apart."""
     kind = rows.schema["grp"].dataType.simpleString()
-    return rows.groupBy("grp").applyInPandas(run, f"grp {kind}, id long, x double, y double").withColumnsRenamed({"grp": group, "id": id_col})
+    sums = rows.select("grp", "vector").mapInArrow(_moments, f"grp {kind}, place int, value double").groupBy("grp", "place").agg(F.sum("value").alias("value"))
+    packed = sums.groupBy("grp").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "value"))), lambda s: s["value"]).alias("m"))  # as many as a vector's products
+
+    def axes(values: pd.Series) -> pd.DataFrame:
+        out = []
+        for m in values:
+            m = np.asarray(m, float)
+            d = int((np.sqrt(4 * len(m) - 3) - 1) // 2)
+            mean = m[1 : d + 1] / m[0]
+            _, found = np.linalg.eigh(m[d + 1 :].reshape(d, d) / m[0] - np.outer(mean, mean))
+            out.append((mean, found[:, -1], found[:, -2] if d > 1 else np.zeros(d)))
+        return pd.DataFrame(out, columns=["mean", "first", "second"])
+
+    kinds = "struct<mean: array<double>, first: array<double>, second: array<double>>"
+    return packed.select("grp", F.pandas_udf(axes, kinds)(F.col("m")).alias("a")).select("grp", "a.*")
+
+
+def project(df: DataFrame, group: str, id_col: str, vector: str) -> DataFrame:
+    """``(group, id, x, y)``: the two main axes of each group's centred vectors, the largest loading positive, scaled to 0..1 (0.5 if constant).
+
+    Only groups' moments and axes meet in one place, so a group may be of any size.
+    """
+    rows = df.select(F.col(group).alias("grp"), F.col(id_col).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("vector"))
+    placed = rows.join(main_axes(rows), "grp")
+    centred = F.zip_with("vector", "mean", lambda a, b: a - b)
+    along = lambda axis: F.aggregate(F.zip_with(centred, axis, lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
+    placed = placed.select("grp", "id", along("first").alias("x"), along("second").alias("y"))
+    ends = placed.groupBy("grp").agg(*[f(c).alias(f"{n}_{c}") for c in "xy" for n, f in (("low", F.min), ("high", F.max))])
+
+    def scaled(c: str):
+        low, high = F.col(f"low_{c}"), F.col(f"high_{c}")
+        span = F.nullif(high - low, F.lit(0.0))
+        return F.when(high - low < 1e-9, 0.5).when(high >= -low, (F.col(c) - low) / span).otherwise((high - F.col(c)) / span)
+
+    out = placed.join(ends, "grp").select("grp", "id", scaled("x").alias("x"), scaled("y").alias("y"))
+    return out.withColumnsRenamed({"grp": group, "id": id_col})
 
 
 def scale_axis(df: DataFrame, group: str, value: str, low: float, high: float, out: str) -> DataFrame:

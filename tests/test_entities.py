@@ -191,3 +191,26 @@ def test_gated_pairs_against_all_pairs(spark):
 def test_a_row_for_each_article(spark, name):
     rows = run(spark, name)
     assert len({r.doc_id for r in rows}) == len(rows) == spark.read.parquet(f"{SF}/documents.parquet").count() - 1
+
+
+def test_projection_against_decomposition(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    rows = [(g, i, (rng.normal(size=5) * [5, 3, 1, 0.5, 0.1]).tolist()) for g in ("a", "b") for i in range(40)] + [("c", 1, [1.0] * 5)]
+    df = spark.createDataFrame(rows, "label string, vec_id long, v array<double>")
+    got = {(r.label, r.vec_id): (r.x, r.y) for r in C.project(df, "label", "vec_id", "v").collect()}
+    assert got["c", 1] == (0.5, 0.5)
+    for g in "ab":
+        v = np.array([x for k, _, x in rows if k == g])
+        v -= v.mean(0)
+        for n in (0, 1):
+            c = v @ np.linalg.svd(v, full_matrices=False)[2][n]
+            c = c if c.max() >= -c.min() else -c
+            assert np.allclose([got[g, i][n] for i in range(40)], (c - c.min()) / (c.max() - c.min()), atol=1e-6)
+
+
+def test_clusters_take_another_algorithm(spark):
+    df = spark.createDataFrame([("a", i, [1.0, float(i)]) for i in range(8)], "label string, vec_id long, v array<double>")
+    got = {r.vec_id: r.theme for r in C.themes(df, "label", "vec_id", "v", cluster=lambda x, k: __import__("numpy").arange(len(x)) % 2).collect()}
+    assert got == {i: i % 2 for i in range(8)}
