@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from fathomline.llm import attribution, fingerprint, language, neighbours, packing, pieces, quotes, simhash, suffix_dedup, warc
+from fathomline.llm import attribution, bpe, fingerprint, language, neighbours, packing, pieces, quotes, simhash, suffix_dedup, warc
 from fathomline.llm.common import table
 
 
@@ -47,6 +47,10 @@ def op10_warc(spark, sf_dir):
     return warc.archive_pages(table(spark, sf_dir, "pages"))
 
 
+def op13_bpe(spark, sf_dir):
+    return bpe.round_trip(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_pieces": op1_pieces,
     "op2_packing": op2_packing,
@@ -58,6 +62,7 @@ QUERIES = {
     "op8_quotes": op8_quotes,
     "op9_language": op9_language,
     "op10_warc": op10_warc,
+    "op13_bpe": op13_bpe,
 }
 NIBBLES = ", ".join(f"'{n:04b}'" for n in range(16))
 FIVE = " + ".join(f"(ascii(s[i + {k + 1}]) - 48) * {16 >> k}" for k in range(5))
