@@ -54,6 +54,27 @@ def bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data or b"", np.uint8), offsets
 
 
+def look_up(many: DataFrame, one: DataFrame, keys: list[str], spread: list[str], ways: int = 64) -> DataFrame:
+    """``many`` with the columns of ``one``, which holds each key once; keys without a row there get nulls, null keys meet null keys.
+
+    A key may hold most rows of ``many``: its rows are dealt ``ways`` ways by the columns of ``spread``, and only the
+    distinct pairs of key and way meet ``one`` before the rows meet those pairs.
+    """
+    values = [c for c in one.columns if c not in keys]
+    many = many.withColumn("_way", F.pmod(F.xxhash64(*spread), F.lit(ways)))
+    own = many.select(*keys, "_way").distinct()
+    found = own.join(one.select(*[F.col(c).alias(f"_o{i}") for i, c in enumerate(keys)], *values), _same(keys, "_o"), "left")
+    found = found.select(*[F.col(c).alias(f"_m{i}") for i, c in enumerate(keys)], F.col("_way").alias("_met"), *values)
+    return many.join(found, _same(keys, "_m") & (F.col("_way") == F.col("_met")), "left").drop("_way", "_met", *[f"_m{i}" for i in range(len(keys))])
+
+
+def _same(keys: list[str], prefix: str):
+    met = F.lit(True)
+    for i, c in enumerate(keys):
+        met &= F.col(c).eqNullSafe(F.col(f"{prefix}{i}"))
+    return met
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of ``edges(a, b)`` by alternating large-star and small-star rounds.
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from fathomline.llm import attribution, bpe, fingerprint, language, neighbours, packing, pieces, quotes, simhash, suffix_dedup, warc
+from fathomline.llm import attribution, bpe, fingerprint, language, neighbours, oracles, packing, pieces, quotes, simhash, suffix_dedup, vector_codes, warc
 from fathomline.llm.common import table
 
 
@@ -47,6 +47,10 @@ def op10_warc(spark, sf_dir):
     return warc.archive_pages(table(spark, sf_dir, "pages"))
 
 
+def op12_vector_codes(spark, sf_dir):
+    return vector_codes.compress(table(spark, sf_dir, "embeddings"))
+
+
 def op13_bpe(spark, sf_dir):
     return bpe.round_trip(table(spark, sf_dir, "documents"))
 
@@ -62,15 +66,11 @@ QUERIES = {
     "op8_quotes": op8_quotes,
     "op9_language": op9_language,
     "op10_warc": op10_warc,
+    "op12_vector_codes": op12_vector_codes,
     "op13_bpe": op13_bpe,
 }
-NIBBLES = ", ".join(f"'{n:04b}'" for n in range(16))
-FIVE = " + ".join(f"(ascii(s[i + {k + 1}]) - 48) * {16 >> k}" for k in range(5))
 #: The others need hashes, tokenizers or models that SQL lacks; tests compare them with brute force.
 ORACLE_SQL: dict[str, str] = {
-    "op10_warc": f"""with d as (select page_id, octet_length(encode(coalesce(html, ''))) as n, sha1(coalesce(html, '')) as h from pages),
- b as (select *, array_to_string(list_transform(string_split(h, ''), lambda c: [{NIBBLES}][strpos('0123456789abcdef', c)]), '') as s from d),
- k as (select *, array_to_string(list_transform(range(0, 160, 5), lambda i: substring('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + {FIVE}, 1)), '') as digest from b),
- m as (select *, max(page_id) over (partition by digest) as head from k)
-select page_id, cast(n as bigint) as payload_bytes, digest as payload_digest, case when page_id = head then 'response' else 'revisit' end as record_type, case when page_id <> head then head end as refers_to from m""",
+    "op10_warc": oracles.WARC,
+    "op12_vector_codes": oracles.vector_codes(),
 }
