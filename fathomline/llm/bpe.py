@@ -21,14 +21,15 @@ from functools import lru_cache
 import duckdb
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 LONG = 64  # bytes of a word that takes the way of long words
 PIECE = 1 << 20  # characters of texts cut and encoded together
-KEPT = 300_000  # words that a task remembers
-HELD = 1 << 22  # rows that the rounds of one query may leave
+KEPT = 150_000  # words that a task remembers
+HELD = 1 << 21  # rows that the rounds of one query may leave
 END = (1 << 24) - 1  # stands after a word's last token
 OTHER, LETTER, NUMBER, SPACE = range(4)
 BLANK, QUOTE = ord(" "), ord("'")
@@ -185,7 +186,7 @@ class Codec:
                 token, _, rank = line.partition(b" ")
                 if rank.strip():
                     self.ranks[base64.b64decode(token)] = int(rank)
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "256MB", "temp_directory": ""})
         listed = pa.table({"a": pa.array(self.ranks.values(), pa.int32()), "spelled": pa.array([t.hex() for t in self.ranks], pa.string())})
         self._put("listed", listed)
         self.db.execute("create table tokens as select * from listed")
@@ -325,7 +326,12 @@ def _text(value) -> str:
     return "" if value is None else value.decode("utf-8", "replace")
 
 
-def _encode(path):
+def _binary(flat: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(flat)]).cast(pa.binary())
+
+
+def _encode(path, back: bool):
     def run(batches):
         codec = _codec(path())
         for batch in batches:
@@ -352,26 +358,30 @@ def _encode(path):
                         held, size = [], 0
                     ends = row if last else row + 1
                     lists = [np.concatenate(pieces.pop(r)) for r in range(done, ends)]
-                    offsets = np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int32)
-                    ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(lists), pa.int32()))
-                    yield pa.RecordBatch.from_arrays([*(c.slice(done, ends - done) for c in rest), ids], [*batch.schema.names[1:], "ids"])
+                    counts, flat = np.array([len(x) for x in lists], np.int64), np.concatenate(lists)
+                    offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
+                    made = [pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, pa.int32()))]
+                    if back:
+                        made.append(_binary(*codec.decode(flat, counts)))
+                    yield pa.RecordBatch.from_arrays([*(c.slice(done, ends - done) for c in rest), *made], [*batch.schema.names[1:], "ids", "body"][: len(rest) + len(made)])
                     done = ends
 
     return run
 
 
-def encode(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), ids_col: str = "ids", path=public_path) -> DataFrame:
-    """The columns of ``keep`` and ``ids_col``, an array of each whole text's ids.
+def encode(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), ids_col: str = "ids", path=public_path, bytes_col: str | None = None) -> DataFrame:
+    """The columns of ``keep`` and ``ids_col``, an array of each whole text's ids; with ``bytes_col`` also what ``decode`` makes of them.
 
     A null or empty text has no ids. Bytes that are no UTF-8 count as U+FFFD. Rows, repeated ones and those of null keys
-    too, stay as they are, and other columns are not looked at. ``ids_col`` must not be in ``keep``.
+    too, stay as they are, and other columns are not looked at. Column names must differ.
     """
-    if ids_col in keep:
-        raise ValueError(f"{ids_col} is in keep")
+    made = [c for c in (ids_col, bytes_col) if c is not None]
+    if len({*keep, *made}) < len(keep) + len(made):
+        raise ValueError("two columns of one name")
     rows = docs.select(docs[text_col].cast("binary").alias("body"), *[docs[c].alias(f"k{n}") for n, c in enumerate(keep)])
     kinds = [f"k{n} {rows.schema[f'k{n}'].dataType.simpleString()}" for n in range(len(keep))]
-    out = rows.mapInArrow(_encode(path), ", ".join([*kinds, "ids array<int>"]))
-    return out.select(*[F.col(f"k{n}").alias(c) for n, c in enumerate(keep)], F.col("ids").alias(ids_col))
+    out = rows.mapInArrow(_encode(path, bytes_col is not None), ", ".join([*kinds, *["ids array<int>", "body binary"][: len(made)]]))
+    return out.select(*[F.col(f"k{n}").alias(c) for n, c in enumerate(keep)], *[F.col(n).alias(c) for n, c in zip(("ids", "body"), made)])
 
 
 def _decode(path):
@@ -383,10 +393,8 @@ def _decode(path):
             for a in range(0, batch.num_rows, step):
                 part = lists.slice(a, step)
                 counts = part.value_lengths().fill_null(0).to_numpy().astype(np.int64)
-                flat, size = codec.decode(part.flatten().to_numpy(zero_copy_only=False), counts)
-                offsets = np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
-                bodies = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(part), [None, pa.py_buffer(offsets), pa.py_buffer(flat.tobytes())])
-                bodies = pa.compute.if_else(part.is_valid(), bodies, pa.scalar(None, pa.large_binary())).cast(pa.binary())
+                bodies = _binary(*codec.decode(part.flatten().to_numpy(zero_copy_only=False), counts))
+                bodies = pa.compute.if_else(part.is_valid(), bodies, pa.scalar(None, pa.binary()))
                 yield pa.RecordBatch.from_arrays([*(c.slice(a, step) for c in batch.columns[1:]), bodies], [*batch.schema.names[1:], "body"])
 
     return run
@@ -398,7 +406,7 @@ def decode(rows: DataFrame, ids_col: str = "ids", keep: tuple[str, ...] = ("doc_
     Null ids give null, no ids empty bytes; a null among ids or an id outside the vocabulary fails with a ValueError, as no bytes are right.
     """
     if bytes_col in keep:
-        raise ValueError(f"{bytes_col} is in keep")
+        raise ValueError("two columns of one name")
     given = rows.select(rows[ids_col].alias("given"), *[rows[c].alias(f"k{n}") for n, c in enumerate(keep)])
     kinds = [f"k{n} {given.schema[f'k{n}'].dataType.simpleString()}" for n in range(len(keep))]
     out = given.mapInArrow(_decode(path), ", ".join([*kinds, "body binary"]))
@@ -410,7 +418,7 @@ def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Null and empty texts, repeated rows and null ids: see ``encode``.
     """
-    rows = decode(encode(docs, text_col, (id_col,), "_ids", path), "_ids", (id_col, "_ids"), "_body", path)
+    rows = encode(docs, text_col, (id_col,), "_ids", path, "_body")
     return rows.select(
         id_col,
         F.size("_ids").cast("long").alias("n_tokens"),
