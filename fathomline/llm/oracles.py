@@ -36,3 +36,19 @@ def vector_codes(rounds: int = 6) -> str:
  b as (select sha256(string_agg(array_to_string(x, ','), ',' order by j, e)) as sha from c{rounds}),
  o as (select vec_id, string_agg(printf('%02x', cast(e as int)), '' order by j) as code, cast(sum(d) as bigint) as error from a{rounds} group by vec_id)
 select k.vec_id, o.code, o.error, cast(sum(o.error) over (partition by k.label) as bigint) as label_error, b.sha as codebooks_sha256 from kept k join o using (vec_id), b"""
+
+#: crc32 of a short text, bit by bit.
+CRC32 = """xor(4294967295, list_reduce(list_concat([4294967295::bigint], list_transform(string_split({text}, ''), lambda c: ascii(c)::bigint)),
+  lambda a, b: list_reduce(list_concat([xor(a, b)], range(8)), lambda v, i: case when v & 1 = 1 then xor(v >> 1, 3988292384) else v >> 1 end)))"""
+
+PREFIX_TRIE = f"""with own as (select conv_id, list({{'r': coalesce(role, ''), 't': coalesce(text, '')}} order by turn nulls first) as x from conversations where conv_id is not null group by conv_id),
+ h as (select *, {CRC32.format(text="conv_id::varchar")} % 4 as h from own),
+ rebuilt as (select c.conv_id, list_concat(case when b.x is null then [] else b.x[1:c.h] end, c.x[c.h + 1:]) as x from h c left join own b on b.conv_id = c.conv_id - c.conv_id % 20),
+ places as (select conv_id, d, x[1:d] as k, len(x) = d as ends from rebuilt, unnest(range(len(x) + 1)) u(d)),
+ nodes as materialized (select k, d, min(conv_id) as conv_id, count(*) as n, (count(*) - 1) * coalesce(len(regexp_extract_all(k[d].t, '[^\\x20\\x09-\\x0D]+')), 0) as saved,
+   sha256(coalesce(string_agg(case when ends then conv_id::varchar end, ',' order by conv_id), '')) as ends from places group by k, d),
+ children as (select k[1:d - 1] as k, count(*) as c from nodes where d > 0 group by 1),
+ valued as materialized (select n.*, coalesce(c, 0) as c from nodes n left join children using (k)),
+ sums as (select k[1:a] as k, sum(cast(c = 0 as int)) as leaves, sum(saved) as saved from valued, unnest(range(d + 1)) u(a) group by 1)
+select v.conv_id, v.d as depth, p.conv_id as parent_conv_id, v.n as n_convs, cast(v.c as bigint) as n_children, cast(s.leaves as bigint) as n_leaves, cast(s.saved as bigint) as saved_tokens, v.ends as ends_sha256
+from valued v join sums s using (k) left join nodes p on v.d > 0 and p.k = v.k[1:v.d - 1]"""

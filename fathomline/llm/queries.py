@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from fathomline.llm import attribution, bpe, fingerprint, language, neighbours, oracles, packing, pieces, quotes, simhash, suffix_dedup, vector_codes, warc
+from fathomline.llm import attribution, bpe, fingerprint, language, neighbours, oracles, packing, pieces, prefix_trie, quotes, simhash, suffix_dedup, vector_codes, warc
 from fathomline.llm.common import table
 
 
@@ -47,6 +47,10 @@ def op10_warc(spark, sf_dir):
     return warc.archive_pages(table(spark, sf_dir, "pages"))
 
 
+def op11_prefix_trie(spark, sf_dir):
+    return prefix_trie.rebuilt_trie(table(spark, sf_dir, "conversations"))
+
+
 def op12_vector_codes(spark, sf_dir):
     return vector_codes.compress(table(spark, sf_dir, "embeddings"))
 
@@ -66,11 +70,13 @@ QUERIES = {
     "op8_quotes": op8_quotes,
     "op9_language": op9_language,
     "op10_warc": op10_warc,
+    "op11_prefix_trie": op11_prefix_trie,
     "op12_vector_codes": op12_vector_codes,
     "op13_bpe": op13_bpe,
 }
 #: The others need hashes, tokenizers or models that SQL lacks; tests compare them with brute force.
 ORACLE_SQL: dict[str, str] = {
     "op10_warc": oracles.WARC,
+    "op11_prefix_trie": oracles.PREFIX_TRIE,
     "op12_vector_codes": oracles.vector_codes(),
 }
