@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 LONG = 64  # bytes of a word that takes the way of long words
 PIECE = 1 << 20  # characters of texts cut and encoded together
-KEPT = 150_000  # words that a task remembers
+KEPT = 400_000  # words that a task remembers
 HELD = 1 << 21  # rows that the rounds of one query may leave
 END = (1 << 24) - 1  # stands after a word's last token
 OTHER, LETTER, NUMBER, SPACE = range(4)
