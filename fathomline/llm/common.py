@@ -28,6 +28,13 @@ def shared_dir(spark: SparkSession) -> str:
     return place.rstrip("/")
 
 
+def refuse_clashes(names: list[str]) -> None:
+    """A result must not hold two columns of one name."""
+    twice = sorted({n for n in names if names.count(n) > 1})
+    if twice:
+        raise ValueError(f"two columns named {', '.join(twice)}")
+
+
 def settle(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage is cut, lost executors cost nothing."""
     spark = df.sparkSession

@@ -7,8 +7,9 @@ are first dealt to independent collections by content:
 * Each window of ``span`` bytes takes as anchor the leftmost smallest hash among its
   ``GRAM``-byte strings. Equal windows have equal anchors at equal places, so a repeat stays
   within one collection. Consecutive windows with one anchor form a segment.
-* Anchors seen once are dropped: their windows can't be repeated. Equal segments (anchor and content, 64 bits each)
-  are counted into one, whatever the number of copies.
+* Anchors seen once are dropped: their windows can't be repeated. Equal segments are counted into one, whatever the
+  number of copies: they are known by 128 bits of BLAKE2b under a key drawn for each run, so that no text can be
+  made to meet another; the quicker polynomial hash only chooses anchors.
 * A segment is a document of a ``Collection``: its symbols are its words of eight bytes, counted from the anchor. Each
   round inserts one symbol of each document into the collection's Burrows-Wheeler transform and common prefixes.
 * A window of ``span`` bytes is up to seven bytes, then whole symbols, then the rest of eight bytes. Suffixes in one run of common
@@ -23,6 +24,7 @@ collection has a bounded number of documents and is built as above, whatever the
 from __future__ import annotations
 
 import hashlib
+import secrets
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fathomline.llm.collection import CHUNK, Collection
-from fathomline.llm.common import bytes_of, discard, settle, shared_dir
+from fathomline.llm.common import bytes_of, discard, refuse_clashes, settle, shared_dir
 
 SPAN = 200
 GRAM = 40
@@ -42,6 +44,14 @@ ROWS = 1 << 14  # segments of small anchors that share a collection
 CROWD = 1 << 17  # segments of an anchor that make one collection
 BASE = 0x9E3779B97F4A7C15 | 1
 MIX = np.uint64(0xD6E8FEB86659FD93)
+NAMES = ["h", "g", "k"]  # a segment's name: its anchor and two halves of its content's hash
+
+
+def _contents(bodies: list[bytes], shapes: list[int], key: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Halves of the keyed hash of segments' bytes and shapes."""
+    digests = [hashlib.blake2b(b, digest_size=16, key=key, salt=s.to_bytes(8, "little")).digest() for b, s in zip(bodies, shapes)]
+    halves = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
+    return halves[:, 0].copy(), halves[:, 1].copy()
 
 
 def _powers() -> tuple[np.ndarray, np.ndarray]:
@@ -97,7 +107,7 @@ class _Cutter:
             yield held
 
     def segments(self, held):
-        """Of a buffer: doc, start, run (windows), left (anchor's distance from start), anchor and content hash of each segment."""
+        """Of a buffer: doc, start, run (windows), left (anchor's distance from start), anchor and bytes of each segment."""
         lengths = np.array([len(p) for _, _, p in held])
         text = np.concatenate([p for _, _, p in held])
         n, span, gram = len(text), self.span, self.gram
@@ -124,38 +134,42 @@ class _Cutter:
         run = stop - first
         anchor = grams[where[first]]
         left = where[first] - first
-        last = first + run - 1 + span
-        content = _mix((sums[last] - sums[first]) * self.inverse[first] ^ _mix((run * 512 + left).astype(np.uint64)))
+        raw = text.tobytes()
+        bodies = (raw[a:b] for a, b in zip(first.tolist(), (first + run - 1 + span).tolist()))
         doc = np.array([d for d, _, _ in held])[piece]
         start = first - begins[piece] + np.array([s for _, s, _ in held])[piece]
-        return doc, start, run, left, anchor, content
+        return doc, start, run, left, anchor, bodies
+
 
+def _cut(span: int, gram: int, key: bytes | None = None):
+    """Texts to their segments, named under ``key``; without one, to their anchors."""
 
-def _cut(span: int, gram: int, only_anchors: bool):
     def run(batches):
         cutter = _Cutter(span, gram)
         for batch in batches:
             data, offsets = bytes_of(batch.column(1))
             seen = {}
             for held in cutter.pieces(data, offsets):
-                doc, start, run_, left, anchor, content = cutter.segments(held)
-                if only_anchors:
+                doc, start, run_, left, anchor, bodies = cutter.segments(held)
+                if key is None:
                     yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64))], ["h"])
                     continue
                 for d, _, _ in held:
                     if d not in seen:
                         seen[d] = xxhash.xxh64_intdigest(data[offsets[d] : offsets[d + 1]], 42)  # as Spark's xxhash64
                 digest = np.array([seen[d] for d in doc.tolist()], np.uint64)
+                shape = left << 16 | run_
+                content = _contents(bodies, shape.tolist(), key)
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(anchor.view(np.int64)),
-                        pa.array(content.view(np.int64)),
+                        *map(pa.array, content),
                         batch.column(0).take(pa.array(doc)),
                         pa.array(digest.view(np.int64)),
                         pa.array(start),
-                        pa.array((left << 16 | run_).astype(np.int32)),
+                        pa.array(shape.astype(np.int32)),
                     ],
-                    ["h", "g", "id", "t", "start", "shape"],
+                    [*NAMES, "id", "t", "start", "shape"],
                 )
 
     return run
@@ -254,12 +268,11 @@ def _build(span: int, gram: int, chunk: int, place: str):
         at = pa.array(row)
         return pa.RecordBatch.from_arrays(
             [
-                table.column("h").combine_chunks().take(at),
-                table.column("g").combine_chunks().take(at),
+                *(table.column(c).combine_chunks().take(at) for c in NAMES),
                 pa.array(first.astype(np.int32)),
                 pa.array(last.astype(np.int32)),
             ],
-            ["h", "g", "first", "last"],
+            [*NAMES, "first", "last"],
         )
 
     def run(batches):
@@ -281,7 +294,7 @@ def _build(span: int, gram: int, chunk: int, place: str):
     return run
 
 
-def _halve(span: int, gram: int, level: int):
+def _halve(span: int, gram: int, level: int, secret: bytes):
     """Segments to parts whose windows' anchor places lie in one of ``2 ** level`` ranges, dealt by the bytes that such windows share."""
     width = span - gram + 1
     size = -(-width // (1 << level))
@@ -289,7 +302,7 @@ def _halve(span: int, gram: int, level: int):
     def run(batches):
         for batch in batches:
             rows = []
-            for h, g, count, shape, body in zip(*(c.to_pylist() for c in batch.columns)):
+            for h, g, k, count, shape, body in zip(*(c.to_pylist() for c in batch.columns)):
                 left, windows = shape >> 16, shape & 0xFFFF
                 for part in range((left - windows + 1) // size, left // size + 1):
                     low, high = part * size, min(part * size + size - 1, width - 1)  # anchor places
@@ -298,29 +311,31 @@ def _halve(span: int, gram: int, level: int):
                     own = body[begin : end + span]
                     mark = f"{h} {level} {part}".encode()
                     new = (left - begin) << 16 | (end - begin + 1)
-                    rows.append((xxhash.xxh64_intdigest(mark + key, 3), xxhash.xxh3_64_intdigest(own, new), h, g, begin, count, new, own))
-            kinds = (pa.uint64(), pa.uint64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary())
-            columns = [pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * len(kinds), kinds)]
-            columns[:2] = [pa.array(c.to_numpy().view(np.int64)) for c in columns[:2]]
-            yield pa.RecordBatch.from_arrays(columns, ["h", "g", "up_h", "up_g", "shift", "count", "shape", "body"])
+                    rows.append((xxhash.xxh64_intdigest(mark + key, 3), h, g, k, begin, count, new, own))
+            kinds = (pa.uint64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary())
+            dealt, *columns = [pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * len(kinds), kinds)]
+            names = _contents([r[-1] for r in rows], [r[-2] for r in rows], secret)
+            columns = [pa.array(dealt.to_numpy().view(np.int64)), *map(pa.array, names), *columns]
+            yield pa.RecordBatch.from_arrays(columns, [*NAMES, "up_h", "up_g", "up_k", "shift", "count", "shape", "body"])
 
     return run
 
 
-def _hits(bodies: DataFrame, span: int, gram: int, crowd: int, chunk: int, level: int = 0) -> DataFrame:
-    """``(h, g, first, last)``: the ranges of repeated windows of ``bodies(h, g, count, shape, body)``."""
+def _hits(bodies: DataFrame, span: int, gram: int, crowd: int, chunk: int, key: bytes, level: int = 0) -> DataFrame:
+    """``(h, g, k, first, last)``: the ranges of repeated windows of ``bodies(h, g, k, count, shape, body)``."""
     place = f"{shared_dir(bodies.sparkSession)}/tapes"
     build = _build(span, gram, chunk, place)
-    kinds = "h long, g long, first int, last int"
+    kinds = "h long, g long, k long, first int, last int"
     crowds = settle(bodies.groupBy("h").count().where(F.col("count") > crowd).select("h"), "crowds")
     if level == FINEST or crowds.isEmpty():
         return bodies.repartition("h").sortWithinPartitions("h").mapInArrow(build, kinds)
     found = bodies.join(crowds, "h", "left_anti").repartition("h").sortWithinPartitions("h").mapInArrow(build, kinds)
-    schema = "h long, g long, up_h long, up_g long, shift int, count long, shape int, body binary"
-    parts = settle(bodies.join(crowds, "h", "left_semi").select("h", "g", "count", "shape", "body").mapInArrow(_halve(span, gram, level + 1), schema), "parts")
-    variants = parts.groupBy("h", "g").agg(F.sum("count").alias("count"), F.any_value("shape").alias("shape"), F.any_value("body").alias("body"))
-    finer = _hits(settle(variants, "variants"), span, gram, crowd, chunk, level + 1)
-    back = parts.join(finer, ["h", "g"]).select(F.col("up_h").alias("h"), F.col("up_g").alias("g"), (F.col("first") + F.col("shift")).alias("first"), (F.col("last") + F.col("shift")).alias("last"))
+    schema = "h long, g long, k long, up_h long, up_g long, up_k long, shift int, count long, shape int, body binary"
+    crowded = bodies.join(crowds, "h", "left_semi").select(*NAMES, "count", "shape", "body")
+    parts = settle(crowded.mapInArrow(_halve(span, gram, level + 1, key), schema), "parts")
+    variants = parts.groupBy(*NAMES).agg(F.sum("count").alias("count"), F.any_value("shape").alias("shape"), F.any_value("body").alias("body"))
+    finer = _hits(settle(variants, "variants"), span, gram, crowd, chunk, key, level + 1)
+    back = parts.join(finer, NAMES).select(*[F.col(f"up_{c}").alias(c) for c in NAMES], (F.col("first") + F.col("shift")).alias("first"), (F.col("last") + F.col("shift")).alias("last"))
     return found.unionByName(back)
 
 
@@ -337,7 +352,7 @@ def _extract(span: int):
                 size = (shape.to_numpy(zero_copy_only=False) & 0xFFFF) + span - 1
                 body = pa.array([data[a : a + s].tobytes() for a, s in zip(start.tolist(), size.tolist())], pa.binary())
                 yield pa.RecordBatch.from_arrays(
-                    [wanted.field("h"), wanted.field("g"), wanted.field("count"), shape, body], ["h", "g", "count", "shape", "body"]
+                    [*(wanted.field(c) for c in NAMES), wanted.field("count"), shape, body], [*NAMES, "count", "shape", "body"]
                 )
 
     return run
@@ -388,25 +403,26 @@ def repeated_ranges(docs: DataFrame, id_col: str, text_col: str, span: int = SPA
     """``(id, t, a, b)``: byte ranges ``[a, b)`` of texts covered by repeated strings; ``t`` is a digest of the text."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("body"))
     kind = rows.schema["id"].dataType.simpleString()
-    anchors = rows.mapInArrow(_cut(span, gram, True), "h long").groupBy("h").count().where("count > 1").select("h")
+    anchors = rows.mapInArrow(_cut(span, gram), "h long").groupBy("h").count().where("count > 1").select("h")
     anchors = settle(anchors, "anchors")
-    cut = rows.mapInArrow(_cut(span, gram, False), f"h long, g long, id {kind}, t long, start long, shape int")
+    key = secrets.token_bytes(32)
+    cut = rows.mapInArrow(_cut(span, gram, key), f"h long, g long, k long, id {kind}, t long, start long, shape int")
     found = settle(cut.join(anchors, "h", "left_semi"), "segments")
-    variants = found.groupBy("h", "g").agg(F.count("*").alias("count"), F.min(F.struct("id", "t", "start", "shape")).alias("one"))
+    variants = found.groupBy(*NAMES).agg(F.count("*").alias("count"), F.min(F.struct("id", "t", "start", "shape")).alias("one"))
     wanted = (
-        variants.select("one.*", "h", "g", "count")
+        variants.select("one.*", *NAMES, "count")
         .groupBy("id", "t")
-        .agg(F.collect_list(F.struct("start", "shape", "h", "g", "count")).alias("wanted"))  # as many as a text has segments at most
+        .agg(F.collect_list(F.struct("start", "shape", *NAMES, "count")).alias("wanted"))  # as many as a text has segments at most
     )
     texts = rows.where(F.octet_length("body") >= span).withColumn("t", _digest("body"))
     texts = texts.join(wanted, texts["id"].eqNullSafe(wanted["id"]) & (texts["t"] == wanted["t"])).select("body", "wanted", texts["id"], texts["t"])
     texts = texts.select("body", "wanted")
-    bodies = settle(texts.mapInArrow(_extract(span), "h long, g long, count long, shape int, body binary"), "bodies")
-    hits = _hits(bodies, span, gram, crowd, chunk)
+    bodies = settle(texts.mapInArrow(_extract(span), "h long, g long, k long, count long, shape int, body binary"), "bodies")
+    hits = _hits(bodies, span, gram, crowd, chunk, key)
     hits = settle(hits.distinct(), "hits")
     discard(anchors)
     discard(bodies)
-    return found.join(hits, ["h", "g"]).select(
+    return found.join(hits, NAMES).select(
         "id", "t", (F.col("start") + F.col("first")).alias("a"), (F.col("start") + F.col("last") + span).alias("b")
     )
 
@@ -433,8 +449,10 @@ def remove_repeats(
     the input; the same string starting twice in one text counts, and so do overlaps. A null
     text is empty; texts under ``span`` bytes stay whole; a repeated row repeats its text, so
     it loses all of a text of ``span`` bytes or more; null ids are ids like others; an empty
-    table gives an empty result. Other columns are not looked at.
+    table gives an empty result. Other columns are not looked at; a column of ``keep`` named as one of
+    the result's is refused with a ValueError.
     """
+    refuse_clashes([id_col, *(keep or []), "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept_text"] if keep is not None else [])])
     found = repeated_ranges(docs, id_col, text_col, span, gram, crowd, chunk)
     found = found.groupBy("id", "t").agg(F.collect_list(F.struct("a", "b")).alias("gone")).select(F.col("id").alias("i"), "t", "gone")
     extra = [docs[c].alias(f"keep_{n}") for n, c in enumerate(keep or [])]

@@ -2,6 +2,7 @@ import hashlib
 from collections import defaultdict
 
 import numpy as np
+import pytest
 
 from fathomline.llm import suffix_dedup as sd
 from fathomline.llm.collection import Collection
@@ -102,3 +103,30 @@ def test_an_anchor_of_more_segments_than_a_collection_takes(tmp_path):
     assert found() == []
     table[5, 219] = table[70_000, 219]
     assert found() == [[5, 20], [70_000, 20]]
+
+
+#: A text and differences of at most three a byte that a polynomial modulo 2^64 in the anchors' base can't see.
+MEET = (
+    "iptsshkhnsnnqmsjhngtmmpssgrnkrsjphlgggqogmqjmrgojsnnojljqjsnkgmtoqhiqrtkhrlrromotqjkkpntomptgnjrsmmqilorsqrlhnqohsiotmlnrgngkrtpppmqiiojgsjotojmoltplnkqoprgmsttrosiosojmgntlpojomntlmlgoopsplnpgsjqiopi",
+    [1, -3, -2, 0, -3, -3, 2, 3, -2, 0, 1, -1, 0, 0, 0, -3, 2, -1, 0, -1, 0, 2, 0, 1, 0, -2, -1, 1, 0, 1],
+)
+
+
+def test_texts_made_to_meet_are_kept(spark):
+    text, steps = MEET
+    other = "".join(chr(ord(c) + d) for c, d in zip(text, steps)) + text[len(steps) :]
+    polynomial = lambda t: sum((ord(c) + 1) * pow(sd.BASE, i, 1 << 64) for i, c in enumerate(t)) % (1 << 64)
+    assert len(text) == sd.SPAN and other != text and polynomial(text) == polynomial(other)
+    docs = [(1, text), (2, other), (3, "q" + text[:150]), (4, other[:199])]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    for crowd in (sd.CROWD, 0):
+        assert [r[2] for r in rows(sd.remove_repeats(df, crowd=crowd))] == [0] * 4
+        twice = sd.remove_repeats(df.union(spark.createDataFrame([(5, "x" + other + "y")], df.schema)), crowd=crowd)
+        assert {r[0]: r[2] for r in rows(twice)} == {1: 0, 2: 200, 3: 0, 4: 0, 5: 200}
+
+
+def test_clashing_names_are_refused(spark):
+    df = spark.createDataFrame([(1, "x", 5)], "doc_id long, text string, n_bytes long")
+    with pytest.raises(ValueError):
+        sd.remove_repeats(df, keep=["n_bytes"])
+    assert sd.remove_repeats(df).columns == ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
