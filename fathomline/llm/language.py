@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fathomline.llm.common import bytes_of
+from fathomline.llm.common import bytes_of, refuse_clashes
 
 WINDOW = 256
 DIM = 8
@@ -225,9 +225,11 @@ def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_
     Returns ``id_col``, ``held_out``, ``lang_pred`` and ``score`` (0 to 1), and the columns of ``keep``. The
     prediction is ``und`` with score 0 if the text is null or has no letter, or nothing could be
     learned; a null id counts as the empty text in ``held_out``; long texts are scored whole; ties go to the
-    first language by name; repeated rows repeat; other columns are not looked at.
+    first language by name; repeated rows repeat; other columns are not looked at; a column of ``keep``
+    named as one of the result's is refused with a ValueError.
     """
     keep = keep or []
+    refuse_clashes([id_col, "held_out", "lang_pred", "score", *keep])
     rows = docs.select(docs[id_col].alias("id"), docs[text_col].alias("body"), *[docs[c].alias(f"keep_{n}") for n, c in enumerate(keep)])
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields if f.name != "body")
     out = rows.mapInArrow(_predict(model), f"{kinds}, lang_pred string, score double")

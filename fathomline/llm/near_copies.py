@@ -296,10 +296,10 @@ def keep_one(
     Groups and edge cases are those of ``near_copies``; of rows equal in id and text any one stays. All columns are kept.
     """
     found = _Search(docs, id_col, text_col, words, similarity, radius)
-    low = found.lows().select(F.col("low.id").alias("_id"), F.col("low.t1").alias("_t1"), F.col("low.t2").alias("_t2"))
-    one, two = _digests(F.coalesce(F.col(text_col), F.lit("")))
-    same = F.col(id_col).eqNullSafe(F.col("_id")) & (one == F.col("_t1")) & (two == F.col("_t2"))
-    kept = docs.join(low, same)
+    low = found.lows().select(F.col("low.id").alias("own"), "low.t1", "low.t2")
+    digests = _digests(F.coalesce(docs[text_col], F.lit("")))
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs[id_col].alias("id"), *digests)
+    kept = rows.join(low, ["t1", "t2"]).where(F.col("id").eqNullSafe(F.col("own")))
     if found.repeats:
-        kept = kept.dropDuplicates(["_id", "_t1", "_t2"])
-    return kept.select(docs.columns)
+        kept = kept.dropDuplicates(["id", "t1", "t2"])
+    return kept.select("row.*")

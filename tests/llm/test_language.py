@@ -1,6 +1,7 @@
 import zlib
 
 import numpy as np
+import pytest
 
 from fathomline.llm import language
 
@@ -89,6 +90,8 @@ def test_ties_and_clashing_columns(spark):
     assert language.identify(df, flat).collect()[0].lang_pred == "aa"
     row = language.identify(df.withColumnsRenamed({"lang_pred": "old", "score": "points"}), flat, keep=["old", "points"]).collect()[0]
     assert (row.lang_pred, row.score, row.old, row.points) == ("aa", 0.5, "x", 7)
+    with pytest.raises(ValueError):
+        language.identify(df, flat, keep=["score"])
 
 
 def test_sample_covers_all_windows_of_long_texts(spark):

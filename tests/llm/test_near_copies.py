@@ -93,3 +93,11 @@ def test_parity_bounds_the_difference():
         a = np.unique(rng.integers(0, 400, rng.integers(1, 300)).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
         b = np.unique(np.concatenate([a[: len(a) // 2], rng.integers(0, 1 << 62, rng.integers(1, 300)).astype(np.uint64)]))
         assert np.bitwise_count((nc.parity(a) ^ nc.parity(b)).view(np.uint64)).sum() <= len(np.setxor1d(a, b))
+
+
+def test_columns_of_any_name_are_kept(spark):
+    text = " ".join(f"word{i}" for i in range(40))
+    rows = [(1, text, 5, "a", 7, 8, "r"), (2, text + " more", 6, "b", 7, 8, "s"), (3, "another text of its own", 6, "c", 7, 8, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _id int, _t1 string, _t2 int, t1 int, row string")
+    kept = nc.keep_one(df)
+    assert kept.columns == df.columns and sorted(map(tuple, kept.collect())) == [rows[0], rows[2]]

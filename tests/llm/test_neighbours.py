@@ -1,4 +1,6 @@
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
 from fathomline.llm import neighbours
@@ -27,10 +29,20 @@ def recall(got, want):
     return np.mean([len({i for i, _ in got.get(q, [])} & {i for i, _ in w}) / max(1, len(w)) for q, w in want.items()])
 
 
-@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1", "check_s"])
-def test_recall_through_spark(spark, sf):
+def made(spark, tmp_path):
+    """50,000 vectors around 500 centres."""
+    rng = np.random.default_rng(9)
+    v = (rng.standard_normal((500, 64)) * 0.7)[rng.integers(0, 500, 50_000)] + rng.standard_normal((50_000, 64))
+    flat = pa.array(v.astype(np.float32).ravel())
+    table = pa.table({"vec_id": np.arange(50_000), "embedding": pa.ListArray.from_arrays(pa.array(np.arange(50_001, dtype=np.int32) * 64), flat)})
+    pq.write_table(table, tmp_path / "made.parquet")
+    return spark.read.parquet(str(tmp_path / "made.parquet"))
+
+
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1", None])
+def test_recall_through_spark(spark, sf, tmp_path):
     """The index reranks an eighth of a block at most, small tables included."""
-    df = spark.read.parquet(f"/root/testdata/{sf}/embeddings.parquet")
+    df = spark.read.parquet(f"/root/testdata/{sf}/embeddings.parquet") if sf else made(spark, tmp_path)
     rows = [(r.vec_id, r.embedding) for r in df.collect()]
     got = result(neighbours.nearest(df))
     ids, v = np.array([i for i, _ in rows]), np.array([x for _, x in rows], np.float64)
