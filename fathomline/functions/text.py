@@ -11,7 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # fixed values: words that mark news of a funding
-FUNDING_WORDS = ["raised", "raises", "funding", "series a", "series b", "series c", "seed round", "led by", "valuation", "closes"]
+FUNDING_WORDS = ["raised", "raises", "funding", "seed", "series a", "series b", "series c", "series d", "series e", "valuation", "closes", "led by"]
 # fixed values: phrases of domains for sale
 LANDER = ["this domain is for sale", "this domain name is for sale", "domain may be for sale", "buy this domain", "purchase this domain", "inquire about this domain", "is parked free", "parked domain", "domain parking"]
 FRAGMENT = 12

@@ -60,7 +60,7 @@ def canonical_url(url: Column) -> Column:
 
 def on_host(h: Column, hosts: list[str]) -> Column:
     """The host, or a parent of it, is in ``hosts``."""
-    return F.exists(F.array(*map(F.lit, hosts)), lambda x: (h == x) | h.endswith(F.concat(F.lit("."), x)))
+    return h.rlike(rf"(?:^|\.)(?:{'|'.join(x.replace('.', chr(92) + '.') for x in hosts)})$")
 
 
 def canonical_domain(url: Column) -> Column:

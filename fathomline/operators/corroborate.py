@@ -27,13 +27,13 @@ FOLLOWERS = [
     "soon", "more", "private", "funding", "round", "deal", "valuation", "investment", "investors", "stock", "shares", "lets", "strikes", "signs",
     "seals", "represents", "chatbot", "ai",
 ]
-# fixed values: words before a name that don't make it a longer name, and endings after a hyphen that don't
+# fixed values: words before a name that don't make it a longer name, and the pattern of endings that don't
 PRECEDERS = [
     "startup", "startups", "company", "firm", "maker", "developer", "platform", "app", "giant", "unicorn", "rival", "competitor", "fintech",
     "biotech", "insurtech", "edtech", "healthtech", "proptech", "exclusive", "breaking", "report", "reports", "sources", "update", "watch",
     "venture-backed", "the", "a", "an", "industry", "start-up", "startup's",
 ]
-ATTRIBUTIVE = ["backed", "based", "led", "founded", "owned", "focused", "native", "headquartered"]
+ATTRIBUTIVE = r"(?i)-(backed|based|led|founded|owned|focused|native|headquartered)$"
 # fixed values: words that describe any company
 GENERIC = [
     "a", "an", "and", "as", "at", "based", "building", "builds", "business", "companies", "company", "customers", "data", "develops", "digital",
@@ -44,13 +44,13 @@ GENERIC = [
 # fixed values: what may stand within a name, and what ends a phrase
 WITHIN, BOUNDARY = r"^[\s\-.,:;'’]+$", r"[.!?:]|\s[-–—|]|[-–—|]\s"
 CANDIDATES, OVERLAP, COVERED, TOP = 4, 2, 0.6, 3  # fixed values
-REACH = 8  # words looked through beside a name
 WORD = r"([^A-Za-z0-9]*)([A-Za-z0-9]+(?:['’][A-Za-z0-9]+)*)"
+HYPHENED = r"[A-Za-z0-9]+(?:['’-][A-Za-z0-9]+)*"
 
 
 def _plain(words: Column) -> Column:
     """Lower case, without possessives."""
-    return F.transform(words, lambda w: F.regexp_replace(F.lower(w), "['’]s$", ""))
+    return F.transform(words, lambda w: F.when(w.rlike("['’]"), F.regexp_replace(F.lower(w), "['’]s$", "")).otherwise(F.lower(w)))
 
 
 def _squashed(text: Column) -> Column:
@@ -65,49 +65,71 @@ def name_variants(name: Column) -> Column:
     return F.array_distinct(F.array_compact(F.array(name, F.when(several, F.array_join(parts, "")), F.when(several & (F.length(head) >= 4) & ~head.isin(COMMON), head))))
 
 
+def _reading(text: Column) -> dict[str, Column]:
+    """A text's words and the gaps before them; ``_back`` and ``_ahead`` hold, at each word, what hyphens join to it before or after."""
+    joined = F.regexp_extract_all(text, F.lit(HYPHENED), F.lit(0))
+
+    def chains(cut) -> Column:
+        return F.flatten(F.transform(joined, lambda w: F.when(w.contains("-"), F.transform(F.split(w, "-"), lambda p, k: F.array_join(cut(F.split(w, "-"), k), "-"))).otherwise(F.array(w))))
+
+    return {
+        "_words": F.regexp_extract_all(text, F.lit(WORD), F.lit(2)),
+        "_gaps": F.regexp_extract_all(text, F.lit(WORD), F.lit(1)),
+        "_back": chains(lambda parts, k: F.slice(parts, F.lit(1), k + 1)),
+        "_ahead": chains(lambda parts, k: F.slice(parts, k + 1, F.size(parts))),
+    }
+
+
 def _beside(i: Column, n: Column, left: bool) -> Column:
     """The phrase of the occurrence at ``i`` and the next capitalised word beside it, past the company's own; null if there is none."""
-    words, low, gaps, own = F.col("_words"), F.col("_low"), F.col("_gaps"), F.col("_own")
+    words, gaps = F.col("_words"), F.col("_gaps")
     end = i + n - 1
     if left:
-        near = F.filter(F.sequence(F.greatest(i - REACH, F.lit(0)), i - 1), lambda j: (j > 0) & ~F.array_contains(own, F.get(low, j - 1)))
-        at = F.array_max(near)
+        at = F.array_max(F.filter("_foreign_back", lambda j: j < i))
+        word = F.regexp_replace(F.get("_back", at - 1), "^[^A-Za-z]+", "")
         between = F.slice(gaps, at + 1, i - at)
-        phrase = F.array_join(F.slice(words, at, end - at + 1), " ")
+        phrase = F.array_join(F.concat(F.array(word), F.slice(words, at + 1, end - at)), " ")
     else:
-        near = F.filter(F.sequence(end + 1, end + REACH), lambda j: (j <= F.size(words)) & ~F.array_contains(own, F.get(low, j - 1)))
-        at = F.array_min(near)
+        at = F.array_min(F.filter("_foreign_ahead", lambda j: j > end))
+        word = F.get("_ahead", at - 1)
         between = F.slice(gaps, end + 1, at - end)
-        phrase = F.array_join(F.slice(words, i, at - i + 1), " ")
-    word, plain = F.get(words, at - 1), F.lower(F.get(words, at - 1))
-    fits = at.isNotNull() & ~F.exists(between, lambda g: g.rlike(BOUNDARY)) & word.rlike("[A-Z]") & ~plain.isin(FOLLOWERS)
+        phrase = F.array_join(F.concat(F.slice(words, i, at - i), F.array(word)), " ")
+    plain = F.lower(word)
+    fits = at.isNotNull() & ~F.exists(between, lambda g: g.rlike(BOUNDARY)) & word.rlike("^[A-Za-z]") & word.rlike("[A-Z]") & ~plain.isin(FOLLOWERS)
     if left:
-        hyphened = (F.get(gaps, at - 1) == "-") & plain.isin(ATTRIBUTIVE)
-        fits = fits & ~plain.isin(PRECEDERS) & ~word.rlike("['’]s?$") & ~hyphened
+        owner = word.rlike("['’]s?$") | F.get(between, F.lit(0)).rlike("^['’]")
+        fits = fits & ~plain.isin(PRECEDERS) & ~owner & ~word.rlike(ATTRIBUTIVE)
     return F.when(fits & ~F.col("_identity").contains(_squashed(phrase)), phrase)
 
 
-def corroborate(pairs: DataFrame, name: str = "name", description: str = "description", text: str = "text", context: str | None = None, own: str | None = None) -> DataFrame:
-    """``pairs`` with ``occurrences``, ``proper`` (occurrences as a proper noun), ``overlap``, ``suspect``, ``reasons`` and ``evidence``.
+VERDICT = ("occurrences", "proper", "overlap", "suspect", "reasons", "evidence")
 
-    ``own`` is the whole name if ``name`` is a variant of it; ``context`` is what else identifies the company (site, slug). A null or
-    blank text, or a name without a letter, is never suspect. Only expressions, so nothing leaves the JVM.
-    """
+
+def _read(pairs: DataFrame, name: str, description: str, text: str, context: str | None) -> DataFrame:
+    """``pairs`` with what no variant of a name changes: the text's words, the company's words and its identity."""
     blank = F.lit("")
-    body = F.coalesce(F.col(text), blank)
-    whole = F.coalesce(F.col(own) if own else F.col(name), blank)
-    df = pairs.withColumns({"_words": F.regexp_extract_all(body, F.lit(WORD), F.lit(2)), "_gaps": F.regexp_extract_all(body, F.lit(WORD), F.lit(1)), "_name": tokens(strip_suffix(F.coalesce(F.col(name), blank)))})
     told = F.concat_ws(" ", F.coalesce(F.col(description), blank), F.coalesce(F.col(context), blank) if context else blank)
-    df = df.withColumns({"_low": _plain(F.col("_words")), "_own": F.array_union(tokens(whole), F.col("_name")), "_identity": _squashed(told), "_n": F.size("_name")})
-    starts = F.filter(F.sequence(F.lit(1), F.greatest(F.size("_low") - F.col("_n") + 1, F.lit(1))), lambda i: (F.slice("_low", i, F.col("_n")) == F.col("_name")) & F.forall(F.slice("_gaps", i + 1, F.col("_n") - 1), lambda g: g.rlike(WITHIN)))
-    df = df.withColumn("_at", F.when((F.col("_n") > 0) & (F.size("_words") >= F.col("_n")), starts).otherwise(F.array().cast("array<int>")))
+    df = pairs.withColumns(_reading(F.coalesce(F.col(text), blank)))
+    described = F.array_distinct(_plain(F.regexp_extract_all(F.coalesce(F.col(description), blank), F.lit(WORD), F.lit(2))))
+    told_words = F.filter(described, lambda w: (F.length(w) > 3) & w.rlike("^[a-z]") & ~w.isin(GENERIC))
+    return df.withColumns({"_low": _plain(F.col("_words")), "_identity": _squashed(told), "_told": told_words, "_whole": tokens(F.coalesce(F.col(name), blank)), "_blank": F.trim(F.coalesce(F.col(text), blank)) == ""})
+
+
+def _judge(df: DataFrame, name: str) -> DataFrame:
+    """What ``_read`` gives, by the variant ``name``, with the columns of ``VERDICT``."""
+    df = df.withColumn("_name", tokens(strip_suffix(F.coalesce(F.col(name), F.lit("")))))
+    df = df.withColumns({"_own": F.array_union("_whole", "_name"), "_n": F.size("_name")})
+    first = F.get("_name", F.lit(0))
+    starts = F.filter(F.sequence(F.lit(1), F.greatest(F.size("_low") - F.col("_n") + 1, F.lit(1))), lambda i: (F.get("_low", i - 1) == first) & (F.slice("_low", i, F.col("_n")) == F.col("_name")) & F.forall(F.slice("_gaps", i + 1, F.col("_n") - 1), lambda g: g.rlike(WITHIN)))
+    df = df.withColumn("_at", F.when((F.col("_n") > 0) & F.array_contains("_low", first), starts).otherwise(F.array().cast("array<int>")))
     df = df.withColumn("_proper", F.filter("_at", lambda i: F.forall(F.slice("_words", i, F.col("_n")), lambda w: w.rlike("[A-Z]"))))
+    foreign = lambda side: F.when(F.size("_proper") > 0, F.filter(F.sequence(F.lit(1), F.size("_low")), lambda j: ~F.array_contains("_own", F.lower(F.get(side, j - 1)))))
+    df = df.withColumns({"_foreign_back": foreign("_back"), "_foreign_ahead": foreign("_ahead")})
     df = df.withColumn("_longer", F.transform("_proper", lambda i: F.array_compact(F.array(_beside(i, F.col("_n"), True), _beside(i, F.col("_n"), False)))))
     df = df.withColumn("_phrases", F.flatten("_longer"))
     counted = F.transform(F.array_distinct("_phrases"), lambda p: F.struct((-F.size(F.filter("_phrases", lambda x: x == p))).alias("c"), F.array_position("_phrases", p).alias("first"), p.alias("phrase")))
     df = df.withColumn("_top", F.slice(F.array_sort(counted), 1, TOP))
-    wanted = F.filter(F.array_distinct(_plain(F.regexp_extract_all(F.coalesce(F.col(description), blank), F.lit(WORD), F.lit(2)))), lambda w: (F.length(w) > 3) & w.rlike("^[a-z]") & ~w.isin(GENERIC) & ~F.array_contains("_own", w))
-    df = df.withColumn("_wanted", wanted)
+    df = df.withColumn("_wanted", F.array_except("_told", "_own"))
     known = F.size("_wanted") >= CANDIDATES
     df = df.withColumns({"occurrences": F.size("_at"), "proper": F.size("_proper"), "overlap": F.when(known, F.size(F.array_intersect("_wanted", "_low"))).otherwise(0)})
     covered = F.aggregate(F.filter("_top", lambda s: s["c"] <= -2), F.lit(0), lambda a, s: a - s["c"])
@@ -118,21 +140,33 @@ def corroborate(pairs: DataFrame, name: str = "name", description: str = "descri
     reasons = F.array_compact(F.array(*[F.when(sign, why) for why, sign in signs.items()]))
     unknown = known & (F.col("overlap") == 0) & (F.col("proper") <= 1) & (F.size(reasons) == 0)
     reasons = F.when(unknown, F.array(F.lit("no context"))).otherwise(reasons)
-    speaks = (F.trim(body) != "") & (F.col("_n") > 0)
+    speaks = ~F.col("_blank") & (F.col("_n") > 0)
     df = df.withColumn("reasons", F.when(speaks, reasons).otherwise(F.array().cast("array<string>")))
     df = df.withColumn("evidence", F.when(F.col("proper") > 0, F.transform("_top", lambda s: F.concat(s["phrase"], F.lit(" ("), -s["c"], F.lit("x)")))))
-    return df.withColumn("suspect", F.size("reasons") > 0).drop(*[c for c in df.columns if c.startswith("_")])
+    return df.withColumn("suspect", F.size("reasons") > 0)
+
+
+def corroborate(pairs: DataFrame, name: str = "name", description: str = "description", text: str = "text", context: str | None = None) -> DataFrame:
+    """``pairs`` with ``occurrences``, ``proper`` (occurrences as a proper noun), ``overlap``, ``suspect``, ``reasons`` and ``evidence``.
+
+    ``context`` is what else identifies the company (site, slug). A null or blank text, or a name without a letter, is
+    never suspect. Only expressions, so nothing leaves the JVM.
+    """
+    return _judge(_read(pairs, name, description, text, context), name).select(*pairs.columns, *VERDICT)
 
 
 def best_corroboration(pairs: DataFrame, key: list[str], name: str = "name", description: str = "description", text: str = "text", context: str | None = None) -> DataFrame:
     """``corroborate`` by the variant of the name that speaks most for the company; the whole name's view if no variant occurs.
 
-    Of the variants that occur one not suspect wins, then the most proper occurrences, then the most.
+    Of the variants that occur one not suspect wins, then the most proper occurrences, then the most. The text is read
+    once for all variants; it and the description stay behind, and ``read`` tells whether the text had anything.
     """
-    spread = pairs.select(*pairs.columns, F.posexplode(name_variants(F.coalesce(F.col(name), F.lit("")))).alias("variant_no", "variant"))
-    seen = corroborate(spread, "variant", description, text, context, own=name)
+    kept = [c for c in pairs.columns if c not in (text, description)]
+    read = _read(pairs, name, description, text, context)
+    spread = read.select("*", F.posexplode(name_variants(F.coalesce(F.col(name), F.lit("")))).alias("variant_no", "variant"))
+    seen = _judge(spread, "variant").select(*kept, *VERDICT, (~F.col("_blank")).alias("read"), "variant_no")
     order = [F.desc(F.col("occurrences") > 0), F.asc(F.when(F.col("occurrences") > 0, F.col("suspect"))), F.desc("proper"), F.desc("occurrences"), F.asc("variant_no")]
-    return seen.withColumn("_n", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).where("_n = 1").drop("_n", "variant_no", "variant")
+    return seen.withColumn("_n", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).where("_n = 1").drop("_n", "variant_no")
 
 
 NEWS_HOST = "news.google.com"  # fixed value: its rows hold a headline, no body

@@ -22,22 +22,41 @@ from fathomline.plans.registry import q
 from fathomline.plans.relational import NEWS, news
 from fathomline.plans.scores import PAIRS
 from fathomline.plans.texts import CAPS
-from fathomline.sources.feeds import parse_rss
+from fathomline.sources.feeds import OUTLETS, parse_rss
 from fathomline.sources.tables import AS_OF
 
 TABLES = ["nation", "customer", "supplier", "part", "orders", "lineitem"]
 
 
 def rss(t):
-    """Documents landed as feeds of some twenty items, one in five without a summary, and a file that is no XML."""
+    """Documents landed as feeds of some twenty items: absent, marked-up and long summaries, undated items, repeated links, and a file that is no XML."""
     item = lambda tag, c: F.concat(F.lit(f"<{tag}>"), c, F.lit(f"</{tag}>"))
     n = news(t).withColumn("title", F.when(F.col("id") % 3 == 0, "Acme raised a seed round").otherwise("Other things"))
-    summary = F.when(F.col("id") % 5 == 0, "").otherwise(item("description", F.when(F.col("id") % 7 == 1, "valuation of Acme").otherwise("text")))
-    one = F.concat(F.lit("<item>"), item("title", F.col("title")), item("link", F.concat("url", F.lit("/"), F.col("id"))), item("pubDate", X.rfc822(F.col("published_date").cast("timestamp"))), summary, F.lit("</item>"))
-    feeds = n.groupBy(F.floor(F.col("id") / 20).alias("feed")).agg(F.array_join(F.array_sort(F.collect_list(one)), "").alias("items"))
+    told = F.when(F.col("id") % 17 == 0, F.concat(F.repeat(F.lit("word "), 150), F.lit("valuation of Acme"))).when(F.col("id") % 7 == 1, "&lt;b&gt;valuation&lt;/b&gt; of Acme").otherwise("text")
+    dated = F.when(F.col("id") % 13 == 0, "").otherwise(item("pubDate", X.rfc822(F.col("published_date").cast("timestamp"))))
+    link = F.concat("url", F.lit("/"), F.col("id"), F.when(F.col("id") % 11 == 0, "?utm_source=feed").otherwise(""))
+    one = F.concat(F.lit("<item>"), item("title", F.col("title")), item("link", link), dated, F.when(F.col("id") % 5 == 0, "").otherwise(item("description", told)), F.lit("</item>"))
+    again = F.when(F.col("id") % 9 == 0, F.concat(F.lit("<item>"), item("title", F.lit("Acme raised again")), item("link", F.concat("url", F.lit("/"), F.col("id"), F.lit("#more"))), F.lit("</item>"))).otherwise("")
+    feeds = n.groupBy(F.floor(F.col("id") / 20).alias("feed")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", F.concat(one, again).alias("x")))), lambda s: s["x"]), "").alias("items"))
     return feeds.select(F.concat(F.lit("<rss><channel>"), "items", F.lit("</channel></rss>")).alias("value")).unionByName(t.spark.range(1).select(F.lit("<rss><chan").alias("value")))
 
 
+ITEMS = f"""with {NEWS}, i as (select concat(url, '/', id) as link, case when id % 3 = 0 then 'Acme raised a seed round' else 'Other things' end as title, 'news.example.com' as source,
+ case when id % 13 <> 0 then published_date end as published, case when id % 5 = 0 then '' when id % 17 = 0 then repeat('word ', 150) || 'valuation of Acme' when id % 7 = 1 then 'valuation of Acme' else 'text' end as told, id from news)
+ select link, title, source, published, {{summary}} as summary from i where (published is null or published >= {D} - {{days}}) and {{words}}"""
+
+
+def feed_sql(outlet):
+    summary = f"substring(told, 1, {outlet.snippet})" if outlet.snippet else "told"
+    words = {None: "true", "whole": "(id % 3 = 0 or contains(told, 'valuation'))", "lede": f"(id % 3 = 0 or contains({summary}, 'valuation'))"}[outlet.words]
+    plain = ITEMS.format(summary=summary, days=outlet.days, words=words)
+    # a repeated item, undated and without a summary, counts where the first of its link is too old or tells of no funding
+    late = f"not ((published is null or published >= {D} - {outlet.days}) and {words})"
+    return f"{plain} union all select link, 'Acme raised again', source, null, '' from i where id % 9 = 0 and {late}"
+
+
+for n, outlet in enumerate(OUTLETS):
+    q(f"S{6 + n}_{outlet}", lambda t, outlet=outlet: parse_rss(rss(t), AS_OF, OUTLETS[outlet]), feed_sql(OUTLETS[outlet]))
 q("S3_complete_scan", lambda t: W.complete(t.companies.select("slug"), t.raw("customer").count()), "select slug from companies")
 q("S3_partial_scan", lambda t: W.complete(t.companies.where("id > 3").select("slug"), t.raw("customer").count()), "select slug from companies where false")
 q("S17_json_listing", lambda t: t.raw("events").select("event_id", F.from_json("props", "k int").alias("p")).select("event_id", "p.k").where("k is not null"), "select event_id, cast(json_extract(props, '$.k') as int) as k from events where json_extract(props, '$.k') is not null")

@@ -100,7 +100,7 @@ def told(t):
 
 q("T17_corroborated", lambda t: K.best_corroboration(told(t), ["doc_id"]).select("doc_id", "occurrences", "proper", "overlap", "suspect", F.array_join("reasons", ",").alias("reasons")))
 q("T18_attributed", lambda t: told(t).select("doc_id", K.attributed(F.col("name"), F.array(F.lit("Series A")), F.substring_index("text", ". ", 1), F.lit("https://a.example.com/x"), F.col("text")).alias("mine")))
-q("G28_entity_audit", lambda t: (lambda audit: audit.select(F.explode(F.when(F.trim("text") == "", F.array(F.lit("unknown"))).when(F.col("suspect"), F.col("reasons")).otherwise(F.array(F.lit("clear")))).alias("verdict")).groupBy("verdict").agg(F.count("*").alias("n")))(K.best_corroboration(told(t), ["doc_id"])))
+q("G28_entity_audit", lambda t: (lambda audit: audit.select(F.explode(F.when(~F.col("read"), F.array(F.lit("unknown"))).when(F.col("suspect"), F.col("reasons")).otherwise(F.array(F.lit("clear")))).alias("verdict")).groupBy("verdict").agg(F.count("*").alias("n")))(K.best_corroboration(told(t), ["doc_id"])))
 q("H24_surviving_articles", lambda t: W.first_per(K.best_corroboration(told(t), ["doc_id"]).where("not suspect"), ["source"], [F.desc("doc_id")], 6).select("source", "doc_id"))
 q("Z20_entity_guard", lambda t: K.best_corroboration(told(t), ["doc_id"]).select("doc_id", F.when(~F.col("suspect"), "keep").when(F.col("proper") >= 2, "ask").otherwise("drop").alias("verdict")))
 q("H48_common_word_in_context", lambda t: t.companies.select("id", F.expr("case id % 5 when 0 then 'Take funding away from schools' when 1 then 'Away raises more' when 2 then 'travel startup Away opens' when 3 then 'Away, the luggage brand' else 'Away''s Series D' end").alias("title")).select("id", S._meant(F.lit("away"), X.tokens(F.col("title"))).alias("meant")),

@@ -9,7 +9,7 @@ from fathomline.functions import names as N
 from fathomline.functions import text as X
 from fathomline.functions import urls as U
 from fathomline.plans.aggregates import day, D
-from fathomline.operators.timeline import title_sums, title_words, url_key
+from fathomline.operators.timeline import RAISE, STOP, UNITS, title_sums, title_words, url_key
 from fathomline.plans.registry import q
 from fathomline.sources.tables import AS_OF
 
@@ -50,7 +50,7 @@ q("T13_dated_article", lambda t: t.rounds.select("id", F.concat(F.lit("https://n
 q("T54_display_name", lambda t: urls(t).select("page_id", U.display_name(F.col("url")).alias("name")), f"select page_id, array_to_string(list_transform(string_split(replace(split_part({HOST.format(URLS)}, '.', 1), '-', ' '), ' '), lambda w: upper(substring(w, 1, 1)) || substring(w, 2)), ' ') as name from pages")
 q("T51_url_key_and_gap", lambda t: t.rounds.select("id", url_key(F.concat("news_url", F.when(F.col("id") % 2 == 0, "/?utm_source=x#top").otherwise(""))).alias("key"), F.abs(F.datediff(F.col("announced_date"), day())).alias("gap")), f"select id, replace(news_url, 'https://', '') as key, abs(announced_date - {D}) as gap from rounds")
 q("T19_funding_words", lambda t: t.raw("documents").select("doc_id", X.funding_words(F.concat(F.col("text"), F.when(F.col("doc_id") % 3 == 0, " Series-A round").otherwise(" evaluations praised"))).alias("hit")),
-  r"select doc_id, regexp_matches(lower(text || case when doc_id % 3 = 0 then ' Series-A round' else ' evaluations praised' end), '\b(?:raised|raises|funding|series[\s\-]+a|series[\s\-]+b|series[\s\-]+c|seed[\s\-]+round|led[\s\-]+by|valuation|closes)\b') as hit from documents")
+  r"select doc_id, regexp_matches(lower(text || case when doc_id % 3 = 0 then ' Series-A round' else ' evaluations praised' end), '\b(?:raised|raises|funding|series[\s\-]+a|series[\s\-]+b|series[\s\-]+c|series[\s\-]+d|series[\s\-]+e|seed|led[\s\-]+by|valuation|closes)\b') as hit from documents")
 q("T20_phrase_in_tokens", lambda t: t.raw("documents").select("doc_id", X.phrase_in(F.col("text"), F.lit("of the")).alias("hit")), "select doc_id, contains(' ' || array_to_string(regexp_extract_all(lower(text), '[a-z0-9]+'), ' ') || ' ', ' of the ') as hit from documents")
 PLACED = "case p_partkey % 5 when 0 then '[' || p_name || ']' when 1 then 'TBD' when 2 then ' Stealth' else p_name end"
 q("T24_placeholder_name", lambda t: t.raw("part").select(F.col("p_partkey").alias("id"), F.expr(PLACED).alias("name")).select("id", (F.trim("name").rlike(r"^\[.*\]$") | F.lower(F.trim("name")).isin("tbd", "stealth")).alias("placeholder")), f"select p_partkey as id, regexp_matches(trim({PLACED}), '^\\[.*\\]$') or lower(trim({PLACED})) in ('tbd', 'stealth') as placeholder from part")
@@ -72,7 +72,13 @@ q("T37_for_sale", lambda t: t.raw("documents").select("doc_id", X.for_sale(F.con
 CAREERS = "text || case doc_id % 4 when 0 then ' Previously at Stripe Labs, formerly at stripe. Veteran of Stripe Labs and ex-Google' when 1 then ' He led the big thing at work; our team' else '' end"
 q("T38_career_signals", lambda t: t.raw("documents").withColumn("text", F.expr(CAREERS)).select("doc_id", F.col("text").rlike(B.CAREER).alias("signal"), F.col("text").rlike(B.TEAM).alias("team"), F.array_join(B.earlier_employers(F.col("text")), "|").alias("employers")),
   f"select doc_id, regexp_matches(text, '{B.CAREER}') as signal, regexp_matches(text, '{B.TEAM}') as team, array_to_string(list_filter(e, lambda x, i: not list_contains(list_transform(e[1:i - 1], lambda y: lower(y)), lower(x))), '|') as employers from (select *, list_transform(regexp_extract_all(text, '{B.EMPLOYER}', 1), lambda x: trim(x)) as e from (select doc_id, {CAREERS} as text from documents))")
-q("T39_quote_grounded", lambda t: t.raw("documents").select("doc_id", X.quote_grounded(F.expr(QUOTED), F.col("text")).alias("grounded")))
+QUOTED = "case doc_id % 6 when 0 then substring(text, 5, 30) when 1 then concat(substring(text, 1, 20), ' ... ', substring(text, 41, 20)) when 2 then 'never said so' when 3 then concat(substring(text, 41, 20), '...', substring(text, 1, 20)) when 4 then concat(substring(text, 1, 30), '...', substring(text, 60, 8)) end"
+SQUEEZED = r"lower(trim(regexp_replace({}, '\s+', ' ', 'g')))"
+q("T39_quote_grounded", lambda t: t.raw("documents").select("doc_id", X.quote_grounded(F.expr(QUOTED), F.col("text")).alias("grounded")),
+  rf"""with a as (select doc_id, {SQUEEZED.format('text')} as src, {QUOTED} as quote from documents),
+ b as (select *, list_filter(list_transform(regexp_split_to_array(quote, '\.\.\.|…'), lambda p: {SQUEEZED.format('p')}), lambda p: p <> '') as parts from a)
+ select doc_id, case when quote is null or len(parts) = 0 then false when len(parts) = 1 then contains(src, parts[1]) else list_reduce(list_concat([{{'at': 1, 'p': ''}}], list_transform(parts, lambda p: {{'at': 0, 'p': p}})),
+  lambda a, b: {{'at': cast(case when a.at < 0 or length(b.p) < {X.FRAGMENT} or strpos(substring(src, a.at), b.p) = 0 then -1 else a.at - 1 + strpos(substring(src, a.at), b.p) + length(b.p) end as int), 'p': ''}}).at > 0 end as grounded from b""")
 
 
 CAPS = r"list_distinct(list_filter(list_transform(flatten(list_transform(regexp_split_to_array({0}, '[.!?\n]+\s*'), lambda s: list_filter(regexp_split_to_array(trim(s), '\s+'), lambda w: w <> '')[2:])), lambda w: regexp_replace(w, '[^\p{{L}}\p{{N}}]', '', 'g')), lambda w: regexp_matches(w, '^[A-Z].{{2,}}')))"
@@ -91,7 +97,20 @@ q("T41_claim_grounded", lambda t: claims(t).select("item_id", (X.grounded_share(
 q("T42_regex_flag", lambda t: t.companies.select("id", F.concat(F.coalesce("description_short", F.lit("")), F.expr("case id % 4 when 0 then ' of Berlin' when 1 then ', an INDIAN firm' when 2 then ' parisian' else '' end")).alias("d")).select("id", F.col("d").rlike(B.ABROAD).alias("abroad")), "select id, id % 4 in (0, 1) as abroad from companies")
 q("T43_counts", lambda t: t.raw("documents").select("doc_id", X.word_count(F.col("text")).alias("words"), X.paragraph_count(F.col("text")).alias("paragraphs")),
   r"select doc_id, cast(len(regexp_extract_all(text, '\S+')) as int) as words, cast(len(list_filter(regexp_split_to_array(text, '\n\s*\n'), lambda p: trim(p) <> '')) as int) as paragraphs from documents")
-q("T44_title_signature", lambda t: t.raw("documents").select("doc_id", F.array_join(F.array_sort(title_words(F.col("text"))), " ").alias("words"), F.array_join(title_sums(F.col("text")), "|").alias("sums")))
+def quoted(words):
+    return ", ".join(f"'{w}'" for w in words)
+
+
+# without look-ahead: a suffix that begins with one of the words that no outlet's name begins with is left alone
+_UNITS = "x0"
+for _unit, _forms in UNITS.items():
+    _UNITS = rf"regexp_replace({_UNITS}, '\$(\d+(?:\.\d+)?)\s*(?:{_forms})\b', '\1 {_unit}', 'g')"
+SIGNATURE = rf"""with a as (select doc_id, regexp_replace(lower(case when regexp_matches(text, '(?i)\s+[-–—|]\s+(?:and|but|as|a|an|the|it|its|here|what|why|how|not)\b[^-–—|]*$') then text
+   else regexp_replace(text, '\s+[-–—|]\s+[^-–—|]{{1,40}}$', '') end), '[’'']s\b', '', 'g') as x0 from documents),
+ b as (select doc_id, regexp_replace({_UNITS}, '\$(\d)', '\1', 'g') as x from a)
+select doc_id, array_to_string(list_sort(list_distinct(list_transform(list_filter(regexp_split_to_array(x, '[^a-z0-9.]+'), lambda w: w <> '' and w not in ({quoted(STOP)})), lambda w: case when w in ({quoted(RAISE)}) then 'raise' else w end))), ' ') as words,
+ coalesce((select string_agg(s, '|' order by i) from (select s, min(i) as i from (select unnest(list_transform(regexp_extract_all(x, '\b\d+(?:\.\d+)?\s+(?:{'|'.join(UNITS)})\b'), lambda m: regexp_replace(m, '\s+', ' ', 'g'))) as s, generate_subscripts(regexp_extract_all(x, '\b\d+(?:\.\d+)?\s+(?:{'|'.join(UNITS)})\b'), 1) as i) group by s)), '') as sums from b"""
+q("T44_title_signature", lambda t: t.raw("documents").select("doc_id", F.array_join(F.array_sort(title_words(F.col("text"))), " ").alias("words"), F.array_join(title_sums(F.col("text")), "|").alias("sums")), SIGNATURE)
 q("T46_embedding_text", lambda t: t.companies.select("id", F.sha2(F.concat_ws("\n", "name", F.coalesce("description_short", F.lit(""))), 256).alias("hash")), "select id, sha256(name || chr(10) || coalesce(description_short, '')) as hash from companies")
 USD = "cast(case when o_orderkey % 17 = 0 then null else round(o_totalprice * power(10, o_orderkey % 5)) end as double)"
 q("T47_format_usd", lambda t: t.raw("orders").select(F.col("o_orderkey").alias("id"), F.expr(USD).alias("x")).select("id", N.format_usd(F.col("x")).alias("short"), N.format_usd_exact(F.col("x")).alias("exact")),

@@ -7,13 +7,15 @@ that yields no row.
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from fathomline.functions.text import balanced, funding_words
+from fathomline.functions.text import balanced, funding_words, squeeze
+from fathomline.functions.urls import canonical_url, hostname, storable
 
 SNIPPET = 600
 
@@ -26,9 +28,29 @@ def nonempty(df: DataFrame, source: str) -> DataFrame:
     return df.unionByName(guard.select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in df.schema.fields]))
 
 
-def read_rss(spark: SparkSession, path: str, as_of: str, days: int, snippet: int | None = SNIPPET) -> DataFrame:
+@dataclass(frozen=True)
+class Outlet:
+    """How an outlet's feed is read: its look-back in days, where a word of funding must stand, and how long a snippet may be."""
+
+    days: int
+    words: str | None  # "whole" item, "lede" (title and snippet) or None: the feed is about funding anyway
+    snippet: int | None = None
+
+
+#: The feeds' rules.
+OUTLETS = {
+    "techcrunch": Outlet(7, None),
+    "siliconangle": Outlet(14, "whole"),
+    "prnewswire": Outlet(14, "whole"),
+    "crunchbase_news": Outlet(14, "whole"),
+    "geekwire": Outlet(14, None, SNIPPET),
+    "venturebeat": Outlet(7, "lede", SNIPPET),
+}
+
+
+def read_rss(spark: SparkSession, path: str, as_of: str, outlet: Outlet) -> DataFrame:
     """``parse_rss`` of the files at ``path``."""
-    return parse_rss(spark.read.text(path, wholetext=True), as_of, days, snippet)
+    return parse_rss(spark.read.text(path, wholetext=True), as_of, outlet)
 
 
 FEED = (
@@ -42,16 +64,32 @@ def feed_items(xml: DataFrame) -> DataFrame:
 
     A part that an item lacks is null; a file that isn't XML has no items.
     """
-    feed = xml.select(F.from_xml("value", FEED, {"mode": "PERMISSIVE"}).alias("f"))
+    return xml.select(F.from_xml("value", FEED, {"mode": "PERMISSIVE"}).alias("f")).select(F.inline(_items()))
+
+
+def _items():
     rss = F.transform("f.channel.item", lambda i: F.struct(F.trim(i["link"]).alias("link"), i["title"].alias("title"), F.to_date(F.try_to_timestamp(F.regexp_extract(i["pubDate"], r"(\d{1,2} \w{3} \d{4})", 1), F.lit("d MMM yyyy"))).alias("day"), i["description"].alias("summary")))
     atom = F.transform("f.entry", lambda i: F.struct(F.trim(F.get(i["link"], F.lit(0))["_href"]).alias("link"), i["title"].alias("title"), F.to_date(F.try_to_timestamp(F.substring(F.coalesce(i["published"], i["updated"]), 1, 10), F.lit("yyyy-MM-dd"))).alias("day"), i["summary"].alias("summary")))
-    return feed.select(F.inline(F.concat(F.coalesce(rss, F.array()), F.coalesce(atom, F.array()))))
+    return F.concat(F.coalesce(rss, F.array()), F.coalesce(atom, F.array()))
 
 
-def parse_rss(xml: DataFrame, as_of: str, days: int, snippet: int | None = SNIPPET) -> DataFrame:
-    """``(link, title, published, summary)`` of the items of feeds in ``xml(value)``, in the look-back and about funding."""
-    items = feed_items(xml).where((F.col("day") >= F.date_sub(F.lit(as_of).cast("date"), days)) & funding_words(F.concat_ws(" ", "title", "summary")))
-    return items.select("link", "title", F.col("day").alias("published"), (F.substring("summary", 1, snippet) if snippet else F.col("summary")).alias("summary"))
+def parse_rss(xml: DataFrame, as_of: str, outlet: Outlet) -> DataFrame:
+    """``(link, title, source, published, summary)`` of the items of feeds in ``xml(value)`` by an outlet's rules.
+
+    Links are canonical, and of a feed's items with one link the first counts; an item needs a link and a title. Undated
+    items stay; a summary is plain text, empty if absent. A file that isn't XML has no items.
+    """
+    feeds = xml.select(F.xxhash64("value").alias("feed"), F.from_xml("value", FEED, {"mode": "PERMISSIVE"}).alias("f"))
+    items = feeds.select("feed", F.posexplode(_items()).alias("pos", "item")).select("feed", "pos", "item.*")
+    items = items.where((F.col("link") != "") & (F.col("title") != "")).withColumn("link", F.when(storable(F.col("link")), canonical_url(F.col("link"))).otherwise(F.col("link")))
+    text = squeeze(F.regexp_replace(F.coalesce("summary", F.lit("")), "<[^>]*>", " "))
+    items = items.where(F.col("day").isNull() | (F.col("day") >= F.date_sub(F.lit(as_of).cast("date"), outlet.days))).withColumn("summary", text)
+    lede = F.substring("summary", 1, outlet.snippet) if outlet.snippet else F.col("summary")
+    if outlet.words:
+        items = items.where(funding_words(F.concat_ws("\n", "title", lede if outlet.words == "lede" else F.col("summary"))))
+    first = Window.partitionBy("feed", "link").orderBy("pos")
+    items = items.withColumn("n", F.row_number().over(first)).where("n = 1")
+    return items.select("link", "title", hostname(F.col("link")).alias("source"), F.col("day").alias("published"), lede.alias("summary"))
 
 
 def read_listing(spark: SparkSession, path: str, schema: str, name: str, website: str) -> DataFrame:

@@ -29,6 +29,12 @@ ARTICLES = [
     ("n8n", "workflow automation nodes for engineers and teams", "n8n has workflow automation for teams", [], None),
     (None, None, None, [], None),
     ("!!", "words", "some text", [], None),
+    ("Wave", "mobile money", "Start-Up Wave raises. Start-Up Wave grows. Start-Up Wave wins.", [], []),
+    ("Wave", "mobile money", "Co-founder Wave said. Venture-backed Wave grows. Wave Co-Founder left.", [], []),
+    ("Wave", "mobile money", "Wave 3M grows. Wave 3M wins. Wave 3M", [], []),
+    ("Wave", "mobile money", "Micro-Primary Wave sang. Micro-Primary Wave sings.", ["within a longer name"], ["Micro-Primary Wave (2x)"]),
+    ("Wave", "mobile money", "Wave Sub-Primary sang. Wave Sub-Primary sings. The founders' Wave. 24Seven Wave.", [], ["Wave Sub-Primary (2x)", "Seven Wave (1x)"]),
+    ("Bo Ka Le Mi Nu Op Qu Ro Sa Te", "tents", "Old Bo Ka Le Mi Nu Op Qu Ro Sa Te. Old Bo Ka Le Mi Nu Op Qu Ro Sa Te, Bo Bo Bo Bo Bo Bo Bo Bo Bo Bo.", ["within a longer name"], ["Old Bo Ka Le Mi Nu Op Qu Ro Sa Te (2x)"]),
 ]
 
 
@@ -60,8 +66,19 @@ def test_feed_items_keep_their_parts(spark):
     rss = "<rss><channel><title>T</title><item><title>A raised</title><link>u1</link><pubDate>Mon, 30 Jul 2001 00:00:00 GMT</pubDate></item><item><title>B raised</title><link> u2 </link><pubDate>Tue, 31 Jul 2001 00:00:00 GMT</pubDate><description><![CDATA[about <b>B</b>]]></description></item></channel></rss>"
     atom = '<feed xmlns="http://www.w3.org/2005/Atom"><entry><title>C raises</title><link href="u3"/><updated>2001-07-29T10:00:00Z</updated><summary>s</summary></entry></feed>'
     df = spark.createDataFrame([(rss,), (atom,), ("<rss><chan",), ("",), (None,), ("<rss><channel/></rss>",)], "value string")
-    got = {r.link: (r.title, str(r.published), r.summary) for r in feeds.parse_rss(df, "2001-08-01", 30).collect()}
-    assert got == {"u1": ("A raised", "2001-07-30", None), "u2": ("B raised", "2001-07-31", "about <b>B</b>"), "u3": ("C raises", "2001-07-29", "s")}
+    got = {r.link: (r.title, str(r.published), r.summary) for r in feeds.parse_rss(df, "2001-08-01", feeds.Outlet(30, "whole")).collect()}
+    assert got == {"u1": ("A raised", "2001-07-30", ""), "u2": ("B raised", "2001-07-31", "about B"), "u3": ("C raises", "2001-07-29", "s")}
+
+
+def test_outlets_rules(spark):
+    long = "x " * 400 + "funding"
+    rows = [("A", "http://a/1?utm_x=1", "31 Jul 2001", long), ("B", "http://a/2", "20 Jul 2001", "seed"), ("C", "http://a/3", None, "calm"), ("D raises", "http://a/4#y", "30 Jul 2001", "calm"), ("E raises", "http://a/4", None, "second"), ("", "http://a/5", None, "funding"), ("F", None, None, "funding")]
+    item = lambda t, u, d, s: f"<item><title>{t}</title>" + (f"<link>{u}</link>" if u else "") + (f"<pubDate>Tue, {d} 10:00:00 GMT</pubDate>" if d else "") + f"<description>{s}</description></item>"
+    df = spark.createDataFrame([("<rss><channel>" + "".join(item(*r) for r in rows) + "</channel></rss>",)], "value string")
+    got = {o: sorted((r.title, r.link, len(r.summary)) for r in feeds.parse_rss(df, "2001-08-01", rule).collect()) for o, rule in feeds.OUTLETS.items()}
+    a, b, c, d = ("A", "http://a/1", len(long)), ("B", "http://a/2", 4), ("C", "http://a/3", 4), ("D raises", "http://a/4", 4)
+    cut = ("A", "http://a/1", 600)
+    assert got == {"techcrunch": [a, c, d], "siliconangle": [a, b, d], "prnewswire": [a, b, d], "crunchbase_news": [a, b, d], "geekwire": [cut, b, c, d], "venturebeat": [d]}
 
 
 def words_of(title):

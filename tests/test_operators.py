@@ -136,7 +136,7 @@ def test_filters(spark):
 
 def test_feeds_and_sinks(spark, tmp_path):
     (tmp_path / "f.xml").write_text("<rss><channel><item><title>Acme raises cash</title><link>http://a/1</link><pubDate>Tue, 31 Jul 2001 10:00:00 GMT</pubDate><description>big</description></item><item><title>Weather</title><link>http://a/2</link><pubDate>Tue, 31 Jul 2001 10:00:00 GMT</pubDate><description>rain</description></item></channel></rss>")
-    assert [(r.link, r.published) for r in feeds.read_rss(spark, str(tmp_path / "f.xml"), "2001-08-01", 7).collect()] == [("http://a/1", date(2001, 7, 31))]
+    assert [(r.link, r.published) for r in feeds.read_rss(spark, str(tmp_path / "f.xml"), "2001-08-01", feeds.OUTLETS["siliconangle"]).collect()] == [("http://a/1", date(2001, 7, 31))]
     (tmp_path / "s.xml").write_text('<urlset xmlns="http://s"><url><loc>http://a/x</loc></url></urlset>')
     assert [r.url for r in feeds.read_sitemap(spark, str(tmp_path / "s.xml")).collect()] == ["http://a/x"]
     (tmp_path / "l.json").write_text('[{"n": "A", "w": "u"}, {"n": " ", "w": null}, {"n": "A", "w": "u"}]')
