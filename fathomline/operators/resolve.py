@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fathomline.functions.names import disambiguated
+from fathomline.sources.landing import dropped, kept
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str], order: Column) -> DataFrame:
@@ -38,14 +39,18 @@ def resolve_remap(remap: DataFrame, loser: str = "loser", survivor: str = "survi
     A chain of 2**rounds is resolved; a cycle raises.
     """
     now = remap.select(F.col(loser).alias("loser"), F.col(survivor).alias("survivor")).where("loser <> survivor")
-    for _ in range(rounds):
+    for step in range(rounds):
         ahead = now.select(F.col("loser").alias("survivor"), F.col("survivor").alias("next"))
-        now = now.join(ahead, "survivor", "left").select("loser", F.coalesce("next", "survivor").alias("survivor"), F.col("next").isNotNull().alias("moved")).persist()
-        if now.where("loser = survivor").limit(1).count():
+        new = now.join(ahead, "survivor", "left").select("loser", F.coalesce("next", "survivor").alias("survivor"), F.col("next").isNotNull().alias("moved"))
+        new = kept(new, "remap")
+        if step:
+            dropped(now)
+        moved, round_trips = new.agg(F.count_if("moved"), F.count_if(F.col("loser") == F.col("survivor"))).first()
+        if round_trips:
             raise ValueError("the remap has a cycle")
-        if not now.where("moved").limit(1).count():
-            return now.drop("moved")
-        now = now.drop("moved")
+        now = new.drop("moved")
+        if not moved:
+            return now
     raise ValueError("the remap has a longer chain than allowed")
 
 
