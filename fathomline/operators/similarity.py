@@ -51,17 +51,21 @@ def trigram_similarity(a, b) -> Column:
     return F.when(total == 0, 0.0).otherwise(both / F.nullif(total, F.lit(0)))
 
 
-def fuzzy_pairs(left: DataFrame, right: DataFrame, threshold: float, id_col: str = "id", name: str = "name", distinct_order: bool = False) -> DataFrame:
+def fuzzy_pairs(left: DataFrame, right: DataFrame, threshold: float, id_col: str = "id", name: str = "name", distinct_order: bool = False, block: str | None = None) -> DataFrame:
     """``(left_id, right_id, similarity)`` of names at or over ``threshold``, without comparing all pairs.
 
     A pair at similarity s shares at least s of the larger set, so among the rarest
     ``n - ceil(s * n) + 1`` trigrams of each name the two have one in common (prefix filtering);
     only names that meet on such a trigram are compared. Common trigrams are never entered.
-    ``distinct_order`` keeps pairs of left_id < right_id.
+    ``distinct_order`` keeps pairs of left_id < right_id. With ``block`` only names of one value of that column meet: their
+    trigrams carry it, so that they are rare by block and others' never meet.
     """
 
     def sets(df):
-        return df.select(F.col(id_col).alias("id"), trigrams(F.col(name)).alias("grams")).where(F.size("grams") > 0)
+        grams = trigrams(F.col(name))
+        if block:
+            grams = F.when(F.col(block).isNotNull(), F.transform(grams, lambda g: F.concat(g, F.lit("|"), F.col(block))))
+        return df.select(F.col(id_col).alias("id"), grams.alias("grams")).where(F.size("grams") > 0)
 
     a, b = sets(left), sets(right)
     seen = a.unionByName(b) if left is not right else a

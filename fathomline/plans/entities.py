@@ -11,8 +11,10 @@ from fathomline.operators import rounds as R
 from fathomline.operators import timeline as L
 from fathomline.operators import windows as W
 from fathomline.plans.aggregates import day, D
+from fathomline.operators.dedup import dedup_companies, domain_remap, judged_remap, name_pairs
 from fathomline.plans.registry import q
 from fathomline.plans.relational import NEWS, news
+from fathomline.sources.landing import new_place
 
 TYPES = "case when id % 11 = 0 then null when id % 7 = 0 then 'Series A extension' when id % 5 = 0 then 'Series ?' else concat('Series ', case id % 3 when 0 then 'A' when 1 then 'B' else 'C' end) end"
 
@@ -85,6 +87,9 @@ q("G25_coverage", lambda t: L.coverage(news(t), t.rounds),
 q("G26_timeline_tiers", lambda t: t.rounds.select("id", F.when(F.col("announced_date").isNull(), 0).otherwise(1).alias("tier"), F.col("announced_date").alias("day")).unionByName(news(t).select("id", F.when(F.col("published_date").isNull(), 2).otherwise(1).alias("tier"), F.col("published_date").alias("day"))).orderBy("tier", F.desc_nulls_last("day"), "id").limit(200),
   f"with {NEWS} select * from (select id, case when announced_date is null then 0 else 1 end as tier, announced_date as day from rounds union all select id, case when published_date is null then 2 else 1 end, published_date from news) order by tier, day desc nulls last, id limit 200")
 q("G24_stories", lambda t: L.stories(news(t)))
+q("G16_themes_over_rows", lambda t: C.themes(t.raw("embeddings"), "label", "vec_id", "embedding", local=0))
+q("G19_rebuilt_themes", lambda t: (lambda v, place: (C.rebuild_themes(v, place, "label", "vec_id", "embedding"), C.rebuild_themes(v.where("label % 2 = 0"), place, "label", "vec_id", "embedding"))[1])(t.raw("embeddings"), new_place(t.spark, "themes")).select("label", "slug", "vec_id"))
+q("G22_rebuilt_map", lambda t: (lambda v, place: (C.rebuild_map(v, place, "label", "vec_id", "embedding"), C.rebuild_map(v.where("label < 3"), place, "label", "vec_id", "embedding"))[1])(t.raw("embeddings"), new_place(t.spark, "map")).select("label", "vec_id", F.round("x", 6).alias("x"), F.round("y", 6).alias("y")))
 q("G16_themes", lambda t: C.themes(t.raw("embeddings"), "label", "vec_id", "embedding"))
 q("G20_map_positions", lambda t: C.project(t.raw("embeddings"), "label", "vec_id", "embedding").select("label", "vec_id", F.round("x", 4).alias("x"), F.round("y", 4).alias("y")))
 q("G23_axis_scale", lambda t: C.scale_axis(t.raw("embeddings").select("vec_id", "label", F.element_at("embedding", 1).cast("double").alias("v")), "label", "v", 40.0, 960.0, "x").select("vec_id", F.round("x", 5).alias("x")),
@@ -98,3 +103,22 @@ q("J37_two_keyed_texts", lambda t: (lambda n: n.where("round_id is not null").se
   f"with {NEWS} select round_id, id from news where round_id is not null union select r.id, n.id from news n join rounds r on n.company_id = r.company_id and n.url = r.news_url")
 q("J36_drifted_claims", lambda t: t.rounds.where("amount_raised is not null").withColumn("claim", F.concat(F.lit("raised "), N.claim_usd(F.col("amount_raised")))).withColumn("stored", F.when(F.col("id") % 8 == 0, "raised $1M").otherwise(F.col("claim"))).where("claim <> stored").select("id", "claim"),
   "select id, 'raised $' || case when amount_raised >= 1000 then printf('%.0fK', cast(amount_raised as double) / 1000) else printf('%.0f', cast(amount_raised as double)) end as claim from rounds where amount_raised is not null and id % 8 = 0")
+
+
+def doubled(t):
+    """Parts as companies: some share a site, names are alike, and what a judge may see."""
+    return t.raw("part").select(
+        F.col("p_partkey").alias("id"), F.concat_ws(" ", "p_name", "p_brand").alias("name"), F.expr("case when p_partkey % 4 = 0 then concat('https://www.d', cast(p_partkey % 60 as string), '.example.com/x') when p_partkey % 4 = 1 then 'https://github.io/y' end").alias("website"),
+        F.col("p_brand").alias("hq_city"), F.expr("case when p_partkey % 3 > 0 then p_type end").alias("hq_state"), F.expr("case when p_partkey % 5 = 0 then p_type end").alias("description_long"),
+        F.expr("date '2001-07-31' - cast(p_partkey % 400 as int)").alias("created_at"), "p_size")
+
+
+def judge(a, b):
+    return abs(a["p_size"] - b["p_size"]) <= 12
+
+
+q("H22_whole_dedup", lambda t: dedup_companies(doubled(t), judge, ["website", "hq_city", "hq_state", "description_long"], most=None)[1])
+q("H22_deduped_companies", lambda t: dedup_companies(doubled(t), judge, ["website", "hq_city", "hq_state", "description_long"], most=None)[0].select("id", "website", "hq_city", "hq_state", "description_long"))
+q("M13_judged_in_order", lambda t: judged_remap(doubled(t), name_pairs(doubled(t)), judge).select("a", "b", F.round("similarity", 6).alias("similarity"), "merged", "loser", "survivor"))
+q("H22_domain_remap", lambda t: domain_remap(doubled(t)), """with c as (select p_partkey as id, 'd' || p_partkey % 60 as domain, coalesce(case when p_partkey % 5 = 0 then p_type end, '') = '' as u, date '2001-07-31' - cast(p_partkey % 400 as int) as made from part where p_partkey % 4 = 0)
+ select id as loser, survivor from (select id, first_value(id) over (partition by domain order by u, made, id) as survivor from c) where id <> survivor""")
