@@ -102,7 +102,7 @@ def _beside(i: Column, n: Column, left: bool) -> Column:
     return F.when(fits & ~F.col("_identity").contains(_squashed(phrase)), phrase)
 
 
-VERDICT = ("occurrences", "proper", "overlap", "suspect", "reasons", "evidence")
+VERDICT = ("occurrences", "proper", "extended", "overlap", "suspect", "reasons", "evidence")
 
 
 def _read(pairs: DataFrame, name: str, description: str, text: str, context: str | None) -> DataFrame:
@@ -131,7 +131,7 @@ def _judge(df: DataFrame, name: str) -> DataFrame:
     df = df.withColumn("_top", F.slice(F.array_sort(counted), 1, TOP))
     df = df.withColumn("_wanted", F.array_except("_told", "_own"))
     known = F.size("_wanted") >= CANDIDATES
-    df = df.withColumns({"occurrences": F.size("_at"), "proper": F.size("_proper"), "overlap": F.when(known, F.size(F.array_intersect("_wanted", "_low"))).otherwise(0)})
+    df = df.withColumns({"occurrences": F.size("_at"), "proper": F.size("_proper"), "extended": F.size(F.filter("_longer", lambda x: F.size(x) > 0)), "overlap": F.when(known, F.size(F.array_intersect("_wanted", "_low"))).otherwise(0)})
     covered = F.aggregate(F.filter("_top", lambda s: s["c"] <= -2), F.lit(0), lambda a, s: a - s["c"])
     signs = {
         "only a common word": (F.col("occurrences") > 0) & (F.col("proper") == 0) & (~known | (F.col("overlap") < OVERLAP)),
@@ -147,7 +147,7 @@ def _judge(df: DataFrame, name: str) -> DataFrame:
 
 
 def corroborate(pairs: DataFrame, name: str = "name", description: str = "description", text: str = "text", context: str | None = None) -> DataFrame:
-    """``pairs`` with ``occurrences``, ``proper`` (occurrences as a proper noun), ``overlap``, ``suspect``, ``reasons`` and ``evidence``.
+    """``pairs`` with ``occurrences``, ``proper`` (occurrences as a proper noun), ``extended`` (those within a longer name), ``overlap``, ``suspect``, ``reasons`` and ``evidence``.
 
     ``context`` is what else identifies the company (site, slug). A null or blank text, or a name without a letter, is
     never suspect. Only expressions, so nothing leaves the JVM.

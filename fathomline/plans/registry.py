@@ -37,7 +37,7 @@ def _load() -> None:
         import_module(f"fathomline.plans.{plan}")
 
 
-PLANS = ("relational", "aggregates", "scores", "entities", "texts", "feeds", "details", "records", "listings", "functions")
+PLANS = ("relational", "aggregates", "scores", "entities", "texts", "feeds", "details", "records", "listings", "functions", "runs")
 
 
 def queries() -> dict[str, Callable]:
