@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from fathomline.plans.registry import q
 from fathomline.sources.landing import land
+from fathomline.sources.links import company_link, telling_links
 from fathomline.sources.listings import headcounts, portfolio, read_listing_pages
 
 NAME = "concat(p_name, ' no ', cast(p_partkey as string))"
@@ -96,3 +97,18 @@ def sizes(t):
 
 SIZED = " union all ".join(f"select id, {n} as rank, '{s}' as source, id % 90 + {len(s)} as low, id % 90 + 100 as high from companies where {when} and id % 13 <> {n}" for n, (s, when) in enumerate(SIZES.items()) if s != "a blog")
 q("S30_trusted_headcounts", lambda t: headcounts(sizes(t)), f"select id as company_id, low, high, source from (select *, row_number() over (partition by id order by rank) as n from ({SIZED})) where n = 1")
+
+
+def linked(t):
+    """Pages with more links: telling and idle ones of their own host, companies' sites, aggregators and other schemes."""
+    more = [
+        "/about-us", "../our-product/x", "team.pdf", "/blog/about", "//x.example.com/about", "mailto:a@b.c", "?page=about", "/About-Us#top", "https://www.techcrunch.com/company", "https://get-acme.io/a?b=1",
+        "https://acmeworks.example.org/2024/01/02/x", "https://other.example.org/", "https://acme-news.github.io/x",
+    ]
+    anchor = lambda n, href: F.concat(F.lit(f'<a href="{href}">'), F.when(F.col("page_id") % 3 == n % 3, "our Platform story").otherwise("Acme Works here"), F.lit("</a>"))
+    extra = [F.when(F.col("page_id") % 13 != n, anchor(n, href)).otherwise("") for n, href in enumerate(more)]
+    return t.raw("pages").select("page_id", "url", F.concat(F.coalesce("html", F.lit("")), *extra).alias("html"), F.expr("case page_id % 4 when 0 then 'Acme' when 1 then 'Works' when 2 then 'Acme Works' end").alias("name"))
+
+
+q("T36_telling_links", lambda t: telling_links(linked(t), ["page_id"]))
+q("T35_company_links", lambda t: company_link(linked(t), ["page_id"]))
