@@ -89,10 +89,13 @@ def judged_tags(t):
     return t.companies.select("id", F.array_compact(want).alias("want_tags"), F.array_compact(got).alias("got_tags"), F.col("status").alias("want_status"), F.when(F.col("id") % 10 > 0, F.col("status")).alias("got_status"))
 
 
+def rounded():
+    return [F.round(c, 9).alias(c) for c in ("precision", "recall", "f1")]
+
+
 RATIOS = "hits / nullif(given, 0) as precision, hits / nullif(wanted, 0) as recall, 2.0 * hits / nullif(given + wanted, 0) as f1"
-ROUNDED = [F.round(c, 9).alias(c) for c in ("precision", "recall", "f1")]
 DECIMALS = "round(precision, 9) as precision, round(recall, 9) as recall, round(f1, 9) as f1"
-q("H57_set_scores", lambda t: R.set_scores(judged_tags(t), ["tags"]).select("field", "hits", "given", "wanted", *ROUNDED),
+q("H57_set_scores", lambda t: R.set_scores(judged_tags(t), ["tags"]).select("field", "hits", "given", "wanted", *rounded()),
   f"""with a as (select id, list_distinct(list_filter([lower(industry_group), lower(hq_country), 't' || id % 5], lambda x: x is not null)) as w, list_distinct(list_filter([lower(industry_group), case when id % 3 > 0 then lower(hq_country) end, 't' || id % 7], lambda x: x is not null)) as g from companies),
  b as (select 'tags' as field, cast(sum(len(list_intersect(w, g))) as bigint) as hits, cast(sum(len(g)) as bigint) as given, cast(sum(len(w)) as bigint) as wanted from a), c as (select *, {RATIOS} from b) select field, hits, given, wanted, {DECIMALS} from c""")
 q("H57_field_accuracy", lambda t: R.accuracy(judged_tags(t), ["status"]).select("field", "cases", F.round("value", 9).alias("value")), "select 'status' as field, count(*) as cases, round(avg(case when id % 10 > 0 or status is null then 1.0 else 0.0 end), 9) as value from companies")
@@ -105,7 +108,7 @@ def judged_rounds(t):
     return t.rounds.groupBy("company_id").agg(F.collect_list(record(F.col("round_type"), F.col("announced_date"))).alias("want_rounds"), F.collect_list(F.when(F.col("id") % 4 > 0, got)).alias("got_rounds"))  # a company's rounds
 
 
-q("H57_record_scores", lambda t: R.record_scores(judged_rounds(t), "rounds", "name", ["kind", "day"]).select("field", "hits", "given", "wanted", *ROUNDED),
+q("H57_record_scores", lambda t: R.record_scores(judged_rounds(t), "rounds", "name", ["kind", "day"]).select("field", "hits", "given", "wanted", *rounded()),
   f"""with a as (select id, round_type as wk, case when id % 5 > 0 then round_type else 'Seed' end as gk, announced_date as wd, announced_date + cast(id % 3 = 0 as int) as gd, id % 4 > 0 as found from rounds),
  b as (select 'name' as field, count(*) filter (where found) as hits, count(*) filter (where found) as given, count(*) as wanted from a
   union all select 'kind', count(*) filter (where found and wk = gk), count(gk) filter (where found), count(wk) from a union all select 'day', count(*) filter (where found and wd = gd), count(gd) filter (where found), count(wd) from a),
