@@ -14,6 +14,14 @@ from pyspark.sql import functions as F
 FUNDING_WORDS = ["raised", "raises", "funding", "seed", "series a", "series b", "series c", "series d", "series e", "valuation", "closes", "led by"]
 # fixed values: phrases of domains for sale
 LANDER = ["this domain is for sale", "this domain name is for sale", "domain may be for sale", "buy this domain", "purchase this domain", "inquire about this domain", "is parked free", "parked domain", "domain parking"]
+# fixed values: what else marks a parked page: phrases, and brands beside an offer; and the pattern of a domain that is for sale
+PARKED = [
+    "this domain is for sale", "domain is for sale", "domain name is for sale", "domain for sale", "domain may be for sale", "buy this domain", "purchase this domain", "is parked free",
+    "parked domain", "domain parking", "domain marketplace", "this site is for sale", "this website is for sale", "available for purchase", "inquire about this domain",
+]
+BRANDS = ["spaceship.com", "godaddy", "sedo.com", "afternic", "dan.com", "hugedomains", "atom.com", "saw.com", "squadhelp", "namecheap", "porkbun", "reg.ai"]
+OFFERS = ["for sale", "buy now", "make an offer", "make offer"]
+DOMAIN_FOR_SALE = r"\b[a-z0-9][a-z0-9-]*(?:\.[a-z0-9-]+)*\.[a-z]{2,}\s+is\s+for\s+sale\b"
 FRAGMENT = 12
 
 
@@ -30,6 +38,18 @@ def for_sale(text: Column) -> Column:
     return hit
 
 
+def parked(text: Column) -> Column:
+    """A candidate page's text reads as a parked domain's; lenient, as a page that is refused wrongly costs little. Null text is none."""
+    low = F.lower(F.coalesce(text, F.lit("")))
+    any_of = lambda words: low.rlike("|".join(w.replace(".", r"\.") for w in words))
+    return low.rlike(DOMAIN_FOR_SALE) | any_of(PARKED) | (any_of(BRANDS) & any_of(OFFERS))
+
+
+def parked_page(html) -> Column:
+    """``parked`` of a page's title and visible text."""
+    return parked(visible_text(html))
+
+
 def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0))
 

@@ -6,9 +6,11 @@ from pyspark.sql import functions as F
 
 from fathomline.operators import health as H
 from fathomline.operators import scorecard as R
+from fathomline.functions.text import parked, parked_page
 from fathomline.plans.records import told
 from fathomline.plans.registry import q
 from fathomline.sources import services as S
+from fathomline.sources.feeds import or_empty
 from fathomline.sources.landing import kept, new_place
 from fathomline.sources.ledger import LedgeredTable
 
@@ -113,3 +115,17 @@ q("H57_record_scores", lambda t: R.record_scores(judged_rounds(t), "rounds", "na
  b as (select 'name' as field, count(*) filter (where found) as hits, count(*) filter (where found) as given, count(*) as wanted from a
   union all select 'kind', count(*) filter (where found and wk = gk), count(gk) filter (where found), count(wk) from a union all select 'day', count(*) filter (where found and wd = gd), count(gd) filter (where found), count(wd) from a),
  c as (select *, {RATIOS} from b) select field, hits, given, wanted, {DECIMALS} from c""")
+
+
+def failing(t):
+    """A job that is planned well and fails when it runs."""
+    return t.raw("embeddings").select("vec_id", F.when(F.col("vec_id") % 2 == 1, F.raise_error(F.lit("down"))).otherwise(F.col("vec_id")).cast("double").alias("score"))
+
+
+q("E2_empty_on_failure", lambda t: or_empty(lambda: failing(t), "vec_id long, score double", run=True).unionByName(or_empty(lambda: failing(t).where("vec_id % 2 = 0"), "vec_id long, score double", run=True)),
+  "select vec_id, cast(vec_id as double) as score from embeddings where vec_id % 2 = 0")
+SIGNS = ["acme-labs.co.uk  is for sale", "Available for PURCHASE", "GoDaddy: make an offer", "godaddy hosts us", "Sedona homes for sale", "the domain marketplace", "atom.com, buy now", "atom com buy now", "my boat is for sale"]
+SIGN = "case doc_id % 11 " + " ".join(f"when {n} then ' {s}'" for n, s in enumerate(SIGNS)) + " else '' end"
+q("H49_parked_texts", lambda t: t.raw("documents").select("doc_id", parked(F.concat("text", F.expr(SIGN))).alias("parked")), "select doc_id, doc_id % 11 in (0, 1, 2, 5, 6) as parked from documents where text is not null union all select doc_id, false from documents where text is null")
+q("H49_parked_pages", lambda t: t.raw("pages").select("page_id", parked_page(F.concat(F.lit("<title>"), F.when(F.col("page_id") % 3 == 0, "x.io is for").otherwise("welcome"), F.lit("</title><p>sale</p>"), F.when(F.col("page_id") % 5 == 0, "<script>var a = 'domain parking'</script>").otherwise("<b>buy</b> <i>this domain</i>"))).alias("parked")),
+  "select page_id, page_id % 5 > 0 or page_id % 3 = 0 as parked from pages")

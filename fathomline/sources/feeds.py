@@ -11,11 +11,14 @@ from dataclasses import dataclass
 from html.parser import HTMLParser
 
 import pandas as pd
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from fathomline.functions.text import balanced, funding_words, squeeze
 from fathomline.functions.urls import canonical_url, hostname, storable
+from fathomline.sources.landing import kept
 
 SNIPPET = 600
 
@@ -166,11 +169,19 @@ def external(df: DataFrame, call: Callable[[list[dict]], list[dict]], schema: st
     return df.mapInPandas(run, schema)
 
 
-def or_empty(build: Callable[[], DataFrame], schema: str) -> DataFrame:
-    """What ``build`` gives, or no row of ``schema`` where it can't be planned (a table or column is absent)."""
-    from pyspark.errors import AnalysisException
+def or_empty(build: Callable[[], DataFrame], schema: str, run: bool = False) -> DataFrame:
+    """What ``build`` gives, or no row of ``schema`` where it can't be planned (a table or column is absent).
 
+    With ``run`` it is also carried out and written down here, so that a job that fails gives no row either.
+    """
+    from pyspark.errors import AnalysisException, PySparkException
+
+    spark = SparkSession.active()
     try:
-        return build()
+        return kept(build().select(*[f.name for f in StructType.fromDDL(schema).fields]), "answer") if run else build()
     except AnalysisException:
-        return SparkSession.active().createDataFrame([], schema)
+        return spark.createDataFrame([], schema)
+    except (PySparkException, Py4JJavaError):
+        if not run:
+            raise
+        return spark.createDataFrame([], schema)
