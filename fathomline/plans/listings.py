@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from fathomline.plans.registry import q
 from fathomline.sources.landing import land
 from fathomline.sources.links import company_link, telling_links
-from fathomline.sources.listings import headcounts, portfolio, read_listing_pages
+from fathomline.sources.listings import headcounts, portfolio, read_listing_pages, refreshed
 
 NAME = "concat(p_name, ' no ', cast(p_partkey as string))"
 PAGE = "cast((p_partkey div 25) % 8 as string)"
@@ -112,3 +112,16 @@ def linked(t):
 
 q("T36_telling_links", lambda t: telling_links(linked(t), ["page_id"]))
 q("T35_company_links", lambda t: company_link(linked(t), ["page_id"]))
+
+
+def swept(t):
+    """A sweep over landed arrays: a quarter of the companies is known, one brand's floor is too high, one listing is absent."""
+    entries = portfolio(read_listing_pages(t.spark, islands(t), "island", marker="a16z_portfolio_companies = "))
+    known = parts(t).where("p_partkey % 4 = 0").select(F.concat(F.upper("name"), F.lit(", Inc.")).alias("name"))
+    floors = entries.select("listing").distinct().select("listing", F.when(F.col("listing") == "Brand#11", 10**9).otherwise(1).alias("floor")).unionByName(t.spark.range(1).select(F.lit("Brand#0").alias("listing"), F.lit(1).alias("floor")))
+    return refreshed(entries, known, floors)
+
+
+SWEPT = f"({PART}) where p_partkey % 5 <> 0 and p_partkey % 9 <> 0"
+q("Z13_sweep_outcomes", lambda t: swept(t)[0], f"select listing, count(*) as found, count(*) filter (where p_partkey % 4 <> 0) as fresh, case when listing = 'Brand#11' then 'low' else 'ok' end as outcome from {SWEPT} group by 1 union all select 'Brand#0', 0, 0, 'absent'")
+q("Z13_companies_to_add", lambda t: swept(t)[1].select("listing", "name", "website"), f"select listing, name, website from {SWEPT} and p_partkey % 4 <> 0 and listing <> 'Brand#11'")

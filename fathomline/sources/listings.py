@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from fathomline.functions.names import normalize_name
 from fathomline.functions.text import balanced
 from fathomline.sources.feeds import cards
 
@@ -263,3 +264,22 @@ def headcounts(found: DataFrame) -> DataFrame:
     ranked = found.where(F.col("low").isNotNull() & F.col("high").isNotNull()).withColumn("rank", rank).where("rank > 0")
     best = ranked.groupBy("company_id").agg(F.min(F.struct("rank", "low", "high", "source")).alias("b"))
     return best.select("company_id", "b.low", "b.high", "b.source")
+
+
+def refreshed(entries: DataFrame, known: DataFrame, floors: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What a sweep over portfolios found: an outcome a listing, and the companies to add.
+
+    ``entries`` is what ``portfolio`` gives, ``known`` has ``name``, ``floors`` has ``listing`` and ``floor`` (the least entries that a sound listing has). A
+    listing of ``floors`` without entries is ``absent``, one under its floor ``low``; neither adds companies. Names are
+    compared as normalised; a company on several listings is added once, for the first listing by name.
+    """
+    named = entries.withColumn("key", normalize_name(F.col("name"))).where("key <> ''")
+    old = known.select(normalize_name(F.col("name")).alias("key")).where("key <> ''").distinct()
+    fresh = named.join(old, "key", "left_anti")
+    counts = entries.groupBy("listing").agg(F.count("*").alias("found")).join(fresh.groupBy("listing").agg(F.count("*").alias("fresh")), "listing", "left").join(floors, "listing", "full")
+    outcome = F.when(F.col("found").isNull(), "absent").when(F.col("found") < F.col("floor"), "low").otherwise("ok")
+    outcomes = counts.select("listing", F.coalesce("found", F.lit(0)).alias("found"), F.coalesce("fresh", F.lit(0)).alias("fresh"), outcome.alias("outcome"))
+    sound = fresh.join(outcomes.where("outcome = 'ok'").select("listing"), "listing", "left_semi")
+    first = Window.partitionBy("key").orderBy("listing", "name")
+    added = sound.withColumn("n", F.row_number().over(first)).where("n = 1").select("listing", "name", "website", "description")
+    return outcomes, added
