@@ -65,19 +65,10 @@ def name_variants(name: Column) -> Column:
     return F.array_distinct(F.array_compact(F.array(name, F.when(several, F.array_join(parts, "")), F.when(several & (F.length(head) >= 4) & ~head.isin(COMMON), head))))
 
 
-def _reading(text: Column) -> dict[str, Column]:
-    """A text's words and the gaps before them; ``_back`` and ``_ahead`` hold, at each word, what hyphens join to it before or after."""
+def _chains(text: Column, cut) -> Column:
+    """At each word of a text what hyphens join to it, by ``cut(parts, place)``."""
     joined = F.regexp_extract_all(text, F.lit(HYPHENED), F.lit(0))
-
-    def chains(cut) -> Column:
-        return F.flatten(F.transform(joined, lambda w: F.when(w.contains("-"), F.transform(F.split(w, "-"), lambda p, k: F.array_join(cut(F.split(w, "-"), k), "-"))).otherwise(F.array(w))))
-
-    return {
-        "_words": F.regexp_extract_all(text, F.lit(WORD), F.lit(2)),
-        "_gaps": F.regexp_extract_all(text, F.lit(WORD), F.lit(1)),
-        "_back": chains(lambda parts, k: F.slice(parts, F.lit(1), k + 1)),
-        "_ahead": chains(lambda parts, k: F.slice(parts, k + 1, F.size(parts))),
-    }
+    return F.flatten(F.transform(joined, lambda w: F.when(w.contains("-"), F.transform(F.split(w, "-"), lambda p, k: F.array_join(cut(F.split(w, "-"), k), "-"))).otherwise(F.array(w))))
 
 
 def _beside(i: Column, n: Column, left: bool) -> Column:
@@ -106,10 +97,10 @@ VERDICT = ("occurrences", "proper", "extended", "overlap", "suspect", "reasons",
 
 
 def _read(pairs: DataFrame, name: str, description: str, text: str, context: str | None) -> DataFrame:
-    """``pairs`` with what no variant of a name changes: the text's words, the company's words and its identity."""
+    """``pairs`` with what no variant of a name changes: the text and its words, the company's words and its identity."""
     blank = F.lit("")
     told = F.concat_ws(" ", F.coalesce(F.col(description), blank), F.coalesce(F.col(context), blank) if context else blank)
-    df = pairs.withColumns(_reading(F.coalesce(F.col(text), blank)))
+    df = pairs.withColumn("_text", F.coalesce(F.col(text), blank)).withColumn("_words", F.regexp_extract_all("_text", F.lit(WORD), F.lit(2)))
     described = F.array_distinct(_plain(F.regexp_extract_all(F.coalesce(F.col(description), blank), F.lit(WORD), F.lit(2))))
     told_words = F.filter(described, lambda w: (F.length(w) > 3) & w.rlike("^[a-z]") & ~w.isin(GENERIC))
     return df.withColumns({"_low": _plain(F.col("_words")), "_identity": _squashed(told), "_told": told_words, "_whole": tokens(F.coalesce(F.col(name), blank)), "_blank": F.trim(F.coalesce(F.col(text), blank)) == ""})
@@ -121,9 +112,15 @@ def _judge(df: DataFrame, name: str) -> DataFrame:
     df = df.withColumns({"_own": F.array_union("_whole", "_name"), "_n": F.size("_name")})
     first = F.get("_name", F.lit(0))
     starts = F.filter(F.sequence(F.lit(1), F.greatest(F.size("_low") - F.col("_n") + 1, F.lit(1))), lambda i: (F.get("_low", i - 1) == first) & (F.slice("_low", i, F.col("_n")) == F.col("_name")) & F.forall(F.slice("_gaps", i + 1, F.col("_n") - 1), lambda g: g.rlike(WITHIN)))
-    df = df.withColumn("_at", F.when((F.col("_n") > 0) & F.array_contains("_low", first), starts).otherwise(F.array().cast("array<int>")))
+    # what stands between words, and what hyphens join, is only read where the name may occur
+    df = df.withColumn("_may", (F.col("_n") > 0) & F.array_contains("_low", first))
+    df = df.withColumn("_gaps", F.when(F.col("_may"), F.regexp_extract_all("_text", F.lit(WORD), F.lit(1))))
+    df = df.withColumn("_at", F.when(F.col("_may"), starts).otherwise(F.array().cast("array<int>")))
     df = df.withColumn("_proper", F.filter("_at", lambda i: F.forall(F.slice("_words", i, F.col("_n")), lambda w: w.rlike("[A-Z]"))))
-    foreign = lambda side: F.when(F.size("_proper") > 0, F.filter(F.sequence(F.lit(1), F.size("_low")), lambda j: ~F.array_contains("_own", F.lower(F.get(side, j - 1)))))
+    occurs = F.size("_proper") > 0
+    back, ahead = _chains(F.col("_text"), lambda parts, k: F.slice(parts, F.lit(1), k + 1)), _chains(F.col("_text"), lambda parts, k: F.slice(parts, k + 1, F.size(parts)))
+    df = df.withColumns({"_back": F.when(occurs, back), "_ahead": F.when(occurs, ahead)})
+    foreign = lambda side: F.when(occurs, F.filter(F.sequence(F.lit(1), F.size("_low")), lambda j: ~F.array_contains("_own", F.lower(F.get(side, j - 1)))))
     df = df.withColumns({"_foreign_back": foreign("_back"), "_foreign_ahead": foreign("_ahead")})
     df = df.withColumn("_longer", F.transform("_proper", lambda i: F.array_compact(F.array(_beside(i, F.col("_n"), True), _beside(i, F.col("_n"), False)))))
     df = df.withColumn("_phrases", F.flatten("_longer"))
