@@ -108,6 +108,23 @@ def test_fuzzy_pairs_lose_nothing(spark):
     assert one(spark, similarity.trigram_similarity(F.lit("word"), F.lit("words"))) == pytest.approx(4 / 7)
 
 
+def test_copies_of_names_meet_as_classes(spark):
+    words = ["red bolt", "Bolt, red", "red bolts", "blue bolt", "gear"]
+    df = spark.createDataFrame([(n, words[n * n % 5]) for n in range(200)], "id long, name string")
+    pairs, rows, _ = similarity.alike_classes(df, df, 0.5)
+    assert pairs.count() <= 16 and rows.count() == 200
+    a, b = df.toDF("i", "x"), df.toDF("j", "y")
+    s = similarity.trigram_similarity(F.col("x"), F.col("y"))
+    every = [(r.i, r.j, r.s) for r in a.join(b, F.col("i") != F.col("j")).select("i", "j", s.alias("s")).where("s >= 0.5").collect()]
+    assert {tuple(r) for r in similarity.fuzzy_pairs(df, df, 0.5).collect()} == set(every)
+    best = {i: sorted((-s, j) for k, j, s in every if k == i)[:2] for i in {i for i, _, _ in every}}
+    assert {r.left_id: [(-f.similarity, f.right_id) for f in r.found] for r in similarity.closest(df, df, 0.5, 2).collect()} == best
+    clear = {(i, b[0][1]) for i, b in best.items() if len(b) == 1 or b[1][0] - b[0][0] >= 0.08}
+    assert {(r.left_id, r.right_id) for r in similarity.best_alike(df, df, 0.5, 0.08).collect()} == clear
+    least = {j: min(i for i, k, _ in every if k == j and i < j and (i + j) % 2 == 0) for j in {j for i, j, _ in every if i < j and (i + j) % 2 == 0}}
+    assert {r.right_id: r.left_id for r in similarity.smallest_alike(df, 0.5, F.pmod("id", F.lit(2))).collect()} == least
+
+
 def test_graph_and_shards(spark):
     links = spark.createDataFrame([(1, 10), (1, 11), (2, 10), (2, 11), (2, 12), (3, 12)], "investor_id long, company_id long")
     assert [tuple(r) for r in graph.also_backed_by(links, 10, 2).collect()] == [(11, 1)]
