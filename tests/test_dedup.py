@@ -1,4 +1,5 @@
 import re
+from datetime import date
 
 import pytest
 
@@ -85,3 +86,25 @@ def test_nulls_and_none(spark):
     rows = [(1, None, None, None, None, None, None, 1), (2, None, "", "x", "y", "", None, 1), (3, "Acme", "not a url", "x", "Y", None, None, 1), (4, "Acme", None, "X", "y", None, None, 99)]
     _, remap, judged = D.dedup_companies(spark.createDataFrame(rows, schema), lambda a, b: False, FILL)
     assert remap.collect() == [] and [(r.a, r.b, r.merged) for r in judged.collect()] == [(3, 4, False)]
+
+
+@pytest.mark.parametrize("most", [None, 60])
+def test_copies_against_a_loop(spark, most):
+    """Many rows of few names: a class is walked by id, and only what is left of it meets other classes."""
+    names = ["Acme Labs", "acme  labs", "Acme Lab", "Acme Labs Inc", "Beta Works", "Beta Work", "Gamma"]
+    rows = {i: {"id": i, "name": names[i * i % 7], "website": f"https://www.d{i}.example.com" if i % 3 else None, "hq_city": "x" if i % 2 else None, "hq_state": f"s{i % 3}", "description_long": "d" if i % 5 == 0 else None, "created_at": None if i % 11 == 0 else date(2001, 1, 1 + i % 9), "p_size": i * 7 % 50} for i in range(150)}
+    df = spark.createDataFrame([tuple(r.values()) for r in rows.values()], "id long, name string, website string, hq_city string, hq_state string, description_long string, created_at date, p_size int")
+    _, remap, judged = D.dedup_companies(df, judge, FILL, most)
+    low = date(1, 1, 1)
+    _, want, seen, pairs = loop({i: dict(r, created_at=r["created_at"] or low) for i, r in rows.items()}, judge, most)
+    assert sorted((r.a, r.b, r.merged) for r in judged.collect()) == sorted(seen)
+    assert dict(map(tuple, remap.select("loser", "survivor").collect())) == want and pairs > 2000
+
+
+def test_first_pairs_are_the_first_of_all(spark):
+    df = doubled(Tables(spark, "/root/testdata/sf0.001"))
+    order = lambda p: sorted((-r.similarity, r.a, r.b) for r in p.collect())
+    every = order(D.name_pairs(df))
+    for most in (1, 7, 150):
+        assert order(D.name_pairs(df, most))[:most] == every[:most]
+    assert len(order(D.name_pairs(df, 7))) <= 14
