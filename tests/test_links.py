@@ -3,7 +3,7 @@ from urllib.parse import urljoin, urlparse
 
 from pyspark.sql import functions as F
 
-from fathomline.functions.text import links
+from fathomline.functions.text import _by_value, links
 from fathomline.plans.listings import linked
 from fathomline.sources import links as L
 from fathomline.sources.tables import Tables
@@ -57,3 +57,11 @@ def test_company_links(spark):
     df = spark.createDataFrame([(n, "https://www.news.com/a", name, html, bad) for n, (name, html, bad, _) in enumerate(cases)], "id long, url string, name string, html string, bad array<string>")
     got = {r.id: r.site for r in L.company_link(df, ["id"], rejected="bad").collect()}
     assert got == {n: c[3] for n, c in enumerate(cases) if c[3]}
+
+
+def test_pages_reach_python_a_few_at_a_time(spark):
+    """A task holds some pages, not an Arrow batch of them: 3,000 pages of 100,000 characters are 300 MB."""
+    resident = lambda _: int(open("/proc/self/statm").read().split()[1]) * 4096 // 10**6
+    pages = spark.range(0, 3000, numPartitions=1).select(F.concat(F.col("id").cast("string"), F.repeat(F.lit("x"), 100_000)).alias("html"))
+    low, high = pages.select(_by_value(resident, "long", F.col("html")).alias("mb")).agg(F.min("mb"), F.max("mb")).first()
+    assert high < 350 and high - low < 100
