@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fathomline.operators.table_functions import register
+from fathomline.plans.registry import queries
 
 
 @pytest.fixture
@@ -37,3 +38,10 @@ def test_quarter_walk(sql):
         (1, "2024-04-01", 1, 10, 10, 0), (1, "2024-07-01", 1, 5, 15, 0), (2, "2023-10-01", 1, 7, 7, 0), (2, "2024-01-01", 0, 0, 7, 1), (2, "2024-04-01", 0, 0, 7, 2), (2, "2024-07-01", 1, 0, 7, 0),
         (6, "2023-07-01", 1, 2, 2, 0), (6, "2023-10-01", 0, 0, 2, 1), (6, "2024-01-01", 0, 0, 2, 2), (6, "2024-04-01", 0, 0, 2, 3), (6, "2024-07-01", 1, 1, 3, 0),
     ]
+
+
+def test_quarters_by_company_are_the_walk_without_python(spark, sql):
+    walk = sql("select * from quarter_walk(table(select company_id, announced_date, amount_raised from fathomline_rounds) partition by company_id order by announced_date)")
+    assert sorted(sql("select * from quarters_by_company()")) == sorted(walk) and len(walk) == 14
+    plan = queries()["E1_quarter_walk"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "UDTF" not in plan
