@@ -1,6 +1,7 @@
 """Operators whose rules SQL can't express, against fixed cases and plain reimplementations."""
 
 import re
+import time
 from collections import Counter
 from datetime import date, timedelta
 from itertools import combinations
@@ -14,7 +15,7 @@ from fathomline.operators import clusters as C
 from fathomline.operators import corroborate as K
 from fathomline.operators import graph, rounds, timeline
 from fathomline.plans import registry
-from fathomline.sources import feeds, pages
+from fathomline.sources import feeds, pages, services
 
 ARTICLES = [
     ("Bespoke", "custom AI tooling for robotics engineers and factories", "The bespoke supplements were bespoke.", ["only a common word"], None),
@@ -231,3 +232,23 @@ def test_clusters_take_another_algorithm(spark):
     df = spark.createDataFrame([("a", i, [1.0, float(i)]) for i in range(8)], "label string, vec_id long, v array<double>")
     got = {r.vec_id: r.theme for r in C.themes(df, "label", "vec_id", "v", cluster=lambda x, k: __import__("numpy").arange(len(x)) % 2).collect()}
     assert got == {i: i % 2 for i in range(8)}
+
+
+def test_a_name_that_occurs_all_over_a_long_text(spark):
+    """What stands beside an occurrence is found near it, not by passing the whole text for each."""
+    rows = [(1, "Acme Co", "", "Great Acme Works and " * 4000), (2, "Acme Co", "", "Acme Acme Co Works, Big Acme " * 3)]
+    df = spark.createDataFrame(rows, "id long, name string, description string, text string")
+    start = time.monotonic()
+    got = {r.id: (r.occurrences, r.proper, r.extended, r.evidence) for r in K.corroborate(df).collect()}
+    took = time.monotonic() - start
+    assert got[1] == (4000, 4000, 4000, ["Great Acme (4000x)", "Acme Works (4000x)"])
+    assert got[2] == (9, 9, 9, ["Acme Acme Co Works (3x)", "Acme Co Works (3x)", "Big Acme (3x)"])
+    assert took < 12
+
+
+def test_a_guard_reads_texts_once(spark):
+    rows = [(1, "Acme", "Acme makes rockets", "Acme raises"), (2, "Acme", "", "x")]
+    df = spark.createDataFrame(rows, "doc_id long, name string, description string, text string").withColumn("context", F.lit(""))
+    out = services.guard(df, lambda row: {"is_subject": True, "confidence": "high"}, ["doc_id"])
+    assert "regexp_extract_all" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert {(r.doc_id, r.reason) for r in out.collect()} == {(1, "match-high"), (2, "no-profile")}
