@@ -65,3 +65,12 @@ def test_groups_are_replaced_and_names_stay(spark, tmp_path):
     C.rebuild_map(frame(base), maps, "label", "vec_id", "v")
     got = C.rebuild_map(frame({"health": base["health"][:5]}), maps, "label", "vec_id", "v")
     assert {r.label: r.n for r in got.groupBy("label").agg(F.count("*").alias("n")).collect()} == {"Big Data": 40, "health": 5}
+
+
+def test_a_task_sends_a_row_for_each_group_and_start():
+    x, centres = np.eye(4), {"a": np.stack([np.eye(4)[:2]] * 3)}
+    batch = pa.RecordBatch.from_arrays([pa.array(["a"] * 4), pa.array(range(4)), pa.array(x.tolist())], ["grp", "id", "vector"])
+    sent = [row for out in C._gather(centres)([batch]) for row in out.to_pylist()]
+    assert [(r["grp"], r["start"]) for r in sent] == [("a", 0), ("a", 1), ("a", 2)]
+    (both,) = C._added([*C._gather(centres)([batch]), *C._gather(centres)([batch])])
+    assert [r["sums"] for r in both.to_pylist()] == [[2 * v for v in r["sums"]] for r in sent]
