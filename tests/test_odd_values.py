@@ -35,3 +35,16 @@ def test_claims_round_as_python_prints(spark, amount, want):
     python = "an undisclosed amount" if x < 0 else f"${x / 1e9:.1f}B" if x >= 1e9 else f"${x / 1e6:.0f}M" if x >= 1e8 else f"${x / 1e6:.1f}M" if x >= 1e6 else f"${x / 1e3:.0f}K" if x >= 1e3 else f"${x:.0f}"
     got = spark.range(1).select(N.claim_usd(F.lit(amount).cast("decimal(20,2)")).alias("x")).first().x
     assert got == python == want
+
+
+def test_articles_after_empty_texts(spark, tmp_path):
+    place = tmp_path / "documents.parquet"
+    texts = [None, "", "   ", ". ", "Acme Wire raises. Acme Wire is big. More", "\t"]
+    rows = [(n, texts[n % len(texts)], "src0") for n in [*range(-20, 60), *range(3, 50, 7)]]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").coalesce(1).write.parquet(str(place))
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{place}/*.parquet'")
+    columns = ["doc_id", "attach", "reason", "other_entity"]
+    got = [tuple(r) for r in entry.queries()["Z20_distrusted_articles"](spark, str(tmp_path)).select(*columns).collect()]
+    want = con.execute(f"select {', '.join(columns)} from ({entry.oracle_sql()['Z20_distrusted_articles']})").fetchall()
+    assert sorted(got, key=str) == sorted(want, key=str) and len(got) > 79
