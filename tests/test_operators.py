@@ -1,3 +1,4 @@
+import itertools
 from datetime import date
 
 import numpy as np
@@ -8,6 +9,7 @@ from fathomline.functions import names as N
 from fathomline.functions import text as X
 from fathomline.functions import urls as U
 from fathomline.operators import clusters, graph, predicates, resolve, rollup, rounds, scoring, similarity, timeline, windows
+from fathomline.plans.registry import queries
 from fathomline.sources import feeds, sinks
 from fathomline.streaming import ingest
 
@@ -125,6 +127,24 @@ def test_copies_of_names_meet_as_classes(spark):
     assert {r.right_id: r.left_id for r in similarity.smallest_alike(df, 0.5, F.pmod("id", F.lit(2))).collect()} == least
 
 
+def broadcast_tables(df) -> list[str]:
+    """Broadcasts of a plan whose rows come from a table without a shuffle, so that nothing tells their size."""
+    lines = df._jdf.queryExecution().executedPlan().toString().splitlines()
+    depth = [len(x) - len(x.lstrip(" :+-")) for x in lines]
+    out = []
+    for n, line in enumerate(lines):
+        if "BroadcastExchange" in line:
+            below = list(itertools.takewhile(lambda k: depth[k] > depth[n], range(n + 1, len(lines))))
+            if not any("Exchange hashpartitioning" in lines[k] for k in below):
+                out.append("\n".join(lines[k] for k in [n, *below]))
+    return out
+
+
+@pytest.mark.parametrize("query", ["J19_fuzzy_pairs", "J20_best_match", "J21_find_one", "M13_gated_pairs"])
+def test_rows_of_names_pass_no_driver(spark, sf_dir, query):
+    assert broadcast_tables(queries()[query](spark, sf_dir)) == []
+
+
 def test_graph_and_shards(spark):
     links = spark.createDataFrame([(1, 10), (1, 11), (2, 10), (2, 11), (2, 12), (3, 12)], "investor_id long, company_id long")
     assert [tuple(r) for r in graph.also_backed_by(links, 10, 2).collect()] == [(11, 1)]
