@@ -145,6 +145,21 @@ def test_rows_of_names_pass_no_driver(spark, sf_dir, query):
     assert broadcast_tables(queries()[query](spark, sf_dir)) == []
 
 
+def test_lists_of_pieces_give_every_pair(spark, monkeypatch):
+    monkeypatch.setattr(similarity, "PIECE", 4)
+    monkeypatch.setattr(similarity, "PIECES", 3)
+    words = ["red bolt", "Bolt, red", "red bolts", "blue bolt", None, " - "]
+    df = spark.createDataFrame([(n, words[n * n % 6]) for n in range(150)], "id long, name string")
+    a, b = df.toDF("i", "x"), df.toDF("j", "y")
+    want = {(r.i, r.j) for r in a.join(b, F.col("i") < F.col("j")).where(similarity.trigram_similarity(F.col("x"), F.col("y")) >= 0.5).collect()}
+    pairs = similarity.fuzzy_pairs(df, df, 0.5, distinct_order=True)
+    got = [(r.left_id, r.right_id) for r in pairs.collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    # the last join has lists, not rows
+    plan = pairs._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate explode(left") < plan.index("Join Inner")
+
+
 def test_graph_and_shards(spark):
     links = spark.createDataFrame([(1, 10), (1, 11), (2, 10), (2, 11), (2, 12), (3, 12)], "investor_id long, company_id long")
     assert [tuple(r) for r in graph.also_backed_by(links, 10, 2).collect()] == [(11, 1)]
