@@ -1,8 +1,10 @@
 from datetime import date
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from fathomline.operators import similarity
 from fathomline.operators.table_functions import register
 from fathomline.plans.registry import queries
 
@@ -45,3 +47,29 @@ def test_quarters_by_company_are_the_walk_without_python(spark, sql):
     assert sorted(sql("select * from quarters_by_company()")) == sorted(walk) and len(walk) == 14
     plan = queries()["E1_quarter_walk"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "UDTF" not in plan
+
+
+@pytest.mark.parametrize("query", ["E1_semantic_companies"])
+def test_many_companies_asked_at_once_write_no_pairs(spark, query):
+    plan = queries()[query](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapCoGroupsInArrow" in plan and "zip_with" not in plan
+
+
+def test_nearest_each_is_the_lateral_join(spark, monkeypatch):
+    monkeypatch.setattr(similarity, "VECTORS", 7)
+    nan, inf = float("nan"), float("inf")
+    rng = np.random.default_rng(3)
+    odd = [[0.0, 0.0, 0.0], [nan, 1.0, 0.0], [inf, 0.0, 1.0], [1.0, None, 2.0], [1.0, 2.0], [], [1e-30, 1e-30, 0.0], [-1.0, -2.0, -3.0], [1.0, 2.0, 3.0], None]
+    vectors = [*odd, *rng.normal(size=(40, 3)).tolist(), *([[0.5, 0.25, -1.0]] * 30)]
+    rows = [(n, f"s{n}", "N", None, "d", "x", "active", "manual" if n % 9 == 4 else None, 1, vectors[n * 7 % len(vectors)]) for n in range(160)]
+    columns = "id long, slug string, name string, logo_url string, description_short string, industry_group string, status string, exclusion_reason string, funding_round_count long, embedding array<float>"
+    register(spark, spark.createDataFrame(rows, columns), spark.createDataFrame([], "company_id long, announced_date date, amount_raised decimal(20,2)"))
+    exact = lambda df: sorted((r[0], r[1], repr(r[2])) for r in df.collect())
+    c = spark.table("fathomline_companies").select("id", "embedding", "exclusion_reason").where("embedding is not null")
+    given = c.where("exclusion_reason is null").select("id", "embedding")
+    asked = c.where("id % 3 = 0").select(F.col("id").alias("query_id"), "embedding")
+    got = exact(similarity.nearest_each(asked, given, 4, others=True))
+    assert got == exact(spark.sql("select q.id, s.id, s.similarity from (select id from fathomline_companies where id % 3 = 0) q, lateral similar_companies(q.id, 4) s")) and len(got) > 150
+    got = exact(similarity.nearest_each(asked.where("query_id < 60"), given, 5))
+    assert got == exact(spark.sql("select q.id, s.id, s.similarity from (select id, embedding from fathomline_companies where id % 3 = 0 and id < 60 and embedding is not null) q, lateral semantic_companies(q.embedding, 5) s"))
+    assert similarity.nearest_each(asked, given.where("id < 0"), 4).count() == 0 == similarity.nearest_each(asked.where("query_id < 0"), given, 4).count()
