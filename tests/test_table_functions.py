@@ -49,7 +49,7 @@ def test_quarters_by_company_are_the_walk_without_python(spark, sql):
     assert "Python" not in plan and "UDTF" not in plan
 
 
-@pytest.mark.parametrize("query", ["E1_semantic_companies"])
+@pytest.mark.parametrize("query", ["E1_similar_companies", "E1_semantic_companies"])
 def test_many_companies_asked_at_once_write_no_pairs(spark, query):
     plan = queries()[query](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "FlatMapCoGroupsInArrow" in plan and "zip_with" not in plan
